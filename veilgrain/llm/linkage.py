@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrain.llm.graph import components
@@ -79,15 +79,28 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_scored(similarity), "a long, b long, similarity double")
 
 
-def classes(items: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Similarity, threshold: float, lanes: int, slack: float) -> DataFrame:
-    """(id, root) of the items that are linked to another item.
+def _signed(sign: Callable[[list[bytes]], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sign(text_bytes(batch.column("text"))), pa.binary())], ["id", "signature"])
+
+    return run
+
 
-    `items` has (id long, bands array<long>, signature binary: `lanes` 16-bit values) and should be
-    a stored table; ids are distinct.  `texts(ids)` returns (id, text) of the given ids.
-    """
-    met = items.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
-    centres = met.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = keep(met.join(centres.drop("members"), "bucket"))
+def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Similarity, threshold: float, sign: Callable[[list[bytes]], list[bytes]], lanes: int, slack: float, stored: bool) -> DataFrame:
+    """(id, root) of the items that share a bucket with another; items of one class have one root.
+
+    `met` has (bucket long, id long), a row for each bucket of an item; a row may repeat.  `texts(ids)`
+    returns (id, text) of the given ids; `sign` gives a text's signature of `lanes` 16-bit values.
+    `stored` says that `met` is a table, cheap to read twice: its centres are then found by a map-side
+    combined aggregate and joined; else it is computed and shuffled once, for a window."""
+    if stored:
+        ends = met.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
+        members = keep(met.join(ends.drop("last"), "bucket"))
+    else:
+        own = Window.partitionBy("bucket")
+        ends = met.withColumn("centre", F.min("id").over(own)).withColumn("last", F.max("id").over(own)).where("centre < last")
+        members = keep(ends.select("bucket", "id", "centre").distinct())
     ids = members.select("id").distinct()
     held = keep(texts(ids))
 
@@ -107,7 +120,7 @@ def classes(items: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     for _ in range(MOST_REPEATS):
         now = members.select("bucket", "id").join(roots, "id")
         mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        crowd = now.join(mixed, "bucket").join(items.select("id", "signature"), "id")
+        crowd = now.join(mixed, "bucket").join(held.mapInArrow(_signed(sign), "id long, signature binary"), "id")
         third = crowd.groupBy("bucket").applyInArrow(_closest(lanes, slack), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
         compared = keep(compared.union(verified(third, held, similarity)))
         found = compared.where(F.col("similarity") >= threshold).count()
@@ -115,7 +128,7 @@ def classes(items: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
             break
         links = found
         roots = _rooted(ids, compared, threshold)
-    return roots.where(F.col("root").isNotNull())
+    return roots
 
 
 def _rooted(ids: DataFrame, compared: DataFrame, threshold: float) -> DataFrame:
