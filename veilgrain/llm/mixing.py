@@ -47,7 +47,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onwards)
     levels = capped.withColumn("level", level).withColumn("level", F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")))
-    factor = F.coalesce(F.min("level").over(everything), F.lit(0.0))
+    factor = F.coalesce(F.max("level").over(everything), F.lit(0.0))
     return levels.withColumn("factor", factor).select("source", "source_size", "weight", F.least(F.col("factor") * F.col("weight"), F.col("cap")).alias("target"))
 
 

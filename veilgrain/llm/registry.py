@@ -6,55 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilgrain.functions.session import table
 from veilgrain.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, rule_ensemble, sharding, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_rules.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(_table(spark, sf_dir, "documents"), with_text=False)
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return rule_ensemble.score(docs, rule_ensemble.fit(docs, _table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(_table(spark, sf_dir, "documents"), with_text=False)
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded(_table(spark, sf_dir, "documents"))
+    return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
