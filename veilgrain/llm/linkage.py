@@ -6,8 +6,8 @@ looks at what earlier waves left in different classes:
 1. every item against one centre, the smallest id met in any of its buckets;
 2. every item against the centres of its other buckets;
 3. in buckets that still hold several classes, every item outside the bucket's largest class
-   against the member of each other class whose signature is closest to its own; this wave is
-   repeated, without the pairs compared before, for as long as it finds links.
+   against the item of any other class whose signature is closest to its own, as in Boruvka's
+   algorithm; repeats take the next closest, until LEAST_REPEATS of them found no link in a row.
 
 A wave writes a number of pairs in proportion to the items, whatever the size of a bucket.
 """
@@ -27,38 +27,35 @@ from veilgrain.llm.text import small_batches, text_bytes
 
 Similarity = Callable[[list[bytes], list[bytes]], np.ndarray]
 BLOCK = 1024  # signatures compared at a time in wave 3
-MOST_REPEATS = 6
+LEAST_REPEATS = 2
 
 
-def _closest(lanes: int, slack: float) -> Callable[[pa.Table], pa.Table]:
-    """Wave 3 within one bucket; `slack` is the share of equal lanes below which a pair can't link."""
+def _closest(lanes: int, slack: float, skip: int) -> Callable[[pa.Table], pa.Table]:
+    """Wave 3 within one bucket: one pair for each item outside the largest class, with the item of
+    another class that has the most equal lanes after the `skip` best.  `slack` is the share of equal
+    lanes below which a pair can't link."""
 
     def best(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        roots = table.column("root").to_numpy()
+        class_of = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(len(ids), lanes)
-        names, class_of = np.unique(roots, return_inverse=True)
-        order = np.argsort(class_of, kind="stable")
-        ids, class_of, signatures = ids[order], class_of[order], signatures[order]
-        starts = np.searchsorted(class_of, np.arange(len(names)))
-        largest = np.bincount(class_of).argmax()
-        loose = np.flatnonzero(class_of != largest)
-        left, right = [], []
+        loose = np.flatnonzero(class_of != np.bincount(class_of).argmax())
+        left, right = [ids[:0]], [ids[:0]]
         step = max(1, BLOCK * BLOCK // (len(ids) + 1))
         for at in range(0, len(loose), step):
             mine = loose[at : at + step]
             equal = np.zeros((len(mine), len(ids)), dtype=np.int16)
             for k in range(lanes):
                 equal += signatures[mine, k][:, None] == signatures[:, k][None, :]
-            top = np.maximum.reduceat(equal, starts, axis=1)
-            top[np.arange(len(mine)), class_of[mine]] = -1
-            for i, c in zip(*np.nonzero(top >= slack * lanes), strict=True):
-                if c == largest or c < class_of[mine[i]]:  # of two loose classes one side is enough
-                    stop = starts[c + 1] if c + 1 < len(starts) else len(ids)
-                    left.append(ids[mine[i]])
-                    right.append(ids[starts[c] + equal[i, starts[c] : stop].argmax()])
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+            equal[class_of[mine][:, None] == class_of[None, :]] = -1
+            for _ in range(skip):
+                equal[np.arange(len(mine)), equal.argmax(axis=1)] = -1
+            pick = equal.argmax(axis=1)
+            near = equal[np.arange(len(mine)), pick] >= slack * lanes
+            left.append(ids[mine[near]])
+            right.append(ids[pick[near]])
+        x, y = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return best
 
@@ -103,6 +100,7 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
         members = keep(ends.select("bucket", "id", "centre").distinct())
     ids = members.select("id").distinct()
     held = keep(texts(ids))
+    signed = held.mapInArrow(_signed(sign), "id long, signature binary")
 
     def as_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -116,18 +114,18 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
     compared = keep(compared.union(verified(second, held, similarity)))
     roots = _rooted(ids, compared, threshold)
 
-    links = compared.where(F.col("similarity") >= threshold).count()
-    for _ in range(MOST_REPEATS):
+    links, skip = compared.where(F.col("similarity") >= threshold).count(), 0
+    while skip < LEAST_REPEATS:
         now = members.select("bucket", "id").join(roots, "id")
         mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        crowd = now.join(mixed, "bucket").join(held.mapInArrow(_signed(sign), "id long, signature binary"), "id")
-        third = crowd.groupBy("bucket").applyInArrow(_closest(lanes, slack), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
+        crowd = now.join(mixed, "bucket").join(signed, "id")
+        third = crowd.groupBy("bucket").applyInArrow(_closest(lanes, slack, skip), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
         compared = keep(compared.union(verified(third, held, similarity)))
         found = compared.where(F.col("similarity") >= threshold).count()
-        if found == links:
-            break
-        links = found
-        roots = _rooted(ids, compared, threshold)
+        skip = 0 if found > links else skip + 1
+        if found > links:
+            links = found
+            roots = _rooted(ids, compared, threshold)
     return roots
 
 
