@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from veilgrain.llm.labels import training_rows
 from veilgrain.llm.text import BLANKS, Words, chunks, mix, small_batches, text_bytes
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
 FAMILIES = 4
@@ -29,6 +29,7 @@ LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
 STEPS, RATE, RIDGE = 80, 1.0, 1e-6
 CALIBRATION_FOLD = 1
+PART = 128  # rows handled together while fitting, which bounds its memory
 _U = np.uint64
 
 SCHEMA = (
@@ -150,28 +151,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     own = part != CALIBRATION_FOLD
     if len(set(y[own])) < 2:
         return None
-    lists = table.column("slots").combine_chunks()
-    values = table.column("shares").combine_chunks()
-    length = np.diff(lists.offsets.to_numpy())
+    lists, values = table.column("slots").combine_chunks(), table.column("shares").combine_chunks()
+    del table
+    offsets = lists.offsets.to_numpy()
     slots, shares = lists.flatten().to_numpy(), values.flatten().to_numpy()
-    row = np.repeat(np.arange(len(y)), length)
-    mine = np.repeat(own, length)
-    s, v, r = slots[mine], shares[mine].astype(np.float64), (np.cumsum(own) - 1)[row[mine]]
-    target = y[own]
-    n, prior = len(target), target.mean()
+    parts = [(i, min(i + PART, len(y))) for i in range(0, len(y), PART)]
+
+    def margins_of(w: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Rows, their entries, and the rows' sums of weights by shares."""
+        for lo, hi in parts:
+            at = slice(offsets[lo], offsets[hi])
+            sums = np.concatenate([[0.0], np.cumsum(w[slots[at]] * shares[at])])
+            yield slice(lo, hi), at, sums[offsets[lo + 1 : hi + 1] - offsets[lo]] - sums[offsets[lo:hi] - offsets[lo]]
+
+    n, prior = own.sum(), y[own].mean()
     w, bias = np.zeros(FAMILIES * SLOTS), float(np.log(prior / (1 - prior)))
-    balance = np.where(target == 1, 0.5 / prior, 0.5 / (1 - prior))
+    balance = own * np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior)) / n  # rows kept for calibration have none
     first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):  # Adam over the whole batch
-        z = np.bincount(r, weights=w[s] * v, minlength=n) + bias
-        error = balance * (sigmoid(z) - target) / n
-        slope = np.bincount(s, weights=v * error[r], minlength=len(w)) + RIDGE * w
+    for step in range(1, STEPS + 1):  # Adam over all rows
+        slope, whole = RIDGE * w, 0.0
+        for rows_at, at, sums in margins_of(w):
+            error = balance[rows_at] * (sigmoid(sums + bias) - y[rows_at])
+            length = np.diff(offsets[rows_at.start : rows_at.stop + 1])
+            slope += np.bincount(slots[at], weights=shares[at] * np.repeat(error, length), minlength=len(w))
+            whole += error.sum()
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        bias -= 0.5 * error.sum()
+        bias -= 0.5 * whole
     model = Model(w.reshape(FAMILIES, SLOTS).astype(np.float32), bias, 1.0, 0.0)
-    z = np.bincount(row, weights=w[slots] * shares, minlength=len(y)) + bias
+    z = np.concatenate([sums for _, _, sums in margins_of(w)]) + bias
     apart = ~own if len(set(y[~own])) == 2 else own
     model.scale, model.shift = calibration(z[apart], y[apart])
     return model
