@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgrain.llm.scratch import keep as stored
 from veilgrain.llm.text import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -80,13 +81,14 @@ def apportioned(claims: DataFrame, group: list[str], key: list[str], claim: str,
 
 def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """`docs` (with source and size) with source_size, target, the words before the document in its
-    cell (`offset`), the cell's words, blocks, quota and permutation shift."""
+    cell (`offset`), the cell's words, blocks, quota and permutation shift.  The tables of sources and of cells, small ones,
+    are stored on the way, so that no plan holds all steps."""
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(totals)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sources = sources.withColumn("cells", F.ceil(F.col("source_size") / F.lit(CELL_WORDS)).cast("long"))
     sources = sources.withColumn("seats", F.floor(F.sum("source_size").over(whole) / F.lit(block) + 0.5).cast("long"))
-    sources = apportioned(sources, [], ["source"], "target", "seats", "source_seats")
+    sources = stored(apportioned(stored(sources), [], ["source"], "target", "seats", "source_seats"))
     named = sources.withColumnRenamed("source", "_source")
     placed = docs.join(named.select("_source", "source_size", "target", "cells"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     placed = placed.withColumn("_order", _hash(F.col("doc_id").cast("string"))).withColumn("cell", F.pmod("_order", F.greatest("cells", F.lit(1).cast("long"))))
@@ -94,9 +96,9 @@ def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = cells.withColumn("blocks", F.when(F.col("cell_words") > 0, F.col("blocks")).otherwise(F.lit(0).cast("long")))
     cells = cells.join(named.select("_source", "source_seats"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     most = F.sum("blocks").over(Window.partitionBy("source")) * MOST_COPIES
-    cells = cells.withColumn("_seats", F.least("source_seats", most))
+    cells = stored(cells.withColumn("_seats", F.least("source_seats", most)))
     cells = apportioned(cells, ["source"], ["cell"], "blocks", "_seats", "quota").withColumn("quota", F.least(F.col("quota"), F.col("blocks") * MOST_COPIES))
-    cells = cells.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), "cell_words", "blocks", "quota")
+    cells = stored(cells.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), "cell_words", "blocks", "quota"))
     joined = placed.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell"))).drop("_source", "_cell")
     run = Window.partitionBy("source", "cell").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     shift = _hash(F.coalesce(F.col("source"), F.lit("")), F.col("cell").cast("string"))
@@ -137,7 +139,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, keep: tuple[str, ...] = ()) -> Da
     nothing; rows that repeat a doc_id are rows of their own; an empty table gives an empty result;
     a null source is a source of its own, after all others."""
     own = docs.select("doc_id", F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"keep_{c}") for c in keep], word_count("text").alias("size"))
-    df = plan(own, block).withColumn("pieces", _pieces())
+    df = plan(own if keep else stored(own), block).withColumn("pieces", _pieces())
     taken = F.coalesce(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["times"] * (p["end"] - p["begin"])), F.lit(0).cast("long"))
     return df.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", "offset", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
