@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +22,10 @@ def importable(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables of a data folder."""
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for stored results: in the shared folder that the session names in spark.checkpoint.dir,
+    or a temporary one where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='work-')}"
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
