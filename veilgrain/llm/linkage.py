@@ -89,8 +89,9 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
 
     `met` has (bucket long, id long), a row for each bucket of an item; a row may repeat.  `texts(ids)`
     returns (id, text) of the given ids; `sign` gives a text's signature of `lanes` 16-bit values.
-    `stored` says that `met` is a table, cheap to read twice: its centres are then found by a map-side
-    combined aggregate and joined; else it is computed and shuffled once, for a window."""
+    `stored` says how centres are found: by a map-side combined aggregate and a join, which shuffles `met`
+    twice; or, where that is too much, by a window, which shuffles it once but takes a bucket's ids (not
+    their texts) through one task."""
     if stored:
         ends = met.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
         members = keep(met.join(ends.drop("last"), "bucket"))
