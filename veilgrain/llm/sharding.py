@@ -31,7 +31,7 @@ FIRST_ID = -(1 << 63)
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """(doc_id, size, text_crc32, key, and `columns`): size is the text's UTF-8 bytes plus 1."""
     text = F.col("text").cast("string")
-    key = F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")).cast("binary")), 1, 15), 16, 10).cast("long")
+    key = F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
@@ -94,8 +94,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ())
 
     Offsets in the order (key, doc_id) are cut into `shards` equal parts.  Equal texts share the shard of
     the first of them unless they exceed WHOLE_SHARE of a shard; then each goes by its own offset.  Slots
-    count from 0 in each shard, in the same order.  A null text has no bytes and size 1; it isn't equal to
-    an empty one.  Rows that repeat a doc_id are rows of their own; null ids come first; an empty table
+    count from 0 in each shard, in the same order.  A null text counts as an empty one, of no bytes and
+    size 1.  Rows that repeat a doc_id are rows of their own; null ids come first; an empty table
     gives an empty result."""
     records = keep(keyed(docs, *carry))
     total = int(records.agg(F.sum("size")).first()[0] or 0)
