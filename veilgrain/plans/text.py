@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions import generalize, rules
 from veilgrain.functions.session import table
-from veilgrain.operators import detect, gate, limits, quasi, sampling, scan, spans, vault
+from veilgrain.operators import detect, ensemble, gate, limits, quasi, sampling, scan, semantic, spans, vault
+from veilgrain.plans.fixtures import SPANS, as_sql, rows
 
 Spark, Frame = SparkSession, DataFrame
 KEY = b"audit-key"
@@ -320,7 +321,33 @@ def distinct_slots(spark: Spark, d: str) -> Frame:
     return c.withColumn("copies", F.count("*").over(w)).groupBy("copies").agg(F.count("*").alias("documents"))
 
 
+def organizations(spark: Spark, d: str) -> Frame:
+    return semantic.organizations(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "start", "text", "rule")
+
+
+def declared_term_types(spark: Spark, d: str) -> Frame:
+    said = F.element_at(F.array(*map(F.lit, ("Project Nightfall", "Halcyon Freight Systems", "Jane Doe", "widget"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").groupBy(said.alias("term"), semantic.term_type(said).alias("type")).agg(F.count("*").alias("n"))
+
+
+def labeled_birth_dates(spark: Spark, d: str) -> Frame:
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "DOB: ").otherwise("due "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("said"))
+    return semantic.birth_dates(o, "said", "o_orderkey").select("o_orderkey", "start", "text")
+
+
+def kept_situations(spark: Spark, d: str) -> Frame:
+    said = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, (" kg", " people", " days", " rings"))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return table(spark, d, "part").groupBy(semantic.situation_kept(said, F.lit("HEALTH")).alias("kept")).agg(F.count("*").alias("n"))
+
+
+def ensemble_merge(spark: Spark, d: str) -> Frame:
+    s = rows(spark, d, SPANS, "lineitem").withColumns({"proposal_id": F.col("slot_id") * 10 + F.col("span_no"), "req_id": F.col("slot_id") % 1000, "label": F.when(F.col("span_no") == 5, "date").otherwise("name"), "shape_ok": F.col("span_no") != 4})
+    personal = s.groupBy("req_id").agg(F.bool_or(F.col("type") == "PERSON").alias("personal"))
+    return ensemble.merged(s.where("source = 'gliner'"), s.where("source <> 'gliner'"), personal).select("proposal_id", "verdict")
+
+
 QUERIES = (
+    organizations, declared_term_types, labeled_birth_dates, kept_situations, ensemble_merge,
     masked_counts, email_spans, rule_email, rule_card, rule_access_key, rule_password, rule_counts, entropy_tokens, word_entropy, url_tokens, detected_spans, decoded_layers, term_search, vault_numbers, vault_turns,
     masked_turns, restored_turns, skip_model, conversation_ids, propagated, gate_decisions, gate_reasons, gate_full, audit_hashes, leak_variants, value_kinds, text_languages, decade_phrases, stated_ages, ages_from_birth,
     dates_in_text, health_categories, document_sentences, document_chunks, document_windows, language_segments, reranked_results, repaired_orders, client_addresses, cleaned_queries, retry_rule, folded_letters, check_digits,
@@ -350,6 +377,14 @@ _NUMBERED = f"""SELECT conv_id, norm, type, row_number() OVER (PARTITION BY conv
 _GATE = r"""SELECT DISTINCT p.conv_id AS req_id, v.low FROM (SELECT conv_id, text FROM conversations WHERE role = 'assistant') p JOIN (SELECT DISTINCT conv_id, lower(unnest(regexp_extract_all(text, '\b[A-Z][a-z]{3,}'))) AS low FROM conversations WHERE role = 'user') v ON v.conv_id = p.conv_id AND contains(lower(p.text), v.low)"""
 
 SQL = {
+    "declared_term_types": "SELECT term, type, count(*) AS n FROM (SELECT ['Project Nightfall', 'Halcyon Freight Systems', 'Jane Doe', 'widget'][(p_partkey % 4 + 1)::INT] AS term, ['PROJECT', 'ORG', 'PERSON', 'TERM'][(p_partkey % 4 + 1)::INT] AS type FROM part) GROUP BY 1, 2",
+    "labeled_birth_dates": "SELECT o_orderkey, 5 AS start, strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders WHERE o_orderkey % 2 = 0",
+    "kept_situations": "SELECT p_partkey % 4 IN (0, 2) AS kept, count(*) AS n FROM part GROUP BY 1",
+    "ensemble_merge": f"""WITH s AS (SELECT *, slot_id * 10 + span_no AS proposal_id, slot_id % 1000 AS req_id FROM ({as_sql(SPANS, 'lineitem')})), q AS (SELECT req_id, bool_or(type = 'PERSON') AS personal FROM s GROUP BY req_id),
+      m AS (SELECT x.proposal_id, bool_or(y.start <= x.start AND x."end" <= y."end") AS inside, bool_and(y.action = 'mask') AS mk FROM s x JOIN s y ON x.slot_id = y.slot_id AND x.source = 'gliner' AND y.source <> 'gliner' AND x.start < y."end" AND y.start < x."end"
+        WHERE (least(x."end", y."end") - greatest(x.start, y.start)) * 2 >= least(x."end" - x.start, y."end" - y.start) GROUP BY x.proposal_id)
+      SELECT s.proposal_id, CASE WHEN mk IS NOT NULL THEN CASE WHEN NOT inside AND mk THEN 'added' ELSE 'covered' END WHEN span_no = 5 THEN 'label' WHEN type IN ('ORG', 'LOCATION') AND NOT personal THEN 'topic' WHEN span_no = 4 THEN 'shape' ELSE 'pending' END AS verdict
+      FROM s LEFT JOIN m USING (proposal_id) JOIN q USING (req_id) WHERE source = 'gliner'""",
     "masked_counts": f"SELECT lang, count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE type = 'CONTACT') AS contacts, count(*) FILTER (WHERE type = 'FINANCIAL') AS cards FROM ({_CONTACTS}) JOIN documents USING (doc_id) GROUP BY lang",
     "email_spans": f"SELECT doc_id, start, start + length(text)::INT AS \"end\", text FROM ({_walk(EMAIL, 'doc_id', 'documents')})",
     "rule_email": _found(EMAIL),
