@@ -132,3 +132,12 @@ def test_wavelet_rank():
     matrix = WaveletMatrix(symbols, 49)
     s, i = draw.integers(0, 50, 300), draw.integers(0, 701, 300)
     assert matrix.rank(s, i).tolist() == [int((symbols[:k] == c).sum()) for c, k in zip(s, i, strict=True)]
+
+
+def test_repeats_within_one_run():
+    """A period shorter than a window: equal windows of one text must not hide in one run."""
+    from veilgrain.llm.text import Words
+
+    text = ("a b c d e " * 5).encode()
+    _, start, size = substring_dedup.runs_of(Words([text]))
+    assert len(start) > 1 and size.sum() == 6

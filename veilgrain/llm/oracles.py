@@ -1,0 +1,52 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+from veilgrain.llm import mixing, sharding
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+#: Seats are found by ranking all quotients, which the operator avoids.
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, ('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 15))::BIGINT AS ord FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
+w AS (SELECT *, list_extract([5.0, 2.0, 1.0], (rn - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * ss AS cap FROM s),
+l AS (SELECT *, ((sum(ss) OVER ())::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / weight, rn)),
+t AS (SELECT *, least(coalesce(max(level) FILTER (WHERE level <= cap / weight) OVER (), 0) * weight, cap) AS target, greatest(ceil(ss / {mixing.CELL_WORDS}.0), 1)::BIGINT AS cells, floor((sum(ss) OVER ()) / {mixing.BLOCK}.0 + 0.5)::BIGINT AS seats FROM l),
+q AS (SELECT rn, target / (2 * k - 1) AS quotient, seats FROM (SELECT *, unnest(range(1, (3 * ss // {mixing.BLOCK} + 3)::BIGINT)) AS k FROM t)),
+won AS (SELECT rn, count(*) AS source_seats FROM (SELECT rn FROM q QUALIFY row_number() OVER (ORDER BY quotient DESC, rn) <= seats) GROUP BY rn),
+p AS (SELECT d.*, t.rn, t.ss, t.target, d.ord % t.cells AS cell FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT rn, cell, sum(size)::BIGINT AS cw, CASE WHEN sum(size) > 0 THEN greatest(1, floor(sum(size) / {mixing.BLOCK}.0 + 0.5)) ELSE 0 END::BIGINT AS blocks FROM p GROUP BY rn, cell),
+m AS (SELECT c.*, least(coalesce(source_seats, 0), 3 * sum(blocks) OVER (PARTITION BY c.rn)) AS seats FROM c LEFT JOIN won ON won.rn = c.rn),
+r AS (SELECT rn, cell, blocks / (2 * k - 1)::DOUBLE AS quotient, seats FROM (SELECT *, unnest(range(1, 3 * blocks + 3)) AS k FROM m)),
+u AS (SELECT rn, cell, count(*) AS quota FROM (SELECT rn, cell FROM r QUALIFY row_number() OVER (PARTITION BY rn ORDER BY quotient DESC, cell) <= seats) GROUP BY rn, cell),
+f AS (SELECT p.doc_id, p.size, p.ss, p.target, m.cw, m.blocks, least(coalesce(u.quota, 0), 3 * m.blocks)::BIGINT AS quota,
+  coalesce(sum(p.size) OVER (PARTITION BY p.rn, p.cell ORDER BY p.ord, p.doc_id, p.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
+  ('0x' || substr(md5('{mixing.SEED}|' || coalesce(p.source, '') || '|' || p.cell), 1, 15))::BIGINT AS shift
+  FROM p JOIN m ON m.rn = p.rn AND m.cell = p.cell LEFT JOIN u ON u.rn = p.rn AND u.cell = p.cell)
+SELECT doc_id, size, ss AS source_size, target, (CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform(range(floor(pos * blocks / cw::DOUBLE)::BIGINT, floor((pos + size - 1) * blocks / cw::DOUBLE)::BIGINT + 1),
+  lambda j: (quota // blocks + CASE WHEN (j * {mixing.STRIDE} + shift % blocks) % blocks < quota % blocks THEN 1 ELSE 0 END) * (least(ceil((j + 1) * cw / blocks::DOUBLE)::BIGINT, pos + size) - greatest(ceil(j * cw / blocks::DOUBLE)::BIGINT, pos)))) END)::BIGINT AS taken
+FROM f
+"""
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+s AS (SELECT doc_id, i, array_to_string(list(w) OVER o, ' ') AS s, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM s WHERE n = 20),
+g AS (SELECT w.doc_id, w.i, w.w, coalesce(bool_or(r.again) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+#: The splitters don't show: only the order (key, doc_id) decides.  CRC-32 is folded over the bytes.
+SHARDING = f"""
+WITH c AS (SELECT list(v ORDER BY b) AS codes FROM (SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) t(b))),
+d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key FROM documents),
+z AS (SELECT doc_id, key, (length(h) // 2 + 1)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, codes[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM d, c),
+o AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id, size) - size AS pos, sum(size) OVER (PARTITION BY key) AS own, sum(size) OVER () AS total FROM z),
+s AS (SELECT *, least({sharding.SHARDS - 1}, floor((CASE WHEN own <= {sharding.WHOLE_SHARE} * total / {sharding.SHARDS} THEN min(pos) OVER (PARTITION BY key) ELSE pos END) * {sharding.SHARDS} / total::DOUBLE))::INT AS shard FROM o)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+SQL = {"op5_substring_dedup": SUBSTRINGS, "op9_mixing": MIXING, "op10_sharding": SHARDING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilgrain.functions.session import table
-from veilgrain.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, rule_ensemble, sharding, substring_dedup, toxicity
+from veilgrain.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, rule_ensemble, sharding, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

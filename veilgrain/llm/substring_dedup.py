@@ -6,7 +6,7 @@ document of smaller id, or earlier in the same one) are removed.
 1. Copies: of documents with the same words only the first is looked at; a later one loses all its
    words (if it has a window).
 2. Anchors: each window is known by the least hash of its runs of four words, so equal windows have
-   equal anchors; consecutive windows with one anchor form a run.  Runs whose anchor occurs once in
+   equal anchors; consecutive windows with the anchor at one place form a run.  Runs whose anchor occurs once in
    the corpus can't repeat and are done with.
 3. Shards: the other runs' words go to the shard of their anchor, so equal windows meet in a shard.
    An anchor of more than HOT runs is split by the hashes of its single windows.
@@ -46,17 +46,18 @@ def runs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     m = len(hashes) - GRAM + 1
     at = np.arange(m)
-    low = rolling(hashes, at, at + GRAM)
+    low, where = rolling(hashes, at, at + GRAM), at
     width, step = 1, 1
     while width < WINDOW - GRAM + 1:  # the least over 17 grams, by doubling
         step = min(width, WINDOW - GRAM + 1 - width)
-        low = np.minimum(low[:-step], low[step:])
+        later = low[step:] < low[:-step]  # of equal ones the first counts
+        low, where = np.where(later, low[step:], low[:-step]), np.where(later, where[step:], where[:-step])
         width += step
     text_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     at = np.flatnonzero(text_of[: len(hashes) - WINDOW + 1] == text_of[WINDOW - 1 :])
     anchor = low[at]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (where[at[1:]] != where[at[:-1]]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
     since = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
     begin = np.flatnonzero(new | (since % MOST_RUN == 0))
