@@ -55,7 +55,8 @@ def _closest(lanes: int, slack: float, skip: int) -> Callable[[pa.Table], pa.Tab
             left.append(ids[mine[near]])
             right.append(ids[pick[near]])
         x, y = np.concatenate(left), np.concatenate(right)
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)  # two items may name each other
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return best
 
@@ -115,15 +116,15 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
     compared = keep(compared.union(verified(second, held, similarity)))
     roots = _rooted(ids, compared, threshold)
 
-    links, skip = compared.where(F.col("similarity") >= threshold).count(), 0
-    while skip < LEAST_REPEATS:
+    links, idle, skip = compared.where(F.col("similarity") >= threshold).count(), 0, 0
+    while idle < LEAST_REPEATS:
         now = members.select("bucket", "id").join(roots, "id")
         mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         crowd = now.join(mixed, "bucket").join(signed, "id")
         third = crowd.groupBy("bucket").applyInArrow(_closest(lanes, slack, skip), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
         compared = keep(compared.union(verified(third, held, similarity)))
         found = compared.where(F.col("similarity") >= threshold).count()
-        skip = 0 if found > links else skip + 1
+        skip, idle = skip + 1, 0 if found > links else idle + 1
         if found > links:
             links = found
             roots = _rooted(ids, compared, threshold)
