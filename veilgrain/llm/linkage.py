@@ -6,7 +6,7 @@ looks at what earlier waves left in different classes:
 1. every item against one centre, the smallest id met in any of its buckets;
 2. every item against the centres of its other buckets;
 3. in buckets that still hold several classes, every item outside the bucket's largest class
-   against the item of any other class whose signature is closest to its own, as in Boruvka's
+   against the WIDTH items of other classes whose signatures are closest to its own, as in Boruvka's
    algorithm; repeats take the next closest, until LEAST_REPEATS of them found no link in a row.
 
 A wave writes a number of pairs in proportion to the items, whatever the size of a bucket.
@@ -28,11 +28,12 @@ from veilgrain.llm.text import small_batches, text_bytes
 Similarity = Callable[[list[bytes], list[bytes]], np.ndarray]
 BLOCK = 1024  # signatures compared at a time in wave 3
 LEAST_REPEATS = 2
+WIDTH = 4
 
 
 def _closest(lanes: int, slack: float, skip: int) -> Callable[[pa.Table], pa.Table]:
-    """Wave 3 within one bucket: one pair for each item outside the largest class, with the item of
-    another class that has the most equal lanes after the `skip` best.  `slack` is the share of equal
+    """Wave 3 within one bucket: WIDTH pairs for each item outside the largest class, with the items of
+    other classes that have the most equal lanes after the `skip` best.  `slack` is the share of equal
     lanes below which a pair can't link."""
 
     def best(table: pa.Table) -> pa.Table:
@@ -48,12 +49,16 @@ def _closest(lanes: int, slack: float, skip: int) -> Callable[[pa.Table], pa.Tab
             for k in range(lanes):
                 equal += signatures[mine, k][:, None] == signatures[:, k][None, :]
             equal[class_of[mine][:, None] == class_of[None, :]] = -1
-            for _ in range(skip):
-                equal[np.arange(len(mine)), equal.argmax(axis=1)] = -1
-            pick = equal.argmax(axis=1)
-            near = equal[np.arange(len(mine)), pick] >= slack * lanes
-            left.append(ids[mine[near]])
-            right.append(ids[pick[near]])
+            rows_of = np.arange(len(mine))
+            for level in range(skip + WIDTH):
+                pick = equal.argmax(axis=1)
+                near = equal[rows_of, pick] >= slack * lanes
+                if not near.any():
+                    break
+                if level >= skip:
+                    left.append(ids[mine[near]])
+                    right.append(ids[pick[near]])
+                equal[rows_of, pick] = -1
         x, y = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)  # two items may name each other
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
@@ -124,7 +129,7 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
         third = crowd.groupBy("bucket").applyInArrow(_closest(lanes, slack, skip), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
         compared = keep(compared.union(verified(third, held, similarity)))
         found = compared.where(F.col("similarity") >= threshold).count()
-        skip, idle = skip + 1, 0 if found > links else idle + 1
+        skip, idle = skip + WIDTH, 0 if found > links else idle + 1
         if found > links:
             links = found
             roots = _rooted(ids, compared, threshold)
