@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 
 from tests.llm.conftest import prose
-from veilgrain.llm import line_dedup, near_dedup, substring_dedup
+from veilgrain.llm import line_dedup, linkage, near_dedup, substring_dedup
 from veilgrain.llm.fm_index import WaveletMatrix
 
 
@@ -92,6 +92,32 @@ def test_lines(frame, odd):
     assert line_dedup.deduplicated(frame(rows).limit(0)).count() == 0
 
 
+def edited(line, *places):
+    """`line` with other characters at (place, character)."""
+    return "".join(dict(places).get(i, c) for i, c in enumerate(line))
+
+
+def line_classes(spark, lines, met):
+    """Roots of lines by `linkage`, ids being places in `lines`, and by brute force over shared buckets."""
+    held = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    got = linkage.classes(spark.createDataFrame(met, "bucket long, id long"), lambda ids: held.join(ids, "id", "left_semi"), line_dedup.jaccard, line_dedup.THRESHOLD, line_dedup.run_sets, stored=True)
+    raw = [x.encode() for x in lines]
+    both = [(i, j) for b in {b for b, _ in met} for i in (k for c, k in met if c == b) for j in (k for c, k in met if c == b) if j < i]
+    links = [p for p, s in zip(both, line_dedup.jaccard([raw[i] for i, _ in both], [raw[j] for _, j in both]), strict=True) if s >= line_dedup.THRESHOLD]
+    return {r.id: r.root for r in got.collect()}, union(links, range(len(lines)))
+
+
+def test_partner_behind_links(spark):
+    """x links four lines that are closer than y, which only x links and which never looks itself."""
+    x = prose(70, 60)[:157]
+    y = edited(x, (40, "1"), (80, "2"))
+    closer = [x[:-3] + end for end in ("345", "456", "567", "678")]
+    others = [edited(y, (60, str(k)), (110, str(k))) for k in range(6)]
+    lines = [prose(71, 60)[:157], y, *others, x, *closer]
+    got, want = line_classes(spark, lines, [(1, i) for i in range(len(lines))] + [(2, i) for i in range(1, 8)])
+    assert got == want and want[1] == want[8]
+
+
 def brute_substrings(rows):
     met, out = set(), {}
     for i, t in sorted(rows):

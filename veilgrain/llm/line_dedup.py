@@ -25,7 +25,6 @@ from veilgrain.llm.text import BLANKS, mix, powers, small_batches, text_bytes
 CHARACTERS, THRESHOLD = 8, 0.8
 BANDS, ROWS = 9, 3
 LANES = BANDS * ROWS
-SLACK = 0.55
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -86,13 +85,19 @@ def buckets(lanes: np.ndarray) -> np.ndarray:
     return key
 
 
+def run_sets(lines: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct run hashes of each plain line, all of weight 1."""
+    h, count = run_hashes(lines)
+    sets = [np.unique(part) for part in np.split(h, np.cumsum(count)[:-1])]
+    return [(x, np.ones(len(x))) for x in sets]
+
+
 def jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """Exact but for equal 64-bit hashes of different runs."""
     distinct = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
     if not distinct:
         return np.zeros(0)
-    h, count = run_hashes(list(distinct))
-    sets = [np.unique(part) for part in np.split(h, np.cumsum(count)[:-1])]
+    sets = [x for x, _ in run_sets(list(distinct))]
     out = []
     for a, b in zip(left, right, strict=True):
         x, y = sets[distinct[a]], sets[distinct[b]]
@@ -173,10 +178,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         return own.select("text").mapInArrow(_texts, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    def sign(lines: list[bytes]) -> list[bytes]:
-        return [(x >> _U(48)).astype(np.uint16).tobytes() for x in lanes_of(lines)] if lines else []
-
-    roots = linkage.classes(met, texts, jaccard, THRESHOLD, sign, LANES, SLACK, stored=False)
+    roots = linkage.classes(met, texts, jaccard, THRESHOLD, run_sets, stored=False)
     place = F.struct("doc_id", "text_hash", "line")
     known = seen.join(roots, "id", "left").select(F.coalesce("root", "id").alias("component"), "doc_id", "text_hash", "line")
     first = known.groupBy("component").agg(F.min(place).alias("first"))

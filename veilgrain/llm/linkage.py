@@ -1,24 +1,26 @@
-"""Classes of similar items from banded signatures: star candidates, exact verification, union-find.
+"""Classes of similar items from banded buckets: star candidates, exact verification, union-find.
 
-All pairs of a bucket are never written out.  Links are looked for in waves, each of which only
-looks at what earlier waves left in different classes:
+Links are looked for in waves, each of which only looks at what earlier waves left in different classes:
 
 1. every item against one centre, the smallest id met in any of its buckets;
 2. every item against the centres of its other buckets;
-3. in buckets that still hold several classes, every item outside the bucket's largest class
-   against the WIDTH items of other classes whose signatures are closest to its own, as in Boruvka's
-   algorithm; repeats take the next closest, until LEAST_REPEATS of them found no link in a row.
-
-A wave writes a number of pairs in proportion to the items, whatever the size of a bucket.
+3. in buckets that still hold several classes, every item outside the bucket's largest class against
+   all items of other classes.  A pair is compared exactly, unless a bound shows that it can't link:
+   similar items share a token among the rarest of either one.
+
+So any two items of a bucket are compared, shown not to link, or of one class already.  The waves write
+a number of pairs in proportion to the items: wave 3 compares within its tasks and writes only links
+that join two classes.  It deals a bucket's texts out in blocks of BLOCK_BYTES, each pair of blocks to
+a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrain.llm.graph import components
@@ -26,44 +28,110 @@ from veilgrain.llm.scratch import keep
 from veilgrain.llm.text import small_batches, text_bytes
 
 Similarity = Callable[[list[bytes], list[bytes]], np.ndarray]
-BLOCK = 1024  # signatures compared at a time in wave 3
-LEAST_REPEATS = 2
-WIDTH = 4
-
-
-def _closest(lanes: int, slack: float, skip: int) -> Callable[[pa.Table], pa.Table]:
-    """Wave 3 within one bucket: WIDTH pairs for each item outside the largest class, with the items of
-    other classes that have the most equal lanes after the `skip` best.  `slack` is the share of equal
-    lanes below which a pair can't link."""
-
-    def best(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+Features = Callable[[list[bytes]], Iterable[tuple[np.ndarray, np.ndarray]]]
+BLOCK_BYTES = 4 << 20  # of texts in a block of wave 3
+MOST_TOKENS = 4 << 20  # compared at a time in wave 3
+
+
+def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, probes: np.ndarray, targets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs (probe, target) that link and join two classes: all links of different classes between
+    `probes` and `targets` (indexes of `sets`) are among the classes they make."""
+    size = np.array([len(t) for t, _ in sets], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    known, token = np.unique(np.concatenate([t for t, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+    whole = np.array([w.sum() for _, w in sets])
+    wanted = np.zeros(len(sets), dtype=bool)
+    wanted[targets] = True
+    holder = np.repeat(np.arange(len(sets)), size)
+    listed = np.flatnonzero(wanted[holder])
+    listed = listed[np.argsort(token[listed], kind="stable")]
+    held = np.searchsorted(token[listed], np.arange(len(known) + 1))
+    count = np.diff(held)
+    own = np.zeros(len(known))
+    parent = list(range(int(class_of.max(initial=-1)) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i in probes.tolist():
+        mine = slice(first[i], first[i + 1])
+        tokens, weights = token[mine], weight[mine]
+        rarest = np.argsort(count[tokens], kind="stable")
+        # A partner must share more than 1 - threshold of the weight, so one of these tokens; the margin is for rounding.
+        before = np.cumsum(weights[rarest]) - weights[rarest]
+        probed = tokens[rarest[before <= (1 - threshold + 1e-9) * whole[i]]]
+        near = [holder[listed[held[t] : held[t + 1]]] for t in probed.tolist() if count[t]]
+        if not near:
+            continue
+        near = np.unique(np.concatenate(near))
+        near = near[np.minimum(whole[near], whole[i]) >= (threshold - 1e-9) * np.maximum(whole[near], whole[i])]
+        roots = np.array([find(c) for c in class_of[near].tolist()], dtype=np.int64)
+        near = near[roots != find(int(class_of[i]))]
+        if not len(near):
+            continue
+        own[tokens] = weights
+        part = np.cumsum(size[near]) // MOST_TOKENS
+        for some in np.split(near, np.flatnonzero(np.diff(part)) + 1):
+            start = np.concatenate([[0], np.cumsum(size[some])[:-1]])
+            at = np.arange(size[some].sum()) + np.repeat(first[some] - start, size[some])
+            both = np.add.reduceat(own[token[at]], start)
+            for j in some[both / (whole[some] + whole[i] - both) >= threshold].tolist():
+                x, y = find(int(class_of[i])), find(int(class_of[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((i, j))
+        own[tokens] = 0
+    return out
+
+
+def _compared(features: Features, threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Wave 3 for one pair of blocks: links between items of `side` 0 or 2 and those of `side` 1 or 2."""
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
         class_of = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
-        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(len(ids), lanes)
-        loose = np.flatnonzero(class_of != np.bincount(class_of).argmax())
-        left, right = [ids[:0]], [ids[:0]]
-        step = max(1, BLOCK * BLOCK // (len(ids) + 1))
-        for at in range(0, len(loose), step):
-            mine = loose[at : at + step]
-            equal = np.zeros((len(mine), len(ids)), dtype=np.int16)
-            for k in range(lanes):
-                equal += signatures[mine, k][:, None] == signatures[:, k][None, :]
-            equal[class_of[mine][:, None] == class_of[None, :]] = -1
-            rows_of = np.arange(len(mine))
-            for level in range(skip + WIDTH):
-                pick = equal.argmax(axis=1)
-                near = equal[rows_of, pick] >= slack * lanes
-                if not near.any():
-                    break
-                if level >= skip:
-                    left.append(ids[mine[near]])
-                    right.append(ids[pick[near]])
-                equal[rows_of, pick] = -1
-        x, y = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)  # two items may name each other
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    return best
+        pairs: list[tuple[int, int]] = []
+        if len(ids) and len(np.unique(class_of)) > 1:
+            sets = list(features(text_bytes(table.column("text"))))
+            pairs = _linked(sets, class_of, np.flatnonzero(side != 1), np.flatnonzero(side != 0), threshold)
+        x = ids[np.array([p for p, _ in pairs], dtype=np.int64)]
+        y = ids[np.array([q for _, q in pairs], dtype=np.int64)]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return links
+
+
+def _dealt(now: DataFrame, held: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, id, root, text): each mixed bucket's pairs of blocks, i of loose items and j of
+    loose items or, below zero, of the bucket's largest class.  `now` has (bucket, id, root)."""
+    sized = held.withColumn("bytes", F.octet_length("text").cast("long"))
+    by_class = now.join(sized.select("id", "bytes"), "id").groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    buckets = by_class.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes")).where("classes > 1")
+
+    def blocks(total: Column) -> Column:
+        return F.ceil((total + 1) / F.lit(BLOCK_BYTES)).cast("int")
+
+    many = buckets.select("bucket", F.col("main.root").alias("largest"), blocks(F.col("bytes") - F.col("main.bytes")).alias("loose_blocks"), blocks(F.col("main.bytes")).alias("main_blocks"))
+    own = now.join(many, "bucket").withColumn("loose", F.col("root") != F.col("largest"))
+    own = own.withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("loose"), F.col("loose_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
+    loose = F.sequence(F.lit(0), F.col("loose_blocks") - 1)
+    main = F.sequence(F.lit(-1), -F.col("main_blocks"), F.lit(-1))
+
+    def task(i: Column | str, j: Column | str, side: int | Column) -> Column:
+        as_int = lambda c: (F.col(c) if isinstance(c, str) else c).cast("int")
+        return F.struct(as_int(i).alias("i"), as_int(j).alias("j"), (F.lit(side) if isinstance(side, int) else side).cast("int").alias("side"))
+
+    of_loose = F.concat(
+        F.transform(loose, lambda x: task(F.least(F.col("k"), x), F.greatest(F.col("k"), x), F.when(x == F.col("k"), 2).when(x > F.col("k"), 0).otherwise(1))),
+        F.transform(main, lambda x: task("k", x, 0)),
+    )
+    of_main = F.transform(loose, lambda x: task(x, -F.col("k") - 1, 1))
+    tasks = own.select("bucket", "id", "root", F.explode(F.when(F.col("loose"), of_loose).otherwise(of_main)).alias("t"))
+    return tasks.select("bucket", "t.i", "t.j", "t.side", "id", "root").join(held, "id")
 
 
 def _scored(similarity: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -82,19 +150,12 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_scored(similarity), "a long, b long, similarity double")
 
 
-def _signed(sign: Callable[[list[bytes]], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sign(text_bytes(batch.column("text"))), pa.binary())], ["id", "signature"])
-
-    return run
-
-
-def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Similarity, threshold: float, sign: Callable[[list[bytes]], list[bytes]], lanes: int, slack: float, stored: bool) -> DataFrame:
+def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Similarity, threshold: float, features: Features, stored: bool) -> DataFrame:
     """(id, root) of the items that share a bucket with another; items of one class have one root.
 
     `met` has (bucket long, id long), a row for each bucket of an item; a row may repeat.  `texts(ids)`
-    returns (id, text) of the given ids; `sign` gives a text's signature of `lanes` 16-bit values.
+    returns (id, text) of the given ids; `features` gives each text's distinct tokens and their weights,
+    where `similarity` is the weight of shared tokens by that of all tokens of both.
     `stored` says how centres are found: by a map-side combined aggregate and a join, which shuffles `met`
     twice; or, where that is too much, by a window, which shuffles it once but takes a bucket's ids (not
     their texts) through one task."""
@@ -107,35 +168,28 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
         members = keep(ends.select("bucket", "id", "centre").distinct())
     ids = members.select("id").distinct()
     held = keep(texts(ids))
-    signed = held.mapInArrow(_signed(sign), "id long, signature binary")
 
     def as_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
     first = as_pairs(members.groupBy("id").agg(F.min("centre").alias("centre")), "id", "centre")
     compared = keep(verified(first, held, similarity))
-    roots = _rooted(ids, compared, threshold)
+    roots = _rooted(ids, compared.where(F.col("similarity") >= threshold))
 
     across = members.join(roots, "id").join(roots.select(F.col("id").alias("centre"), F.col("root").alias("other")), "centre").where("root <> other")
     second = as_pairs(across, "id", "centre").join(compared, ["a", "b"], "left_anti")
     compared = keep(compared.union(verified(second, held, similarity)))
-    roots = _rooted(ids, compared, threshold)
-
-    links, idle, skip = compared.where(F.col("similarity") >= threshold).count(), 0, 0
-    while idle < LEAST_REPEATS:
-        now = members.select("bucket", "id").join(roots, "id")
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        crowd = now.join(mixed, "bucket").join(signed, "id")
-        third = crowd.groupBy("bucket").applyInArrow(_closest(lanes, slack, skip), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
-        compared = keep(compared.union(verified(third, held, similarity)))
-        found = compared.where(F.col("similarity") >= threshold).count()
-        skip, idle = skip + WIDTH, 0 if found > links else idle + 1
-        if found > links:
-            links = found
-            roots = _rooted(ids, compared, threshold)
-    return roots
-
-
-def _rooted(ids: DataFrame, compared: DataFrame, threshold: float) -> DataFrame:
-    found = components(compared.where(F.col("similarity") >= threshold))
+    roots = _rooted(ids, compared.where(F.col("similarity") >= threshold))
+
+    # Nothing is left to compare with a bucket's centre.
+    now = members.where("id <> centre").select("bucket", "id").join(roots, "id")
+    mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    crowd = _dealt(keep(now.join(mixed, "bucket")), held)
+    third = crowd.groupBy("bucket", "i", "j").applyInArrow(_compared(features, threshold), "a long, b long")
+    links = compared.where(F.col("similarity") >= threshold).select("a", "b").union(third)
+    return _rooted(ids, links)
+
+
+def _rooted(ids: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links)
     return keep(ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))

@@ -31,7 +31,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 LANES = BANDS * ROWS
 IDF_SLOTS = 1 << 16
-SLACK = 0.6  # 36 lanes of a pair at the threshold fall below this share with probability 0.003
 _U = np.uint64
 _SEED = 0x5EED
 _LANE_FACTORS = mix(np.arange(1, LANES + 1, dtype=_U) * _U(0xD1B54A32D192ED03) + _U(_SEED)) | _U(1)
@@ -93,25 +92,31 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return (1 + np.log((1 + total) / (1 + count[:-1])) / np.log(2 + total)).astype(np.float32)
 
 
+def _counted(some: list[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features (sorted) of each text, their counts, and the weights of one occurrence."""
+    words = Words(some)
+    value = idf[(words.hashes >> _U(48)).astype(np.intp)]
+    hashes, at = words.windows(SHINGLE)
+    sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+    mean = (sums[at + SHINGLE] - sums[at]) / SHINGLE if len(at) else sums[:0]
+    first = np.searchsorted(at, words.first)
+    for i in range(len(some)):
+        lo, hi = words.first[i], words.first[i + 1]
+        if hi - lo >= SHINGLE:
+            own, weight = hashes[first[i] : first[i + 1]], mean[first[i] : first[i + 1]]
+            own, where, count = np.unique(own, return_index=True, return_counts=True)
+            yield own, count, weight[where]
+        elif hi > lo:
+            yield rolling(words.hashes[lo:hi], np.array([0]), np.array([hi - lo])), np.ones(1, dtype=np.int64), np.array([value[lo:hi].mean()])
+        else:
+            yield hashes[:0], np.zeros(0, dtype=np.int64), np.zeros(0)
+
+
 def weighted_sets(texts: list[bytes], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features (sorted) and weights of each text."""
     for _, some in chunks(texts):
-        words = Words(some)
-        value = idf[(words.hashes >> _U(48)).astype(np.intp)]
-        hashes, at = words.windows(SHINGLE)
-        sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-        mean = (sums[at + SHINGLE] - sums[at]) / SHINGLE if len(at) else sums[:0]
-        first = np.searchsorted(at, words.first)
-        for i in range(len(some)):
-            lo, hi = words.first[i], words.first[i + 1]
-            if hi - lo >= SHINGLE:
-                own, weight = hashes[first[i] : first[i + 1]], mean[first[i] : first[i + 1]]
-                own, where, count = np.unique(own, return_index=True, return_counts=True)
-                yield own, count * weight[where]
-            elif hi > lo:
-                yield rolling(words.hashes[lo:hi], np.array([0]), np.array([hi - lo])), np.array([value[lo:hi].mean()])
-            else:
-                yield hashes[:0], np.zeros(0)
+        for own, count, weight in _counted(some, idf):
+            yield own, count * weight
 
 
 def weighted_jaccard(idf: np.ndarray) -> linkage.Similarity:
@@ -127,11 +132,20 @@ def weighted_jaccard(idf: np.ndarray) -> linkage.Similarity:
     return similarity
 
 
-def signatures(idf: np.ndarray):
-    def sign(texts: list[bytes]) -> list[bytes]:
-        return [(sampled(f, np.log(w).astype(np.float32)) >> _U(48)).astype(np.uint16).tobytes() for f, w in weighted_sets(texts, idf)]
+def tokens(idf: np.ndarray) -> linkage.Features:
+    """Each text's features, one that occurs n times being n tokens: the weight of shared tokens is the
+    sum of least weights."""
+
+    def of_texts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, some in chunks(texts):
+            for own, count, weight in _counted(some, idf):
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                repeated = np.repeat(own, count)
+                later = nth > 0
+                repeated[later] = mix(repeated[later] ^ mix(nth[later].astype(_U)))
+                yield repeated, np.repeat(weight, count)
 
-    return sign
+    return of_texts
 
 
 def _banded(idf: np.ndarray):
@@ -173,7 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         return docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-    linked = linkage.classes(met, texts, weighted_jaccard(idf), THRESHOLD, signatures(idf), LANES, SLACK, stored=True)
+    linked = linkage.classes(met, texts, weighted_jaccard(idf), THRESHOLD, tokens(idf), stored=True)
     member = signed.select("doc_id", "key").join(copies.select("key", "id"), "key", "left").withColumn("id", F.coalesce("id", "doc_id"))
     member = member.join(linked, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
     sizes = member.groupBy("class_id").agg(F.count("*").alias("class_size"))
