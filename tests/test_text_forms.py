@@ -4,6 +4,7 @@ import pytest
 
 from veilgrain.functions import normalize as norm
 from veilgrain.operators import gate, scan
+from veilgrain.plans.text import leak_variants
 
 
 @pytest.mark.parametrize(
@@ -86,3 +87,13 @@ def test_hmac(spark):
 
     df = spark.createDataFrame([("abc",), ("é",)], "m string").select("m", gate.hmac_sha256(F.col("m"), b"key").alias("h"))
     assert all(r.h == hmac.new(b"key", r.m.encode(), hashlib.sha256).hexdigest() for r in df.collect())
+
+
+def test_leak_variants_of_any_word(spark, tmp_path):
+    """Items whose second word has accents, a line break or other spacing in the text, and numbers."""
+    items = ["Ona \u00e8elle\u00f3i tun", "Bel Ththedly.\nAner sor", "Mir landoru kesti", "call 4111 1111 22 33 now", "\u00e8\u00e8 \u00e9\u00e9"]
+    texts = ["x Ona \u00e8elle\u00f3i tun y", "bel ththedly.\naner SOR", "see Mir lan doru\nkesti.", "mir, lan-doru: kesti", "no 41-11 (1111) 2233", "\u00e8\u00e8 \u00e9\u00e9!", "Mir landoru"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted(tuple(r) for r in leak_variants(spark, str(tmp_path)).collect())
+    assert out == [(0, 0, "exact"), (1, 1, "casefold"), (2, 2, "whitespace"), (3, 2, "alnum"), (4, 3, "digits"), (5, 4, "exact")]

@@ -181,9 +181,11 @@ def leak_variants(spark: Spark, d: str) -> Frame:
     """Benchmark items as values, assistant turns and documents as payloads, ASCII variants."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("value"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    first = F.split_part(F.regexp_replace(F.lower("value"), r"[^a-z0-9 ]", ""), F.lit(" "), F.lit(2))
-    met = docs.join(F.broadcast(items.withColumn("w", first)), F.contains(F.lower("text"), F.col("w")))
-    return met.select("doc_id", "item_id", scan.ascii_variant(F.col("text"), F.col("value")).alias("variant")).where("variant is not null")
+    held = items.withColumns(scan.ascii_needles(F.col("value"))).agg(F.collect_list(F.struct("item_id", "value", "flat_value", "flat_digits")).alias("items"))
+    near = F.filter("items", lambda x: F.contains("flat", x["flat_value"]) | F.contains("flat", x["flat_digits"]))
+    # Items are exploded after the filter, as the variants' regular expressions would else run on every pair.
+    met = docs.withColumn("flat", scan.ascii_flat(F.col("text"))).crossJoin(F.broadcast(held)).select("doc_id", "text", F.explode(near).alias("i"))
+    return met.select("doc_id", "i.item_id", scan.ascii_variant(F.col("text"), F.col("i.value")).alias("variant")).where("variant is not null")
 
 
 def value_kinds(spark: Spark, d: str) -> Frame:
