@@ -50,6 +50,14 @@ def test_propagate(spark):
     assert out == [(0, 5, 10, "propagated"), (1, 0, 5, "propagated")]
 
 
+def test_propagate_every_place(spark):
+    slots = spark.createDataFrame([(1, 0, "I am Zel.a\\E"), (1, 1, "zel.a\\e, Zel.a\\EZEL.A\\e; zelxa\\e\U0001f600zel.a\\E")], "req_id long, slot_id int, text string")
+    found = spark.createDataFrame([(1, 0, 5, "PERSON", "mask", "rule", "x", "Zel.a\\E")], "req_id long, slot_id int, start int, type string, action string, source string, rule string, text string")
+    out = sorted((r.slot_id, r.start, r.end) for r in spans.propagate(slots, found).collect())
+    text = slots.where("slot_id = 1").first().text.lower()
+    assert out == [(0, 5, 12), *[(1, i, i + 7) for i in range(len(text)) if text.startswith("zel.a\\e", i)]] and len(out) == 5
+
+
 def test_quasi(spark):
     df = spark.createDataFrame([(1, "I am 34, a twin, and joined in 1998"), (2, "weather today")], "slot_id long, text string")
     found = quasi.attributes(df, "text", "slot_id")

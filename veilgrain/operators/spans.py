@@ -75,15 +75,24 @@ def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def propagate(slots: DataFrame, spans: DataFrame, request: str = "req_id") -> DataFrame:
-    """A value found in one slot of a request is searched in all its slots; the first span's type and
-    action hold.  Copies of `link:` and entailed spans keep their rule, others are `propagated`.
+    """A value found in one slot of a request is searched in all its slots, at every place that no earlier
+    one overlaps; the first span's type and action hold.  Copies of `link:` and entailed spans keep their
+    rule, others are `propagated`.
 
     slots: (request, slot_id, text); spans: (request, slot_id, start, type, action, source, rule, text)."""
     value = F.lower(F.trim("text"))
     first = first_seen(spans.withColumn("_value", value).where(F.length("text") >= 2), [request, "_value"], ["slot_id", "start"])
     rule = F.when(F.col("rule").startswith("link:") | F.startswith("rule", F.lit("entailed")), F.col("rule")).otherwise("propagated")
     pairs = slots.alias("t").join(first.select(request, F.col("text").alias("value"), "_value", "type", "action", "source", rule.alias("rule")), request)
-    found = pairs.withColumn("start", F.instr(F.lower("t.text"), F.col("_value")) - 1).where("start >= 0")
+    quoted = F.concat(F.lit("\\Q"), F.col("_value"), F.lit("\\E"))  # lower-cased, so it has no \\E of its own
+    between = F.transform(F.split(F.lower("t.text"), quoted), F.length)  # lengths of what lies between the places
+    walked = F.aggregate(
+        F.slice(between, 1, F.size(between) - 1),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda a, n: F.struct((a["at"] + n + F.length("_value")).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")),
+        lambda a: a["out"],
+    )
+    found = pairs.where("_value <> ''").where(F.contains(F.lower("t.text"), F.col("_value"))).withColumn("start", F.explode(walked))
     return found.select(request, "slot_id", "start", (F.col("start") + F.length("_value")).alias("end"), "type", "action", "source", "rule", F.col("value").alias("text"))
 
 
