@@ -92,6 +92,14 @@ def test_lines(frame, odd):
     assert line_dedup.deduplicated(frame(rows).limit(0)).count() == 0
 
 
+def test_lines_digest(frame):
+    """Without texts, the digest still tells which lines stay: the first of near copies, by (doc_id, line)."""
+    a, b = prose(80, 15), prose(81, 15)
+    want = {1: f"{a}\n\n{b}", 2: "only", 3: "", 4: None}
+    out = line_dedup.deduplicated(frame([(1, want[1]), (2, f"{b} x\nonly\n{a.upper()}"), (3, b), (4, None)]), with_text=False).collect()
+    assert {r.doc_id: r.kept_sha256 for r in out} == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
 def edited(line, *places):
     """`line` with other characters at (place, character)."""
     return "".join(dict(places).get(i, c) for i, c in enumerate(line))

@@ -10,6 +10,7 @@ lines are one line, known by a 64-bit hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,18 +155,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_lines", "n_removed"]
     for batch in small_batches(batches):
         kept = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+        for text, gone in zip(text_bytes(batch.column("text")), batch.column("gone").to_pylist(), strict=True):
             drop = set(gone or ())
-            kept.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(kept, pa.string())], [*names, "kept"])
+            kept.append(None if text is None else b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in drop))
+        digest = [None if k is None else hashlib.sha256(k).hexdigest() for k in kept]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_sha256", "kept"])
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept) for each row of `docs` (doc_id, text; other columns are ignored).
+    """(doc_id, n_lines, n_removed, kept_sha256, kept) for each row of `docs` (doc_id, text; other columns are ignored).
 
     n_lines counts lines with a word; of each component of similar lines the first in (doc_id, line)
     order stays.  `kept` is the remaining text, lines without a word included; it is left out without
-    `with_text`, which then needs no second look at the texts.  A null text has no lines and stays null.
+    `with_text`.  A null text has no lines, and stays null, as does its digest.
     Rows alike in doc_id and text are one document and get the same result; of rows that share only the
     id the one with the smaller text hash comes first; null ids come first of all.  An empty table gives
     an empty result."""
@@ -184,12 +186,9 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     first = known.groupBy("component").agg(F.min(place).alias("first"))
     removed = known.join(first, "component").select("doc_id", "text_hash", "line", (place != F.col("first")).alias("gone")).distinct()
     ref = ("doc_id", "text_hash")
-    per = removed.groupBy(*ref).agg(F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), *([F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone")] if with_text else []))
-    if with_text:
-        out = own.join(per, list(ref), "left")
-        out = out.mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept string")
-    else:
-        out = own.select(*ref).join(per, list(ref), "left").select("doc_id", "n_lines", "n_removed")
+    per = removed.groupBy(*ref).agg(F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"))
+    out = own.join(per, list(ref), "left").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept string")
+    out = out if with_text else out.drop("kept")
     zero = F.lit(0).cast("long")
     out = out.withColumns({"n_lines": F.coalesce("n_lines", zero), "n_removed": F.coalesce("n_removed", zero)})
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null_id, F.col("doc_id")))
