@@ -126,6 +126,21 @@ def test_partner_behind_links(spark):
     assert got == want and want[1] == want[8]
 
 
+def test_partner_behind_many(spark, monkeypatch):
+    """Pairs x, y in a bucket with 150 lines that are nearly as close to each; whole and in blocks."""
+    draw, base = random.Random(72), prose(73, 80)[:200]
+    place = iter(draw.sample(range(10, 190), 170))
+    lines = [edited(base, (draw.randrange(10, 190), draw.choice("12345"))) for _ in range(150)]
+    for _ in range(25):
+        own = [(next(place), "6") for _ in range(3)]
+        lines += [edited(base, *own), edited(base, *own[:2], (next(place), "7"))]
+    met = [(1, i) for i in range(len(lines))]
+    got, want = line_classes(spark, lines, met)
+    assert got == want and len(set(want.values())) > 10
+    monkeypatch.setattr(linkage, "BLOCK_BYTES", 3000)
+    assert line_classes(spark, lines, met)[0] == want
+
+
 def brute_substrings(rows):
     met, out = set(), {}
     for i, t in sorted(rows):
