@@ -108,7 +108,7 @@ def edited(line, *places):
 def line_classes(spark, lines, met):
     """Roots of lines by `linkage`, ids being places in `lines`, and by brute force over shared buckets."""
     held = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
-    got = linkage.classes(spark.createDataFrame(met, "bucket long, id long"), lambda ids: held.join(ids, "id", "left_semi"), line_dedup.jaccard, line_dedup.THRESHOLD, line_dedup.run_sets, stored=True)
+    got = linkage.classes(spark.createDataFrame(met, "bucket long, id long"), lambda ids: held.join(ids, "id", "left_semi"), line_dedup.jaccard, line_dedup.THRESHOLD, line_dedup.run_sets)
     raw = [x.encode() for x in lines]
     both = [(i, j) for b in {b for b, _ in met} for i in (k for c, k in met if c == b) for j in (k for c, k in met if c == b) if j < i]
     links = [p for p, s in zip(both, line_dedup.jaccard([raw[i] for i, _ in both], [raw[j] for _, j in both]), strict=True) if s >= line_dedup.THRESHOLD]
@@ -132,8 +132,8 @@ def test_partner_behind_many(spark, monkeypatch):
     place = iter(draw.sample(range(10, 190), 170))
     lines = [edited(base, (draw.randrange(10, 190), draw.choice("12345"))) for _ in range(150)]
     for _ in range(25):
-        own = [(next(place), "6") for _ in range(3)]
-        lines += [edited(base, *own), edited(base, *own[:2], (next(place), "7"))]
+        own = [(next(place), "6") for _ in range(4)]
+        lines += [edited(base, *own), edited(base, *own[:3], (next(place), "7"))]
     met = [(1, i) for i in range(len(lines))]
     got, want = line_classes(spark, lines, met)
     assert got == want and len(set(want.values())) > 10

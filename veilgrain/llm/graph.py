@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from veilgrain.llm.scratch import keep
 
-MOST_ROUNDS = 40
-
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one partition as a forest of stars: union by smallest id with path halving."""
@@ -37,19 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
     component's smallest id.
 
     Each partition first contracts its edges to stars.  Then large-star and small-star steps
-    alternate until the edge set is a star forest: every step only groups by a node and takes a
+    alternate until the edges are a forest of stars: every step only groups by a node and takes a
     minimum, so a hub costs a map-side combined aggregate.  An empty input gives an empty result.
     """
     a, b = edges.columns[:2]
     now = keep(
         edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(_contract, "a long, b long").distinct()
     )  # a > b always
-    before = None
-    for _ in range(MOST_ROUNDS):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(mark) == before or not mark[0]:
-            break
-        before = tuple(mark)
+    while not _stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -58,3 +51,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = keep(small.union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every `a` has one `b`, and no `b` is an `a`."""
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    inner = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return several.union(inner).isEmpty()

@@ -2,8 +2,9 @@
 
 Lines are compared in lower-cased ASCII with single blanks.  A line's set is its runs of CHARACTERS
 characters (the whole line, if shorter).  One hash of each run fills LANES bins with their least
-values (one-permutation MinHash; empty bins borrow from others by hash), which make nine bands of
-three: lines at the threshold of 0.8 share a band with probability 0.998.  Lines sharing a band are
+values (one-permutation MinHash; empty bins borrow from others by hash), which make BANDS bands of
+ROWS: two long lines at the threshold of 0.8 share a band with probability 0.995; short lines, whose
+bins borrow, a little less often (README has the measured recall).  Lines sharing a band are
 compared exactly (`linkage`), and similar lines form components by distributed union-find.  Equal
 lines are one line, known by a 64-bit hash.
 """
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from veilgrain.llm import linkage
 from veilgrain.llm.scratch import keep
-from veilgrain.llm.text import BLANKS, mix, powers, small_batches, text_bytes
+from veilgrain.llm.text import BLANKS, mix, small_batches, text_bytes
 
-CHARACTERS, THRESHOLD = 8, 0.8
-BANDS, ROWS = 9, 3
+CHARACTERS, THRESHOLD = 6, 0.8
+BANDS, ROWS = 10, 4
 LANES = BANDS * ROWS
+BATCH_BYTES = 256 << 10  # of text looked at together, so that arrays stay in the processor's cache
+STRETCH = 500_000  # distinct lines a task remembers
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
+_ODD = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
 def plain(line: bytes) -> bytes:
@@ -39,18 +42,43 @@ def line_id(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) >> 1
 
 
+def _packed(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every CHARACTERS characters of the joined lines as a number, and where the joined lines break.
+
+    Latin-1 characters are packed as bytes, so the number is exact; what others have beyond a byte is
+    hashed and added, so a run has one number whatever is around it."""
+    joined = b"\n".join(lines)
+    wide = None
+    if not joined.isascii():
+        said = joined.decode("utf-8", "replace")
+        try:
+            joined = said.encode("latin-1")
+        except UnicodeEncodeError:
+            wide = np.frombuffer(said.encode("utf-32-le"), dtype=np.uint32)
+            joined = (wide & np.uint32(255)).astype(np.uint8).tobytes()
+    breaks = np.flatnonzero(wide == 10) if wide is not None else np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 10)
+    padded = joined + bytes(8)
+    runs = np.ndarray(len(joined) + 1, dtype="<u8", buffer=padded, strides=(1,)) & _U((1 << 8 * CHARACTERS) - 1)
+    if wide is not None:
+        high = np.concatenate([wide >> np.uint32(8), np.zeros(CHARACTERS, dtype=np.uint32)]).astype(_U)
+        more = np.zeros(len(runs), dtype=_U)
+        for j in range(CHARACTERS):
+            more = more * _U(0x100000001B3) + high[j : j + len(runs)]
+        runs = np.where(more > 0, runs ^ mix(more), runs)
+    return runs, breaks
+
+
 def run_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of CHARACTERS characters of plain lines, and how many each line has."""
-    codes = np.frombuffer("\n".join(x.decode("utf-8", "replace") for x in lines).encode("utf-32-le"), dtype=np.uint32)
-    size = np.diff(np.concatenate([[-1], np.flatnonzero(codes == 10), [len(codes)]])) - 1
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    up, down = powers(len(codes) + CHARACTERS + 1)
-    sums = np.zeros(len(codes) + CHARACTERS + 1, dtype=_U)
-    np.cumsum((codes.astype(_U) + _U(1)) * up[: len(codes)], out=sums[1 : len(codes) + 1])
-    sums[len(codes) + 1 :] = sums[len(codes)]
+    runs, breaks = _packed(lines)
+    ends = np.append(breaks, len(runs) - 1)
+    start = np.append(0, breaks + 1)
+    size = ends - start
     count = np.maximum(size - CHARACTERS + 1, 1)
-    at = np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
-    h = mix((sums[at + CHARACTERS] - sums[at]) * down[at])
+    h = runs[np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)]
+    h *= _ODD[0]
+    h ^= h >> _U(32)
+    h *= _ODD[1]
     short = size < CHARACTERS  # their run would reach into the next line
     h[np.cumsum(count)[short] - 1] = [_U(line_id(lines[i])) for i in np.flatnonzero(short)]
     return h, count
@@ -61,14 +89,16 @@ def lanes_of(lines: list[bytes]) -> np.ndarray:
     if not lines:
         return np.zeros((0, LANES), dtype=_U)
     h, count = run_hashes(lines)
-    cell = ((h >> _U(32)) * _U(LANES)) >> _U(32)
+    cell = h >> _U(32)
+    cell *= _U(LANES)
+    cell >>= _U(32)
     cell += np.repeat(np.arange(len(lines), dtype=_U) * _U(LANES), count)
     out = np.full(len(lines) * LANES, ~_U(0))
-    np.minimum.at(out, cell.astype(np.int64), h * _BASE)
+    np.minimum.at(out, cell.view(np.int64), h)
     out = out.reshape(len(lines), LANES)
     full = out != ~_U(0)
     rows, bins = np.nonzero(~full)
-    for attempt in range(1, 200):
+    for attempt in range(1, 400):
         if not len(rows):
             break
         donor = (mix(bins.astype(_U) * _U(1000) + _U(attempt)) % _U(LANES)).astype(np.int64)
@@ -118,48 +148,64 @@ def _lines(text: bytes | None) -> list[tuple[int, bytes]]:
     return [(i, x) for i, x in enumerate(lines) if x]
 
 
-def _distinct(batch: pa.RecordBatch) -> list[bytes]:
-    return list(dict.fromkeys(x for t in text_bytes(batch.column("text")) for _, x in _lines(t)))
-
-
 SEEN = "id long, doc_id long, text_hash long, line int, buckets array<long>"
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every occurrence of a line; the first one in a batch carries the line's buckets."""
-    for batch in small_batches(batches, 256 << 10):
-        ids, docs, hashes, numbers = [], [], [], []
-        first: dict[bytes, int] = {}
-        for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), text_bytes(batch.column("text")), strict=True):
-            for i, x in _lines(text):
-                first.setdefault(x, len(ids))
-                ids.append(line_id(x))
-                docs.append(doc_id)
-                hashes.append(text_hash)
-                numbers.append(i)
+    """Every occurrence of a line; the first one in a stretch of a task's lines carries the line's buckets."""
+    known: set[int] = set()
+    for batch in small_batches(batches, BATCH_BYTES):
+        ids, numbers, lengths, fresh, places = [], [], [], [], []
+        for text in text_bytes(batch.column("text")):
+            lines = _lines(text)
+            hashes = [line_id(x) for _, x in lines]
+            for k, h in enumerate(hashes):
+                if h not in known:
+                    known.add(h)
+                    fresh.append(lines[k][1])
+                    places.append(len(ids) + k)
+            ids += hashes
+            numbers += [i for i, _ in lines]
+            lengths.append(len(lines))
+        if len(known) > STRETCH:
+            known.clear()
         size = np.zeros(len(ids) + 1, dtype=np.int32)
-        size[np.array(list(first.values()), dtype=np.int64) + 1] = BANDS
-        keys = pa.array(buckets(lanes_of(list(first))).ravel().view(np.int64))
+        size[np.array(places, dtype=np.int64) + 1] = BANDS
+        keys = pa.array(buckets(lanes_of(fresh)).ravel().view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), keys)
-        columns = [pa.array(c, k) for c, k in zip((ids, docs, hashes, numbers), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        owners = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("doc_id", "text_hash")]
+        columns = [pa.array(c, k) for c, k in zip((ids, *owners, numbers), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
         yield pa.RecordBatch.from_arrays([*columns, lists], [x.split()[0] for x in SEEN.split(", ")])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) of the lines, once for each stretch."""
+    known: set[int] = set()
     for batch in small_batches(batches):
-        lines = _distinct(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(lines, pa.binary()).cast(pa.string())], ["id", "text"])
+        ids, lines = [], []
+        for text in text_bytes(batch.column("text")):
+            for _, x in _lines(text):
+                h = line_id(x)
+                if h not in known:
+                    known.add(h)
+                    ids.append(h)
+                    lines.append(x)
+        if len(known) > STRETCH:
+            known.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.binary()).cast(pa.string())], ["id", "text"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_lines", "n_removed"]
     for batch in small_batches(batches):
-        kept = []
+        kept, lines, removed = [], [], []
         for text, gone in zip(text_bytes(batch.column("text")), batch.column("gone").to_pylist(), strict=True):
-            drop = set(gone or ())
-            kept.append(None if text is None else b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in drop))
+            drop, own = set(gone or ()), (text or b"").split(b"\n")
+            kept.append(None if text is None else b"\n".join(x for i, x in enumerate(own) if i not in drop))
+            lines.append(sum(1 for x in own if x.strip(BLANKS)))
+            removed.append(len(drop))
         digest = [None if k is None else hashlib.sha256(k).hexdigest() for k in kept]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_sha256", "kept"])
+        columns = [batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -180,15 +226,16 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         return own.select("text").mapInArrow(_texts, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    roots = linkage.classes(met, texts, jaccard, THRESHOLD, run_sets, stored=False)
+    roots = linkage.classes(met, texts, jaccard, THRESHOLD, run_sets)
+    # Lines that occur once and are like no other stay; only the others need their first place.
+    several = seen.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(None).cast("long").alias("root"))
+    grouped = roots.join(roots.where("id <> root").select("root").distinct(), "root").select("id", "root")
+    wanted = several.unionByName(grouped).groupBy("id").agg(F.max("root").alias("root"))
     place = F.struct("doc_id", "text_hash", "line")
-    known = seen.join(roots, "id", "left").select(F.coalesce("root", "id").alias("component"), "doc_id", "text_hash", "line")
+    known = keep(seen.join(wanted, "id").select(F.coalesce("root", "id").alias("component"), "doc_id", "text_hash", "line"))
     first = known.groupBy("component").agg(F.min(place).alias("first"))
-    removed = known.join(first, "component").select("doc_id", "text_hash", "line", (place != F.col("first")).alias("gone")).distinct()
-    ref = ("doc_id", "text_hash")
-    per = removed.groupBy(*ref).agg(F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"))
-    out = own.join(per, list(ref), "left").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept string")
+    ref = ["doc_id", "text_hash"]
+    gone = known.join(first, "component").where(place != F.col("first")).groupBy(*ref).agg(F.collect_set("line").alias("gone"))
+    out = own.join(gone, ref, "left").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept string")
     out = out if with_text else out.drop("kept")
-    zero = F.lit(0).cast("long")
-    out = out.withColumns({"n_lines": F.coalesce("n_lines", zero), "n_removed": F.coalesce("n_removed", zero)})
     return out.withColumn("doc_id", F.when(F.col("doc_id") != null_id, F.col("doc_id")))

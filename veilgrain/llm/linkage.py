@@ -1,26 +1,26 @@
 """Classes of similar items from banded buckets: star candidates, exact verification, union-find.
 
-Links are looked for in waves, each of which only looks at what earlier waves left in different classes:
-
-1. every item against one centre, the smallest id met in any of its buckets;
-2. every item against the centres of its other buckets;
-3. in buckets that still hold several classes, every item outside the bucket's largest class against
-   all items of other classes.  A pair is compared exactly, unless a bound shows that it can't link:
-   similar items share a token among the rarest of either one.
-
-So any two items of a bucket are compared, shown not to link, or of one class already.  The waves write
-a number of pairs in proportion to the items: wave 3 compares within its tasks and writes only links
-that join two classes.  It deals a bucket's texts out in blocks of BLOCK_BYTES, each pair of blocks to
-a task.
+Every two items of a bucket are compared exactly, shown by a bound not to link, or of one class already:
+
+1. every item against one centre, the least id met in any of its buckets;
+2. every item against the centres of its other buckets, unless step 1 linked both to one centre;
+3. in buckets that still hold several classes, all pairs of different classes.  A bucket of at most SMALL
+   items gives its pairs, so SMALL / 2 for each item at most; pairs that several buckets give are compared
+   once.  A larger one is dealt out in blocks of BLOCK_BYTES, each pair of blocks to a task, which leaves out
+   pairs that can't link: similar items share a token among the rarest of either one.
+
+A bucket that a sample finds crowded never comes together in one place: its least id is a map-side combined
+aggregate, sent to its rows where they are.  The others are streamed in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.llm.graph import components
@@ -29,8 +29,53 @@ from veilgrain.llm.text import small_batches, text_bytes
 
 Similarity = Callable[[list[bytes], list[bytes]], np.ndarray]
 Features = Callable[[list[bytes]], Iterable[tuple[np.ndarray, np.ndarray]]]
-BLOCK_BYTES = 4 << 20  # of texts in a block of wave 3
-MOST_TOKENS = 4 << 20  # compared at a time in wave 3
+SMALL = 16
+BLOCK_BYTES = 4 << 20  # of texts in a block of step 3
+MOST_TOKENS = 4 << 20  # compared at a time in step 3
+PAIR_BYTES = 512 << 10  # of pairs compared together
+DENSE = 2 << 20  # cells of a table of items and tokens, up to which a task's items are compared by one product
+SAMPLE, CROWDED, MOST_CROWDED = 16, 32, 1000  # one id in so many is sampled; rows of a crowded bucket among them; buckets, which bounds the broadcast
+
+
+def _company(bucket: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
+    """(bucket, id, centre) of the buckets with several ids, from whole buckets, one after another."""
+    beside = np.zeros(len(bucket), dtype=bool)
+    same = bucket[1:] == bucket[:-1]
+    beside[1:] |= same
+    beside[:-1] |= same
+    bucket, item = bucket[beside], item[beside]
+    order = np.lexsort((item, bucket))
+    bucket, item = bucket[order], item[order]
+    new = np.ones(len(bucket), dtype=bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    fresh = new.copy()
+    fresh[1:] |= item[1:] != item[:-1]
+    begin, run = np.flatnonzero(new), np.cumsum(new) - 1
+    shown = fresh & (np.add.reduceat(fresh, begin, dtype=np.int64) > 1)[run] if len(begin) else fresh
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (bucket[shown], item[shown], item[begin][run[shown]])], ["bucket", "id", "centre"])
+
+
+def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_company` over rows (bucket, id) in order of buckets; the bucket that a batch ends in waits for the next."""
+    bucket, item = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        bucket, item = np.concatenate([bucket, batch.column(0).to_numpy()]), np.concatenate([item, batch.column(1).to_numpy()])
+        last = int(np.append(np.flatnonzero(bucket != bucket[-1]), -1).max()) + 1 if len(bucket) else 0
+        yield _company(bucket[:last], item[:last])
+        bucket, item = bucket[last:], item[last:]
+    yield _company(bucket, item)
+
+
+def members_of(met: DataFrame) -> DataFrame:
+    """(bucket, id, centre) of buckets with several ids, the centre being the least; `met` has (bucket, id), and
+    its rows may repeat.  The sample only decides how a bucket's rows meet, never what comes out."""
+    some = met.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLE)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
+    crowded = keep(some.where(F.col("n") >= CROWDED).orderBy(F.desc("n"), "bucket").limit(MOST_CROWDED).select("bucket"))
+    rest = met.join(F.broadcast(crowded), "bucket", "left_anti")
+    streamed = rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_company, "bucket long, id long, centre long")
+    dense = met.join(F.broadcast(crowded), "bucket", "left_semi")
+    centres = dense.groupBy("bucket").agg(F.min("id").alias("centre"))
+    return streamed.unionByName(dense.distinct().join(F.broadcast(centres), "bucket"))
 
 
 def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, probes: np.ndarray, targets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -41,14 +86,6 @@ def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, pro
     known, token = np.unique(np.concatenate([t for t, _ in sets]), return_inverse=True)
     weight = np.concatenate([w for _, w in sets]).astype(np.float64)
     whole = np.array([w.sum() for _, w in sets])
-    wanted = np.zeros(len(sets), dtype=bool)
-    wanted[targets] = True
-    holder = np.repeat(np.arange(len(sets)), size)
-    listed = np.flatnonzero(wanted[holder])
-    listed = listed[np.argsort(token[listed], kind="stable")]
-    held = np.searchsorted(token[listed], np.arange(len(known) + 1))
-    count = np.diff(held)
-    own = np.zeros(len(known))
     parent = list(range(int(class_of.max(initial=-1)) + 1))
 
     def find(x: int) -> int:
@@ -57,6 +94,26 @@ def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, pro
         return x
 
     out = []
+    if len(sets) * len(known) <= DENSE:
+        table = np.zeros((len(sets), len(known)))
+        table[np.repeat(np.arange(len(sets)), size), token] = np.sqrt(weight)
+        both = table[probes] @ table[targets].T
+        close = (both / (whole[probes][:, None] + whole[targets] - both) >= threshold) & (class_of[probes][:, None] != class_of[targets])
+        for p, t in np.argwhere(close).tolist():
+            i, j = int(probes[p]), int(targets[t])
+            x, y = find(int(class_of[i])), find(int(class_of[j]))
+            if x != y:
+                parent[x] = y
+                out.append((i, j))
+        return out
+    wanted = np.zeros(len(sets), dtype=bool)
+    wanted[targets] = True
+    holder = np.repeat(np.arange(len(sets)), size)
+    listed = np.flatnonzero(wanted[holder])
+    listed = listed[np.argsort(token[listed], kind="stable")]
+    held = np.searchsorted(token[listed], np.arange(len(known) + 1))
+    count = np.diff(held)
+    own = np.zeros(len(known))
     for i in probes.tolist():
         mine = slice(first[i], first[i + 1])
         tokens, weights = token[mine], weight[mine]
@@ -89,7 +146,7 @@ def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, pro
 
 
 def _compared(features: Features, threshold: float) -> Callable[[pa.Table], pa.Table]:
-    """Wave 3 for one pair of blocks: links between items of `side` 0 or 2 and those of `side` 1 or 2."""
+    """Step 3 for one pair of blocks: links between items of `side` 0 or 2 and those of `side` 1 or 2."""
 
     def links(table: pa.Table) -> pa.Table:
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
@@ -136,7 +193,7 @@ def _dealt(now: DataFrame, held: DataFrame) -> DataFrame:
 
 def _scored(similarity: Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, PAIR_BYTES):
             found = similarity(text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b")))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
@@ -150,44 +207,44 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Similarity) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_scored(similarity), "a long, b long, similarity double")
 
 
-def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Similarity, threshold: float, features: Features, stored: bool) -> DataFrame:
+def _pairs_of(crowd: DataFrame) -> DataFrame:
+    """(a, b): pairs of different classes within buckets of at most SMALL items; `crowd` has (bucket, id, root)."""
+    together = crowd.groupBy("bucket").agg(F.collect_list(F.struct("id", "root")).alias("m"))
+    partners = lambda x: F.filter("m", lambda y: (y["id"] > x["id"]) & (y["root"] != x["root"]))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(partners(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return together.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Similarity, threshold: float, features: Features) -> DataFrame:
     """(id, root) of the items that share a bucket with another; items of one class have one root.
 
     `met` has (bucket long, id long), a row for each bucket of an item; a row may repeat.  `texts(ids)`
     returns (id, text) of the given ids; `features` gives each text's distinct tokens and their weights,
-    where `similarity` is the weight of shared tokens by that of all tokens of both.
-    `stored` says how centres are found: by a map-side combined aggregate and a join, which shuffles `met`
-    twice; or, where that is too much, by a window, which shuffles it once but takes a bucket's ids (not
-    their texts) through one task."""
-    if stored:
-        ends = met.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
-        members = keep(met.join(ends.drop("last"), "bucket"))
-    else:
-        own = Window.partitionBy("bucket")
-        ends = met.withColumn("centre", F.min("id").over(own)).withColumn("last", F.max("id").over(own)).where("centre < last")
-        members = keep(ends.select("bucket", "id", "centre").distinct())
-    ids = members.select("id").distinct()
+    where `similarity` is the weight of shared tokens by that of all tokens of both."""
+    members = keep(members_of(met))
+    near = keep(members.groupBy("id").agg(F.min("centre").alias("least")))
+    ids = near.select("id")
     held = keep(texts(ids))
+    similar = F.col("similarity") >= threshold
 
-    def as_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-    first = as_pairs(members.groupBy("id").agg(F.min("centre").alias("centre")), "id", "centre")
-    compared = keep(verified(first, held, similarity))
-    roots = _rooted(ids, compared.where(F.col("similarity") >= threshold))
-
-    across = members.join(roots, "id").join(roots.select(F.col("id").alias("centre"), F.col("root").alias("other")), "centre").where("root <> other")
-    second = as_pairs(across, "id", "centre").join(compared, ["a", "b"], "left_anti")
-    compared = keep(compared.union(verified(second, held, similarity)))
-    roots = _rooted(ids, compared.where(F.col("similarity") >= threshold))
+    first = keep(verified(near.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")), held, similarity))
+    linked = first.where(similar)
+    own, other = linked.select(F.col("b").alias("id"), F.col("a").alias("root")), linked.select(F.col("b").alias("centre"), F.col("a").alias("other"))
+    across = members.where("id <> centre").join(near, "id").where("centre <> least").select("id", "centre").distinct()
+    across = across.join(own, "id", "left").join(other, "centre", "left").where(F.coalesce("root", "id") != F.coalesce("other", "centre"))
+    second = keep(verified(across.select(F.col("centre").alias("a"), F.col("id").alias("b")), held, similarity))
+    compared = first.union(second)
+    roots = _rooted(ids, compared.where(similar))
 
     # Nothing is left to compare with a bucket's centre.
     now = members.where("id <> centre").select("bucket", "id").join(roots, "id")
-    mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    crowd = _dealt(keep(now.join(mixed, "bucket")), held)
-    third = crowd.groupBy("bucket", "i", "j").applyInArrow(_compared(features, threshold), "a long, b long")
-    links = compared.where(F.col("similarity") >= threshold).select("a", "b").union(third)
-    return _rooted(ids, links)
+    mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    crowd = keep(now.join(mixed, "bucket"))
+    pairs = _pairs_of(crowd.where(F.col("n") <= SMALL)).join(compared, ["a", "b"], "left_anti")
+    third = verified(pairs, held, similarity)
+    large = _dealt(crowd.where(F.col("n") > SMALL).drop("n"), held).groupBy("bucket", "i", "j").applyInArrow(_compared(features, threshold), "a long, b long")
+    links = [x.where(similar).select("a", "b") for x in (compared, third)]
+    return _rooted(ids, reduce(DataFrame.union, [*links, large]))
 
 
 def _rooted(ids: DataFrame, links: DataFrame) -> DataFrame:

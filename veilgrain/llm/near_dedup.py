@@ -148,6 +148,10 @@ def tokens(idf: np.ndarray) -> linkage.Features:
     return of_texts
 
 
+SIGNED = "_id long, _hash long, key binary, bands array<long>"
+_NO_ID = -(1 << 63)
+
+
 def _banded(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -164,31 +168,58 @@ def _banded(idf: np.ndarray):
                     bucket = mix(bucket ^ lanes[:, j])
                 bands.append(bucket.view(np.int64))
                 keys.append(xxhash.xxh128_digest(b" ".join(text.split())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            columns = [batch.column("_id"), batch.column("_hash"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_hash", "key", "bands"])
 
     return run
 
 
+def _with_reference(docs: DataFrame) -> DataFrame:
+    """`docs` with the columns _id and _hash; rows alike in both are one document.  A null id is the least number."""
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+
+
+def found_classes(docs: DataFrame) -> DataFrame:
+    """(_id, _hash, doc_id, class_id, class_size, kept): see `near_duplicates`.
+
+    Rows are told apart by numbers of their own, given once and stored, so neither null nor repeated ids
+    matter to what is linked."""
+    docs = _with_reference(docs).select("_id", "_hash", F.col("text").cast("string").alias("text"))
+    idf = inverse_frequencies(docs)
+    signed = keep(docs.mapInArrow(_banded(idf), SIGNED).withColumn("row", F.monotonically_increasing_id()))
+    copies = signed.where("key is not null").groupBy("key").agg(F.min("row").alias("id"))
+    member = keep(signed.select("_id", "_hash", "row", "key").join(copies, "key", "left").withColumn("id", F.coalesce("id", "row")).drop("key"))
+    met = signed.join(copies.select(F.col("id").alias("row")), "row", "left_semi").select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("row").alias("id"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = member.where("id = row").join(ids, "id", "left_semi").select("id", "_id", "_hash")
+        return docs.join(wanted, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select("id", "text")
+
+    linked = linkage.classes(met, texts, weighted_jaccard(idf), THRESHOLD, tokens(idf))
+    member = member.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
+    first = F.struct((F.col("_id") == _NO_ID).alias("none"), "_id", "_hash", "row")
+    best = member.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
+    out = member.join(best, "root")
+    known = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    return out.select("_id", "_hash", known("_id").alias("doc_id"), known("first._id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size, kept): one row for each row of `docs` (doc_id long, text string;
     other columns are ignored).
 
-    class_id is the smallest doc_id of the class; the document that has it is kept.  Texts with the
-    same words in the same order are always of one class.  Null texts, and texts without words, are
-    classes of their own and are kept.  A row that repeats a doc_id shares that id's class.  An empty
-    table gives an empty result.
+    class_id is the smallest doc_id of the class, null where no row of it has one.  One row of a class is
+    kept: the one with the smallest doc_id, a null one last; of rows that share it the one with the
+    smaller text hash; of equal rows any one.  Texts with the same words in the same order are always of
+    one class.  Null texts, and texts without words, are classes of their own, each row by itself, and are
+    kept.  Rows that share a doc_id but not the text are rows of their own.  An empty table gives an empty
+    result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    idf = inverse_frequencies(docs)
-    signed = keep(docs.mapInArrow(_banded(idf), "doc_id long, key binary, bands array<long>"))
-    copies = keep(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    met = copies.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
+    return found_classes(docs).drop("_id", "_hash")
 
-    def texts(ids: DataFrame) -> DataFrame:
-        return docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-    linked = linkage.classes(met, texts, weighted_jaccard(idf), THRESHOLD, tokens(idf), stored=True)
-    member = signed.select("doc_id", "key").join(copies.select("key", "id"), "key", "left").withColumn("id", F.coalesce("id", "doc_id"))
-    member = member.join(linked, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
-    sizes = member.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return member.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all columns, that `near_duplicates` keeps.  Rows alike in doc_id and text are
+    one document, of which one row stays, also where the text is null or has no words."""
+    stays = found_classes(docs).where("kept").select("_id", "_hash").distinct()
+    return _with_reference(docs).join(stays, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")

@@ -3,7 +3,7 @@
 They lie in the shared folder that the session names in spark.checkpoint.dir, so that a lost
 executor costs no recomputation and every executor can read them.  Only where that setting is
 missing (tests on one machine) a temporary folder is used.  A session's tables are removed when
-the Python process ends.
+the Python process ends, those of a `step` when the step ends.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+_steps: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -36,9 +38,19 @@ def _remove(spark: SparkSession, path: str) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def keep(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are removed at the end, but for lasting ones."""
+    _steps.append(f"{folder(spark)}/step-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _remove(spark, _steps.pop())
+
+
+def keep(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it again."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_steps[-1] if _steps and not lasting else folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

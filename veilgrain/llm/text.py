@@ -13,7 +13,7 @@ import pyarrow as pa
 
 BLANKS = b" \t\n\r\x0b\x0c"
 WORD = r"[^\x20\x09-\x0D]+"  # in Spark's and DuckDB's regular expressions
-CHUNK_BYTES = 2 << 20  # texts handled together; a longer text is a chunk of its own
+CHUNK_BYTES = 128 << 10  # texts handled together, so that arrays stay in the cache; a longer text is a chunk of its own
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
