@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -39,8 +39,14 @@ def copies(seed, n, most):
 def test_near_duplicates(frame, odd):
     rows = copies(1, 90, 12)
     docs = frame(rows)
-    idf = near_dedup.inverse_frequencies(docs)
-    sets = {i: dict(zip(*map(lambda x: x.tolist(), s), strict=True)) for (i, _), s in zip(rows, near_dedup.weighted_sets([t.encode() for _, t in rows], idf), strict=True)}
+    words = [t.split() for _, t in rows]  # idf and weights, plainly
+    met = Counter(w for own in words for w in set(own))
+    idf = {w: 1 + np.log((1 + len(rows)) / (1 + n)) / np.log(2 + len(rows)) for w, n in met.items()}
+    sets = {i: Counter() for i, _ in rows}
+    for (i, _), own in zip(rows, words, strict=True):
+        for k in range(max(1, len(own) - 4)):
+            run = tuple(own[k : k + 5])
+            sets[i][run] += np.mean([idf[w] for w in run])
 
     def similar(a, b):
         both = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
@@ -54,10 +60,24 @@ def test_near_duplicates(frame, odd):
     by = defaultdict(set)
     for r in out:
         by[r.doc_id].add(r.class_id)
-    assert by[5] == by[6] == {5} and by[1] == {1} and by[2] == {2} and by[3] == {3}
+    assert by[5] == by[6] == {5} and by[1] == {1} and by[2] == {2} and by[3] == {3} and by[9] == {9}
+    assert sum(r.kept for r in out) == len(odd) - 2  # the three equal rows of 5 and 6 are one
+    assert [(r.class_id, r.class_size, r.kept) for r in out if r.doc_id is None] == [(None, 1, True)]
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids(frame):
+    """Rows are told apart by more than their id: every text that is no copy stays, once."""
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(None, a), (None, b), (None, a + " x"), (7, c), (7, b + " y"), (8, c), (None, None), (3, "")]
+    out = near_dedup.near_duplicates(frame(rows)).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size, r.kept) for r in out) == sorted(
+        [(0, 0, 2, True), (0, 0, 2, False), (0, 7, 2, False), (7, 7, 2, True), (7, 7, 2, True), (8, 7, 2, False), (0, 0, 1, True), (3, 3, 1, True)]
+    )
+    stay = near_dedup.without_copies(frame([*rows, rows[0], rows[4], rows[7]])).collect()
+    assert sorted(r.text or "" for r in stay if r.text not in (a, a + " x")) == sorted(["", "", b + " y", c]) and len(stay) == 5
+
+
 def test_weighted_sampling():
     """Lanes agree with the probability of the weighted Jaccard similarity."""
     draw, equal, true = np.random.default_rng(1), [], []
@@ -69,6 +89,59 @@ def test_weighted_sampling():
     assert abs(np.mean(equal) - np.mean(true)) < 0.04
 
 
+def plain_jaccard(a, b):
+    runs = lambda x: {x[i : i + line_dedup.CHARACTERS] for i in range(max(1, len(x) - line_dedup.CHARACTERS + 1))}
+    x, y = runs(a.decode()), runs(b.decode())
+    return len(x & y) / len(x | y)
+
+
+def test_line_similarity():
+    draw = random.Random(9)
+    lines = ["".join(draw.choice("abc é한") for _ in range(draw.randint(1, 40))) for _ in range(120)] + ["ab", "abcdef", "x" * 30]
+    lines = [line_dedup.plain(x.encode()) or b"-" for x in lines]
+    other = [x[: len(x) // 2] + y for x, y in zip(lines, lines[1:] + lines[:1], strict=True)]
+    other = [x.decode("utf-8", "ignore").encode() for x in other]
+    assert np.allclose(line_dedup.jaccard(lines, other), [plain_jaccard(a, b) for a, b in zip(lines, other, strict=True)])
+
+
+def test_short_lines(frame):
+    """One changed character in the middle of a line of sixty."""
+    line = prose(5, 40)[:70]
+    out = line_dedup.deduplicated(frame([(1, line), (2, line[:30] + "#" + line[31:])])).collect()
+    assert sorted((r.n_removed, r.kept) for r in out) == [(0, line), (1, "")]
+
+
+def test_recall():
+    """Bands meet nearly all pairs at the threshold or above, of short and long lines."""
+    draw, found = random.Random(3), defaultdict(list)
+    for size in (40, 60, 100, 250, 800):
+        for _ in range(150):
+            a = prose(draw.randrange(1 << 30), size)[:size]
+            b = a
+            while plain_jaccard(a.encode(), b.encode()) > 0.86:
+                k = draw.randrange(size)
+                b = b[:k] + draw.choice("qxz#7") + b[k + 1 :]
+            if plain_jaccard(a.encode(), b.encode()) >= 0.8:
+                x, y = line_dedup.buckets(line_dedup.lanes_of([a.encode(), b.encode()]))
+                found[size].append(bool(set(x.tolist()) & set(y.tolist())))
+    assert all(np.mean(f) >= 0.95 for f in found.values() if len(f) > 30), {k: np.mean(f) for k, f in found.items()}
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Buckets that the sample finds crowded give the same members as those that are streamed."""
+    draw = random.Random(2)
+    met = [(draw.randrange(40), draw.randrange(3000)) for _ in range(4000)] + [(7, i) for i in range(2000)] + [(99, 5), (99, 5), (98, 1)]
+    want = {}
+    for b, i in met:
+        want.setdefault(b, set()).add(i)
+    want = {(b, i, min(own)) for b, own in want.items() if len(own) > 1 for i in own}
+    df = spark.createDataFrame(met, "bucket long, id long").repartition(5)
+    for least in (1 << 30, 32, 2):
+        monkeypatch.setattr(linkage, "CROWDED", least)
+        got = [tuple(r) for r in linkage.members_of(df).select("bucket", "id", "centre").collect()]
+        assert set(got) - {(99, 5, 5), (98, 1, 1)} == want and len(got) == len(set(got))
+
+
 def test_lines(frame, odd):
     draw, rows = random.Random(4), []
     lines = [prose(i, 12) for i in range(25)] + ["short", "x"]
@@ -78,7 +151,7 @@ def test_lines(frame, odd):
         rows.append((i, "\n".join([*own, ""])))
     seen = [(i, k, line_dedup.plain(x.encode())) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip()]
     distinct = sorted({x for *_, x in seen})
-    pairs = [(a, b) for k, a in enumerate(distinct) for b in distinct[:k] if line_dedup.jaccard([a], [b])[0] >= line_dedup.THRESHOLD]
+    pairs = [(a, b) for k, a in enumerate(distinct) for b in distinct[:k] if plain_jaccard(a, b) >= line_dedup.THRESHOLD]
     root = union(pairs, distinct)
     first = {}
     for i, k, x in sorted(seen):

@@ -1,5 +1,6 @@
 """Mixing and sharding against plain versions, and the pipeline."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -28,7 +29,8 @@ def level(sizes):
 def rows_by_source():
     draw = random.Random(8)
     out = [(i, prose(i, draw.randint(1, 120)), draw.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(300)]
-    return [*out, (900, None, "a"), (901, "", "b"), (902, "one", "tiny"), (903, prose(3, 4000), "b")]
+    long = prose(3, 4000).split()
+    return [*out, (900, None, "a"), (901, "", "b"), (902, "one", "tiny"), (903, "  " + "\n ".join(" ".join(long[i : i + 9]) for i in range(0, 4000, 9)), "b")]
 
 
 def test_targets_and_taken(frame):
@@ -52,10 +54,19 @@ def test_targets_and_taken(frame):
     assert mixing.mixed(frame(rows).limit(0)).count() == 0
 
 
+def test_rows_without_ids(frame):
+    """Each row is one of its own, and reruns agree, whatever the order."""
+    rows = [(None, prose(i, 30 + i), "a") for i in range(60)] + [(5, prose(100 + i, 40), "b") for i in range(30)]
+    first = sorted((r.doc_id or 0, r.size, r.taken) for r in mixing.mixed(frame(rows)).collect())
+    assert len(first) == 90 and first == sorted((r.doc_id or 0, r.size, r.taken) for r in mixing.mixed(frame(rows[::-1])).collect())
+    texts = lambda x: sorted(r.text for r in mixing.materialised(frame(x), ("doc_id", "text")).collect())
+    assert texts(rows) == texts(rows[::-1])
+
+
 def test_highest_quotients(spark):
     draw = random.Random(3)
-    for seats in (1, 7, 50):
-        claims = {f"k{i}": draw.randint(1, 500) for i in range(9)}
+    for seats, n in ((1, 9), (7, 9), (50, 9), (30, 80), (41, 80)):
+        claims = {f"k{i:02}": draw.randint(1, 500) if i else 9000 for i in range(n)}
         df = spark.createDataFrame([(k, float(c), seats) for k, c in claims.items()], "key string, claim double, seats long")
         got = {r.key: r.won for r in mixing.apportioned(df, [], ["key"], "claim", "seats", "won").collect()}
         want = dict.fromkeys(claims, 0)
@@ -72,7 +83,7 @@ def test_materialised(frame):
     for r in mixing.materialised(frame(rows), ("doc_id", "text", "lang", "source", "n_chars")).collect():
         own = r.text.split()
         words[r.doc_id] += len(own)
-        assert set(own) <= set(whole[r.doc_id])
+        assert r.text in (dict((i, t) for i, t, _ in rows)[r.doc_id]) and r.n_chars == len(r.text)  # as written
     assert {i: n for i, n in taken.items() if n} == dict(words)
 
 
@@ -91,6 +102,8 @@ def test_shards(frame, odd):
         shards_of[r.text_crc32].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sum(len(s) > 1 for s in shards_of.values()) == 1  # only the hot text is parted
+    carried = sharding.sharded(frame(rows), carry=("doc_id", "text", "lang")).collect()
+    assert sorted((repr(r.doc_id), r.shard, r.slot, zlib.crc32((r.text or "").encode())) for r in carried) == sorted((repr(r.doc_id), r.shard, r.slot, r.text_crc32) for r in out)
     even = [(i, prose(i, 40)) for i in range(2000)]
     for r in sharding.sharded(frame(even)).collect():
         sizes[r.shard] += r.size
@@ -98,6 +111,52 @@ def test_shards(frame, odd):
     assert sharding.sharded(frame(rows).limit(0)).count() == 0
 
 
+def test_same_for_any_sample(frame, monkeypatch):
+    """Places follow from the order and exact sizes: a denser sample, which cuts light keys too, changes nothing."""
+    draw = random.Random(11)
+    rows = [(i, prose(i, draw.randint(1, 60))) for i in range(500)] + [(1000 + i, prose(900 + i // 7, 30)) for i in range(140)] + [(i, "hot " * 30) for i in range(2000, 2300)]
+    found = lambda: sorted((r.doc_id, r.shard, r.slot) for r in sharding.sharded(frame(rows)).collect())
+    want = plain_shards(rows)
+    assert found() == want
+    monkeypatch.setattr(sharding, "LEAST_RANGES", 900)
+    assert found() == want
+
+
+def plain_shards(rows):
+    key = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    order = sorted((key(t), i, len(t.encode()) + 1) for i, t in rows)
+    total, own, first, at = sum(x[2] for x in order), defaultdict(int), {}, 0
+    places = []
+    for k, i, n in order:
+        first.setdefault(k, at)
+        own[k] += n
+        places.append((k, i, at))
+        at += n
+    filled, out = defaultdict(int), []
+    for k, i, at in places:
+        s = min(15, (first[k] if own[k] <= sharding.WHOLE_SHARE * total / 16 else at) * 16 // total)
+        out.append((i, s, filled[s]))
+        filled[s] += 1
+    return sorted(out)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, odd):
+    """Null and repeated ids go through all stages; an empty table does."""
+    import corpus_pipeline as cp
+
+    rows = [(i, t, "en", "a", None) for i, t in [*odd, (None, prose(3, 40)), (None, prose(60, 40)), (None, prose(61, 40)), (9, prose(62, 50))]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data, kind in (("documents", rows, schema), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [(1, prose(61, 40))], "item_id long, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = cp.run(spark, str(tmp_path)).collect()
+    kept = {prose(k, n) for k, n in ((1, 60), (2, 20000), (3, 40), (4, 50), (5, 50), (60, 40), (62, 50))}
+    assert {r.text for r in out} == kept and len(out) == len(kept)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 

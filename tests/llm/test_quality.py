@@ -2,12 +2,15 @@
 
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 
 from tests.llm.conftest import prose
 from veilgrain.llm import quality_rules, rule_ensemble, toxicity
+from veilgrain.llm.labels import training_rows
+from veilgrain.llm.text import Words
 
 
 def labelled(spark, frame, n=400):
@@ -44,6 +47,16 @@ def test_quality_rules(spark, frame, odd):
     out = {r.doc_id: r for r in quality_rules.score(docs, labels).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([out[i].kept == (i % 3 != 0) for i in held]) > 0.95
+    model = quality_rules.fit(docs, labels)
+    for text in ("", "ab", "żółć – gęślą jaźń 1234 5", prose(7, 30), "한국어 글자 셋 넷"):  # the margin, feature by feature
+        raw, words = text.encode(), text.split()
+        parts = [[text[i : i + n] for i in range(len(text) - n + 1)] for n in (3, 4)] + [words, list(zip(words, words[1:], strict=False))]
+        slots = [s[lo[0] : hi[0]] for s, (lo, hi) in quality_rules.features([raw], Words([raw]))]
+        assert [len(s) for s in slots] == [len(p) for p in parts]
+        for s, p in zip(slots, parts, strict=True):
+            assert len({(x, int(y)) for x, y in zip(p, s, strict=True)}) == len(set(p))
+        z = model.bias + sum(model.weights[f][s].mean() for f, s in enumerate(slots) if len(s))
+        assert abs(model.probabilities([raw], Words([raw]))[0] - 1 / (1 + np.exp(-(model.scale * z + model.shift)))) < 1e-5
     rows = quality_rules.score(frame(odd), labels).collect()
     assert len(rows) == len(odd)
     assert all(r.base_failed and not r.kept for r in rows if r.n_words < 10)
@@ -52,6 +65,37 @@ def test_quality_rules(spark, frame, odd):
     assert sorted(quality_rules.kept(docs, labels).columns) == sorted(docs.columns)
 
 
+def plain_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if x]
+    n, c, m = max(len(words), 1), max(len(text), 1), max(len(lines), 1)
+    return {
+        "log_words": np.log1p(len(words)),
+        "word_length": sum(map(len, words)) / n,
+        "symbol_share": sum(x in "#*$%&|<>" for x in text) / c,
+        "upper_share": sum(unicodedata.category(x) == "Lu" for x in text) / c,
+        "digit_share": sum(x in "0123456789" for x in text) / c,
+        "mark_share": sum(x in "!?" for x in text) / c,
+        "distinct_share": len(set(words)) / n,
+        "echo_share": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "repeated_line_share": (len(lines) - len(set(lines))) / m,
+        "words_per_line": np.log1p(n / m),
+        "stop_share": sum(w.endswith(".") for w in words) / n,
+        "lone_symbol_share": sum(len(w) == 1 and unicodedata.category(w)[0] not in "LN" for w in words) / n,
+    }
+
+
+def test_training_rows(spark, frame):
+    """One row for each labelled id, whatever repeats: the least label, and one of its texts."""
+    docs = frame([(1, "a"), (1, "b"), (1, "a"), (2, "c"), (3, None), (None, "d")])
+    marks = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 1), (None, 1), (4, 0), (2, 7)], "doc_id long, quality int")
+    got = {r.doc_id: (r.text, r.label) for r in training_rows(docs, marks, "quality", 10).collect()}
+    held = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert set(got) == {1, 2, 3} - held and all(len(x) == 2 for x in got.values())
+    assert 1 in held or got[1][1] == 0 and got[1][0] in "ab"
+    assert training_rows(docs, marks, "quality", 1).count() == 1
+
+
 def test_rule_ensemble(spark, frame, odd):
     docs, labels = labelled(spark, frame)
     ensemble = rule_ensemble.fit(docs, labels)
@@ -61,19 +105,51 @@ def test_rule_ensemble(spark, frame, odd):
     held = [r for r in rows if r.held_out]
     assert np.mean([r.predicted == int(r.doc_id % 3 != 0) for r in held]) > 0.95
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+    texts = [*(t for _, t in odd if t), "A\n\nA\n b  b! $ x. y.", "ÀÉ 12 ?", ""]
+    found = rule_ensemble.with_statistics(frame(list(enumerate(texts)))).collect()
+    scores = {r.doc_id: r.score for r in rule_ensemble.score(frame(list(enumerate(texts))), ensemble).collect()}
+    for r in found:
+        want = plain_statistics(texts[r.doc_id])
+        assert all(abs(r[k] - want[k]) < 1e-9 for k in rule_ensemble.STATISTICS)
+        hit = lambda rule: all((want[rule_ensemble.STATISTICS[s]] > c) == up for s, up, c in rule)  # noqa: B023, E731
+        z = ensemble.bias + sum(w for rule, w in zip(ensemble.rules, ensemble.weights, strict=True) if hit(rule))
+        assert abs(scores[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
     scored = rule_ensemble.score(frame(odd), ensemble).collect()
     assert len(scored) == len(odd) and all(0 <= r.score <= 1 for r in scored)
     assert rule_ensemble.score(docs.limit(0), rule_ensemble.fit(docs, labels.limit(0))).count() == 0
 
 
+def docs_text(docs, doc_id, known={}):  # noqa: B006
+    if docs not in known:
+        known[docs] = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    return known[docs][doc_id]
+
+
+def plain_evidence(text, lexicon):
+    """Matches of every term at every place, by looking at words."""
+    t = toxicity.folded(text)
+    gone = [m.span() for x in lexicon.exceptions for m in re.finditer(rf"(?<![^\W_]){re.escape(toxicity.folded(x))}(?![^\W_])", t)]
+    total = 0.0
+    for m in re.finditer(r"[^\W_]+", t):
+        for x, w in [*lexicon.words.items(), *lexicon.stems.items()]:
+            fits = m[0] == x if x in lexicon.words and lexicon.words[x] == w else m[0].startswith(x)
+            if fits and not any(a <= m.start() and m.start() + len(x) <= b for a, b in gone):
+                total += w
+    return total / (len(text.split()) + 10) ** 0.5
+
+
 def test_toxicity(spark, frame, odd):
     docs, labels = labelled(spark, frame)
     lexicon = toxicity.fit(docs, labels)
     assert "vilth".replace("l", "i") in lexicon.words
     held = [r for r in toxicity.score(docs, lexicon).collect() if r.held_out]
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.95
-    hidden = toxicity.score(frame([(1, prose(9, 30) + " v1lth VІLTH vilth"), (2, prose(9, 30))]), lexicon).collect()
-    assert {r.doc_id: r.predicted for r in hidden} == {1: 1, 2: 0}
+    base = prose(9, 30)
+    writings = ["v1lth VІLTH vilth", "ｖｉｌｔｈ ｖｉｌｔｈ ｖｉｌｔｈ", "𝐯𝐢𝐥𝐭𝐡 vïlth v\u0301ilth", "vi\u200blth vil\u00adth vilth", "vιlτh ѵilth vilτh"]
+    hidden = toxicity.score(frame([*((i, f"{base} {w}") for i, w in enumerate(writings)), (90, base)]), lexicon).collect()
+    assert {r.doc_id: r.predicted for r in hidden} == {**dict.fromkeys(range(len(writings)), 1), 90: 0}
+    for r in toxicity.score(docs, lexicon).collect()[:80]:
+        assert abs(r.evidence - plain_evidence(docs_text(docs, r.doc_id), lexicon)) < 1e-9
     assert len(toxicity.score(frame(odd), lexicon).collect()) == len(odd)
     assert {r.predicted for r in toxicity.score(frame(odd), toxicity.Lexicon()).collect()} == {0}
 
@@ -84,3 +160,5 @@ def test_exceptions():
     assert toxicity.evidence("you are trash", automaton) > 0
     assert toxicity.evidence("the trash can is full", automaton) == 0
     assert toxicity.evidence("trashy", automaton) == 0
+    assert toxicity.evidence("trash " + "the trash can " * 2000, automaton) > 0
+    assert toxicity.evidence("the trash can " * 2000, automaton) == 0

@@ -44,12 +44,28 @@ def test_base_columns(frame, odd):
         ("This work is licensed under the GNU General Public License, version 3, or (at your option) any later version.", "gpl-3.0", True),
         ("Licensed under CC BY-NC 4.0 International", "cc-by-nc-4.0", True),
         ("Licensed under CC BY-NC 3.0", "cc-by-nc-4.0", False),
+        ("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0", True),
+        ("redistribute it and/or modify it under the terms of the GNU General Private License as published by the Free Software Foundation", "gpl-any", False),
+        ("You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl", True),
     ],
 )
 def test_templates(text, label, hit):
     assert (label in license_scan.scan(text.encode())[5].split(",")) is hit
 
 
+def test_full_texts():
+    """Each template with its parts spelled out is accepted, and isn't without one mandatory word."""
+    for label, template in license_scan.TEMPLATES:
+        said = re.sub(r"<<var;[^>]*words=(\d+)-\d+>>", lambda m: "somebody " * max(1, int(m[1])), template)
+        said = re.sub(r"<<alt;([^|>]*)[^>]*>>", r"\1", re.sub(r"<<(?:begin|end)Optional>>", "", said))
+        found = license_scan.scan(f"Notice: {said.upper()}, and more.".encode())
+        assert label in found[5].split(","), label
+        mandatory = re.split(r"<<[^>]*>>", re.sub(r"<<beginOptional>>.*?<<endOptional>>|<<alt[^>]*>>", "<<>>", template))
+        word = (max(mandatory, key=len).split() or [""])[-1]
+        if word and sum(x == label for x, _ in license_scan.TEMPLATES) == 1 and said.split().count(word) == 1:
+            assert label not in license_scan.scan(" ".join(w for w in said.split() if w != word).encode())[5].split(","), label
+
+
 def test_bad_markup():
     with pytest.raises(ValueError):
         license_scan.compiled("x", "a <<beginOptional>> b")
@@ -76,7 +92,7 @@ def test_myers():
 
 def test_contaminated(spark, frame, odd):
     draw = random.Random(2)
-    items = [(i, prose(500 + i, 25)) for i in range(12)] + [(90, "too few words"), (91, None)]
+    items = [(i, prose(500 + i, 25)) for i in range(12)] + [(90, "too few words"), (91, None), (92, " . ")]
     rows = []
     for i in range(60):
         words = prose(i, 40).split()
@@ -101,10 +117,21 @@ def test_contaminated(spark, frame, odd):
     assert not any(r.contaminated for r in decontaminate.contaminated(frame(rows), bench.limit(0)).collect())
 
 
-def test_blocks(spark, frame, monkeypatch):
+def test_short_items(spark, frame):
+    """A short item must stand word for word, an item with edits need not."""
+    bench = spark.createDataFrame([(1, "Blue wombat, 7"), (2, "blue wombat 7 sings"), (3, prose(600, 20))], "item_id long, text string")
+    rows = [(1, "a blue WOMBAT 7 b"), (2, "blue wombats 7"), (3, "xblue wombat 7"), (4, "blue wombat 7"), (5, prose(600, 20)[:-1] + "q")]
+    assert {r.doc_id: r.item_ids for r in decontaminate.contaminated(frame(rows), bench).collect()} == {1: [1], 2: [], 3: [], 4: [1], 5: [3]}
+
+
+def test_blocks(spark, frame, odd, monkeypatch):
+    """One block and several give the same rows, null and repeated ids included."""
     items = [(i, prose(500 + i, 25)) for i in range(6)]
-    rows = [(i, prose(i, 10) + " " + items[i][1]) for i in range(6)] + [(7, None)]
+    rows = [(i, prose(i, 10) + " " + items[i][1]) for i in range(6)] + [(None, items[0][1] + " " + items[5][1]), (None, "clean"), (3, items[1][1]), *odd]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = {(r.doc_id, tuple(r.item_ids or ())) for r in decontaminate.contaminated(frame(rows), bench).collect()}
+    found = lambda: sorted((repr(r.doc_id), r.contaminated, r.n_items, tuple(r.item_ids), repr(r.distance)) for r in decontaminate.contaminated(frame(rows), bench).collect())
+    whole = found()
+    assert ("None", True, 2, (0, 5), "0") in whole and ("3", True, 1, (1,), "0") in whole and len(whole) == len(rows)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
-    assert {(r.doc_id, tuple(r.item_ids or ())) for r in decontaminate.contaminated(frame(rows), bench).collect()} == whole
+    assert found() == whole
+    assert decontaminate.clean(frame(rows), bench).count() == sum(not w[1] for w in whole)

@@ -4,8 +4,7 @@ Texts and items are compared as lower-cased words with single blanks between the
 item of m bytes may differ by k = floor(ERROR_SHARE * m) edits.  Cut into k + 1 pieces, at least one
 piece survives any k edits unchanged, so an Aho-Corasick pass over all pieces finds every possible
 place; each is verified with Myers' bit-parallel edit distance over the window in which the item
-may end.  Items of fewer than LEAST_WORDS words are no evidence of contamination and are not
-searched for.
+may end.  Items of fewer than EXACT_BELOW words must stand word for word.
 """
 
 from __future__ import annotations
@@ -21,9 +20,8 @@ from veilgrain.llm.license_scan import words_of
 from veilgrain.llm.text import small_batches, text_bytes
 
 ERROR_SHARE = 0.06
-LEAST_WORDS = 8
-BLOCK_BYTES = 8 << 20  # items searched for together; a larger benchmark takes several passes
-SCHEMA = "doc_id long, contaminated boolean, n_items long, item_ids array<long>, distance int"
+EXACT_BELOW = 8
+BLOCK_BYTES = 8 << 20  # items in one automaton; a larger benchmark has several, which rows pass one after another
 
 
 def plain(text: bytes) -> bytes:
@@ -62,17 +60,17 @@ def masks_of(pattern: bytes) -> dict[int, int]:
 class Matcher:
     """Items (id, text) to look for."""
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float = ERROR_SHARE, least_words: int = LEAST_WORDS):
+    def __init__(self, items: list[tuple[int, bytes]], share: float = ERROR_SHARE, exact_below: int = EXACT_BELOW):
         self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
             words = words_of(text)
-            if len(words) < max(1, least_words):
+            if not words:
                 continue
             own = b" ".join(words)
-            k = int(share * len(own))
-            self.items.append((item, own, k, masks_of(own)))
-            cuts = [len(own) * j // (k + 1) for j in range(k + 2)]
+            k = int(share * len(own)) if len(words) >= exact_below else -1  # -1: whole words
+            self.items.append((item, own, k, masks_of(own) if k >= 0 else {}))
+            cuts = [len(own) * j // (max(k, 0) + 1) for j in range(max(k, 0) + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b > a:
                     pieces.setdefault(own[a:b].decode("latin-1"), []).append((len(self.items) - 1, a))
@@ -93,6 +91,10 @@ class Matcher:
             for index, offset in at:
                 item, pattern, k, masks = self.items[index]
                 start = last - size + 1 - offset  # where the item starts if nothing before was inserted
+                if k < 0:
+                    if (not start or own[start - 1] == 32) and (last + 1 == len(own) or own[last + 1] == 32):
+                        out[item] = 0
+                    continue
                 low, high = max(0, start - k), start + len(pattern) + k
                 known = tried.get(index, (0, -1))
                 if out.get(item) == 0 or known[0] <= low and high <= known[1]:
@@ -114,54 +116,50 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield sorted(zip(rows.column("item_id").to_pylist(), [x.encode() for x in rows.column("text").to_pylist()], strict=True))
 
 
-def _searcher(items: list[tuple[int, bytes]], share: float, least_words: int):
+_FOUND = "doc_id long, text string, item_ids array<long>, edits array<int>"
+
+
+def _searcher(items: list[tuple[int, bytes]], share: float, exact_below: int):
+    """Adds what a block's items find to each row's item_ids and edits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, share, least_words)
+        matcher = Matcher(items, share, exact_below)
         for batch in small_batches(batches):
-            found = [matcher.found(t or b"") for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([bool(x) for x in found], pa.bool_()),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
-                    pa.array([min(x.values(), default=None) for x in found], pa.int32()),
-                ],
-                ["doc_id", "contaminated", "n_items", "item_ids", "distance"],
-            )
+            found = []
+            for text, ids, edits in zip(text_bytes(batch.column("text")), batch.column("item_ids").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+                own = dict(zip(ids, edits, strict=True))
+                for item, k in matcher.found(text or b"").items():
+                    own[item] = min(k, own.get(item, k))
+                found.append(own)
+            lists = [pa.array([list(x.keys()) for x in found], pa.list_(pa.int64())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *lists], [x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, exact_below: int = EXACT_BELOW) -> DataFrame:
     """One row for each row of `docs` (doc_id, text; other columns are ignored): whether the text holds
     an item of `benchmark` (item_id, text), which ones, and the least number of edits.
 
-    The benchmark is the stated query set.  Its size is measured first: up to BLOCK_BYTES are sent to
-    the tasks at once, a larger one in that many blocks.  Null texts and null items match nothing; an
-    item id that repeats stands for each of its texts.  Repeated rows each get a row in a one-block
-    search; with more blocks, rows are joined by doc_id, and rows that repeat an id share their findings.
+    The benchmark is the stated query set.  Its size is measured first: it is sent to the tasks in blocks of
+    up to BLOCK_BYTES, and rows stream through one search for each block, so nothing is shuffled or
+    joined and every row stays a row of its own, whatever its id.  Null texts, null items and items without
+    words match nothing; an item id that repeats stands for each of its texts.
     """
-    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    passes = [own.mapInArrow(_searcher(items, share, least_words), SCHEMA) for items in item_blocks(benchmark)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.union(more)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
-    merged = every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), ids.alias("item_ids"), F.min("distance").alias("distance"))
-    merged = merged.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "distance")
-    return own.select("doc_id").join(merged, "doc_id", "left").select("doc_id", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_ids", "distance")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+    found = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(array() as array<long>) item_ids", "cast(array() as array<int>) edits")
+    for items in item_blocks(benchmark):
+        found = found.mapInArrow(_searcher(items, share, exact_below), _FOUND)
+    size = F.size("item_ids").cast("long")
+    return found.select("doc_id", (size > 0).alias("contaminated"), size.alias("n_items"), F.array_sort("item_ids").alias("item_ids"), F.array_min("edits").alias("distance"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, exact_below: int = EXACT_BELOW) -> DataFrame:
     """The rows of `docs`, with all columns, that hold no item of `benchmark`.  Rows stream through one
     search for each block of items, so nothing is shuffled or joined."""
     for items in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]] = items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, share, least_words)
+            matcher = Matcher(items, share, exact_below)
             for batch in small_batches(batches):
                 yield batch.filter(pa.array([not matcher.found(t or b"") for t in text_bytes(batch.column("text"))], pa.bool_()))
 

@@ -82,7 +82,7 @@ class Index:
     def _groups(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
         size = np.diff(np.append(begin, len(classes)))
-        return np.repeat(begin, size), np.repeat(begin + size, size)
+        return np.repeat(begin, size).astype(np.int32), np.repeat(begin + size, size).astype(np.int32)  # a shard has fewer symbols than that
 
     def statistics(self, text: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics, cut at the pattern length, of the pieces text[ends - sizes : ends], streamed

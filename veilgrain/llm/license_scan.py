@@ -27,12 +27,19 @@ from veilgrain.llm.text import small_batches, text_bytes
 # Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+# Wordings that several notices share.
+_GNU = "<<beginOptional>> you can <<endOptional>> redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation <<beginOptional>> either <<endOptional>>"
+_LATER = "<<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"
+_OWNERS = "<<alt;authors or copyright holders|copyright holders or contributors|author or copyright holder>>"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>> 1 <<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>> 2 <<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_AS_IS = "this software is provided by <<var;name=owner;words=1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;name=owner;words=1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
 # Notices by label.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license <<beginOptional>> version <<endOptional>> 2 0"),
     ("mit", "<<alt;released|licensed|distributed|available>> under the <<beginOptional>> terms of the <<endOptional>> mit license"),
-    ("gpl-3.0", "<<alt;this work is|this program is|this software is|it is>> licensed under the gnu general public license version 3 <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"),
-    ("gpl-2.0", "<<alt;this work is|this program is|this software is|it is>> licensed under the gnu general public license version 2 <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"),
+    ("gpl-3.0", "<<alt;licensed|released|distributed|available>> under the <<beginOptional>> terms of the <<endOptional>> gnu general public license version 3 <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"),
+    ("gpl-2.0", "<<alt;licensed|released|distributed|available>> under the <<beginOptional>> terms of the <<endOptional>> gnu general public license version 2 <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"),
     ("lgpl", "licensed under the gnu <<alt;lesser|library>> general public license"),
     ("agpl-3.0", "licensed under the gnu affero general public license <<beginOptional>> version 3 <<endOptional>>"),
     ("cc-by-nc-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<alt;cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial>> 4 0 <<beginOptional>> international <<endOptional>>"),
@@ -44,6 +51,20 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and <<beginOptional>> or <<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of <<alt;this software|the software>> and associated documentation files <<beginOptional>> the software <<endOptional>> to deal in the software without restriction"),
+    ("gpl-2.0", f"{_GNU.format('general')} version 2 of the license {_LATER}"),
+    ("gpl-3.0", f"{_GNU.format('general')} version 3 of the license {_LATER}"),
+    ("lgpl", f"{_GNU.format('<<alt;lesser|library>> general')} version <<alt;2|2 1|3>> of the license {_LATER}"),
+    ("agpl-3.0", f"{_GNU.format('affero general')} version 3 of the license {_LATER}"),
+    ("gpl-any", f"{_GNU.format('general')}"),
+    ("apache-notice", "licensed under the apache license version 2 0 the license you may not use <<alt;this file|these files|this software>> except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit-full", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>> including the next paragraph <<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {_OWNERS} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-full", f"permission to use copy modify and <<beginOptional>> or <<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;name=owner;words=1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;name=owner;words=1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2-clause", f"{_BSD} {_AS_IS}"),
+    ("bsd-3-clause", f"{_BSD} <<beginOptional>> 3 <<endOptional>> neither the name of <<var;name=owner;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_AS_IS}"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
 )
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

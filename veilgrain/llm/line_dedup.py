@@ -123,19 +123,30 @@ def run_sets(lines: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(x, np.ones(len(x))) for x in sets]
 
 
+_PAIR_BITS = 19
+
+
+def _keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (line, run) keys of plain lines, and the size of each line's set.  A run is known by 45 bits of
+    its hash, so of a hundred million pairs of lines one has two different runs that look alike."""
+    h, count = run_hashes(lines)
+    h >>= _U(_PAIR_BITS)
+    h |= np.repeat(np.arange(len(lines), dtype=_U) << _U(64 - _PAIR_BITS), count)
+    h.sort()
+    distinct = h[np.append(True, h[1:] != h[:-1])]
+    return distinct, np.bincount((distinct >> _U(64 - _PAIR_BITS)).view(np.int64), minlength=len(lines))
+
+
 def jaccard(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Exact but for equal 64-bit hashes of different runs."""
-    distinct = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
-    if not distinct:
-        return np.zeros(0)
-    sets = [x for x, _ in run_sets(list(distinct))]
-    out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = sets[distinct[a]], sets[distinct[b]]
-        few, many = min(len(x), len(y)), max(len(x), len(y))
-        both = len(np.intersect1d(x, y, assume_unique=True)) if few >= THRESHOLD * many else 0  # else it can't link
-        out.append(both / (few + many - both))
-    return np.array(out)
+    """Similarities of pairs of plain lines."""
+    out = [np.zeros(0)]
+    for at in range(0, len(left), 1 << _PAIR_BITS):
+        (x, nx), (y, ny) = _keys(left[at : at + (1 << _PAIR_BITS)]), _keys(right[at : at + (1 << _PAIR_BITS)])
+        every = np.concatenate([x, y])
+        every.sort()
+        both = np.bincount((every[1:][every[1:] == every[:-1]] >> _U(64 - _PAIR_BITS)).view(np.int64), minlength=len(nx))
+        out.append(both / (nx + ny - both))
+    return np.concatenate(out)
 
 
 def _lines(text: bytes | None) -> list[tuple[int, bytes]]:
@@ -224,7 +235,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     seen = seen.drop("buckets")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return own.select("text").mapInArrow(_texts, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return own.select("text").mapInArrow(_texts, "id long, text string").join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
 
     roots = linkage.classes(met, texts, jaccard, THRESHOLD, run_sets)
     # Lines that occur once and are like no other stay; only the others need their first place.
@@ -232,7 +243,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     grouped = roots.join(roots.where("id <> root").select("root").distinct(), "root").select("id", "root")
     wanted = several.unionByName(grouped).groupBy("id").agg(F.max("root").alias("root"))
     place = F.struct("doc_id", "text_hash", "line")
-    known = keep(seen.join(wanted, "id").select(F.coalesce("root", "id").alias("component"), "doc_id", "text_hash", "line"))
+    known = keep(seen.join(wanted.hint("shuffle_hash"), "id").select(F.coalesce("root", "id").alias("component"), "doc_id", "text_hash", "line"))
     first = known.groupBy("component").agg(F.min(place).alias("first"))
     ref = ["doc_id", "text_hash"]
     gone = known.join(first, "component").where(place != F.col("first")).groupBy(*ref).agg(F.collect_set("line").alias("gone"))

@@ -32,7 +32,7 @@ Features = Callable[[list[bytes]], Iterable[tuple[np.ndarray, np.ndarray]]]
 SMALL = 16
 BLOCK_BYTES = 4 << 20  # of texts in a block of step 3
 MOST_TOKENS = 4 << 20  # compared at a time in step 3
-PAIR_BYTES = 512 << 10  # of pairs compared together
+PAIR_BYTES = 256 << 10  # of pairs compared together
 DENSE = 2 << 20  # cells of a table of items and tokens, up to which a task's items are compared by one product
 SAMPLE, CROWDED, MOST_CROWDED = 16, 32, 1000  # one id in so many is sampled; rows of a crowded bucket among them; buckets, which bounds the broadcast
 

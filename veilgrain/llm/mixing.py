@@ -5,7 +5,8 @@ sources by highest quotients target / (2 s - 1); each source's seats go to its c
 of bounded size) by highest quotients again, which gives every cell an integer quota.  A cell's
 documents, in hashed order, are one run of words cut into equal blocks; a seeded permutation says
 which blocks are taken once more than the others.  Whether a block is taken is arithmetic on its
-number, so no row is ever made for a block, and a window only ever spans one cell.
+number, so no row is ever made for a block, and a window only ever spans one cell.  A block is of
+about a paragraph's length; neighbouring blocks of a document are taken as one passage, as written.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from veilgrain.llm.scratch import keep as stored
 from veilgrain.llm.text import WORD
 
 WEIGHTS = (5, 2, 1)
-BLOCK = 32
+BLOCK = 128
 MOST_COPIES = 3
 CELL_WORDS = 2_000_000
 STRIDE = 2147483629  # a prime, so it permutes the blocks of any cell that isn't a multiple of it
@@ -56,15 +57,19 @@ def apportioned(claims: DataFrame, group: list[str], key: list[str], claim: str,
     """`claims` with the integer column `name`: `seats` of each group (a column, equal within it) dealt
     to its keys by highest quotients claim / (2 s - 1), ties by key.
 
-    Rounding claim * seats / total is within half a seat of that for each key, so only as many of the
-    next quotients as rounding missed are ranked; never all seats."""
+    Rounding claim * seats / total gives each of n keys its seats within half a seat, and misses all seats by
+    some number.  The divisor that misses none differs from that by so little that no key's seats change
+    by more than claim * (missed + n) / total + 1, so that many of a key's next quotients are ranked: in all
+    a few for each key, never all seats."""
     own = Window.partitionBy(*group) if group else Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum(claim).over(own)
     ideal = F.when(total > 0, F.col(claim) * F.col(seats) / total).otherwise(0.0)
     df = claims.withColumn("_base", F.floor(ideal + 0.5).cast("long"))
     df = df.withColumn("_miss", F.col(seats) - F.sum("_base").over(own))
+    df = df.withColumn("_reach", F.when(total > 0, F.ceil(F.col(claim) * (F.abs("_miss") + F.count("*").over(own)) / total) + 1).otherwise(F.abs("_miss")).cast("long"))
     # One candidate for each seat that a key might gain, or give back.
-    steps = F.when(F.col("_miss") > 0, F.sequence(F.lit(1).cast("long"), "_miss")).when(F.col("_miss") < 0, F.sequence(F.lit(0).cast("long"), F.col("_miss") + 1, F.lit(-1).cast("long")))
+    one_seat = F.lit(1).cast("long")
+    steps = F.when(F.col("_miss") > 0, F.sequence(one_seat, F.least("_miss", "_reach"))).when(F.col("_miss") < 0, F.sequence(one_seat - 1, F.greatest(F.col("_miss") + 1, 1 - F.col("_reach")), -one_seat))
     one = df.where("_miss <> 0").select(*group, *key, claim, "_base", "_miss", F.explode(steps).alias("_step"))
     one = one.withColumn("_quotient", F.col(claim) / (2 * (F.col("_base") + F.col("_step")) - 1)).where(F.col("_base") + F.col("_step") >= 1)
     up, keys = F.col("_miss") > 0, [F.col(k).asc_nulls_last() for k in key]
@@ -76,11 +81,11 @@ def apportioned(claims: DataFrame, group: list[str], key: list[str], claim: str,
     for c in (*group, *key):
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     joined = df.join(changed, same, "left").withColumn(name, F.col("_base") + F.coalesce("_change", F.lit(0).cast("long")))
-    return joined.drop("_base", "_miss", "_change", *[f"_{c}" for c in (*group, *key)])
+    return joined.drop("_base", "_miss", "_reach", "_change", *[f"_{c}" for c in (*group, *key)])
 
 
 def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`docs` (with source and size) with source_size, target, the words before the document in its
+    """`docs` (with source, size, _order and _tie) with source_size, target, the words before the document in its
     cell (`offset`), the cell's words, blocks, quota and permutation shift.  The tables of sources and of cells, small ones,
     are stored on the way, so that no plan holds all steps."""
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -91,7 +96,7 @@ def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sources = stored(apportioned(stored(sources), [], ["source"], "target", "seats", "source_seats"))
     named = sources.withColumnRenamed("source", "_source")
     placed = docs.join(named.select("_source", "source_size", "target", "cells"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    placed = placed.withColumn("_order", _hash(F.col("doc_id").cast("string"))).withColumn("cell", F.pmod("_order", F.greatest("cells", F.lit(1).cast("long"))))
+    placed = placed.withColumn("cell", F.pmod("_order", F.greatest("cells", F.lit(1).cast("long"))))
     cells = placed.groupBy("source", "cell").agg(F.sum("size").alias("cell_words")).withColumn("blocks", F.greatest(F.lit(1.0), F.floor(F.col("cell_words") / block + 0.5)).cast("long"))
     cells = cells.withColumn("blocks", F.when(F.col("cell_words") > 0, F.col("blocks")).otherwise(F.lit(0).cast("long")))
     cells = cells.join(named.select("_source", "source_seats"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
@@ -100,9 +105,9 @@ def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = apportioned(cells, ["source"], ["cell"], "blocks", "_seats", "quota").withColumn("quota", F.least(F.col("quota"), F.col("blocks") * MOST_COPIES))
     cells = stored(cells.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), "cell_words", "blocks", "quota"))
     joined = placed.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell"))).drop("_source", "_cell")
-    run = Window.partitionBy("source", "cell").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source", "cell").orderBy("_order", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     shift = _hash(F.coalesce(F.col("source"), F.lit("")), F.col("cell").cast("string"))
-    return joined.withColumn("offset", F.coalesce(F.sum("size").over(run), F.lit(0).cast("long"))).withColumn("shift", shift).drop("_order", "cells")
+    return joined.withColumn("offset", F.coalesce(F.sum("size").over(run), F.lit(0).cast("long"))).withColumn("shift", shift).drop("_order", "_tie", "cells")
 
 
 def times(j: Column) -> Column:
@@ -136,24 +141,31 @@ def mixed(docs: DataFrame, block: int = BLOCK, keep: tuple[str, ...] = ()) -> Da
 
     Size is the number of words, 0 for null.  `taken` counts the words that the mix takes from the row,
     repeats included, at most three times its size; `pieces` says which.  Rows without words take
-    nothing; rows that repeat a doc_id are rows of their own; an empty table gives an empty result;
-    a null source is a source of its own, after all others."""
-    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"keep_{c}") for c in keep], word_count("text").alias("size"))
+    nothing; rows that repeat a doc_id are rows of their own, in the order of their texts' hashes; rows
+    without an id are dealt by their text; an empty table gives an empty result; a null source is a
+    source of its own, after all others."""
+    text = F.col("text").cast("string")
+    order = _hash(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit(""))))))
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"keep_{c}") for c in keep], word_count("text").alias("size"), order.alias("_order"), F.xxhash64(text).alias("_tie"))
     df = plan(own if keep else stored(own), block).withColumn("pieces", _pieces())
     taken = F.coalesce(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["times"] * (p["end"] - p["begin"])), F.lit(0).cast("long"))
     return df.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", "offset", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def materialised(docs: DataFrame, columns: tuple[str, ...], block: int = BLOCK) -> DataFrame:
-    """The mix itself, in the columns `columns` of `docs`: a row for each time that words of a document
-    are taken.  Where all of them are, the text stays as it is; else it is the taken words with single
-    blanks."""
+    """The mix itself, in the columns `columns` of `docs`: a row for each time that a document is taken whole,
+    and one for each passage of it that is taken once more.  Passages are cut between words and are else as
+    written, line breaks included."""
     df = mixed(docs, block, keep=tuple(c for c in columns if c != "doc_id")).where("taken > 0")
-    copies = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("pieces", lambda p: p["times"])))))
-    copies = copies.withColumn("_parts", F.filter("pieces", lambda p: p["times"] >= F.col("_copy")))
-    words = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["end"] - p["begin"])
-    parted = F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["begin"] - F.col("offset") + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))
-    copies = copies.withColumn("_n", words).withColumn("_words", F.when(F.col("_n") < F.col("size"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))))
-    text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(F.array_join(F.flatten(parted), " "))
-    shown = {"text": text, "n_chars": F.length(text).cast("long")}
-    return copies.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in columns])
+    df = df.withColumn("_whole", F.array_min(F.transform("pieces", lambda p: p["times"])).cast("int")).withColumn("_more", F.filter("pieces", lambda p: p["times"] > F.col("_whole")))
+    # Neighbouring pieces are one passage: it begins where none ends, and ends where none begins.
+    begins = F.filter("_more", lambda p, i: (i == 0) | (F.get("_more", i - 1)["end"] != p["begin"]))
+    ends = F.filter("_more", lambda p, i: (i == F.size("_more") - 1) | (F.get("_more", i + 1)["begin"] != p["end"]))
+    df = df.withColumn("_runs", F.zip_with(begins, ends, lambda x, y: F.struct((x["begin"] - F.col("offset") + 1).cast("int").alias("first"), (y["end"] - x["begin"]).cast("int").alias("n"))))
+    blank = r"[\x20\x09-\x0D]"
+    spaced = F.split(F.regexp_replace("text", f"^{blank}+", ""), rf"(?<={blank})(?=[^\x20\x09-\x0D])")  # each word with the blanks after it
+    df = df.withColumn("_words", F.when(F.size("_runs") > 0, spaced))
+    passages = F.transform("_runs", lambda r: F.regexp_replace(F.array_join(F.slice("_words", r["first"], r["n"]), ""), f"{blank}+$", ""))
+    out = df.withColumn("_text", F.explode(F.concat(F.array_repeat("text", F.col("_whole")), passages)))
+    shown = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in columns])

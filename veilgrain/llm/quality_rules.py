@@ -1,11 +1,11 @@
 """Quality rules: plain counts with fixed limits, then a calibrated n-gram classifier.
 
 The classifier is a logistic regression over hashed features of four families: three and four
-consecutive bytes (characters, for ASCII), single words and pairs of words.  A feature's value is
+consecutive characters (code points), single words and pairs of words.  A feature's value is
 its share of its family, so length plays no part, and a text's margin is the sum of the families'
-mean weights.  It is fitted on TRAIN_ROWS labelled rows at most (the bound of what reaches the
-driver); one fold of them is kept apart to calibrate margins into probabilities (Platt).  Scoring
-runs in Arrow batches against fixed thresholds.
+mean weights.  It is fitted on TRAIN_ROWS labelled rows at most, in one task, so that only the weights
+reach the driver; one fold of them is kept apart to calibrate margins into probabilities (Platt).
+Scoring runs in Arrow batches against fixed thresholds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from veilgrain.llm.labels import training_rows
-from veilgrain.llm.text import BLANKS, Words, chunks, mix, small_batches, text_bytes
+from veilgrain.llm.text import BLANKS, IS_BLANK, Words, chunks, mix, small_batches, text_bytes
 
 TRAIN_ROWS = 2000
 SLOT_BITS = 14
@@ -27,6 +27,7 @@ FAMILIES = 4
 REJECT_BELOW, REVIEW_BELOW = 0.3, 0.7
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
+_IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 STEPS, RATE, RIDGE = 80, 1.0, 1e-6
 CALIBRATION_FOLD = 1
 PART = 128  # rows handled together while fitting, which bounds its memory
@@ -38,38 +39,50 @@ SCHEMA = (
 )
 
 
+def counts_of(texts: list[bytes], words: Words) -> np.ndarray:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of some texts, a row for each.  Windows of
+    words are told apart by 64-bit hashes."""
+    raw = np.frombuffer(words.data, dtype=np.uint8)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(size + 1) - size - 1
+
+    def within(marks: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
+        return sums[last] - sums[first]
+
+    chars = within(~IS_BLANK[raw] & ((raw & 0xC0) != 0x80), start, start + size)
+    symbols = within(_IS_SYMBOL[raw], start, start + size)
+    lines = [[x for x in t.split(b"\n") if x.strip(BLANKS)] for t in texts]
+    again = np.array([len(x) - len(set(x)) for x in lines], dtype=np.int64)
+    hashes, at = words.windows(WINDOW)
+    owner = np.searchsorted(words.first, at, side="right").astype(_U)
+    _, which, met = np.unique(hashes ^ mix(owner), return_inverse=True, return_counts=True)
+    at = at[met[which] > 1]
+    edges = np.bincount(at, minlength=len(words.hashes) + 1) - np.bincount(at + WINDOW, minlength=len(words.hashes) + 1)
+    repeated = within(np.cumsum(edges)[:-1] > 0, words.first[:-1], words.first[1:])
+    return np.stack([np.diff(words.first), chars, symbols, again, repeated], axis=1)
+
+
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
-    words = text.split()
-    n = len(words)
-    chars = len(b"".join(words).decode("utf-8", "replace"))
-    symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
-    windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    repeated = 0
-    if len(windows) != len(set(windows)):
-        met: dict[tuple, int] = {}
-        for w in windows:
-            met[w] = met.get(w, 0) + 1
-        reached = 0  # words before this index are counted already
-        for i, w in enumerate(windows):
-            if met[w] > 1:
-                repeated += i + WINDOW - max(reached, i)
-                reached = i + WINDOW
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated
+    """The counts of one text."""
+    return tuple(counts_of([text], Words([text]))[0].tolist())
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < LEAST_WORDS or 100 * n_repeat_words > MOST_REPEATED_PERCENT * n_words
 
 
-def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(texts: list[bytes], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For some texts together: a family's slots in order, and where each text's part begins and ends
     (two rows).  The families follow each other."""
-    words = Words(texts)
-    raw = np.frombuffer(words.data, dtype=np.uint8).astype(np.uint32)
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    if words.data.isascii():
+        raw = np.frombuffer(words.data, dtype=np.uint8).astype(np.uint32)
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+    else:
+        said = [t.decode("utf-8", "replace") for t in texts]
+        raw = np.frombuffer("\n".join(said).encode("utf-32-le", "replace"), dtype=np.uint32)
+        size = np.array([len(t) for t in said], dtype=np.int64)
+    start = np.cumsum(size + 1) - size - 1
     factors = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
     for n in (3, 4):
         m = max(0, len(raw) - n + 1)
@@ -87,7 +100,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def sparse(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's slots (over all families) and their values."""
     out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
-    for family, (slots, (lo, hi)) in enumerate(features(texts)):
+    for family, (slots, (lo, hi)) in enumerate(features(texts, Words(texts))):
         for i in range(len(texts)):
             own, count = np.unique(slots[lo[i] : hi[i]], return_counts=True)
             out[i].append((own.astype(np.int32) + family * SLOTS, (count / max(1, hi[i] - lo[i])).astype(np.float32)))
@@ -101,15 +114,15 @@ class Model:
     scale: float  # of calibration
     shift: float
 
-    def margins(self, texts: list[bytes]) -> np.ndarray:
+    def margins(self, texts: list[bytes], words: Words) -> np.ndarray:
         z = np.full(len(texts), self.bias)
-        for family, (slots, (lo, hi)) in enumerate(features(texts)):
+        for family, (slots, (lo, hi)) in enumerate(features(texts, words)):
             sums = np.concatenate([[0.0], np.cumsum(self.weights[family][slots], dtype=np.float64)])
             z += (sums[hi] - sums[lo]) / np.maximum(1, hi - lo)
         return z
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        return sigmoid(self.scale * self.margins(texts) + self.shift)
+    def probabilities(self, texts: list[bytes], words: Words) -> np.ndarray:
+        return sigmoid(self.scale * self.margins(texts, words) + self.shift)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -131,30 +144,29 @@ def calibration(margins: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
-        texts = text_bytes(batch.column("text"))
-        for start, some in chunks(texts):
-            rows = sparse(some)
-            part = batch.slice(start, len(some))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("label"), part.column("fold"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
-                ["doc_id", "label", "fold", "slots", "shares"],
-            )
+FITTED = "weights binary, bias double, scale double, shift double"
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
-    """None where the labelled rows don't show both classes."""
-    rows = training_rows(docs, labels, label, TRAIN_ROWS).select("doc_id", "text", "label", "fold")
-    table = rows.mapInArrow(_sparse_rows, "doc_id long, label int, fold int, slots array<int>, shares array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    y, part = table.column("label").to_numpy().astype(np.float64), table.column("fold").to_numpy()
-    own = part != CALIBRATION_FOLD
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (doc_id, text, label, fold); no row where they don't show both classes."""
+    parts = [b for batch in batches for b in small_batches([batch], 1 << 20)]
+    whole = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending")]) if parts else None
+    if whole is None or not len(whole):
+        return
+    y, part = whole.column("label").to_numpy().astype(np.float64), whole.column("fold").to_numpy()
+    rows = [x for _, some in chunks(text_bytes(whole.column("text"))) for x in sparse(some)]
+    model = _trained(rows, y, part != CALIBRATION_FOLD)
+    if model:
+        columns = [pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (model.bias, model.scale, model.shift))]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FITTED.split(", ")])
+
+
+def _trained(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, own: np.ndarray) -> Model | None:
+    """Fitted on the rows `own`, calibrated on the others."""
     if len(set(y[own])) < 2:
         return None
-    lists, values = table.column("slots").combine_chunks(), table.column("shares").combine_chunks()
-    del table
-    offsets = lists.offsets.to_numpy()
-    slots, shares = lists.flatten().to_numpy(), values.flatten().to_numpy()
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x, _ in rows])])
+    slots, shares = np.concatenate([x for x, _ in rows]), np.concatenate([v for _, v in rows])
     parts = [(i, min(i + PART, len(y))) for i in range(0, len(y), PART)]
 
     def margins_of(w: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
@@ -179,24 +191,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
         second = 0.99 * second + 0.01 * slope**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         bias -= 0.5 * whole
-    model = Model(w.reshape(FAMILIES, SLOTS).astype(np.float32), bias, 1.0, 0.0)
+    model = Model(w.reshape(FAMILIES, SLOTS).astype(np.float32), float(bias), 1.0, 0.0)
     z = np.concatenate([sums for _, _, sums in margins_of(w)]) + bias
     apart = ~own if len(set(y[~own])) == 2 else own
     model.scale, model.shift = calibration(z[apart], y[apart])
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
+    """None where the labelled rows don't show both classes."""
+    rows = training_rows(docs, labels, label, TRAIN_ROWS).select("doc_id", "text", "label", "fold")
+    found = rows.repartition(1).mapInArrow(_fit_rows, FITTED).first()
+    return Model(np.frombuffer(found.weights, dtype=np.float32).reshape(FAMILIES, SLOTS), found.bias, found.scale, found.shift) if found else None
+
+
+def _judged(model: Model | None, texts: list[bytes]) -> tuple[np.ndarray, list[bool], np.ndarray]:
+    """Counts, base_failed and probabilities of some texts."""
+    stats, p = [np.zeros((0, 5), dtype=np.int64)], [np.zeros(0)]
+    for _, some in chunks(texts):
+        words = Words(some)
+        stats.append(counts_of(some, words))
+        p.append(model.probabilities(some, words) if model else np.ones(len(some)))
+    whole = np.concatenate(stats)
+    return whole, [base_failed(int(s[0]), int(s[4])) for s in whole], np.concatenate(p)
+
+
 def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts = [t or b"" for t in text_bytes(batch.column("text"))]
-            stats = [counts(t) for t in texts]
-            failed = [base_failed(s[0], s[4]) for s in stats]
-            p = np.concatenate([model.probabilities(some) for _, some in chunks(texts)]) if model and texts else np.ones(len(texts))
+            stats, failed, p = _judged(model, [t or b"" for t in text_bytes(batch.column("text"))])
             verdict = ["reject" if f or x < REJECT_BELOW else "review" if x < REVIEW_BELOW else "keep" for f, x in zip(failed, p, strict=True)]
-            columns = [pa.array([s[k] for s in stats], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns, pa.array(failed, pa.bool_()), pa.array([v != "reject" for v in verdict], pa.bool_()), pa.array(p, pa.float64()), pa.array(verdict, pa.string())],
+                [batch.column("doc_id"), *(pa.array(stats[:, k], pa.int64()) for k in range(5)), pa.array(failed, pa.bool_()), pa.array([v != "reject" for v in verdict], pa.bool_()), pa.array(p, pa.float64()), pa.array(verdict, pa.string())],
                 [x.split()[0] for x in SCHEMA.split(", ")],
             )
 
@@ -222,9 +248,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts = [t or b"" for t in text_bytes(batch.column("text"))]
-            p = np.concatenate([model.probabilities(some) for _, some in chunks(texts)]) if model and texts else np.ones(len(texts))
-            stats = [counts(t) for t in texts]
-            yield batch.filter(pa.array([not base_failed(s[0], s[4]) and x >= REJECT_BELOW for s, x in zip(stats, p, strict=True)], pa.bool_()))
+            _, failed, p = _judged(model, [t or b"" for t in text_bytes(batch.column("text"))])
+            yield batch.filter(pa.array([not f and x >= REJECT_BELOW for f, x in zip(failed, p, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,8 @@ document of smaller id, or earlier in the same one) are removed.
    equal anchors; consecutive windows with the anchor at one place form a run.  Runs whose anchor occurs once in
    the corpus can't repeat and are done with.
 3. Shards: the other runs' words go to the shard of their anchor, so equal windows meet in a shard.
-   An anchor of more than HOT runs is split by the hashes of its single windows.
+   Of an anchor with more than HOT runs only the first of equal runs goes on (a map-side combined
+   aggregate), split by the hashes of its single windows; all others are repeats as a whole.
 4. Each shard's distinct runs are indexed (`fm_index`) and streamed through the index by backward
    search; windows that occur earlier are reported as intervals of words.
 
@@ -35,6 +36,7 @@ from veilgrain.llm.text import Words, chunks, rolling, small_batches, text_bytes
 WINDOW, GRAM = 20, 4
 MOST_RUN = 32  # windows; longer runs are cut
 HOT = 20_000
+SAMPLE, MOST_CROWDED = 16, 1000  # one document in so many is sampled for crowded anchors; anchors, which bounds the broadcast
 SHARD_WORDS = 1_000_000
 _U = np.uint64
 
@@ -64,7 +66,7 @@ def runs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return anchor[begin], at[begin], np.diff(np.append(begin, len(at)))
 
 
-SKETCH = "doc_id long, text_hash long, n_words long, sha256 string, key binary, anchors array<long>, places array<int>"
+SKETCH = "doc_id long, text_hash long, n_words long, sha256 string, key binary, anchors array<long>, places array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,36 +88,48 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([hashlib.sha256(p).hexdigest() for p in plain], pa.string()),
                     pa.array([xxhash.xxh128_digest(p) for p in plain], pa.binary()),
                     pa.ListArray.from_arrays(lists, pa.array(anchors.view(np.int64), pa.int64())),
-                    pa.ListArray.from_arrays(lists, pa.array(place.astype(np.int32), pa.int32())),
+                    pa.ListArray.from_arrays(lists, pa.array(place, pa.int64())),
                 ],
                 [x.split()[0] for x in SKETCH.split(", ")],
             )
 
 
-SNIPPETS = "doc_id long, text_hash long, start int, shard_key long, words binary"
+SNIPPETS = "doc_id long, text_hash long, start int, shard_key long, hot boolean, words binary"
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each suspect run; of runs with a hot anchor, the words of each window."""
+    """The words of each suspect run."""
     for batch in small_batches(batches):
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [], [])
         for doc_id, text_hash, text, spots in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), text_bytes(batch.column("text")), batch.column("spots").to_pylist(), strict=True):
-            hashes = Words([text or b""]).hashes
-            short = (hashes >> _U(32)).astype(np.uint32)
+            short = (Words([text or b""]).hashes >> _U(32)).astype(np.uint32)
             for spot in spots:
                 start, size = spot["place"] // MOST_RUN, spot["place"] % MOST_RUN + 1
-                if spot["hot"]:
-                    at = np.arange(start, start + size)
-                    pieces = zip(at.tolist(), rolling(hashes, at, at + WINDOW).view(np.int64).tolist(), [1] * size, strict=True)
-                else:
-                    pieces = [(start, spot["anchor"], size)]
-                for a, key, n in pieces:
-                    for column, value in zip(rows, (doc_id, text_hash, a, key, short[a : a + n + WINDOW - 1].tobytes()), strict=True):
-                        column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                for column, value in zip(rows, (doc_id, text_hash, start, spot["anchor"], spot["hot"], short[start : start + size + WINDOW - 1].tobytes()), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in SNIPPETS.split(", ")])
 
 
+WINDOWS = "doc_id long, text_hash long, start int, shard_key long, words binary"
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of runs, each with its own hash as the key of its shard."""
+    for batch in small_batches(batches, 1 << 20):
+        words = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("words").to_pylist()]
+        count = np.array([len(x) - WINDOW + 1 for x in words], dtype=np.int64)
+        owner = np.repeat(np.arange(len(words)), count)
+        since = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        whole = np.concatenate([np.zeros(0, np.uint32), *words])
+        at = since + np.repeat(np.cumsum(count + WINDOW - 1) - count - WINDOW + 1, count)
+        keys = rolling(whole.astype(_U), at, at + WINDOW).view(np.int64)
+        pieces = [whole[a : a + WINDOW].tobytes() for a in at.tolist()]
+        start = batch.column("start").to_numpy()[owner] + since
+        columns = [batch.column("doc_id").take(pa.array(owner)), batch.column("text_hash").take(pa.array(owner)), pa.array(start, pa.int32()), pa.array(keys, pa.int64()), pa.array(pieces, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in WINDOWS.split(", ")])
+
+
 INTERVALS = "doc_id long, text_hash long, start int, stop int"
 
 
@@ -199,14 +213,25 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     plain = keep(joined.select("doc_id", "text_hash", "n_words", "sha256", "is_copy"))
     ref = ("doc_id", "text_hash")
     spots = joined.where("not is_copy").select(*ref, F.explode(F.arrays_zip("anchors", "places")).alias("s")).select(*ref, F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
+    # Anchors that a sample finds crowded don't meet in a window; the sample decides how runs are counted, never what comes out.
+    some = sketch.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SAMPLE)) == 0).select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n"))
+    crowded = keep(some.where(F.col("n") >= max(2, HOT // SAMPLE)).orderBy(F.desc("n"), "anchor").limit(MOST_CROWDED).select("anchor"))
+    marked = spots.join(F.broadcast(crowded.withColumn("crowded", F.lit(True))), "anchor", "left")
     met = F.count("*").over(Window.partitionBy("anchor"))
-    suspects = spots.withColumn("met", met).where("met > 1").groupBy(*ref).agg(F.collect_list(F.struct("anchor", "place", (F.col("met") > HOT).alias("hot"))).alias("spots"))
+    rest = marked.where("crowded is null").withColumn("met", met).where("met > 1").select(*ref, "anchor", "place", (F.col("met") > HOT).alias("hot"))
+    every = rest.unionByName(marked.where("crowded").select(*ref, "anchor", "place", F.lit(True).alias("hot")))
+    suspects = every.groupBy(*ref).agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("spots"))
     texts = own.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     held = keep(texts.join(suspects, (F.col("d") == F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select(*ref, "text", "spots"))
     snippets = keep(held.mapInArrow(_snippets, SNIPPETS))
+    hot, place = snippets.where("hot"), F.struct(*ref, "start")
+    firsts = keep(hot.groupBy("shard_key", "words").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    again = hot.join(firsts.where("n > 1"), ["shard_key", "words"]).where(place != F.col("first")).select(*ref, "start", (F.col("start") + F.octet_length("words") / 4).cast("int").alias("stop"))
+    single = firsts.select("first.*", "words").mapInArrow(_split, WINDOWS)
+    snippets = snippets.where("not hot").drop("hot").unionByName(single)
     words = snippets.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
     shards = max(1, -(-int(words) // SHARD_WORDS))
-    found = snippets.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).groupBy("shard").applyInArrow(_searched, INTERVALS)
+    found = snippets.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).groupBy("shard").applyInArrow(_searched, INTERVALS).unionByName(again)
     cuts = found.groupBy(*ref).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     # Documents with intervals are cut; of all others the outcome is known.

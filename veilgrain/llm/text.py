@@ -30,8 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=_U) * _BASE)
-_IS_BLANK = np.zeros(256, dtype=bool)
-_IS_BLANK[list(BLANKS)] = True
+IS_BLANK = np.zeros(256, dtype=bool)
+IS_BLANK[list(BLANKS)] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -75,7 +75,7 @@ class Words:
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, dtype=np.uint8)
-        blank = _IS_BLANK[raw]
+        blank = IS_BLANK[raw]
         word = ~blank
         edge = np.ones(len(raw), dtype=bool)
         edge[1:] = blank[:-1]

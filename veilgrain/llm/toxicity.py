@@ -1,17 +1,22 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding disguises.
 
-Folding lower-cases, maps look-alike Cyrillic and Greek letters to Latin ones and digits to the
-letters they stand for; i and l fold together, as 1 stands for both.  The lexicon's terms are whole
-words or beginnings of words.  They are learned, with their weights, from at most TRAIN_ROWS
-labelled rows (the bound of what reaches the driver), near copies counted once: a term is kept if
-it is seen in enough toxic texts and hardly ever in others; of terms that contain each other the
-longest with the same support stays.  A text's evidence is the weighted number of matches outside
-exception phrases over the square root of its length, calibrated into a probability.
+Folding takes the compatibility form (full-width and mathematical letters become plain ones), drops
+combining marks and characters without width, lower-cases, maps look-alike letters of other scripts
+to Latin ones and digits to the letters they stand for; i and l fold together, as 1 stands for both.
+The lexicon's terms are whole words or beginnings of words.  They are learned, with their weights,
+from at most TRAIN_ROWS labelled rows (the bound of what reaches the driver), near copies counted
+once: a term is kept if it is seen in enough toxic texts and hardly ever in others; of terms that
+contain each other the longest with the same support stays.  A text's evidence is the weighted number
+of matches outside exception phrases over the square root of its length, calibrated into a probability
+on one fold of rows that the lexicon isn't learned from.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrain.llm.labels import fold, training_rows
-from veilgrain.llm.quality_rules import calibration, sigmoid
+from veilgrain.llm.labels import FOLDS, fold, training_rows
+from veilgrain.llm.quality_rules import CALIBRATION_FOLD, calibration, sigmoid
+from veilgrain.llm.scratch import keep
 from veilgrain.llm.text import small_batches
 
 TRAIN_ROWS = 8000
@@ -37,17 +43,26 @@ SKETCH = 3
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ε": "e", "ı": "i",
+    "һ": "h", "ӏ": "i", "ү": "y", "ѡ": "w", "ѵ": "v", "ԍ": "g", "г": "r", "п": "n", "и": "u", "ш": "w", "з": "e", "η": "n", "ω": "w", "γ": "y", "β": "b", "σ": "o",
+    "օ": "o", "ս": "u", "ո": "n", "հ": "h", "յ": "j", "ց": "g", "զ": "q", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ɢ": "g", "ʜ": "h",
+    "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "i", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ø": "o", "đ": "d", "ł": "i", "ħ": "h",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 # Phrases in which a term is no insult.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "idiot proof", "pond scum", "sore loser")
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash collection", "trash truck", "trash day", "clown fish", "circus clown", "class clown", "idiot proof", "idiot light", "pond scum", "soap scum",
+    "sore loser", "moron test", "crap shoot", "pig farm", "guinea pig", "rat race", "lab rat", "snake plant", "worm farm", "dumb bell", "dumb waiter", "stupid mistake", "garbage collection", "garbage collector", "garbage truck",
+)
 
 _TABLE = str.maketrans(HOMOGLYPHS | DIGITS | {"l": "i"})
 _INNER_SIGN = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+")
+_UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0489\u20d0-\u20ff\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")  # marks and characters without width
 
 
 def folded(text: str) -> str:
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     if "@" in text or "$" in text:
         text = _INNER_SIGN.sub(lambda m: "a" if m[0] == "@" else "s", text)
     return text.lower().translate(_TABLE)
@@ -94,7 +109,11 @@ def evidence(text: str, automaton: ahocorasick.Automaton | None) -> float:
                 hits.append((start, last, weight))
     if not hits:
         return 0.0
-    total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in excused))
+    excused.sort()
+    starts, reach = [x for x, _ in excused], []  # reach: the last end of the phrases that begin up to here
+    for _, y in excused:
+        reach.append(max(y, reach[-1]) if reach else y)
+    total = sum(w for a, b, w in hits if not (k := bisect_right(starts, a)) or reach[k - 1] < b)
     return total / (len(text.split()) + 10) ** 0.5
 
 
@@ -158,20 +177,24 @@ def _evidences(lexicon: Lexicon):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
-    """An empty lexicon, which scores every text alike, where the labelled rows don't show both classes."""
-    rows = training_rows(docs, labels, label, TRAIN_ROWS).select("doc_id", "label", "text")
-    table = rows.mapInArrow(_tokens, "doc_id long, label int, tokens array<string>, sketch array<long>").toArrow().sort_by([("doc_id", "ascending")])
+    """An empty lexicon, which scores every text alike, where the labelled rows don't show both classes.  Terms
+    are learned from all folds but CALIBRATION_FOLD, unless that leaves one class alone."""
+    rows = keep(training_rows(docs, labels, label, TRAIN_ROWS))
+    table = rows.select("doc_id", "label", "text").mapInArrow(_tokens, "doc_id long, label int, tokens array<string>, sketch array<long>").toArrow().sort_by([("doc_id", "ascending")])
     met: set[tuple[int, int]] = set()
     own = []
-    for y, tokens, sketch in zip(*(table.column(c).to_pylist() for c in ("label", "tokens", "sketch")), strict=True):
+    for i, y, tokens, sketch in zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "tokens", "sketch")), strict=True):
         known = set(enumerate(sketch))
         if not known & met:
-            own.append((y, tokens))
+            own.append((y, tokens, zlib.crc32(str(i).encode()) % FOLDS))
         met |= known
-    if len({y for y, _ in own}) < 2:
+    if len({y for y, *_ in own}) < 2:
         return Lexicon()
-    lexicon = terms(own)
-    found = rows.select("doc_id", "label", "text").mapInArrow(_evidences(lexicon), "doc_id long, label int, evidence double").toArrow()
+    taught = [(y, t) for y, t, k in own if k != CALIBRATION_FOLD]
+    apart = len({y for y, _ in taught}) == 2 and len({y for y, _, k in own if k == CALIBRATION_FOLD}) == 2
+    lexicon = terms(taught if apart else [(y, t) for y, t, _ in own])
+    judged = rows.where(F.col("fold") == CALIBRATION_FOLD) if apart else rows
+    found = judged.select("doc_id", "label", "text").mapInArrow(_evidences(lexicon), "doc_id long, label int, evidence double").toArrow()
     lexicon.scale, lexicon.shift = calibration(found.column("evidence").to_numpy(), found.column("label").to_numpy().astype(np.float64))
     return lexicon
 
