@@ -2,15 +2,15 @@
 
 Every two items of a bucket are compared exactly, shown by a bound not to link, or of one class already:
 
-1. every item against one centre, the least id met in any of its buckets;
+1. every item against one centre, a member of one of its buckets;
 2. every item against the centres of its other buckets, unless step 1 linked both to one centre;
 3. in buckets that still hold several classes, all pairs of different classes.  A bucket of at most SMALL
    items gives its pairs, so SMALL / 2 for each item at most; pairs that several buckets give are compared
    once.  A larger one is dealt out in blocks of BLOCK_BYTES, each pair of blocks to a task, which leaves out
    pairs that can't link: similar items share a token among the rarest of either one.
 
-A bucket that a sample finds crowded never comes together in one place: its least id is a map-side combined
-aggregate, sent to its rows where they are.  The others are streamed in order.
+A bucket that a sample finds crowded never comes together in one place: a sampled member is its centre, sent
+to its rows where they are.  The others are streamed in order, the least member being the centre.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +57,15 @@ def _company(bucket: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
 
 
 def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`_company` over rows (bucket, id) in order of buckets; the bucket that a batch ends in waits for the next."""
+    """`_company` over rows (bucket, id, centre) in order of buckets, and rows that have a centre already; the bucket
+    that a batch ends in waits for the next."""
     bucket, item = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for batch in batches:
-        bucket, item = np.concatenate([bucket, batch.column(0).to_numpy()]), np.concatenate([item, batch.column(1).to_numpy()])
+        alone = batch.column("centre").is_null()
+        if batch.column("centre").null_count < batch.num_rows:
+            yield batch.filter(pc.invert(alone))
+            batch = batch.filter(alone)
+        bucket, item = np.concatenate([bucket, batch.column("bucket").to_numpy()]), np.concatenate([item, batch.column("id").to_numpy()])
         last = int(np.append(np.flatnonzero(bucket != bucket[-1]), -1).max()) + 1 if len(bucket) else 0
         yield _company(bucket[:last], item[:last])
         bucket, item = bucket[last:], item[last:]
@@ -67,15 +73,13 @@ def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def members_of(met: DataFrame) -> DataFrame:
-    """(bucket, id, centre) of buckets with several ids, the centre being the least; `met` has (bucket, id), and
-    its rows may repeat.  The sample only decides how a bucket's rows meet, never what comes out."""
-    some = met.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLE)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
-    crowded = keep(some.where(F.col("n") >= CROWDED).orderBy(F.desc("n"), "bucket").limit(MOST_CROWDED).select("bucket"))
-    rest = met.join(F.broadcast(crowded), "bucket", "left_anti")
-    streamed = rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_company, "bucket long, id long, centre long")
-    dense = met.join(F.broadcast(crowded), "bucket", "left_semi")
-    centres = dense.groupBy("bucket").agg(F.min("id").alias("centre"))
-    return streamed.unionByName(dense.distinct().join(F.broadcast(centres), "bucket"))
+    """(bucket, id, centre) of buckets with several ids, the centre being one of them; `met` has (bucket, id), and
+    its rows may repeat.  The sample only decides how a bucket's rows meet and which of them is the centre."""
+    some = met.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLE)) == 0).groupBy("bucket").agg(F.count_distinct("id").alias("n"), F.min("id").alias("centre"))
+    crowded = keep(some.where(F.col("n") >= CROWDED).orderBy(F.desc("n"), "bucket").limit(MOST_CROWDED).select("bucket", "centre"))
+    marked = met.join(F.broadcast(crowded), "bucket", "left").select("bucket", "id", "centre")
+    place = F.when(F.col("centre").isNull(), F.col("bucket")).otherwise(F.col("id"))
+    return marked.repartition(place).sortWithinPartitions("bucket").mapInArrow(_in_company, "bucket long, id long, centre long")
 
 
 def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, probes: np.ndarray, targets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -233,7 +237,7 @@ def classes(met: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity:
     across = members.where("id <> centre").join(near, "id").where("centre <> least").select("id", "centre").distinct()
     across = across.join(own, "id", "left").join(other, "centre", "left").where(F.coalesce("root", "id") != F.coalesce("other", "centre"))
     second = keep(verified(across.select(F.col("centre").alias("a"), F.col("id").alias("b")), held, similarity))
-    compared = first.union(second)
+    compared = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
     roots = _rooted(ids, compared.where(similar))
 
     # Nothing is left to compare with a bucket's centre.
