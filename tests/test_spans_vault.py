@@ -51,7 +51,7 @@ def test_propagate(spark):
 
 
 def test_propagate_every_place(spark):
-    slots = spark.createDataFrame([(1, 0, "I am Zel.a\\E"), (1, 1, "zel.a\\e, Zel.a\\EZEL.A\\e; zelxa\\e\U0001f600zel.a\\E")], "req_id long, slot_id int, text string")
+    slots = spark.createDataFrame([(1, 0, "I am Zel.a\\E"), (1, 1, "zel.a\\e, Zel.a\\E.ZEL.A\\e; zelxa\\e\U0001f600zel.a\\E")], "req_id long, slot_id int, text string")
     found = spark.createDataFrame([(1, 0, 5, "PERSON", "mask", "rule", "x", "Zel.a\\E")], "req_id long, slot_id int, start int, type string, action string, source string, rule string, text string")
     out = sorted((r.slot_id, r.start, r.end) for r in spans.propagate(slots, found).collect())
     text = slots.where("slot_id = 1").first().text.lower()

@@ -76,7 +76,7 @@ def test_gate(spark):
     own = spark.createDataFrame([(1, "Jane Doering", "PERSON", "declared_term"), (1, "jane doering", "PERSON", "declared_term"), (2, "Zed Zorro", "PERSON", "canary")], "req_id long, text string, type string, code string")
     out = {r.req_id: r for r in gate.gate(payloads, own, b"k").collect()}
     assert [out[i].decision for i in (1, 2, 3)] == ["block", "allow", "block"]
-    assert len(out[1].reasons) == 1 and out[3].reasons[0].startswith("secret_pattern:cloud_access_key_id:")
+    assert len(out[1].reasons) == 1 and out[3].reasons[0].startswith("secret_pattern:aws_access_key_id:")
 
 
 def test_hmac(spark):

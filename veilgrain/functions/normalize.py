@@ -86,6 +86,94 @@ def _mapped(raw: str, fold: bool) -> View:
     return View("".join(chars), tuple(starts), tuple(ends))
 
 
+# Separators, particles and shapes of numbers and names that are written apart.
+_APART = " \t.·・‧\\-_/,'’"
+_NUMBER_TAILS = "입니다|이에요|이고요|이고|이며|이다|이야|이라고|이라|이었|이지|이니|번|으로|로|은|는|이|가|을|를|에|도|만|고|요|야|라고|다"
+_NAME_TAILS = f"{_NUMBER_TAILS}|께서는|께서|에게서|에게|한테|이랑|랑|하고|님|씨|께|와|과|의|이나|나"
+LEAST_SPELLED = 7
+_SYLLABLES = re.compile(rf"(?<![가-힣])[가-힣](?P<gap>[{_APART}]{{1,3}})(?:[가-힣](?P=gap))*[가-힣]+")
+_SPACED_DIGITS = re.compile(r"(?<![\dA-Za-z])\d(?:[ \t]\d){5,}(?:[ \t]?-[ \t]?\d(?:[ \t]\d)*)?(?![\dA-Za-z])")
+_NUMERAL = rf"(?:[{''.join(NUMERALS)}0-9]|(?<![A-Za-z])(?:{'|'.join(NUMBER_WORDS)})(?![A-Za-z]))"
+_SPELLED = re.compile(rf"{_NUMERAL}(?:[ \t\-.()/+_,:]{{0,3}}{_NUMERAL}){{{LEAST_SPELLED - 1},}}", re.IGNORECASE)
+_ONE_NUMERAL = re.compile(_NUMERAL, re.IGNORECASE)
+_NUMBER_TAIL = re.compile(f"(?:{_NUMBER_TAILS})")
+
+
+def _rewritten(view: View, changes: list[tuple[int, int, str]]) -> View:
+    """`view` with ranges (start, end, text) of at most one character each replaced; in order, not overlapping."""
+    if not changes:
+        return view
+    text, starts, ends, at = [], [], [], 0
+    for start, end, new in changes:
+        text += [view.text[at:start], new]
+        starts += [*view.starts[at:start], *([view.starts[start]] if new else [])]
+        ends += [*view.ends[at:start], *([view.ends[end - 1]] if new else [])]
+        at = end
+    return View("".join(text) + view.text[at:], (*starts, *view.starts[at:]), (*ends, *view.ends[at:]))
+
+
+def _joined_syllables(view: View) -> View:
+    """Single syllables with the same separator between them become a word: three with blanks, two with marks.
+    The last one may carry a particle."""
+    changes: list[tuple[int, int, str]] = []
+    for m in _SYLLABLES.finditer(view.text):
+        gap = m["gap"]
+        step = 1 + len(gap)
+        last = m.start() + (len(m[0]) - len(m[0].rpartition(gap)[2]))
+        tail = view.text[last + 1 : m.end()]
+        if tail and not re.fullmatch(_NAME_TAILS, tail):
+            last -= step  # the run ends a syllable earlier
+        count = (last - m.start()) // step + 1
+        if count >= 3 or (count == 2 and gap.strip(" \t")):
+            changes += [(i + 1, i + 1 + k, "") for i in range(m.start(), last, step) for k in (len(gap),)]
+    return _rewritten(view, changes)
+
+
+def _digits_of_numerals(view: View) -> View:
+    """Numbers of at least LEAST_SPELLED numerals become digits, if they stand by themselves and one is spelled."""
+    text, changes = view.text, []
+    for m in _SPELLED.finditer(text):
+        found = list(_ONE_NUMERAL.finditer(text, m.start(), m.end()))
+        # A copula's 이 after the number isn't a 2.
+        while found and found[-1][0] == "이" and "가" <= text[found[-1].end() : found[-1].end() + 1] <= "힣" and _NUMBER_TAIL.match(text, found[-1].start()):
+            found.pop()
+        if len(found) < LEAST_SPELLED or all(x[0] in "0123456789" for x in found):
+            continue
+        before, after = text[found[0].start() - 1 : found[0].start()] if found[0].start() else "", text[found[-1].end() : found[-1].end() + 1]
+        particle = "가" <= after <= "힣" and _NUMBER_TAIL.match(text, found[-1].end())
+        if before.isalnum() or (after.isalnum() and not particle):
+            continue
+        changes += [(x.start(), x.end(), NUMERALS.get(x[0]) or NUMBER_WORDS[x[0].lower()]) for x in found if x[0] not in "0123456789"]
+    return _rewritten(view, changes)
+
+
+def _joined_digits(view: View) -> View:
+    return _rewritten(view, [(m.start() + i, m.start() + i + 1, "") for m in _SPACED_DIGITS.finditer(view.text) for i, c in enumerate(m[0]) if c in " \t"])
+
+
+_ODD = re.compile(f"[{''.join(map(chr, LOOKALIKES))}\u1100-\u11ff\ud7b0-\ud7ff\u00ad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]")
+
+
+def plain_as_written(raw: str) -> bool:
+    """No character of a text stands for another one or is unseen, so only what is written apart or spelled can hide."""
+    return raw.isascii() or (unicodedata.is_normalized("NFKC", raw) and not _ODD.search(raw))
+
+
+def detection_view(raw: str) -> View:
+    """A text as its reader sees it, letters' case kept: look-alikes and full-width characters as plain ones, unseen
+    characters gone, jamo and syllables joined, spelled numbers as digits, digits joined."""
+    own = View(raw, tuple(range(len(raw))), tuple(range(1, len(raw) + 1))) if plain_as_written(raw) else _composed(_mapped(raw, False))
+    return _joined_digits(_digits_of_numerals(_joined_syllables(own)))
+
+
+_HINT = re.compile(rf"\d[ \t]\d[ \t]\d|[가-힣][{_APART}]{{1,3}}[가-힣][{_APART}]|(?<![가-힣])[가-힣][.·・‧\-_/,'’][가-힣]|{_SPELLED.pattern}", re.IGNORECASE)
+
+
+def may_hide(raw: str) -> bool:
+    """Whether `detection_view` can differ from the text; most texts are told here, by one search."""
+    return not plain_as_written(raw) or bool(_HINT.search(raw))
+
+
 def basic_view(raw: str) -> View:
     return _composed(_mapped(raw, True))
 

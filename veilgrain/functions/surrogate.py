@@ -52,14 +52,19 @@ def _made(original: str, kind: str, draw: Draw) -> str | None:
     if kind == "CONTACT":
         if "@" in original:
             return f"{draw.pick(FIRST).lower()}.{draw.pick(LAST).lower()}@example.com"
-        return draw.digits("(555) 555-") + "01" + draw.digits("00")
+        if re.match(r"(?:\+82[ -]?)?0?1[016789]", original.strip()):
+            return "010-0" + draw.digits("000-0000")  # no number in use begins with 0 after the prefix
+        return "(555) 555-01" + draw.digits("00")
     if kind == "FINANCIAL":
         n = sum(c.isdigit() for c in original)
         shape, keep = draw.digits(original), original[-4:]
         made = shape[:-4] + keep if n >= 12 and keep.isdigit() else shape
         return made if n < 12 or not _luhn(re.sub(r"\D", "", made)) else None
     if kind == "ID_NUMBER":
-        return draw.digits(original)
+        made = draw.digits(original)
+        if m := re.fullmatch(r"(\d{2})\d{2}(\d{2}-?\d{7})", made):
+            return m[1] + str(13 + draw.below(7)) + m[2]  # a month that doesn't exist
+        return "666" + made[3:] if re.fullmatch(r"\d{3}-\d{2}-\d{4}", made) else made  # an area never given out
     return None
 
 

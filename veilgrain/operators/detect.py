@@ -21,6 +21,12 @@ SPANS = "start int, end int, text string, type string, action string, source str
 _COMPILED = [(r, re.compile(r.pattern, re.IGNORECASE if r.any_case else 0)) for r in rules.RULES]
 _TOKEN, _URL, _SEGMENT, _ENV = (re.compile(p) for p in (rules.TOKEN, rules.URL, rules.URL_SEGMENT, rules.ENV_KEY))
 _PLACEHOLDER = re.compile(rules.PLACEHOLDER)
+_DIGIT = re.compile(r"\d")
+# Lines of digits, and cues of what they are.
+_DIGIT_LINE = re.compile(r"(?m)^[ \t]*(?P<number>\d[\d \t.\-]{1,24}\d)[ \t]*$")
+_CARD_CUE = re.compile(r"카드|card|결제|payment", re.IGNORECASE)
+_ACCOUNT_CUE = re.compile(r"계좌|account|acct|iban|송금|이체", re.IGNORECASE)
+_ID_CUE = re.compile(r"주민|등록번호|외국인등록|resident|national id|ssn", re.IGNORECASE)
 
 Found = tuple[int, int, str, str, str, str, str]
 
@@ -83,8 +89,10 @@ def rule_spans(text: str, strict_only: bool = False) -> list[Found]:
         if not any(a <= start and end <= b for a, b in taken):
             out.append((start, end, text[start:end], kind, "mask", source, rule))
 
+    low = text.lower()
+    numbers = bool(_DIGIT.search(text))
     for rule, pattern in _COMPILED:
-        if strict_only and not rule.strict:
+        if strict_only and not rule.strict or rule.cues and not any(numbers if c == "0" else c in low for c in rule.cues):
             continue
         for m in pattern.finditer(text):
             group = rule.group if rule.group >= 0 else next((i for i in range(1, (pattern.groups or 0) + 1) if m[i]), 0)
@@ -104,16 +112,45 @@ def rule_spans(text: str, strict_only: bool = False) -> list[Found]:
     return out
 
 
+def number_over_lines(text: str, view: norm.View) -> list[Found]:
+    """Cards, accounts and ID numbers that are written over lines of digits, one below the other."""
+    out: list[Found] = []
+    held: list[re.Match[str]] = []
+
+    def close() -> None:
+        digits = re.sub(r"\D", "", "".join(m["number"] for m in held))
+        kind = (
+            ("ID_NUMBER", "split_rrn") if len(digits) == 13 and rrn_ok(digits) and _ID_CUE.search(text)
+            else ("FINANCIAL", "split_card") if 13 <= len(digits) <= 19 and (luhn_ok(digits) or _CARD_CUE.search(text))
+            else ("FINANCIAL", "split_account") if 10 <= len(digits) <= 16 and _ACCOUNT_CUE.search(text)
+            else None
+        )
+        if len(held) > 1 and kind:
+            start, end = view.raw(held[0].start("number"), held[-1].end("number"))
+            out.append((start, end, text[start:end], kind[0], "mask", "regex", kind[1]))
+
+    for m in _DIGIT_LINE.finditer(view.text):
+        if held and m.start() != held[-1].end() + 1:
+            close()
+            held = []
+        held.append(m)
+    close()
+    return out
+
+
 def hidden_spans(text: str) -> list[Found]:
-    """Rules on the folded view, where what they find isn't found as written."""
-    view = norm._composed(norm._mapped(text, False))
-    if view.text == text:
+    """Values that the rules can't see as written: disguised ones, found in the text as its reader sees it, and
+    numbers over several lines."""
+    changed = norm.may_hide(text)
+    if not changed and not ("\n" in text and _DIGIT_LINE.search(text)):
         return []
-    plain = {f[2] for f in rule_spans(text)}
-    out = []
-    for start, end, value, kind, action, _, rule in rule_spans(view.text):
-        if value not in plain:
-            a, b = view.raw(start, end)
+    view = norm.detection_view(text)
+    out = number_over_lines(text, view)
+    if view.text == text:
+        return out
+    for start, end, value, kind, action, source, rule in rule_spans(view.text):
+        a, b = view.raw(start, end)
+        if source == "regex" and text[a:b] != value:
             out.append((a, b, text[a:b], kind, action, "regex", f"normalized:{rule}"))
     return out
 
@@ -134,7 +171,7 @@ def detected(df: DataFrame, text: str, *keys: str, terms: tuple[tuple[str, str],
             at: list[int] = []
             rows: list[Found] = []
             for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                found = rule_spans(t, strict_only) + (hidden_spans(t) if hidden and not t.isascii() else []) + term_spans(t, terms)
+                found = rule_spans(t, strict_only) + (hidden_spans(t) if hidden else []) + term_spans(t, terms)
                 rows += found
                 at += [i] * len(found)
             own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 SOURCES = ("vault", "user", "regex", "entropy", "rule", "llm", "gliner")
 ACTIONS = ("mask", "generalize", "keep")
 TRUSTED_RULES = ("link:", "entailed")
-BASE_CONFIDENCE = {"vault": 0.99, "user": 0.99, "regex": 0.8, "entropy": 0.6, "rule": 0.6, "llm": 0.5, "gliner": 0.5}
+BASE_CONFIDENCE = {"vault": 1.0, "user": 1.0, "regex": 0.9, "entropy": 0.7, "rule": 0.6, "llm": 0.6, "gliner": 0.6}
 
 
 def priority(value: Column, order: tuple[str, ...]) -> Column:
@@ -21,8 +21,10 @@ def priority(value: Column, order: tuple[str, ...]) -> Column:
 
 def literal_spans(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
     """(keys, start, end, text) of a pattern's matches, inside the JVM: matches are marked, the text is
-    split at the marks, and lengths add up to offsets.  The pattern has no capturing group."""
-    marked = F.split(F.regexp_replace(F.col(text), f"({pattern})", "\u0001$1\u0002"), "\u0001")
+    split at the marks, and lengths add up to offsets.  Marks that the text holds itself count as other
+    characters while it is searched.  The pattern has no capturing group."""
+    own = F.when(F.rlike(F.col(text), F.lit("[\u0001\u0002]")), F.translate(F.col(text), "\u0001\u0002", "\ufffd\ufffd")).otherwise(F.col(text))
+    marked = F.split(F.regexp_replace(own, f"({pattern})", "\u0001$1\u0002"), "\u0001")
     pieces = F.transform(marked, lambda p, i: F.struct(i.alias("i"), F.replace(p, F.lit("\u0002"), F.lit("")).alias("all"), F.when(i > 0, F.substring_index(p, "\u0002", 1)).alias("hit")))
     walked = F.aggregate(
         pieces,
@@ -33,7 +35,8 @@ def literal_spans(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFra
         ),
         lambda a: a["out"],
     )
-    return df.where(F.rlike(F.col(text), F.lit(pattern))).select(*keys, F.explode(walked).alias("s")).select(*keys, "s.start", "s.end", "s.text")
+    found = df.where(F.rlike(F.col(text), F.lit(pattern))).select(*keys, F.explode(walked).alias("s"), F.when(F.rlike(F.col(text), F.lit("[\u0001\u0002]")), F.col(text)).alias("_marked"))
+    return found.select(*keys, "s.start", "s.end", F.when(F.col("_marked").isNull(), F.col("s.text")).otherwise(F.expr("substring(_marked, s.start + 1, s.end - s.start)")).alias("text"))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -75,8 +78,8 @@ def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def propagate(slots: DataFrame, spans: DataFrame, request: str = "req_id") -> DataFrame:
-    """A value found in one slot of a request is searched in all its slots, at every place that no earlier
-    one overlaps; the first span's type and action hold.  Copies of `link:` and entailed spans keep their
+    """A value found in one slot of a request is searched in all its slots, at every place where its Latin ends
+    are ends of words and that no earlier one overlaps; the first span's type and action hold.  Copies of `link:` and entailed spans keep their
     rule, others are `propagated`.
 
     slots: (request, slot_id, text); spans: (request, slot_id, start, type, action, source, rule, text)."""
@@ -84,7 +87,8 @@ def propagate(slots: DataFrame, spans: DataFrame, request: str = "req_id") -> Da
     first = first_seen(spans.withColumn("_value", value).where(F.length("text") >= 2), [request, "_value"], ["slot_id", "start"])
     rule = F.when(F.col("rule").startswith("link:") | F.startswith("rule", F.lit("entailed")), F.col("rule")).otherwise("propagated")
     pairs = slots.alias("t").join(first.select(request, F.col("text").alias("value"), "_value", "type", "action", "source", rule.alias("rule")), request)
-    quoted = F.concat(F.lit("\\Q"), F.col("_value"), F.lit("\\E"))  # lower-cased, so it has no \\E of its own
+    bound = lambda end, mark: F.when(F.rlike("_value", F.lit(end)), mark).otherwise("")
+    quoted = F.concat(bound("^[a-z0-9_]", "(?<![a-z0-9_])"), F.lit("\\Q"), F.col("_value"), F.lit("\\E"), bound("[a-z0-9_]$", "(?![a-z0-9_])"))  # lower-cased, so it has no \\E of its own
     between = F.transform(F.split(F.lower("t.text"), quoted), F.length)  # lengths of what lies between the places
     walked = F.aggregate(
         F.slice(between, 1, F.size(between) - 1),
@@ -112,7 +116,7 @@ def confidence(df: DataFrame, strict_rules: list[str], key: str = "slot_id") ->
     met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.start") < F.col("_e")) & (F.col("_s") < F.col("x.end")))
     sources = met.groupBy(*[F.col(f"x.{c}").alias(c) for c in df.columns]).agg(F.array_sort(F.collect_set("_source")).alias("sources"))
     base = F.coalesce(F.create_map(*[F.lit(v) for kv in BASE_CONFIDENCE.items() for v in kv])[F.col("source")], F.lit(0.5))
-    value = F.when(F.col("rule").isin(*strict_rules), 0.99).when(F.size("sources") > 1, F.least(base + 0.25, F.lit(0.95))).otherwise(base)
+    value = F.when(F.col("rule").isin(*strict_rules), 0.99).when(F.size("sources") > 1, F.round(F.least(base + 0.25, F.lit(0.95)), 2)).otherwise(base)
     return sources.withColumn("confidence", value)
 
 
@@ -132,13 +136,24 @@ def sentences(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def chunked(df: DataFrame, text: str, *keys: str, size: int = 2000, overlap: int = 200) -> DataFrame:
-    """(keys, chunk_no, chunk): paragraphs of at most `size` characters; a longer one is cut into pieces that
-    share `overlap` characters."""
-    paragraphs = df.select(*keys, F.posexplode(F.split(F.col(text), r"\n\n+")).alias("paragraph", "p")).where(F.trim("p") != "")
-    starts = F.when(F.length("p") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("p") - overlap - 1), F.lit(size - overlap)))
-    cut = paragraphs.select(*keys, "paragraph", F.explode(starts).alias("start"), "p").select(*keys, "paragraph", "start", F.substring("p", F.col("start") + 1, F.lit(size)).alias("chunk"))
-    w = Window.partitionBy(*keys).orderBy("paragraph", "start")
-    return cut.select(*keys, F.row_number().over(w).alias("chunk_no"), "chunk")
+    """(keys, chunk_no, chunk): a text of up to `size` characters whole; a longer one in chunks that lines, and the
+    breaks between them, are packed into.  A line that is longer itself is cut into pieces that share `overlap`
+    characters, the last of which others may follow in its chunk.  Null texts have no chunks."""
+    step = size - overlap
+    n = F.length(text)
+    start = F.expr("named_struct('held', '', 'out', cast(array() as array<string>))")
+
+    def pack(acc: Column, piece: Column) -> Column:
+        full = (F.length(acc["held"]) + F.length(piece) > size) & (acc["held"] != "")
+        out = F.when(full, F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
+        cuts = F.when(F.length(piece) > size, F.ceil((F.length(piece) - size) / F.lit(step))).otherwise(0).cast("int")
+        ready = F.when(cuts > 0, F.concat(out, F.transform(F.sequence(F.lit(0), F.greatest(cuts, F.lit(1)) - 1), lambda i: F.substring(piece, i * step + 1, F.lit(size))))).otherwise(out)
+        rest = F.substring(piece, cuts * step + 1, F.length(piece))
+        return F.struct(F.concat(F.when(full, "").otherwise(acc["held"]), rest).alias("held"), ready.alias("out"))
+
+    packed = F.aggregate(F.regexp_extract_all(text, F.lit(r"[^\n]+|\n+"), F.lit(0)), start, pack, lambda acc: F.when(acc["held"] != "", F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
+    cut = df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.when(n <= size, F.array(F.col(text))).otherwise(packed)).alias("at", "chunk"))
+    return cut.select(*keys, (F.col("at") + 1).alias("chunk_no"), "chunk")
 
 
 def word_windows(df: DataFrame, text: str, *keys: str, words: int = 120, back: float = 0.25) -> DataFrame:

@@ -278,7 +278,7 @@ SQL = {
       FROM s x JOIN s y ON x.slot_id = y.slot_id AND x.source = 'llm' AND y.source = 'gliner' AND x.start < y."end" AND y.start < x."end" """,
     "span_confidence": f"""WITH s AS (SELECT DISTINCT slot_id, start, "end", source, CASE WHEN span_no = 1 THEN 'jwt' ELSE 'other' END AS rule, span_no FROM ({_SPANS})),
       m AS (SELECT x.slot_id, x.start, x."end", x.source, x.rule, x.span_no, list_sort(list_distinct(list(y.source))) AS so FROM s x JOIN s y ON x.slot_id = y.slot_id AND x.start < y."end" AND y.start < x."end" GROUP BY ALL)
-      SELECT slot_id, span_no, array_to_string(so, ',') AS sources, CASE WHEN rule = 'jwt' THEN 0.99 ELSE CASE WHEN len(so) > 1 THEN least(b + 0.25, 0.95) ELSE b END END::DOUBLE AS confidence FROM (SELECT *, CASE source WHEN 'vault' THEN 0.99 WHEN 'regex' THEN 0.8 WHEN 'rule' THEN 0.6 ELSE 0.5 END::DOUBLE AS b FROM m)""",
+      SELECT slot_id, span_no, array_to_string(so, ',') AS sources, CASE WHEN rule = 'jwt' THEN 0.99 ELSE CASE WHEN len(so) > 1 THEN round(least(b + 0.25, 0.95), 2) ELSE b END END::DOUBLE AS confidence FROM (SELECT *, CASE source WHEN 'vault' THEN 1.0 WHEN 'regex' THEN 0.9 ELSE 0.6 END::DOUBLE AS b FROM m)""",
     "merged_intervals": f"""SELECT slot_id, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY slot_id ORDER BY start, "end", rn) AS g FROM (SELECT *, CASE WHEN max("end") OVER w IS NULL OR start > max("end") OVER w THEN 1 ELSE 0 END AS fresh FROM (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY start, "end") AS rn FROM ({_SPANS})) WINDOW w AS (PARTITION BY slot_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) GROUP BY slot_id, g""",
     "first_detections": f"SELECT slot_id, type, action, min(span_no) AS span_no FROM ({_SPANS}) GROUP BY slot_id, type, action",
     "quasi_score": "SELECT slot_id, sum(w)::BIGINT AS score FROM (SELECT DISTINCT l_orderkey AS slot_id, l_partkey % 7 AS c, CASE WHEN l_partkey % 7 < 4 THEN 2 ELSE 1 END AS w FROM lineitem) GROUP BY slot_id",

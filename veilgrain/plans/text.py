@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.functions import generalize, rules
@@ -55,7 +55,7 @@ def rule_card(spark: Spark, d: str) -> Frame:
 
 
 def rule_access_key(spark: Spark, d: str) -> Frame:
-    return table(spark, d, "documents").select("doc_id", F.explode(rules.values(F.col("text"), rules.BY_NAME["cloud_access_key_id"])).alias("value"))
+    return table(spark, d, "documents").select("doc_id", F.explode(rules.values(F.col("text"), rules.BY_NAME["aws_access_key_id"])).alias("value"))
 
 
 def rule_password(spark: Spark, d: str) -> Frame:
@@ -64,9 +64,9 @@ def rule_password(spark: Spark, d: str) -> Frame:
 
 def rule_counts(spark: Spark, d: str) -> Frame:
     """Hits of every rule over all documents."""
-    docs = table(spark, d, "documents")
-    per = docs.select(F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.size(rules.values(F.col("text"), r)).alias("n")) for r in rules.RULES])).alias("s"))
-    return per.groupBy(F.col("s.rule").alias("rule")).agg(F.sum("s.n").alias("hits"))
+    docs = table(spark, d, "documents").select(rules.bare(F.col("text")).alias("t")).withColumn("low", F.lower("t"))
+    counts = docs.agg(*[F.sum(F.size(rules.values(F.col("t"), r, F.col("low")))).alias(r.name) for r in rules.RULES])
+    return counts.unpivot([], [r.name for r in rules.RULES], "rule", "hits").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
 def entropy_tokens(spark: Spark, d: str) -> Frame:
@@ -180,12 +180,8 @@ def audit_hashes(spark: Spark, d: str) -> Frame:
 def leak_variants(spark: Spark, d: str) -> Frame:
     """Benchmark items as values, assistant turns and documents as payloads, ASCII variants."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("value"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    held = items.withColumns(scan.ascii_needles(F.col("value"))).agg(F.collect_list(F.struct("item_id", "value", "flat_value", "flat_digits")).alias("items"))
-    near = F.filter("items", lambda x: F.contains("flat", x["flat_value"]) | F.contains("flat", x["flat_digits"]))
-    # Items are exploded after the filter, as the variants' regular expressions would else run on every pair.
-    met = docs.withColumn("flat", scan.ascii_flat(F.col("text"))).crossJoin(F.broadcast(held)).select("doc_id", "text", F.explode(near).alias("i"))
-    return met.select("doc_id", "i.item_id", scan.ascii_variant(F.col("text"), F.col("i.value")).alias("variant")).where("variant is not null")
+    met = scan.candidates(table(spark, d, "documents").select("doc_id", "text"), items, "doc_id", "item_id")
+    return met.select("doc_id", "item_id", scan.ascii_variant(F.col("text"), F.col("value")).alias("variant")).where("variant is not null")
 
 
 def value_kinds(spark: Spark, d: str) -> Frame:
@@ -318,9 +314,8 @@ def request_slots(spark: Spark, d: str) -> Frame:
 
 def distinct_slots(spark: Spark, d: str) -> Frame:
     """Slots with the same text are looked at once."""
-    c = table(spark, d, "documents")
-    w = Window.partitionBy("text")
-    return c.withColumn("copies", F.count("*").over(w)).groupBy("copies").agg(F.count("*").alias("documents"))
+    per = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("copies"))
+    return per.groupBy("copies").agg(F.sum("copies").alias("documents"))
 
 
 def organizations(spark: Spark, d: str) -> Frame:
@@ -397,6 +392,15 @@ SQL = {
     "term_search": r"SELECT term, count(*) AS documents, sum(n)::BIGINT AS places FROM (SELECT t.term, len(regexp_extract_all(regexp_replace(lower(text), '([a-z0-9_])', '\1', 'g'), t.p)) AS n FROM documents, (VALUES ('the and', '\bthe\s+and\b'), ('password', '\bpassword\b'), ('Version 2.0', '\bversion\s+2\.0\b'), ('license', '\blicense\b')) t(term, p)) WHERE n > 0 GROUP BY term",
     "vault_numbers": f"SELECT conv_id, norm, type, number, '<' || type || '_' || number || '>' AS placeholder FROM ({_NUMBERED})",
     "vault_turns": f"SELECT conv_id, norm, type, number, '<' || type || '_' || number || '>' AS placeholder FROM ({_NUMBERED})",
+    "propagated": r"""WITH v AS (SELECT DISTINCT conv_id, lower(unnest(regexp_extract_all(text, '\b[A-Z][a-z]{7,}'))) AS v FROM conversations),
+      p AS (SELECT v.conv_id, v.v, len(regexp_extract_all(lower(c.text), '\b' || v.v || '\b')) AS n FROM v JOIN conversations c ON c.conv_id = v.conv_id)
+      SELECT conv_id AS req_id, sum(n)::BIGINT AS copies, count(DISTINCT v) FILTER (WHERE n > 0) AS terms FROM p GROUP BY conv_id HAVING sum(n) > 0""",
+    "leak_variants": r"""WITH f AS (SELECT doc_id, text AS t, lower(text) AS lt, regexp_replace(lower(text), '\s+', '', 'g') AS wt, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS ft FROM documents),
+      i AS (SELECT item_id, text AS v, lower(text) AS lv, regexp_replace(lower(text), '\s+', '', 'g') AS wv, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS fv FROM benchmark),
+      p AS (SELECT * FROM f JOIN i ON contains(ft, fv)),
+      m AS (SELECT doc_id, item_id, CASE WHEN contains(t, v) AND regexp_matches(t, '(^|[^A-Za-z0-9])' || regexp_escape(v) || '([^A-Za-z0-9]|$)') THEN 'exact' WHEN contains(lt, lv) AND regexp_matches(lt, '(^|[^a-z0-9])' || regexp_escape(lv) || '([^a-z0-9]|$)') THEN 'casefold'
+        WHEN length(wv) >= 8 AND contains(wt, wv) THEN 'whitespace' WHEN length(fv) >= 8 THEN 'alnum' END AS variant FROM p)
+      SELECT * FROM m WHERE variant IS NOT NULL""",
     "restored_turns": "SELECT conv_id, turn, true AS same FROM conversations",
     "skip_model": r"SELECT true AS skip, NOT regexp_matches(text, '\p{L}') AS skip_raw, count(*) AS n FROM conversations GROUP BY 1, 2",
     "conversation_ids": "SELECT conv_id, 'conv_' || substr(sha256(text), 1, 24) AS hashed FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1",
@@ -421,7 +425,11 @@ SQL = {
     "forwarded_keys": "SELECT event_id, '{\"k\":\"' || (props->>'k') || '\"}' AS sent FROM (SELECT event_id, props::JSON AS props FROM events)",
     "request_slots": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS slot_no, role, length(text) AS n_chars FROM conversations",
     "distinct_slots": "SELECT copies, count(*) AS documents FROM (SELECT count(*) OVER (PARTITION BY text) AS copies FROM documents) GROUP BY copies",
-    "document_chunks": r"SELECT doc_id, sum(CASE WHEN n <= 2000 THEN 1 ELSE len(range(0, n - 200, 1800)) END)::BIGINT AS chunks, sum(CASE WHEN n <= 2000 THEN n ELSE list_sum(list_transform(range(0, n - 200, 1800), lambda s: least(2000, n - s))) END)::BIGINT AS characters FROM (SELECT doc_id, length(p) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\n+')) AS p FROM documents) WHERE trim(p) <> '') GROUP BY doc_id",
+    "document_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, length(text) AS n, list_transform(regexp_extract_all(text, '[^\n]+|\n+'), lambda x: length(x)) AS ls FROM documents WHERE text IS NOT NULL),
+      r AS (SELECT doc_id, ls, 0 AS i, 0::BIGINT AS cur, 0::BIGINT AS chunks, 0::BIGINT AS characters FROM l WHERE n > 2000
+        UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN over_full THEN 0 ELSE cur END + x - cuts * 1800, chunks + over_full::INT + cuts, characters + CASE WHEN over_full THEN cur ELSE 0 END + cuts * 2000
+          FROM (SELECT *, ls[i + 1] AS x, cur > 0 AND cur + ls[i + 1] > 2000 AS over_full, CASE WHEN ls[i + 1] > 2000 THEN ceil((ls[i + 1] - 2000) / 1800.0)::BIGINT ELSE 0 END AS cuts FROM r WHERE i < len(ls)))
+      SELECT doc_id, (chunks + (cur > 0)::INT)::BIGINT AS chunks, (characters + cur)::BIGINT AS characters FROM r WHERE i = len(ls) UNION ALL SELECT doc_id, 1, n FROM l WHERE n <= 2000""",
     "quasi_coarsened": "SELECT slot_id, category, phrase FROM (SELECT c_custkey AS slot_id, 'cohort' AS category, 'in the ' || (c_custkey % 30 + 1990) // 10 * 10 || 's' AS phrase FROM customer UNION ALL SELECT c_custkey, 'age', 'in my ' || (c_custkey % 60 + 20) // 10 * 10 || 's' FROM customer UNION ALL SELECT c_custkey, 'role', 'a professional' FROM customer WHERE c_custkey % 3 = 0)",
 }
 SQL = {k: v for k, v in SQL.items() if v}
