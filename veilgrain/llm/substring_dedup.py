@@ -36,7 +36,6 @@ from veilgrain.llm.text import Words, chunks, rolling, small_batches, text_bytes
 WINDOW, GRAM = 20, 4
 MOST_RUN = 32  # windows; longer runs are cut
 HOT = 20_000
-SAMPLE, MOST_CROWDED = 16, 1000  # one document in so many is sampled for crowded anchors; anchors, which bounds the broadcast
 SHARD_WORDS = 1_000_000
 _U = np.uint64
 
@@ -213,13 +212,8 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     plain = keep(joined.select("doc_id", "text_hash", "n_words", "sha256", "is_copy"))
     ref = ("doc_id", "text_hash")
     spots = joined.where("not is_copy").select(*ref, F.explode(F.arrays_zip("anchors", "places")).alias("s")).select(*ref, F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
-    # Anchors that a sample finds crowded don't meet in a window; the sample decides how runs are counted, never what comes out.
-    some = sketch.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SAMPLE)) == 0).select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n"))
-    crowded = keep(some.where(F.col("n") >= max(2, HOT // SAMPLE)).orderBy(F.desc("n"), "anchor").limit(MOST_CROWDED).select("anchor"))
-    marked = spots.join(F.broadcast(crowded.withColumn("crowded", F.lit(True))), "anchor", "left")
     met = F.count("*").over(Window.partitionBy("anchor"))
-    rest = marked.where("crowded is null").withColumn("met", met).where("met > 1").select(*ref, "anchor", "place", (F.col("met") > HOT).alias("hot"))
-    every = rest.unionByName(marked.where("crowded").select(*ref, "anchor", "place", F.lit(True).alias("hot")))
+    every = spots.withColumn("met", met).where("met > 1").select(*ref, "anchor", "place", (F.col("met") > HOT).alias("hot"))
     suspects = every.groupBy(*ref).agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("spots"))
     texts = own.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     held = keep(texts.join(suspects, (F.col("d") == F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select(*ref, "text", "spots"))
