@@ -34,7 +34,7 @@ def _scored(spark: Spark, d: str) -> Frame:
     turns = table(spark, d, "conversations")
     user = turns.where("role = 'user'")
     n = F.length("value")
-    values = _words(user, r"\b[A-Z][a-z]{5,}").withColumns({"is_canary": n % 5 == 0, "is_identity": n % 2 == 0})
+    values = _words(user, r"(?<![A-Za-z0-9_])[A-Z][a-z]{5,}").withColumns({"is_canary": n % 5 == 0, "is_identity": n % 2 == 0})
     outbound = turns.where("role = 'assistant'").select(
         F.col("conv_id").alias("case_id"), (F.floor(F.col("turn") / 2) % 2).cast("int").alias("pass"), F.when(F.col("turn") % 4 == 1, "upstream").otherwise("search").alias("destination"), F.col("text").alias("payload")
     )
@@ -53,8 +53,8 @@ def _scored(spark: Spark, d: str) -> Frame:
         }
     ).drop("_said")
     detections = values.where(n % 4 != 0).select("case_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"), F.sha2("value", 256).alias("text_sha256"), F.when(n % 7 == 0, "keep").otherwise("mask").alias("action"))
-    attributes = _first(_words(user, r"\b[a-z]{9,}\b"), 3).withColumns({"is_identity": F.col("attribute") != 2, "k": F.lit(2)})
-    keeps = _first(_words(user, r"\b[a-z]{7}\b"), 2).select("case_id", "value")
+    attributes = _first(_words(user, r"(?<![A-Za-z0-9_])[a-z]{9,}(?![A-Za-z0-9_])"), 3).withColumns({"is_identity": F.col("attribute") != 2, "k": F.lit(2)})
+    keeps = _first(_words(user, r"(?<![A-Za-z0-9_])[a-z]{7}(?![A-Za-z0-9_])"), 2).select("case_id", "value")
     return scoring.score_cases(records, values, outbound, detections, attributes, keeps)
 
 
