@@ -10,7 +10,8 @@ document of smaller id, or earlier in the same one) are removed.
    the corpus can't repeat and are done with.
 3. Shards: the other runs' words go to the shard of their anchor, so equal windows meet in a shard.
    Of an anchor with more than HOT runs only the first of equal runs goes on (a map-side combined
-   aggregate), split by the hashes of its single windows; all others are repeats as a whole.
+   aggregate); all others are repeats as a whole.  It is split into single windows, of which again only
+   the first of equal ones goes on, to the shard of its own hash: no window fills a shard by itself.
 4. Each shard's distinct runs are indexed (`fm_index`) and streamed through the index by backward
    search; windows that occur earlier are reported as intervals of words.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.llm.fm_index import Index
@@ -196,6 +197,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first of rows of one key with equal words, and the intervals of all others."""
+    place = F.struct("doc_id", "text_hash", "start")
+    firsts = keep(rows.groupBy("shard_key", "words").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    again = rows.join(firsts.where("n > 1"), ["shard_key", "words"]).where(place != F.col("first"))
+    stop = F.col("start") + (F.octet_length("words") / 4).cast("int")
+    return firsts.select("first.*", "shard_key", "words"), again.select("doc_id", "text_hash", "start", stop.alias("stop"))
+
+
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for each row of `docs` (doc_id, text; other columns
     are ignored); `kept` is the remaining words joined by blanks, and is left out without `with_text`.
@@ -211,25 +221,24 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     joined = sketch.join(firsts, "key").withColumn("is_copy", F.struct("doc_id", "text_hash") != F.col("first")).drop("first", "key")
     plain = keep(joined.select("doc_id", "text_hash", "n_words", "sha256", "is_copy"))
     ref = ("doc_id", "text_hash")
-    spots = joined.where("not is_copy").select(*ref, F.explode(F.arrays_zip("anchors", "places")).alias("s")).select(*ref, F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
-    met = F.count("*").over(Window.partitionBy("anchor"))
-    every = spots.withColumn("met", met).where("met > 1").select(*ref, "anchor", "place", (F.col("met") > HOT).alias("hot"))
-    suspects = every.groupBy(*ref).agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("spots"))
+    spots = joined.where("not is_copy").select(*ref, F.explode(F.arrays_zip("anchors", "places")).alias("s"))
+    spots = keep(spots.select(*ref, F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place")))
+    often = spots.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1")
+    often = keep(often.select("anchor", (F.col("met") > HOT).alias("hot")))  # a table, so that the join may split a hot anchor's rows
+    suspects = spots.join(often, "anchor").groupBy(*ref).agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("spots"))
     texts = own.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     held = keep(texts.join(suspects, (F.col("d") == F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select(*ref, "text", "spots"))
     snippets = keep(held.mapInArrow(_snippets, SNIPPETS))
-    hot, place = snippets.where("hot"), F.struct(*ref, "start")
-    firsts = keep(hot.groupBy("shard_key", "words").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    again = hot.join(firsts.where("n > 1"), ["shard_key", "words"]).where(place != F.col("first")).select(*ref, "start", (F.col("start") + F.octet_length("words") / 4).cast("int").alias("stop"))
-    single = firsts.select("first.*", "words").mapInArrow(_split, WINDOWS)
-    snippets = snippets.where("not hot").drop("hot").unionByName(single)
+    runs, again = _parted(snippets.where("hot").drop("hot"))
+    windows, more = _parted(keep(runs.select(*ref, "start", "words").mapInArrow(_split, WINDOWS)))
+    snippets = snippets.where("not hot").drop("hot").unionByName(windows)
     words = snippets.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
     shards = max(1, -(-int(words) // SHARD_WORDS))
-    found = snippets.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).groupBy("shard").applyInArrow(_searched, INTERVALS).unionByName(again)
+    found = snippets.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).groupBy("shard").applyInArrow(_searched, INTERVALS).unionByName(again).unionByName(more)
     cuts = found.groupBy(*ref).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     # Documents with intervals are cut; of all others the outcome is known.
-    cut = keep(held.drop("spots").join(cuts, list(ref)).dropDuplicates(list(ref)).select(*ref, "text", "starts", "stops"))
+    cut = held.drop("spots").join(cuts, list(ref)).dropDuplicates(list(ref)).select(*ref, "text", "starts", "stops")
     done = cut.mapInArrow(_cut, RESULT).withColumnRenamed("n_words", "_n").withColumnRenamed("kept", "_kept")
     done = done if with_text else done.drop("_kept")
     all_rows = plain.join(done, list(ref), "left")
