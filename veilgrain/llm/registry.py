@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from veilgrain.functions.session import table
-from veilgrain.llm import decontaminate, license_scan, line_dedup, mixing, near_dedup, oracles, quality_rules, rule_ensemble, sharding, substring_dedup, toxicity
+from veilgrain.llm import clustering, decontaminate, license_scan, line_dedup, manifest, mixing, near_dedup, oracles, quality_rules, rule_ensemble, sharding, substring_dedup, toxicity, warc
+from veilgrain.llm.scratch import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,8 +56,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.described(*clustering.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), archives)
+    return warc.summary(warc.read(spark, f"{archives}/responses", f"{archives}/revisits"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_quality_rules, op2_license_scan, op3_line_dedup, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_toxicity, op8_near_dedup, op9_mixing, op10_sharding)
+    own = (op1_quality_rules, op2_license_scan, op3_line_dedup, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_toxicity, op8_near_dedup, op9_mixing, op10_sharding, op11_centroid_clustering, op12_merkle_manifest, op13_warc)
     return {q.__name__: q for q in own}
 
 
