@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from veilgrain.functions import generalize, surrogate
 from veilgrain.operators import ensemble, semantic
 from veilgrain.sources import files
-from veilgrain.streaming import state
 
 
 def found(spark, rule, *texts):
@@ -61,22 +60,6 @@ def test_surrogates():
     assert surrogate.fitted_particle("서울", "으로 간다") == "로 간다"
 
 
-def test_released():
-    known = {"<PERSON_1>": "Ann"}
-    out, held = state.released("", "hi <PERS", known, False)
-    assert (out, held) == ("hi ", "<PERS")
-    assert state.released(held, "ON_1> ok <X", known, True) == ("Ann ok <X", "")
-
-
-def test_streams(spark, tmp_path):
-    rows = [{"stream_id": "s", "chunk_no": 0, "text": "hi <PER", "last": False}, {"stream_id": "s", "chunk_no": 1, "text": "SON_1>!", "last": True}]
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
-    stream = spark.readStream.schema("stream_id string, chunk_no long, text string, last boolean").json(str(tmp_path / "in"))
-    out = state.run_available(state.restored(stream, {"<PERSON_1>": "Ann"}), str(tmp_path / "out"))
-    assert "".join(r.text for r in out.orderBy("chunk_no").collect()) == "hi Ann!"
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "b.jsonl").write_text('{"id": "x", "lang": "en", "category": "benign", "messages": [{"role": "user", "content": "hi"}]}\n')

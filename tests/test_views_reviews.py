@@ -162,9 +162,7 @@ def test_repeated_model_spans(spark):
     assert got == [(0, "Bob", "PERSON", "mask", None), (5, "bob", "PERSON", "generalize", "a man")]
 
 
-def test_articles_and_keys(spark):
-    df = spark.createDataFrame([("I'm a ", "a technician"), ("the only ", "an expert"), ("see ", "a nurse"), ("our ", "someone")], "b string, r string")
-    assert [x[0] for x in df.select(requests.fitted_article(F.col("b"), F.col("r"))).collect()] == ["technician", "expert", "a nurse", "someone"]
+def test_json_keys(spark):
     body = '{"id": "id", "x": {"id" :1}}'
     places = [m.span() for m in re.finditer("id", body)]
     df = spark.createDataFrame([(body, a, b) for a, b in places], "t string, a int, b int")

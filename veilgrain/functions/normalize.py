@@ -222,40 +222,77 @@ def needle_digits(term: str) -> str | None:
 
 
 def _every(text: str, needle: str) -> list[int]:
-    return [i for i in range(len(text) - len(needle) + 1) if text.startswith(needle, i)] if needle in text else []
+    out, at = [], text.find(needle)
+    while at >= 0:
+        out.append(at)
+        at = text.find(needle, at + 1)
+    return out
 
 
-def fuzzy_find(text: str, term: str) -> list[tuple[int, int]]:
-    """Raw ranges where a term occurs in compact writing, or as the same digits."""
-    out: list[tuple[int, int]] = []
-    needle = compact(term)
-    latin = lambda c: c.isascii() and c.isalnum()
-    if needle and long_enough(needle):
-        view = compact_view(text)
-        for i in _every(view.text, needle):
-            start, end = view.raw(i, i + len(needle))
-            open_left = not latin(needle[0]) or start == 0 or not latin(text[start - 1])
-            if open_left and (not latin(needle[-1]) or end >= len(text) or not latin(text[end])):
-                out.append((start, end))
-    if wanted := needle_digits(term):
-        out += [run.raw(i, i + len(wanted)) for run in digit_runs(text) for i in _every(run.text, wanted)]
-    return out
+_WORD_CHAR = re.compile("[A-Za-z0-9_]")
 
 
 def term_pattern(term: str) -> re.Pattern[str]:
     """Any case, any blanks between words; ends in Latin letters or digits must be ends of words."""
-    word = lambda c: bool(re.fullmatch("[A-Za-z0-9_]", c))
     parts = term.split()
     if not parts:
         return re.compile("(?!)")
     body = r"\s+".join(map(re.escape, parts))
-    return re.compile((r"(?<![A-Za-z0-9_])" if word(parts[0][0]) else "") + body + (r"(?![A-Za-z0-9_])" if word(parts[-1][-1]) else ""), re.IGNORECASE)
+    return re.compile((r"(?<![A-Za-z0-9_])" if _WORD_CHAR.match(parts[0][0]) else "") + body + (r"(?![A-Za-z0-9_])" if _WORD_CHAR.match(parts[-1][-1]) else ""), re.IGNORECASE)
+
+
+class Searched:
+    """A text in which many terms are looked for: its compact form and its numbers are made once, when needed."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._compact: View | None = None
+        self._runs: list[View] | None = None
+
+    @property
+    def compact(self) -> View:
+        if self._compact is None:
+            if self.text.isascii():
+                at = [i for i, c in enumerate(self.text) if c.isalnum()]
+                self._compact = View("".join(self.text[i] for i in at).lower(), tuple(at), tuple(i + 1 for i in at))
+            else:
+                self._compact = compact_view(self.text)
+        return self._compact
+
+    @property
+    def runs(self) -> list[View]:
+        if self._runs is None:
+            self._runs = digit_runs(self.text)
+        return self._runs
+
+    def variants(self, term: str) -> list[tuple[int, int]]:
+        """Raw ranges where a term occurs in compact writing, or as the same digits."""
+        out: list[tuple[int, int]] = []
+        text, needle = self.text, compact(term)
+        latin = lambda c: c.isascii() and c.isalnum()
+        if needle and long_enough(needle):
+            view = self.compact
+            for i in _every(view.text, needle):
+                start, end = view.raw(i, i + len(needle))
+                open_left = not latin(needle[0]) or start == 0 or not latin(text[start - 1])
+                if open_left and (not latin(needle[-1]) or end >= len(text) or not latin(text[end])):
+                    out.append((start, end))
+        if wanted := needle_digits(term):
+            out += [run.raw(i, i + len(wanted)) for run in self.runs for i in _every(run.text, wanted)]
+        return out
+
+    def places(self, term: str) -> list[tuple[int, int]]:
+        """All raw ranges of a term of at least two characters, as written or in a variant."""
+        term = term.strip()
+        return sorted({m.span() for m in term_pattern(term).finditer(self.text)} | set(self.variants(term))) if len(term) >= 2 else []
+
+
+def fuzzy_find(text: str, term: str) -> list[tuple[int, int]]:
+    return Searched(text).variants(term)
 
 
 def find_term(text: str, term: str) -> list[tuple[int, int]]:
-    """All raw ranges of a term of at least two characters, as written or in a variant."""
-    term = term.strip()
-    return sorted({m.span() for m in term_pattern(term).finditer(text)} | set(fuzzy_find(text, term))) if len(term) >= 2 else []
+    return Searched(text).places(term)
 
 
 def from_base64(token: str) -> str | None:

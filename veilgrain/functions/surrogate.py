@@ -13,7 +13,13 @@ FIRST = "Alex Robin Jamie Casey Morgan Taylor Jordan Riley Quinn Avery Rowan Sky
 LAST = "Marsh Calloway Benton Fairfax Holloway Kestrel Lindqvist Mercer Norwood Pemberton Quill Thornton".split()
 KO_SURNAMES, KO_GIVEN = "김이박최정강조윤장임", "서준 하윤 도현 지안 시우 예린 민재 수아 건우 다온".split()
 ORG_STEMS = "Northmere Brightwell Calderstone Eastvale Harborline Silverbrook".split()
-PARTICLES = (("이라고", "라고"), ("이라는", "라는"), ("이었다", "였다"), ("이에요", "예요"), ("이랑", "랑"), ("이나", "나"), ("이며", "며"), ("이고", "고"), ("으로", "로"), ("과", "와"), ("은", "는"), ("을", "를"), ("이", "가"))
+PARTICLES = (
+    ("이라고", "라고"), ("이라는", "라는"), ("이라서", "라서"),
+    ("이었다", "였다"), ("이었고", "였고"), ("이에요", "예요"),
+    ("이랑", "랑"), ("이나", "나"), ("이며", "며"), ("이고", "고"), ("이야", "야"),
+    ("으로", "로"), ("과", "와"), ("은", "는"), ("을", "를"), ("이", "가"), ("아", "야"),
+)
+CONTINUED = ("의", "는", "도", "만", "서", "써", "부터", "")  # what may follow a particle
 DIGIT_FINALS = {"0": 21, "1": 8, "3": 16, "6": 1, "7": 8, "8": 8}
 ATTEMPTS = 16
 
@@ -89,15 +95,15 @@ def final_consonant(word: str) -> int | None:
     return DIGIT_FINALS.get(last, 0) if last.isdigit() else None
 
 
+_FORMS = {form: pair for pair in reversed(PARTICLES) for form in pair}  # of a form that two pairs have, the earlier one
+_PARTICLE = re.compile(rf"({'|'.join(sorted(_FORMS, key=len, reverse=True))})(?:{'|'.join(filter(None, CONTINUED))})?(?![가-힣])")
+
+
 def fitted_particle(word: str, following: str) -> str:
     """`following` with the particle at its beginning as `word` asks for it."""
     final = final_consonant(word)
-    if final is None:
+    if final is None or not (m := _PARTICLE.match(following)):
         return following
-    for consonant, vowel in PARTICLES:
-        for form in (consonant, vowel):
-            rest = following[len(form) :]
-            if following.startswith(form) and not (rest and "가" <= rest[0] <= "힣"):
-                want = vowel if (final in (0, 8) if consonant == "으로" else final == 0) else consonant
-                return want + rest
-    return following
+    consonant, vowel = _FORMS[m[1]]
+    plain = final in (0, 8) if consonant == "으로" else final == 0
+    return (vowel if plain else consonant) + following[m.end(1) :]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.functions import normalize as norm
-from veilgrain.operators import detect
+from veilgrain.operators import detect, scan
 
 
 def hmac_sha256(message: Column, key: bytes) -> Column:
@@ -88,9 +88,14 @@ def gate(payloads: DataFrame, protected: DataFrame, key: bytes, request: str = "
 
 
 def scrubbed(text: Column, originals: Column) -> Column:
-    """Metadata without originals, longest first."""
-    ordered = F.transform(F.array_sort(F.transform(originals, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
-    return F.aggregate(ordered, text, lambda a, v: F.when(F.length(v) > 0, F.replace(a, v, F.lit("[redacted]"))).otherwise(a))
+    """A text without any of `originals` of at least two characters, in any case, with any blanks, Latin ends being
+    ends of words.  One pass, the longest first at each place, so what was put in is never looked at again."""
+    own = F.filter(F.transform(originals, lambda v: F.trim(v)), lambda v: F.length(v) >= 2)
+    longest = F.transform(F.array_sort(F.transform(own, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
+    edge = lambda v, at, mark: F.when(F.rlike(v, F.lit(at)), mark).otherwise("")
+    spaced = lambda v: F.regexp_replace(scan.quoted(v), r"\s+", r"\\s+")
+    each = F.transform(longest, lambda v: F.concat(edge(v, "^[A-Za-z0-9_]", "(?<![A-Za-z0-9_])"), spaced(v), edge(v, "[A-Za-z0-9_]$", "(?![A-Za-z0-9_])")))
+    return F.when(F.size(own) > 0, F.regexp_replace(text, F.concat(F.lit("(?iu)(?:"), F.array_join(each, "|"), F.lit(")")), F.lit("[REDACTED]"))).otherwise(text)
 
 
 def latest(audit: DataFrame, key: str = "request_id", at: str = "created_at") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +19,31 @@ def recent(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
 
 def admitted(events: DataFrame, key: str, at: str, limit: int, seconds: int, tie: str) -> DataFrame:
     """(key, tie, at, admitted, retry_after): exact replay of a sliding limiter, in which only admitted hits
-    count.  It is recursive, so each key's hits are folded in order of time as one array."""
-    hits = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(tie).alias("tie"))))
-    window = seconds * 1_000_000
-    start = F.expr(f"named_struct('held', cast(array() as array<bigint>), 'out', cast(array() as array<struct<at:bigint,tie:{dict(events.dtypes)[tie]},ok:boolean,wait:double>>))")
-
-    def step(acc: Column, h: Column) -> Column:
-        live = F.filter(acc["held"], lambda t: h["at"] - t < window)
-        ok = F.size(live) < limit
-        wait = F.when(~ok, (window - (h["at"] - F.element_at(live, 1))) / 1e6)
-        row = F.struct(h["at"].alias("at"), h["tie"].alias("tie"), ok.alias("ok"), wait.alias("wait"))
-        return F.struct(F.when(ok, F.concat(live, F.array(h["at"]))).otherwise(live).alias("held"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = events.groupBy(key).agg(hits.alias("hits")).select(key, F.explode(F.aggregate("hits", start, step, lambda a: a["out"])).alias("r"))
-    return folded.select(key, F.col("r.tie").alias(tie), F.timestamp_micros("r.at").alias(at), F.col("r.ok").alias("admitted"), F.col("r.wait").alias("retry_after"))
+    count.  It is recursive, so a key's hits pass in order of time; only the admitted ones in the window, `limit` at
+    most, are held."""
+    kinds, window = dict(events.dtypes), seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = None, deque()
+        for batch in batches:
+            ok, wait = [], []
+            for name, now in zip(batch.column(key).to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                if known != (name,):
+                    known = (name,)
+                    held.clear()
+                while held and now - held[0] >= window:
+                    held.popleft()
+                ok.append(len(held) < limit)
+                wait.append(None if ok[-1] else (window - (now - held[0])) / 1e6 if held else float("inf"))
+                if ok[-1]:
+                    held.append(now)
+            columns = [batch.column(c) for c in (key, tie, "_at")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ok, pa.bool_()), pa.array(wait, pa.float64())], [key, tie, "_at", "admitted", "retry_after"])
+
+    hits = events.where(F.col(at).isNotNull()).select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"))
+    placed = hits.repartition(key).sortWithinPartitions(key, "_at", tie)
+    out = placed.mapInArrow(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, _at long, admitted boolean, retry_after double")
+    return out.select(key, tie, F.timestamp_micros("_at").alias(at), "admitted", "retry_after")
 
 
 def spent(events: DataFrame, at: str, cost: str, budget: float, tie: str, *keys: str) -> DataFrame:

@@ -28,10 +28,12 @@ def within_declared(spans: DataFrame, key: str = "slot_id") -> DataFrame:
 
 
 def is_json_key(text: Column, start: Column, end: Column) -> Column:
-    """A place in JSON text is an object's key, so schema: quoted, with a colon after and `{` or `,` before."""
-    before = F.substring(text, start, F.lit(1))
-    ahead = F.regexp_replace(F.substring(text, F.greatest(start - 2, F.lit(1)), F.least(start - 1, F.lit(2))), r"\s+", "")
-    return (start > 0) & (before == '"') & F.rlike(F.substring(text, end + 1, F.lit(24)), F.lit(r'^"\s*:')) & ((ahead == "") | F.rlike(ahead, F.lit(r"[{,]$")))
+    """A place in JSON text is an object's key, so schema: quoted, with a colon after and `{` or `,` before, whatever
+    blanks are between."""
+    quoted = F.substring(text, start, F.lit(1)) == '"'
+    after = F.ltrim(F.translate(F.substring(text, end + 2, F.length(text)), "\n\r\t", "   "))
+    before = F.rtrim(F.translate(F.substring(text, F.lit(1), start - 1), "\n\r\t", "   "))
+    return (start > 0) & quoted & (F.substring(text, end + 1, F.lit(1)) == '"') & F.startswith(after, F.lit(":")) & ((before == "") | F.rlike(before, F.lit(r"[{,]$")))
 
 
 def snippet(text: Column, start: Column, end: Column, context: int = 24) -> Column:

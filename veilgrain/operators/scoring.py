@@ -4,43 +4,57 @@ Everything joins on the case: payloads meet only their own case's values, so no
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veilgrain.operators import gate, metrics, quasi, scan
 
 RECORD = ("case_id", "pass")
+NOT_MASKING = ("keep", "allow", "none", "pass", "")  # fixed values: actions that leave a value as it is
+
+
+@F.pandas_udf(StringType())
+def nfkc(value: pd.Series) -> pd.Series:
+    """The compatibility form, trimmed."""
+    return value.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip())
 
 
 def hash_candidates(value: Column, key: bytes | None = None) -> Column:
-    """Hashes under which a value may be on record: of its text as given and trimmed, plain and keyed."""
-    forms = F.array_distinct(F.filter(F.array(value, F.trim(value)), lambda v: v != ""))
+    """Hashes under which a value may be on record: of its text as given, trimmed, and in NFKC, plain and keyed."""
+    forms = F.array_distinct(F.filter(F.array(value, F.trim(value), nfkc(value)), lambda v: v != ""))
     plain = F.transform(forms, lambda v: F.sha2(v, 256))
     return F.concat(plain, F.transform(forms, lambda v: gate.hmac_sha256(v, key))) if key else plain
 
 
 def found(outbound: DataFrame, needles: DataFrame) -> DataFrame:
-    """(case_id, pass, destination, value, variant): the strictest variant of each case's `needles` (case_id, value)
-    in each of its payloads, `outbound` being (case_id, pass, destination, payload)."""
-    met = outbound.join(needles.select("case_id", "value").distinct(), "case_id")
-    return met.select(*RECORD, "destination", "value", scan.ascii_variant(F.col("payload"), F.col("value")).alias("variant")).where("variant is not null")
+    """(case_id, pass, destination, value, variant, kept): the strictest variant of each case's `needles` (case_id,
+    value) in each of its payloads, `outbound` being (case_id, pass, destination, payload).  A payload that is JSON
+    is searched leaf by leaf, unescaped; what is only found in a decoded layer says so in its variant.  A
+    payload travels once with all values of its case."""
+    wanted = needles.groupBy("case_id").agg(F.collect_set("value").alias("values"))
+    return scan.scanned_values(outbound.join(wanted, "case_id"), *RECORD, "destination")
 
 
 def value_outcomes(values: DataFrame, hits: DataFrame, detections: DataFrame, records: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row for each record and value: leaked, exact, detected, attributed and outcome.
 
     values: (case_id, value, is_canary, is_identity); detections: (case_id, pass, text_sha256); records: (case_id, pass,
-    status, gate_decision, reasons).  A detection counts if it recorded one of the value's hashes; the gate's
-    reasons if one holds the first twelve digits of such a hash."""
+    status, gate_decision, reasons, block_reasons).  A detection counts if it recorded one of the value's hashes; the
+    reasons of the gate, or of the block, if one holds the first twelve digits of such a hash."""
     leaked = hits.groupBy(*RECORD, "value").agg(F.lit(True).alias("leaked"), F.bool_or(F.col("variant") == "exact").alias("exact"))
-    hashed = values.select("case_id", "value", F.explode(hash_candidates(F.col("value"), key)).alias("text_sha256"))
+    values = values.withColumn("_hashes", hash_candidates(F.col("value"), key))
+    hashed = values.select("case_id", "value", F.explode("_hashes").alias("text_sha256"))
     detected = detections.select(*RECORD, "text_sha256").distinct().join(hashed, ["case_id", "text_sha256"]).select(*RECORD, "value", F.lit(True).alias("detected")).distinct()
-    said = F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), " ")
+    none = F.array().cast("array<string>")
+    said = F.array_join(F.concat(*[F.coalesce(c, none) for c in ("reasons", "block_reasons") if c in records.columns]), " ")
     rows = records.join(values, "case_id").join(leaked, [*RECORD, "value"], "left").join(detected, [*RECORD, "value"], "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("leaked", "exact", "detected")})
-    rows = rows.withColumn("attributed", F.exists(hash_candidates(F.col("value"), key), lambda h: F.contains(said, F.substring(h, 1, 12))))
+    rows = rows.withColumn("attributed", F.exists("_hashes", lambda h: F.contains(said, F.substring(h, 1, 12)))).drop("_hashes")
     blocked = (F.col("status") == "blocked") | F.coalesce(F.col("gate_decision") == "block", F.lit(False))
     return rows.withColumn("outcome", metrics.outcome(F.col("leaked"), F.col("detected"), blocked))
 
@@ -50,7 +64,8 @@ def score_cases(records: DataFrame, values: DataFrame, outbound: DataFrame, dete
 
     attributes: (case_id, attribute, value, is_identity, k), a row for each surface form of a quasi-identifier;
     keeps: (case_id, value) that should reach the destination, of which only lenient writings in undecoded
-    payloads count.  What was never sent can't be missing: must_keep_missing is null without payloads."""
+    payloads count.  What was never sent can't be missing: must_keep_missing is null without payloads.  A record of
+    an error has no scores: they are null."""
     needles = reduce(DataFrame.union, [x.select("case_id", "value") for x in (values, attributes, keeps)])
     hits = found(outbound, needles)
     per_value = value_outcomes(values, hits, detections, records, key)
@@ -73,9 +88,9 @@ def score_cases(records: DataFrame, values: DataFrame, outbound: DataFrame, dete
     per_place = met.groupBy(*RECORD, "destination").agg(F.count_distinct("attribute").alias("n"), F.count_distinct(F.when(F.col("is_identity"), F.col("attribute"))).alias("n_identity"))
     of_quasi = per_place.groupBy(*RECORD).agg(F.max("n").alias("_found"), F.max("n_identity").alias("_found_identity"))
     kept = keeps.groupBy("case_id").agg(F.count_distinct("value").alias("must_keep_total"))
-    there = hits.where(F.col("variant").isin(*scan.KEEP_VARIANTS)).join(keeps.distinct(), ["case_id", "value"]).groupBy(*RECORD).agg(F.count_distinct("value").alias("_kept"))
+    there = hits.where("kept").join(keeps.distinct(), ["case_id", "value"]).groupBy(*RECORD).agg(F.count_distinct("value").alias("_kept"))
     sent = outbound.groupBy(*RECORD).agg(F.count("*").alias("n_outbound"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "destination", "payload"))), "\n"), 256).alias("outbound_hash"))
-    masking = detections.where(~F.lower("action").isin("keep", "kept", "none")).groupBy(*RECORD).agg(F.count("*").alias("masking_detections"))
+    masking = detections.where(~F.lower(F.coalesce("action", F.lit("none"))).isin(*NOT_MASKING)).groupBy(*RECORD).agg(F.count("*").alias("masking_detections"))
     out = records.join(of_values, [*RECORD], "left").join(size, "case_id", "left").join(of_quasi, [*RECORD], "left").join(kept, "case_id", "left")
     out = out.join(there, [*RECORD], "left").join(sent, [*RECORD], "left").join(masking, [*RECORD], "left")
     zero, no = ("n_values", "n_values_leaked", "canary_count", "n_missed_leaked", "n_gate_saved", "n_attributed", "_found", "_found_identity", "must_keep_total", "_kept", "masking_detections"), ("exact_leaked", "canary_leaked", "_has_value", "_value_leaked")
@@ -93,7 +108,9 @@ def score_cases(records: DataFrame, values: DataFrame, outbound: DataFrame, dete
             "must_keep_missing": F.when(F.col("n_outbound").isNotNull(), F.col("must_keep_total") - F.col("_kept")),
         }
     )
-    return out.drop("_has_value", "_value_leaked", "_size", "_identity", "k", "_identity_k", "_found", "_found_identity", "_kept", "n_outbound", "reasons", "gate_decision")
+    scores = ("n_values", "n_values_leaked", "exact_leaked", "canary_count", "canary_leaked", "n_missed_leaked", "n_gate_saved", "n_attributed", "blocked", "has_quasi", "quasi_reid", "leaked", "has_identity", "identity_leaked", "must_keep_total", "must_keep_missing", "masking_detections", "outbound_hash")
+    out = out.withColumns({c: F.when(F.col("status") != "error", F.col(c)) for c in scores})
+    return out.drop("block_reasons", "_has_value", "_value_leaked", "_size", "_identity", "k", "_identity_k", "_found", "_found_identity", "_kept", "n_outbound", "reasons", "gate_decision")
 
 
 def attribute_match(forms: Column, guesses: Column) -> Column:

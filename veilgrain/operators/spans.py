@@ -3,9 +3,14 @@ structs; offsets count code points."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgrain.functions import normalize as norm
+
 # Priorities that break ties.
 SOURCES = ("vault", "user", "regex", "entropy", "rule", "llm", "gliner")
 ACTIONS = ("mask", "generalize", "keep")
@@ -19,11 +24,12 @@ def priority(value: Column, order: tuple[str, ...]) -> Column:
     return F.when(found > 0, found - 1).otherwise(F.lit(9)).cast("int")
 
 
-def literal_spans(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
-    """(keys, start, end, text) of a pattern's matches, inside the JVM: matches are marked, the text is
-    split at the marks, and lengths add up to offsets.  Marks that the text holds itself count as other
-    characters while it is searched.  The pattern has no capturing group."""
-    own = F.when(F.rlike(F.col(text), F.lit("[\u0001\u0002]")), F.translate(F.col(text), "\u0001\u0002", "\ufffd\ufffd")).otherwise(F.col(text))
+def matches(text: Column, pattern: str) -> Column:
+    """A pattern's matches as an array of (start, end, text), inside the JVM: matches are marked, the text is split at
+    the marks, and lengths add up to offsets.  Marks that the text holds itself count as other characters while
+    it is searched.  The pattern has no capturing group."""
+    odd = F.rlike(text, F.lit("[\u0001\u0002]"))
+    own = F.when(odd, F.translate(text, "\u0001\u0002", "\ufffd\ufffd")).otherwise(text)
     marked = F.split(F.regexp_replace(own, f"({pattern})", "\u0001$1\u0002"), "\u0001")
     pieces = F.transform(marked, lambda p, i: F.struct(i.alias("i"), F.replace(p, F.lit("\u0002"), F.lit("")).alias("all"), F.when(i > 0, F.substring_index(p, "\u0002", 1)).alias("hit")))
     walked = F.aggregate(
@@ -35,8 +41,14 @@ def literal_spans(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFra
         ),
         lambda a: a["out"],
     )
-    found = df.where(F.rlike(F.col(text), F.lit(pattern))).select(*keys, F.explode(walked).alias("s"), F.when(F.rlike(F.col(text), F.lit("[\u0001\u0002]")), F.col(text)).alias("_marked"))
-    return found.select(*keys, "s.start", "s.end", F.when(F.col("_marked").isNull(), F.col("s.text")).otherwise(F.expr("substring(_marked, s.start + 1, s.end - s.start)")).alias("text"))
+    raw = F.transform(walked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+    return F.when(odd, raw).otherwise(walked)
+
+
+def literal_spans(df: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
+    """(keys, start, end, text) of a pattern's matches, a row each; see `matches`."""
+    found = df.where(F.rlike(F.col(text), F.lit(pattern))).select(*keys, F.explode(matches(F.col(text), pattern)).alias("s"))
+    return found.select(*keys, "s.start", "s.end", "s.text")
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -78,26 +90,38 @@ def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def propagate(slots: DataFrame, spans: DataFrame, request: str = "req_id") -> DataFrame:
-    """A value found in one slot of a request is searched in all its slots, at every place where its Latin ends
-    are ends of words and that no earlier one overlaps; the first span's type and action hold.  Copies of `link:` and entailed spans keep their
-    rule, others are `propagated`.
-
-    slots: (request, slot_id, text); spans: (request, slot_id, start, type, action, source, rule, text)."""
-    value = F.lower(F.trim("text"))
-    first = first_seen(spans.withColumn("_value", value).where(F.length("text") >= 2), [request, "_value"], ["slot_id", "start"])
+    """(request, slot_id, start, end, type, action, source, rule, text): every place, in all slots of a request, of each
+    value that one of its spans has, as written or in a variant (`normalize.Searched`); offsets are those of the raw
+    text.  Spans that keep their value count for nothing.  The first other span's type and action hold.  Copies
+    of `link:` and entailed spans keep their rule, others are `propagated`.
+
+    slots: (request, slot_id, text); spans: (request, slot_id, start, type, action, source, rule, text).  A slot's
+    text travels once, with the values of its request."""
+    kinds = dict(slots.dtypes)
     rule = F.when(F.col("rule").startswith("link:") | F.startswith("rule", F.lit("entailed")), F.col("rule")).otherwise("propagated")
-    pairs = slots.alias("t").join(first.select(request, F.col("text").alias("value"), "_value", "type", "action", "source", rule.alias("rule")), request)
-    bound = lambda end, mark: F.when(F.rlike("_value", F.lit(end)), mark).otherwise("")
-    quoted = F.concat(bound("^[a-z0-9_]", "(?<![a-z0-9_])"), F.lit("\\Q"), F.col("_value"), F.lit("\\E"), bound("[a-z0-9_]$", "(?![a-z0-9_])"))  # lower-cased, so it has no \\E of its own
-    between = F.transform(F.split(F.lower("t.text"), quoted), F.length)  # lengths of what lies between the places
-    walked = F.aggregate(
-        F.slice(between, 1, F.size(between) - 1),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda a, n: F.struct((a["at"] + n + F.length("_value")).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")),
-        lambda a: a["out"],
-    )
-    found = pairs.where("_value <> ''").where(F.contains(F.lower("t.text"), F.col("_value"))).withColumn("start", F.explode(walked))
-    return found.select(request, "slot_id", "start", (F.col("start") + F.length("_value")).alias("end"), "type", "action", "source", "rule", F.col("value").alias("text"))
+    active = spans.where((F.col("action") != "keep") & (F.length(F.trim("text")) >= 2))
+    values = active.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("slot_id", "start", "type", "action", "source", rule.alias("rule"), "text"))).alias("_values"))
+    fields = ("type", "action", "source", "rule", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for i, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_values").to_pylist(), strict=True)):
+                first: dict[str, dict] = {}
+                for v in found:
+                    first.setdefault(norm.normalize(v["text"]), v)
+                searched = norm.Searched(text)
+                for v in first.values():
+                    for start, end in searched.places(v["text"]):
+                        at.append(i)
+                        rows.append((start, end, *(v[f] for f in fields)))
+            own = batch.select([request, "slot_id"]).take(pa.array(at, pa.int64()))
+            made = [pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.string()) for k in range(2 + len(fields))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *made], [request, "slot_id", "start", "end", *fields])
+
+    met = slots.where("text is not null").select(request, "slot_id", "text").join(values, request)
+    return met.mapInArrow(run, f"{request} {kinds[request]}, slot_id {kinds['slot_id']}, start int, end int, type string, action string, source string, rule string, text string")
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str = "slot_id") -> DataFrame:

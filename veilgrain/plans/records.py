@@ -30,13 +30,14 @@ def _first(words: Frame, n: int) -> Frame:
 
 
 def _scored(spark: Spark, d: str) -> Frame:
-    """Conversations as cases: capitalised words of user turns are protected, assistant turns are what was sent."""
+    """Conversations as cases: capitalised words of user turns are protected; assistant turns are what was sent, most
+    of them as JSON bodies."""
     turns = table(spark, d, "conversations")
     user = turns.where("role = 'user'")
     n = F.length("value")
     values = _words(user, r"(?<![A-Za-z0-9_])[A-Z][a-z]{5,}").withColumns({"is_canary": n % 5 == 0, "is_identity": n % 2 == 0})
     outbound = turns.where("role = 'assistant'").select(
-        F.col("conv_id").alias("case_id"), (F.floor(F.col("turn") / 2) % 2).cast("int").alias("pass"), F.when(F.col("turn") % 4 == 1, "upstream").otherwise("search").alias("destination"), F.col("text").alias("payload")
+        F.col("conv_id").alias("case_id"), (F.floor(F.col("turn") / 2) % 2).cast("int").alias("pass"), F.when(F.col("turn") % 4 == 1, "upstream").otherwise("search").alias("destination"), F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.to_json(F.struct(F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("messages")))).alias("payload")
     )
     said = values.where(n % 3 == 0).groupBy("case_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("vault:TERM:"), F.substring(F.sha2("value", 256), 1, 12)))).alias("_said"))
     c = F.col("case_id")
@@ -47,12 +48,13 @@ def _scored(spark: Spark, d: str) -> Frame:
             "lang": F.when(c % 2 == 0, "ko").otherwise("en"),
             "status": F.when((c % 7 == 0) & (F.col("pass") == 1), "blocked").when((c % 13 == 0) & (F.col("pass") == 0), "error").otherwise("ok"),
             "gate_decision": F.when(c % 5 == 0, "block").otherwise("allow"),
-            "reasons": F.when(c % 5 == 0, F.col("_said")),
+            "reasons": F.when(c % 10 == 0, F.col("_said")),
+            "block_reasons": F.when(c % 10 == 5, F.col("_said")),
             "overhead_ms": c * 1.5,
             "client_ms": c * 2.0,
         }
     ).drop("_said")
-    detections = values.where(n % 4 != 0).select("case_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"), F.sha2("value", 256).alias("text_sha256"), F.when(n % 7 == 0, "keep").otherwise("mask").alias("action"))
+    detections = values.where(n % 4 != 0).select("case_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pass"), F.sha2("value", 256).alias("text_sha256"), F.when(n % 7 == 0, "keep").when(n == 9, "Allow").when(n == 10, "pass").when(n == 11, F.lit(None)).when(n == 13, "generalize").otherwise("mask").alias("action"))
     attributes = _first(_words(user, r"(?<![A-Za-z0-9_])[a-z]{9,}(?![A-Za-z0-9_])"), 3).withColumns({"is_identity": F.col("attribute") != 2, "k": F.lit(2)})
     keeps = _first(_words(user, r"(?<![A-Za-z0-9_])[a-z]{7}(?![A-Za-z0-9_])"), 2).select("case_id", "value")
     return scoring.score_cases(records, values, outbound, detections, attributes, keeps)
@@ -167,17 +169,34 @@ def placeholder_legends(spark: Spark, d: str) -> Frame:
     return s.groupBy("slot_id").agg(requests.legend(F.collect_list("said")).alias("legend"))
 
 
-DEPARTMENTS = (("Data Platform", "engineering"), ("HR ops", "HR"), ("R&D lab", "engineering"), ("kitchen", None), ("해외영업 2팀", "sales"), ("Tax and legal", "finance"), ("waiting", None))
+#: Words that part names are given as departments: three of them each, so most rows of FUNCTIONS are met.
+UNITS = ("data", "legal", "HR", "kitchen", "영업", "R&D", "sales", "sre", "garden", "품질", "brand", "물류", "ward", "it", "street", "감사", "lab", "admin", "security", "design")
 
 
 def department_functions(spark: Spark, d: str) -> Frame:
-    said = F.element_at(F.array(*[F.lit(x) for x, _ in DEPARTMENTS]), (F.col("p_partkey") % len(DEPARTMENTS) + 1).cast("int"))
-    return table(spark, d, "part").groupBy(said.alias("department"), requests.function_of(said).alias("function")).agg(F.count("*").alias("n"))
+    """Functions of departments whose names are made of a part's own words and of UNITS."""
+    word = lambda n: F.element_at(F.array(*map(F.lit, UNITS)), (F.col("p_partkey") % n + 1).cast("int"))
+    said = table(spark, d, "part").select(F.concat_ws(" ", F.split_part("p_type", F.lit(" "), F.lit(1)), word(len(UNITS)), F.split_part("p_name", F.lit(" "), F.lit(1)), word(7)).alias("department"))
+    return said.groupBy(requests.function_of(F.col("department")).alias("function"), requests.function_of(F.col("department"), "ko").alias("ko")).agg(F.count("*").alias("n"))
 
 
 def request_chars(spark: Spark, d: str) -> Frame:
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
-    return turns.select("conv_id", requests.input_chars(F.col("messages")).alias("chars"))
+    """Contents as texts, as parts, missing and null, with and without arguments of calls."""
+    t, text = F.col("turn"), F.to_json(F.array("text"))
+    one = F.regexp_extract(text, r"(?s)^\[(.*)\]$", 1)
+    content = F.when(t % 3 == 0, one).when(t % 3 == 1, F.concat(F.lit('[{"type": "text", "text": '), one, F.lit('}, {"type": "image"}]'))).otherwise("null")
+    calls = F.when(t % 4 == 2, F.concat(F.lit(', "tool_calls": [{"function": {"name": "f", "arguments": '), one, F.lit("}}]"))).otherwise("")
+    message = F.concat(F.lit('{"role": "'), F.col("role"), F.when(t % 7 == 6, "").otherwise(F.concat(F.lit('", "content": '), content)), F.when(t % 7 == 6, '"').otherwise(""), calls, F.lit("}"))
+    bodies = table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit('{"messages": ['), F.array_join(F.collect_list(message), ", "), F.lit("]}")).alias("body"))
+    return bodies.select("conv_id", requests.input_chars(F.col("body")).alias("chars"))
+
+
+def fitted_articles(spark: Spark, d: str) -> Frame:
+    """The words "the", "a" and "my" of turns, each followed by a span whose replacement has an article."""
+    turns = table(spark, d, "conversations").withColumn("said", F.concat("text", F.element_at(F.array(F.lit(" and a "), F.lit(" and the "), F.lit(" so my\n"), F.lit(" then an "), F.lit(" by ")), (F.col("turn") % 5 + 1).cast("int")), F.lit("Senior Architect")))
+    start = F.length("said") - 16
+    fit = requests.fitted_article(F.col("said"), start, F.when(F.col("conv_id") % 4 == 0, "people").otherwise("an architect"))
+    return turns.select("conv_id", "turn", fit.alias("f")).select("conv_id", "turn", "f.start", "f.replacement")
 
 
 def admissions(spark: Spark, d: str) -> Frame:
@@ -213,7 +232,7 @@ def known_values(spark: Spark, d: str) -> Frame:
 
 QUERIES = (
     scored_cases, scored_metrics, mode_rates, observer_messages, attribute_matches, token_estimates, decided_spans, narrowed_spans, json_key_places, review_list, review_reasons, detector_counters, malformed_requests,
-    phone_shapes, model_spans, looping_answers, placeholder_legends, department_functions, request_chars, admissions, session_ids, order_flips, canonical_hashes, known_values,
+    phone_shapes, model_spans, looping_answers, placeholder_legends, department_functions, request_chars, fitted_articles, admissions, session_ids, order_flips, canonical_hashes, known_values,
 )
 
 _S = f"SELECT *, type || '-' || (span_no % 3) AS text FROM ({as_sql(SPANS, 'lineitem')})"
@@ -229,7 +248,7 @@ r AS (SELECT case_id, pass, CASE WHEN case_id % 2 = 0 THEN 'ko' ELSE 'en' END AS
   FROM (SELECT DISTINCT conv_id AS case_id, unnest([0, 1]) AS pass FROM conversations)),
 w AS (SELECT case_id, value FROM v UNION SELECT case_id, value FROM a UNION SELECT case_id, value FROM kp),
 h AS (SELECT * FROM (SELECT o.case_id, pass, destination, value, CASE WHEN regexp_matches(p, '(^|[^A-Za-z0-9])' || value || '([^A-Za-z0-9]|$)') THEN 'exact' WHEN regexp_matches(lower(p), '(^|[^a-z0-9])' || lower(value) || '([^a-z0-9]|$)') THEN 'casefold'
-  WHEN length(value) >= 8 AND contains(regexp_replace(lower(p), '\s+', '', 'g'), lower(value)) THEN 'whitespace' WHEN length(value) >= 8 AND contains(regexp_replace(lower(p), '[^a-z0-9]', '', 'g'), lower(value)) THEN 'alnum' END AS variant FROM o JOIN w ON w.case_id = o.case_id) WHERE variant IS NOT NULL),
+  WHEN length(value) >= 8 AND contains(regexp_replace(lower(p), '\s+', '', 'g'), lower(value)) THEN 'whitespace' WHEN length(value) >= 8 AND contains(regexp_replace(lower(p), '[^\p{L}\p{N}]', '', 'g'), lower(value)) THEN 'alnum' END AS variant FROM o JOIN w ON w.case_id = o.case_id) WHERE variant IS NOT NULL),
 hv AS (SELECT case_id, pass, value, bool_or(variant = 'exact') AS exact FROM h GROUP BY ALL),
 x AS (SELECT r.case_id, r.pass, v.value, hv.value IS NOT NULL AS leaked, coalesce(hv.exact, false) AS exact, length(v.value) % 4 <> 0 AS detected, status = 'blocked' OR gated AS blocked, gated AND length(v.value) % 3 = 0 AS attributed, length(v.value) % 5 = 0 AS canary, length(v.value) % 2 = 0 AS identity
   FROM r JOIN v ON v.case_id = r.case_id LEFT JOIN hv ON hv.case_id = r.case_id AND hv.pass = r.pass AND hv.value = v.value),
@@ -239,19 +258,24 @@ q AS (SELECT case_id, pass, max(n) AS found, max(ni) AS foundi FROM (SELECT h.ca
 z AS (SELECT case_id, count(*) AS size, count(*) FILTER (WHERE attribute <> 2) AS ids FROM a GROUP BY case_id),
 t AS (SELECT case_id, count(*) AS total FROM kp GROUP BY case_id),
 g AS (SELECT h.case_id, pass, count(DISTINCT h.value) AS kept FROM h JOIN kp ON kp.case_id = h.case_id AND kp.value = h.value WHERE variant IN ('exact', 'casefold', 'whitespace') GROUP BY ALL),
-m AS (SELECT case_id, count(*) AS n FROM v WHERE length(value) % 4 <> 0 AND length(value) % 7 <> 0 GROUP BY case_id),
+m AS (SELECT case_id, count(*) AS n FROM v WHERE length(value) % 4 <> 0 AND length(value) % 7 <> 0 AND length(value) NOT IN (9, 10, 11) GROUP BY case_id),
 s AS (SELECT r.case_id, r.pass, r.lang, r.status, coalesce(n_values, 0) AS n_values, coalesce(n_values_leaked, 0) AS n_values_leaked, coalesce(exact_leaked, false) AS exact_leaked, coalesce(canary_count, 0) AS canary_count, coalesce(canary_leaked, false) AS canary_leaked, coalesce(n_missed_leaked, 0) AS n_missed_leaked,
   coalesce(n_gate_saved, 0) AS n_gate_saved, coalesce(n_attributed, 0) AS n_attributed, size IS NOT NULL AS has_quasi, coalesce(found, 0) >= 2 AND size IS NOT NULL AS quasi_reid, coalesce(n_values_leaked, 0) > 0 OR (coalesce(found, 0) >= 2 AND size IS NOT NULL) AS leaked,
   coalesce(hasv, false) OR coalesce(ids >= 2, false) AS has_identity, coalesce(idl, false) OR coalesce(foundi >= 2, false) AS identity_leaked, coalesce(total, 0) AS must_keep_total, CASE WHEN sent.n IS NOT NULL THEN coalesce(total, 0) - coalesce(kept, 0) END AS must_keep_missing, coalesce(m.n, 0) AS masking_detections, status = 'blocked' OR gated AS blocked
   FROM r LEFT JOIN y ON y.case_id = r.case_id AND y.pass = r.pass LEFT JOIN q ON q.case_id = r.case_id AND q.pass = r.pass LEFT JOIN z ON z.case_id = r.case_id LEFT JOIN t ON t.case_id = r.case_id LEFT JOIN g ON g.case_id = r.case_id AND g.pass = r.pass LEFT JOIN m ON m.case_id = r.case_id
   LEFT JOIN (SELECT case_id, pass, count(*) AS n FROM o GROUP BY ALL) sent ON sent.case_id = r.case_id AND sent.pass = r.pass)
 """
+_UNIT = lambda n: f"[{', '.join(repr(u) for u in UNITS)}][(p_partkey % {n} + 1)::INT]"
+_HELD = lambda w: f"regexp_matches(d, '(^|[^a-z]){w}([^a-z]|$)')" if w.isascii() else f"contains(d, '{w}')"
+_FIRST = "CASE " + " ".join(f"WHEN {' OR '.join(map(_HELD, words))} THEN {i}" for i, (words, _, _) in enumerate(requests.FUNCTIONS, 1)) + " END"
+_DEPARTMENTS = f"""WITH p AS (SELECT lower(concat_ws(' ', split_part(p_type, ' ', 1), {_UNIT(len(UNITS))}, split_part(p_name, ' ', 1), {_UNIT(7)})) AS d FROM part), k AS (SELECT {_FIRST} AS k FROM p)
+      SELECT [{", ".join(repr(en) for _, _, en in requests.FUNCTIONS)}][k] AS function, [{", ".join(repr(ko) for _, ko, _ in requests.FUNCTIONS)}][k] AS ko, count(*) AS n FROM k GROUP BY k"""
 _RATE = "round(count(*) FILTER (WHERE {0} AND status <> 'error')::DOUBLE / nullif(count(*) FILTER (WHERE {1} AND status <> 'error'), 0), 6)"
 _SUMS = "round(sum({0}) FILTER (WHERE status <> 'error' AND {2})::DOUBLE / nullif(sum({1}) FILTER (WHERE status <> 'error' AND {2}), 0), 6)"
 _KEPT = "must_keep_missing IS NOT NULL AND must_keep_total > 0"
 
 SQL = {
-    "scored_cases": f"{_CASES} SELECT {', '.join(SCORED)} FROM s",
+    "scored_cases": f"{_CASES} SELECT {', '.join(c if c in ('case_id', 'pass') else f"CASE WHEN status <> 'error' THEN {c} END AS {c}" for c in SCORED)} FROM s",
     "scored_metrics": f"""{_CASES} SELECT pass, lang, count(*) AS cases, count(*) FILTER (WHERE status = 'error') AS errors, {_RATE.format('leaked AND (n_values > 0 OR has_quasi)', '(n_values > 0 OR has_quasi)')} AS leak_rate, {_SUMS.format('n_values_leaked', 'n_values', 'true')} AS value_leak_rate,
       {_RATE.format('canary_leaked AND canary_count > 0', 'canary_count > 0')} AS canary_leak_rate, {_RATE.format('quasi_reid AND has_quasi', 'has_quasi')} AS quasi_reid_rate, {_RATE.format('identity_leaked AND has_identity', 'has_identity')} AS identity_leak_rate, {_RATE.format('blocked', 'true')} AS block_rate,
       {_SUMS.format('must_keep_missing', 'must_keep_total', _KEPT)} AS over_redaction_rate, {_SUMS.format('n_gate_saved', 'n_gate_saved + n_missed_leaked', 'true')} AS gate_save_rate, {_SUMS.format('n_attributed', 'n_gate_saved + n_missed_leaked', 'true')} AS gate_save_rate_attributed FROM s GROUP BY pass, lang""",
@@ -277,8 +301,10 @@ SQL = {
     "model_spans": r"""WITH w AS (SELECT conv_id, turn, regexp_extract(text, '\b([A-Z][a-z]{4,})', 1) AS w FROM conversations) SELECT conv_id, turn, 1 AS span_no, w AS text, 'ORG' AS type, 'generalize' AS action, 'someone' AS replacement FROM w WHERE w <> '' UNION ALL SELECT conv_id, turn, 4, w, 'CONTACT', 'mask', NULL FROM w WHERE w <> ''""",
     "looping_answers": "SELECT event_id, event_id % 7 >= 5 AS loops FROM events",
     "placeholder_legends": f"SELECT slot_id, string_agg(DISTINCT '<' || type || '_n> is ' || CASE type WHEN 'PERSON' THEN 'a person''s name' WHEN 'ORG' THEN 'an organization''s name' ELSE 'an identifying personal detail' END, '; ' ORDER BY '<' || type || '_n> is ' || CASE type WHEN 'PERSON' THEN 'a person''s name' WHEN 'ORG' THEN 'an organization''s name' ELSE 'an identifying personal detail' END) AS legend FROM ({_S}) GROUP BY slot_id",
-    "department_functions": f"SELECT department, function, count(*) AS n FROM (SELECT CASE p_partkey % {len(DEPARTMENTS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(DEPARTMENTS)) + f" END AS department, CASE p_partkey % {len(DEPARTMENTS)} " + " ".join(f"WHEN {i} THEN " + (f"'{y}'" if y else "NULL") for i, (_, y) in enumerate(DEPARTMENTS)) + " END AS function FROM part) GROUP BY 1, 2",
-    "request_chars": "SELECT conv_id, sum(length(role) + length(text))::INT AS chars FROM conversations GROUP BY conv_id",
+    "department_functions": _DEPARTMENTS,
+    "request_chars": "SELECT conv_id, sum((CASE WHEN turn % 7 <> 6 AND turn % 3 < 2 THEN length(text) ELSE 0 END) + CASE WHEN turn % 4 = 2 THEN length(text) ELSE 0 END)::INT AS chars FROM conversations GROUP BY conv_id",
+    "fitted_articles": """SELECT conv_id, turn, (length(text) + CASE WHEN conv_id % 4 = 0 THEN length(w) WHEN turn % 5 IN (0, 3) THEN 5 ELSE length(w) END)::INT AS start, CASE WHEN conv_id % 4 = 0 THEN 'people' WHEN turn % 5 IN (1, 2) THEN 'architect' ELSE 'an architect' END AS replacement
+      FROM (SELECT *, [' and a ', ' and the ', ' so my ', ' then an ', ' by '][(turn % 5 + 1)::INT] AS w FROM conversations)""",
     "admissions": """WITH e AS (SELECT event_id, length(props) AS n, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent, sum(value) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM events)
       SELECT event_id, CASE WHEN n > 8 THEN 'too_long' WHEN recent > 3 THEN 'rate_limited' WHEN spent > 3000 THEN 'budget_spent' END AS refused FROM e""",
     "session_ids": "SELECT c_custkey, true AS good, false AS other, false AS longer FROM customer",

@@ -140,11 +140,12 @@ def conversation_ids(spark: Spark, d: str) -> Frame:
 
 
 def propagated(spark: Spark, d: str) -> Frame:
-    """Values of one turn found in other turns of the conversation."""
+    """Every place of values of one turn in all turns of the conversation; values whose first place says keep have
+    none, unless a later one says mask."""
     slots = table(spark, d, "conversations").withColumnRenamed("conv_id", "req_id").withColumn("slot_id", F.col("turn"))
-    s = spans.literal_spans(slots, "text", r"\b[A-Z][a-z]{7,}", "req_id", "slot_id").withColumns({"type": F.lit("TERM"), "action": F.lit("mask"), "source": F.lit("rule"), "rule": F.lit("x")})
-    out = spans.propagate(slots.select("req_id", "slot_id", "text"), s)
-    return out.groupBy("req_id").agg(F.count("*").alias("copies"), F.count_distinct("text").alias("terms"))
+    s = spans.literal_spans(slots, "text", r"\b[A-Z][a-z]{7,}", "req_id", "slot_id")
+    s = s.withColumns({"type": F.lit("TERM"), "action": F.when((F.col("slot_id") + F.length("text")) % 3 == 0, "keep").otherwise("mask"), "source": F.lit("rule"), "rule": F.when(F.length("text") % 2 == 0, "link:x").otherwise("x")})
+    return spans.propagate(slots.select("req_id", "slot_id", "text"), s).select("req_id", "slot_id", "start", "end", "rule", F.lower("text").alias("value"))
 
 
 def _protected(spark: Spark, d: str) -> tuple[Frame, Frame]:
@@ -392,9 +393,13 @@ SQL = {
     "term_search": r"SELECT term, count(*) AS documents, sum(n)::BIGINT AS places FROM (SELECT t.term, len(regexp_extract_all(regexp_replace(lower(text), '([a-z0-9_])', '\1', 'g'), t.p)) AS n FROM documents, (VALUES ('the and', '\bthe\s+and\b'), ('password', '\bpassword\b'), ('Version 2.0', '\bversion\s+2\.0\b'), ('license', '\blicense\b')) t(term, p)) WHERE n > 0 GROUP BY term",
     "vault_numbers": f"SELECT conv_id, norm, type, number, '<' || type || '_' || number || '>' AS placeholder FROM ({_NUMBERED})",
     "vault_turns": f"SELECT conv_id, norm, type, number, '<' || type || '_' || number || '>' AS placeholder FROM ({_NUMBERED})",
-    "propagated": r"""WITH v AS (SELECT DISTINCT conv_id, lower(unnest(regexp_extract_all(text, '\b[A-Z][a-z]{7,}'))) AS v FROM conversations),
-      p AS (SELECT v.conv_id, v.v, len(regexp_extract_all(lower(c.text), '\b' || v.v || '\b')) AS n FROM v JOIN conversations c ON c.conv_id = v.conv_id)
-      SELECT conv_id AS req_id, sum(n)::BIGINT AS copies, count(DISTINCT v) FILTER (WHERE n > 0) AS terms FROM p GROUP BY conv_id HAVING sum(n) > 0""",
+    "propagated": r"""WITH m AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{7,}')) AS w FROM conversations),
+      v AS (SELECT DISTINCT conv_id, lower(w) AS v FROM m WHERE (turn + length(w)) % 3 <> 0),
+      p AS (SELECT c.conv_id, c.turn, v.v, c.text, '(?i)\b' || array_to_string(list_transform(range(1, length(v.v) + 1), lambda i: substr(v.v, i::INT, 1)), '[^\p{L}\p{N}]*') || '\b' AS r FROM v JOIN (SELECT *, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS flat FROM conversations) c ON c.conv_id = v.conv_id AND contains(c.flat, v.v)),
+      q AS (SELECT conv_id, turn, v, regexp_extract_all(text, r) AS hits, regexp_split_to_array(text, r) AS gaps FROM p WHERE regexp_matches(text, r)),
+      s AS (SELECT conv_id, turn, v, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM q),
+      o AS (SELECT conv_id, turn, v, hits[i] AS hit, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::INT AS start FROM s)
+      SELECT conv_id AS req_id, turn AS slot_id, start, (start + length(hit))::INT AS "end", CASE WHEN length(v) % 2 = 0 THEN 'link:x' ELSE 'propagated' END AS rule, v AS value FROM o""",
     "leak_variants": r"""WITH f AS (SELECT doc_id, text AS t, lower(text) AS lt, regexp_replace(lower(text), '\s+', '', 'g') AS wt, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS ft FROM documents),
       i AS (SELECT item_id, text AS v, lower(text) AS lv, regexp_replace(lower(text), '\s+', '', 'g') AS wv, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS fv FROM benchmark),
       p AS (SELECT * FROM f JOIN i ON contains(ft, fv)),

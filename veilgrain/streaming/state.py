@@ -1,112 +1,9 @@
-"""Stateful streams: vault numbering, limiter, restoring of token streams, single-use reviews.
-
-State is kept by key in Spark's state store.  Within a batch, a key's rows are taken in order of their
-own order columns, never in arrival order."""
+"""Event-time windows, and running a stream to the end of what is there."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-_KEY = r"[A-Z][A-Z_]*_\d+"
-_PART = re.compile(r"<[A-Z_0-9]*$")
-HOLD = 64  # characters that may be held back at most
-
-
-def numbered(values: DataFrame, conversation: str = "conv_id", order: tuple[str, ...] = ("turn", "start")) -> DataFrame:
-    """(conversation, norm, type, number, placeholder) of values not seen before in their conversation.
-
-    `values` is a stream of (conversation, order columns, type, norm).  Numbers go on from the state; a
-    value keeps the type of its first mapping."""
-    kind = dict(values.dtypes)[conversation]
-
-    def assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, last = json.loads(state.get[0]) if state.exists else ({}, {})
-        new = []
-        for _, row in pd.concat(list(batches)).sort_values(list(order)).iterrows():
-            if row["norm"] not in known:
-                last[row["type"]] = last.get(row["type"], 0) + 1
-                known[row["norm"]] = [row["type"], last[row["type"]]]
-                new.append((key[0], row["norm"], row["type"], last[row["type"]], f"<{row['type']}_{last[row['type']]}>"))
-        state.update((json.dumps([known, last]),))
-        yield pd.DataFrame(new, columns=[conversation, "norm", "type", "number", "placeholder"])
-
-    schema = f"{conversation} {kind}, norm string, type string, number long, placeholder string"
-    return values.groupBy(conversation).applyInPandasWithState(assign, schema, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def admitted(events: DataFrame, key: str, at: str, tie: str, limit: int, seconds: int) -> DataFrame:
-    """(key, tie, admitted): a sliding limiter in which only admitted hits count."""
-    kinds = dict(events.dtypes)
-
-    def admit(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(json.loads(state.get[0])) if state.exists else []
-        out = []
-        for _, row in pd.concat(list(batches)).sort_values([at, tie]).iterrows():
-            now = row[at].value // 1000
-            held = [t for t in held if now - t < seconds * 1_000_000]
-            if ok := len(held) < limit:
-                held.append(now)
-            out.append((k[0], row[tie], ok))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=[key, tie, "admitted"])
-
-    return events.groupBy(key).applyInPandasWithState(admit, f"{key} {kinds[key]}, {tie} {kinds[tie]}, admitted boolean", "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def released(buffer: str, chunk: str, known: dict[str, str], last: bool) -> tuple[str, str]:
-    """(text that can go out, text held back) after a chunk: known placeholders are restored, and an end
-    that may begin one waits for the next chunk."""
-    text = buffer + chunk
-    held = ""
-    if not last and (m := _PART.search(text)) and len(m[0]) <= HOLD:
-        text, held = text[: m.start()], m[0]
-    return re.sub(f"<({_KEY})>", lambda m: known.get(m[0], m[0]), text), held
-
-
-def restored(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
-    """(stream_id, chunk_no, text): a stream of answer chunks (stream_id, chunk_no, text, last) with known
-    placeholders restored across chunk borders."""
-
-    def restore(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        out = []
-        for _, row in pd.concat(list(batches)).sort_values("chunk_no").iterrows():
-            text, held = released(held, row["text"], known, bool(row["last"]))
-            out.append((key[0], row["chunk_no"], text))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["stream_id", "chunk_no", "text"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(restore, "stream_id string, chunk_no long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
-
-
-def reviews(events: DataFrame, seconds: int = 600) -> DataFrame:
-    """(review_id, outcome): a review is held for `seconds` after it opened, may be used once, and is gone
-    after that.  `events` is a stream of (review_id, at timestamp, kind: open or use)."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = state.get[0] if state.exists else -1
-        out = []
-        for _, row in pd.concat(list(batches)).sort_values("at").iterrows():
-            now = row["at"].value // 1000
-            if row["kind"] == "open":
-                opened = now
-                out.append((key[0], "held"))
-            elif opened < 0:
-                out.append((key[0], "unknown"))
-            else:
-                out.append((key[0], "used" if now - opened < seconds * 1_000_000 else "expired"))
-                opened = -1
-        state.update((opened,))
-        yield pd.DataFrame(out, columns=["review_id", "outcome"])
-
-    return events.groupBy("review_id").applyInPandasWithState(step, "review_id string, outcome string", "opened long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed(events: DataFrame, at: str, *keys: str, late: str = "1 hour", size: str = "1 day") -> DataFrame:
