@@ -265,3 +265,40 @@ def test_repeats_within_one_run():
     text = ("a b c d e " * 5).encode()
     _, start, size = substring_dedup.runs_of(Words([text]))
     assert len(start) > 1 and size.sum() == 6
+
+
+def test_buckets_in_company_in_any_cut():
+    """Streaming gives each bucket of several ids its rows once, with the least id, however rows are cut into batches."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    far = (1 << 62) + 1  # numbers that a double doesn't hold
+    rows = sorted((int(b) + far, int(i) + far) for b, i in zip(draw.integers(0, 12, 80), draw.integers(0, 6, 80), strict=True))
+    want = set()
+    for b in {b for b, _ in rows}:
+        ids = {i for k, i in rows if k == b}
+        if len(ids) > 1:
+            want |= {(b, i, min(ids)) for i in ids}
+    for step in (1, 2, 3, 7, 80):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k : k + step]], pa.int64()), pa.array([r[1] for r in rows[k : k + step]], pa.int64()), pa.nulls(len(rows[k : k + step]), pa.int64())], ["bucket", "id", "centre"]) for k in range(0, 80, step)]
+        got = [tuple(r.values()) for out in linkage._in_company(iter(batches)) for r in out.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_products_are_bounded(monkeypatch):
+    """Many items over few tokens are compared in slices, with the same links."""
+    draw = np.random.default_rng(5)
+    sets = [(np.flatnonzero(draw.random(12) < 0.7), None) for _ in range(60)]
+    sets = [(t, np.ones(len(t))) for t, _ in sets if len(t)]
+    every = np.arange(len(sets))
+    joined = lambda: {frozenset(p) for p in linkage._linked(sets, every, every, every, 0.8)}
+    whole = joined()
+    monkeypatch.setattr(linkage, "DENSE", len(sets) * 12 + 1)
+    assert joined() == whole and whole
+
+
+def test_kept_rows_have_all_columns_and_are_always_the_same(spark):
+    rows = [(1, "a b c d e f g", k, f"s{k}", k) for k in range(6)] + [(None, None, 7, "x", 0), (None, None, 7, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _near_id string, _hash int")
+    outs = [sorted(map(tuple, near_dedup.without_copies(df.repartition(n)).collect()), key=repr) for n in (1, 3, 5)]
+    assert outs[0] == outs[1] == outs[2] and len(outs[0]) == 2 and len(outs[0][0]) == 5

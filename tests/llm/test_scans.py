@@ -90,6 +90,60 @@ def test_myers():
         assert (got[0] if got else None) == (want if want <= k else None)
 
 
+def as_regex(template):
+    """A template as a regular expression over words with a blank after each; nothing of the automata."""
+    out, open_parts = [], 0
+    for i, part in enumerate(re.split(r"<<([^<>]*)>>", template)):
+        words = lambda t: "".join(f"{w} " for w in t.split())
+        kind, _, rest = part.partition(";")
+        if i % 2 == 0:
+            out.append(words(part))
+        elif kind == "beginOptional":
+            out.append("(?:")
+            open_parts += 1
+        elif kind == "endOptional":
+            out.append(")?")
+        elif kind == "alt":
+            out.append("(?:" + "|".join(map(words, rest.split("|"))) + ")")
+        else:
+            low, high = re.search(r"words=(\d+)-(\d+)", rest).groups()
+            out.append(rf"(?:\S+ ){{{low},{high}}}")
+    return "".join(out)
+
+
+def test_labels_and_scores_match_regular_expressions():
+    """Leftmost, longest, for each template by itself, on texts made of templates, broken and whole."""
+    import regex
+
+    draw = random.Random(11)
+    patterns = [(label, regex.compile(f"(?p)(?<!\\S){as_regex(t)}")) for label, t in license_scan.TEMPLATES]
+    for _ in range(150):
+        words = []
+        for _ in range(draw.randint(1, 3)):
+            _, template = draw.choice(license_scan.TEMPLATES)
+            some = re.sub(r"<<alt;([^|>]*)[^>]*>>", r" \1 ", re.sub(r"<<var;[^>]*>>", " ".join(["acme"] * draw.randint(0, 6)), template))
+            some = re.sub(r"<<beginOptional>>|<<endOptional>>", " ", some).split()
+            if draw.random() < 0.5:
+                some[draw.randrange(len(some))] = draw.choice(["the", "acme", "version", "3"])
+            words += ["lead"] * draw.randint(0, 2) + some
+        text = " ".join(words)
+        joined = "".join(f"{w.decode()} " for w in license_scan.words_of(text.encode()))
+        covered, labels = set(), set()
+        count = lambda at: joined.count(" ", 0, at)
+        for phrase, label in license_scan.PHRASES:
+            for m in regex.finditer(rf"(?<!\S){phrase} ", joined, overlapped=True):
+                covered |= set(range(count(m.start()), count(m.end())))
+                labels.add(label)
+        for label, pattern in patterns:
+            for m in pattern.finditer(joined):
+                covered |= set(range(count(m.start()), count(m.end())))
+                labels.add(label)
+        got = license_scan.scan(text.encode())
+        assert got[5] == ",".join(sorted(labels)), text
+        assert got[6] == pytest.approx(len(covered) / len(words))
+    assert license_scan.scan(b"licensed under the GNU Affero General Public License version 1 only")[5] == "agpl,gpl"
+
+
 def test_contaminated(spark, frame, odd):
     draw = random.Random(2)
     items = [(i, prose(500 + i, 25)) for i in range(12)] + [(90, "too few words"), (91, None), (92, " . ")]
@@ -118,10 +172,11 @@ def test_contaminated(spark, frame, odd):
 
 
 def test_short_items(spark, frame):
-    """A short item must stand word for word, an item with edits need not."""
+    """An item without a budget of edits must stand word for word, any other one may differ by its budget, however few
+    words it has."""
     bench = spark.createDataFrame([(1, "Blue wombat, 7"), (2, "blue wombat 7 sings"), (3, prose(600, 20))], "item_id long, text string")
-    rows = [(1, "a blue WOMBAT 7 b"), (2, "blue wombats 7"), (3, "xblue wombat 7"), (4, "blue wombat 7"), (5, prose(600, 20)[:-1] + "q")]
-    assert {r.doc_id: r.item_ids for r in decontaminate.contaminated(frame(rows), bench).collect()} == {1: [1], 2: [], 3: [], 4: [1], 5: [3]}
+    rows = [(1, "a blue WOMBAT 7 b"), (2, "blue wombats 7"), (3, "xblue wombat 7"), (4, "blue wombat 7"), (5, prose(600, 20)[:-1] + "q"), (6, "then blue wambat 7 sings"), (7, "then blue wambat 7 sangs")]
+    assert {r.doc_id: r.item_ids for r in decontaminate.contaminated(frame(rows), bench).collect()} == {1: [1], 2: [], 3: [], 4: [1], 5: [3], 6: [2], 7: []}
 
 
 def test_blocks(spark, frame, odd, monkeypatch):

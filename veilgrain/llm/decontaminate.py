@@ -4,7 +4,7 @@ Texts and items are compared as lower-cased words with single blanks between the
 item of m bytes may differ by k = floor(ERROR_SHARE * m) edits.  Cut into k + 1 pieces, at least one
 piece survives any k edits unchanged, so an Aho-Corasick pass over all pieces finds every possible
 place; each is verified with Myers' bit-parallel edit distance over the window in which the item
-may end.  Items of fewer than EXACT_BELOW words must stand word for word.
+may end.  An item so short that its budget is zero must stand word for word.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from veilgrain.llm.license_scan import words_of
 from veilgrain.llm.text import small_batches, text_bytes
 
 ERROR_SHARE = 0.06
-EXACT_BELOW = 8
 BLOCK_BYTES = 8 << 20  # items in one automaton; a larger benchmark has several, which rows pass one after another
 
 
@@ -60,7 +59,7 @@ def masks_of(pattern: bytes) -> dict[int, int]:
 class Matcher:
     """Items (id, text) to look for."""
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float = ERROR_SHARE, exact_below: int = EXACT_BELOW):
+    def __init__(self, items: list[tuple[int, bytes]], share: float = ERROR_SHARE):
         self.items = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
@@ -68,7 +67,7 @@ class Matcher:
             if not words:
                 continue
             own = b" ".join(words)
-            k = int(share * len(own)) if len(words) >= exact_below else -1  # -1: whole words
+            k = int(share * len(own)) or -1  # -1: whole words
             self.items.append((item, own, k, masks_of(own) if k >= 0 else {}))
             cuts = [len(own) * j // (max(k, 0) + 1) for j in range(max(k, 0) + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -119,11 +118,11 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 _FOUND = "doc_id long, text string, item_ids array<long>, edits array<int>"
 
 
-def _searcher(items: list[tuple[int, bytes]], share: float, exact_below: int):
+def _searcher(items: list[tuple[int, bytes]], share: float):
     """Adds what a block's items find to each row's item_ids and edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, share, exact_below)
+        matcher = Matcher(items, share)
         for batch in small_batches(batches):
             found = []
             for text, ids, edits in zip(text_bytes(batch.column("text")), batch.column("item_ids").to_pylist(), batch.column("edits").to_pylist(), strict=True):
@@ -137,7 +136,7 @@ def _searcher(items: list[tuple[int, bytes]], share: float, exact_below: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, exact_below: int = EXACT_BELOW) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE) -> DataFrame:
     """One row for each row of `docs` (doc_id, text; other columns are ignored): whether the text holds
     an item of `benchmark` (item_id, text), which ones, and the least number of edits.
 
@@ -148,18 +147,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHA
     """
     found = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(array() as array<long>) item_ids", "cast(array() as array<int>) edits")
     for items in item_blocks(benchmark):
-        found = found.mapInArrow(_searcher(items, share, exact_below), _FOUND)
+        found = found.mapInArrow(_searcher(items, share), _FOUND)
     size = F.size("item_ids").cast("long")
     return found.select("doc_id", (size > 0).alias("contaminated"), size.alias("n_items"), F.array_sort("item_ids").alias("item_ids"), F.array_min("edits").alias("distance"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, exact_below: int = EXACT_BELOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE) -> DataFrame:
     """The rows of `docs`, with all columns, that hold no item of `benchmark`.  Rows stream through one
     search for each block of items, so nothing is shuffled or joined."""
     for items in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]] = items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, share, exact_below)
+            matcher = Matcher(items, share)
             for batch in small_batches(batches):
                 yield batch.filter(pa.array([not matcher.found(t or b"") for t in text_bytes(batch.column("text"))], pa.bool_()))
 

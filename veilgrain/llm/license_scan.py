@@ -10,6 +10,9 @@ All else is mandatory wording and must match word for word.  Each template becom
 nondeterministic automaton over words; a text is accepted where a run of its words spells the
 template from its first to its last word.  Words are lower-cased ASCII letters, digits and all
 characters beyond ASCII, so case, punctuation and layout play no part.
+
+A label says that a notice's wording stands in the text, not that the license applies: "not licensed under the
+MIT license" holds the wording, too.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ TEMPLATES = (
     ("gpl-3.0", "<<alt;licensed|released|distributed|available>> under the <<beginOptional>> terms of the <<endOptional>> gnu general public license version 3 <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"),
     ("gpl-2.0", "<<alt;licensed|released|distributed|available>> under the <<beginOptional>> terms of the <<endOptional>> gnu general public license version 2 <<beginOptional>> or <<beginOptional>> at your option <<endOptional>> any later version <<endOptional>>"),
     ("lgpl", "licensed under the gnu <<alt;lesser|library>> general public license"),
-    ("agpl-3.0", "licensed under the gnu affero general public license <<beginOptional>> version 3 <<endOptional>>"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
+    ("agpl", "licensed under the gnu affero general public license"),
     ("cc-by-nc-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<alt;cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial>> 4 0 <<beginOptional>> international <<endOptional>>"),
     ("cc-by-sa-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<alt;cc by sa|creative commons attribution sharealike>> 4 0 <<beginOptional>> international <<endOptional>>"),
     ("cc-by-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<alt;cc by|creative commons attribution>> 4 0 <<beginOptional>> international <<endOptional>>"),

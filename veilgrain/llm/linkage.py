@@ -9,8 +9,9 @@ Every two items of a bucket are compared exactly, shown by a bound not to link,
    once.  A larger one is dealt out in blocks of BLOCK_BYTES, each pair of blocks to a task, which leaves out
    pairs that can't link: similar items share a token among the rarest of either one.
 
-A bucket that a sample finds crowded never comes together in one place: a sampled member is its centre, sent
-to its rows where they are.  The others are streamed in order, the least member being the centre.
+Of the MOST_CROWDED buckets that a sample finds most crowded none comes together in one place: a sampled member is
+its centre, sent to its rows where they are.  The others are streamed in order, the least member being the centre,
+and nothing else of a bucket is held.
 """
 
 from __future__ import annotations
@@ -34,42 +35,44 @@ SMALL = 16
 BLOCK_BYTES = 4 << 20  # of texts in a block of step 3
 MOST_TOKENS = 4 << 20  # compared at a time in step 3
 PAIR_BYTES = 256 << 10  # of pairs compared together
-DENSE = 2 << 20  # cells of a table of items and tokens, up to which a task's items are compared by one product
+DENSE = 2 << 20  # cells of a table of items and tokens, and of a product, up to which a task's items are compared by products
 SAMPLE, CROWDED, MOST_CROWDED = 16, 32, 1000  # one id in so many is sampled; rows of a crowded bucket among them; buckets, which bounds the broadcast
 
 
-def _company(bucket: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
-    """(bucket, id, centre) of the buckets with several ids, from whole buckets, one after another."""
-    beside = np.zeros(len(bucket), dtype=bool)
-    same = bucket[1:] == bucket[:-1]
-    beside[1:] |= same
-    beside[:-1] |= same
-    bucket, item = bucket[beside], item[beside]
-    order = np.lexsort((item, bucket))
-    bucket, item = bucket[order], item[order]
-    new = np.ones(len(bucket), dtype=bool)
-    new[1:] = bucket[1:] != bucket[:-1]
-    fresh = new.copy()
-    fresh[1:] |= item[1:] != item[:-1]
-    begin, run = np.flatnonzero(new), np.cumsum(new) - 1
-    shown = fresh & (np.add.reduceat(fresh, begin, dtype=np.int64) > 1)[run] if len(begin) else fresh
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (bucket[shown], item[shown], item[begin][run[shown]])], ["bucket", "id", "centre"])
-
-
 def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`_company` over rows (bucket, id, centre) in order of buckets, and rows that have a centre already; the bucket
-    that a batch ends in waits for the next."""
-    bucket, item = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    """(bucket, id, centre) of the buckets with several ids, from rows (bucket, id, centre) in order of buckets and ids;
+    rows that have a centre already pass.  A bucket's first id is its centre.  Of a bucket that goes on, only its
+    centre and its last id are held, whatever its size."""
+    held: tuple[int, int, int, bool] | None = None  # bucket, centre, last id, whether several ids were met
     for batch in batches:
         alone = batch.column("centre").is_null()
         if batch.column("centre").null_count < batch.num_rows:
             yield batch.filter(pc.invert(alone))
             batch = batch.filter(alone)
-        bucket, item = np.concatenate([bucket, batch.column("bucket").to_numpy()]), np.concatenate([item, batch.column("id").to_numpy()])
-        last = int(np.append(np.flatnonzero(bucket != bucket[-1]), -1).max()) + 1 if len(bucket) else 0
-        yield _company(bucket[:last], item[:last])
-        bucket, item = bucket[last:], item[last:]
-    yield _company(bucket, item)
+        if not batch.num_rows:
+            continue
+        bucket, item = batch.column("bucket").to_numpy(), batch.column("id").to_numpy()
+        new = np.ones(len(bucket), dtype=bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        fresh = new.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        goes_on = held is not None and held[0] == bucket[0]
+        if goes_on:
+            new[0], fresh[0] = False, item[0] != held[2]
+        begin = np.flatnonzero(new)
+        run = np.cumsum(new) - (0 if goes_on else 1)  # run 0 is the held bucket, where it goes on
+        centre, name = item[begin], bucket[begin]
+        if goes_on:
+            centre, name = np.insert(centre, 0, held[1]), np.insert(name, 0, held[0])
+        later = fresh & ~new
+        several = np.bincount(run[later], minlength=len(centre)) > 0
+        first = several.copy()
+        if goes_on:
+            first[0] &= not held[3]
+            several[0] |= held[3]
+        columns = (np.concatenate([name[first], bucket[later]]), np.concatenate([centre[first], item[later]]), np.concatenate([centre[first], centre[run[later]]]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["bucket", "id", "centre"])
+        held = int(name[-1]), int(centre[-1]), int(item[-1]), bool(several[-1])
 
 
 def members_of(met: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def members_of(met: DataFrame) -> DataFrame:
     crowded = keep(some.where(F.col("n") >= CROWDED).orderBy(F.desc("n"), "bucket").limit(MOST_CROWDED).select("bucket", "centre"))
     marked = met.join(F.broadcast(crowded), "bucket", "left").select("bucket", "id", "centre")
     place = F.when(F.col("centre").isNull(), F.col("bucket")).otherwise(F.col("id"))
-    return marked.repartition(place).sortWithinPartitions("bucket").mapInArrow(_in_company, "bucket long, id long, centre long")
+    return marked.repartition(place).sortWithinPartitions("bucket", "id").mapInArrow(_in_company, "bucket long, id long, centre long")
 
 
 def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, probes: np.ndarray, targets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -101,14 +104,17 @@ def _linked(sets: list[tuple[np.ndarray, np.ndarray]], class_of: np.ndarray, pro
     if len(sets) * len(known) <= DENSE:
         table = np.zeros((len(sets), len(known)))
         table[np.repeat(np.arange(len(sets)), size), token] = np.sqrt(weight)
-        both = table[probes] @ table[targets].T
-        close = (both / (whole[probes][:, None] + whole[targets] - both) >= threshold) & (class_of[probes][:, None] != class_of[targets])
-        for p, t in np.argwhere(close).tolist():
-            i, j = int(probes[p]), int(targets[t])
-            x, y = find(int(class_of[i])), find(int(class_of[j]))
-            if x != y:
-                parent[x] = y
-                out.append((i, j))
+        step = max(1, DENSE // max(1, len(targets)))
+        for at in range(0, len(probes), step):  # a product has DENSE cells, too, or a row of targets
+            some = probes[at : at + step]
+            both = table[some] @ table[targets].T
+            close = (both / (whole[some][:, None] + whole[targets] - both) >= threshold) & (class_of[some][:, None] != class_of[targets])
+            for p, t in np.argwhere(close).tolist():
+                i, j = int(some[p]), int(targets[t])
+                x, y = find(int(class_of[i])), find(int(class_of[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((i, j))
         return out
     wanted = np.zeros(len(sets), dtype=bool)
     wanted[targets] = True

@@ -219,7 +219,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, that `near_duplicates` keeps.  Rows alike in doc_id and text are
-    one document, of which one row stays, also where the text is null or has no words."""
-    stays = found_classes(docs).where("kept").select("_id", "_hash").distinct()
-    return _with_reference(docs).join(stays, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    """The rows of `docs`, with all columns, that `near_duplicates` keeps.  Rows alike in doc_id and text are one
+    document, of which one row stays, also where the text is null or has no words: the one with the least hash of its
+    other columns (those of map type aside), so reruns agree."""
+    stays = found_classes(docs).where("kept").select(F.col("_id").alias("_near_id"), F.col("_hash").alias("_near_hash"))
+    names = ["_near_id", "_near_hash", "_near_rest"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    own_id, own_hash, rest = names
+    others = [c for c in docs.columns if c not in ("doc_id", "text") and not docs.schema[c].dataType.typeName().startswith("map")]
+    marked = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), own_hash: F.xxhash64(F.col("text").cast("string")), rest: F.xxhash64(*[F.col(f"`{c}`") for c in sorted(others)], F.lit(0))})
+    least = marked.groupBy(own_id, own_hash).agg(F.min(rest).alias(rest))
+    stays = stays.withColumnsRenamed({"_near_id": own_id, "_near_hash": own_hash}).distinct().join(least, [own_id, own_hash])
+    return marked.join(stays, names, "left_semi").dropDuplicates(names).drop(*names)
