@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgrain.functions.session import table
-from veilgrain.operators import limits, metrics, requests, review, scoring, spans, vault
+from veilgrain.operators import jsontext, limits, metrics, requests, review, scoring, spans, vault
 from veilgrain.plans.fixtures import SPANS, as_sql, rows
 from veilgrain.plans.text import EMAIL, PHONE, contact_spans
 
@@ -181,14 +181,14 @@ def department_functions(spark: Spark, d: str) -> Frame:
 
 
 def request_chars(spark: Spark, d: str) -> Frame:
-    """Contents as texts, as parts, missing and null, with and without arguments of calls."""
+    """Characters of all strings in requests: contents as texts, as parts, missing and null, with and without calls."""
     t, text = F.col("turn"), F.to_json(F.array("text"))
     one = F.regexp_extract(text, r"(?s)^\[(.*)\]$", 1)
     content = F.when(t % 3 == 0, one).when(t % 3 == 1, F.concat(F.lit('[{"type": "text", "text": '), one, F.lit('}, {"type": "image"}]'))).otherwise("null")
     calls = F.when(t % 4 == 2, F.concat(F.lit(', "tool_calls": [{"function": {"name": "f", "arguments": '), one, F.lit("}}]"))).otherwise("")
     message = F.concat(F.lit('{"role": "'), F.col("role"), F.when(t % 7 == 6, "").otherwise(F.concat(F.lit('", "content": '), content)), F.when(t % 7 == 6, '"').otherwise(""), calls, F.lit("}"))
     bodies = table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit('{"messages": ['), F.array_join(F.collect_list(message), ", "), F.lit("]}")).alias("body"))
-    return bodies.select("conv_id", requests.input_chars(F.col("body")).alias("chars"))
+    return jsontext.string_chars(bodies, "body", "conv_id")
 
 
 def fitted_articles(spark: Spark, d: str) -> Frame:
@@ -302,7 +302,7 @@ SQL = {
     "looping_answers": "SELECT event_id, event_id % 7 >= 5 AS loops FROM events",
     "placeholder_legends": f"SELECT slot_id, string_agg(DISTINCT '<' || type || '_n> is ' || CASE type WHEN 'PERSON' THEN 'a person''s name' WHEN 'ORG' THEN 'an organization''s name' ELSE 'an identifying personal detail' END, '; ' ORDER BY '<' || type || '_n> is ' || CASE type WHEN 'PERSON' THEN 'a person''s name' WHEN 'ORG' THEN 'an organization''s name' ELSE 'an identifying personal detail' END) AS legend FROM ({_S}) GROUP BY slot_id",
     "department_functions": _DEPARTMENTS,
-    "request_chars": "SELECT conv_id, sum((CASE WHEN turn % 7 <> 6 AND turn % 3 < 2 THEN length(text) ELSE 0 END) + CASE WHEN turn % 4 = 2 THEN length(text) ELSE 0 END)::INT AS chars FROM conversations GROUP BY conv_id",
+    "request_chars": "SELECT conv_id, sum(length(role) + CASE WHEN turn % 7 = 6 THEN 0 WHEN turn % 3 = 0 THEN length(text) WHEN turn % 3 = 1 THEN length(text) + 9 ELSE 0 END + CASE WHEN turn % 4 = 2 THEN length(text) + 1 ELSE 0 END)::INT AS chars FROM conversations GROUP BY conv_id",
     "fitted_articles": """SELECT conv_id, turn, (length(text) + CASE WHEN conv_id % 4 = 0 THEN length(w) WHEN turn % 5 IN (0, 3) THEN 5 ELSE length(w) END)::INT AS start, CASE WHEN conv_id % 4 = 0 THEN 'people' WHEN turn % 5 IN (1, 2) THEN 'architect' ELSE 'an architect' END AS replacement
       FROM (SELECT *, [' and a ', ' and the ', ' so my ', ' then an ', ' by '][(turn % 5 + 1)::INT] AS w FROM conversations)""",
     "admissions": """WITH e AS (SELECT event_id, length(props) AS n, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent, sum(value) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM events)
