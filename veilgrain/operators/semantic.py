@@ -3,11 +3,18 @@ declared terms' types.  Each is a pattern and conditions on its sentence, inside
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgrain.functions import korean
+from veilgrain.functions import normalize as norm
 from veilgrain.functions.generalize import BIRTH_DATE
 from veilgrain.operators.spans import literal_spans, sentences
+from veilgrain.operators.vault import KEY
 
 # Wordings.
 ROLE = "nurse|doctor|physician|surgeon|dentist|pharmacist|therapist|engineer|developer|programmer|designer|lawyer|attorney|partner|paralegal|accountant|teacher|professor|instructor|principal|student|employee|worker|staffer|manager|director|executive|VP|CEO|CTO|CFO|founder|owner|officer|pilot|firefighter|detective|soldier|veteran|chef|cook|translator|interpreter|pastor|priest|rabbi|imam|woman|man|female|male|immigrant|refugee|foreigner|resident|tenant|patient|survivor|witness|parent|mother|father|mom|dad|twin|intern|contractor|scientist|researcher|analyst|clerk|cashier|driver|farmer|member"
@@ -22,8 +29,7 @@ ORG_SUFFIX = r"(?:Inc\.?|LLC|L\.L\.C\.|Ltd\.?|Corp\.?|Corporation|Co\.|Company|S
 ORG = rf"(?<![A-Za-z])(?:[A-Z][A-Za-z&'’\-]*[ \t]+){{1,3}}{ORG_SUFFIX}(?![A-Za-z])"
 ORG_NOT_FIRST = tuple("The A An Our My Their Your This That In At For With From To Dear Hi Hello Thanks Information Operating Computer Human Customer Public Local National General Mental Global Management Private Community Regional State Federal Venture Health Energy Support Security Software".split())
 KO_ORG = r"(?:주식회사\s?|㈜|\(주\))[가-힣A-Za-z0-9]{2,12}|[가-힣A-Za-z0-9]{2,10}(?:주식회사|㈜|저축은행|은행|병원|의원|대학교|재단|협회|공사|그룹|물류|전자)"
-KO_PERSON_NAME = r"(?<![가-힣])[김이박최정강조윤장임한오서신권황안송류전홍고문양손배백허유남심노하곽성차주우구민진나엄채원천방공현함변염여추도소석선설마길연위표명기반라왕금옥육인맹제모탁국어은편용][가-힣]{1,2}(?=\s?(?:님|씨|대리|과장|팀장|부장|차장|사원|선생님|교수|이사|대표|원장|변호사|기자))"
-LABELED_NAME = r"(?:(?<=이름: )|(?<=성명: )|(?<=이름은 )|(?<=[Nn]ame: )|(?<=[Mm]y name is ))(?:[가-힣]{2,4}|[A-Z][a-z]+(?: [A-Z][a-z]+){0,2})"
+LABELED_NAME = r"(?:(?<=[Nn]ame: )|(?<=[Mm]y name is ))[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}"
 
 
 def unique_roles(df: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -53,9 +59,44 @@ def organizations(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return en.unionByName(ko).withColumns({"type": F.lit("ORG"), "action": F.lit("mask")})
 
 
+def korean_spans(df: DataFrame, text: str, *keys: str, never: frozenset[str] = frozenset()) -> DataFrame:
+    """(keys, start, end, text, type, action, rule, replacement): Korean names by title, label or introduction, and
+    unique roles, found in the text as its reader sees it, at the raw places.  `never` are words that are no names
+    in these texts; placeholders are left alone."""
+    kinds, n = dict(df.dtypes), len(keys)
+    names = korean.Names(never)
+
+    def found(raw: str) -> list[tuple]:
+        view = norm.detection_view(raw) if norm.may_hide(raw) else None
+        seen = view.text if view else raw
+        blocked = [m.span() for m in re.finditer(f"<{KEY}>", seen)]
+        out = []
+        for f in [*names.spans(seen), *korean.unique_roles(seen)]:
+            if any(f.start < b and a < f.end for a, b in blocked):
+                continue
+            start, end = view.raw(f.start, f.end) if view else (f.start, f.end)
+            out.append((start, end, raw[start:end], f.type, "generalize" if f.replacement else "mask", f.rule, f.replacement))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, raw in enumerate(batch.column(n).to_pylist()):
+                own = found(raw) if raw and not raw.isascii() else []
+                at += [i] * len(own)
+                rows += own
+            kept = batch.select(list(range(n))).take(pa.array(at, pa.int64()))
+            made = [pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.string()) for k in range(7)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*keys, "start", "end", "text", "type", "action", "rule", "replacement"])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start int, end int, text string, type string, action string, rule string, replacement string"]))
+
+
 def persons(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    titled = literal_spans(df, text, KO_PERSON_NAME, *keys).withColumn("rule", F.lit("ko_person"))
-    return titled.unionByName(literal_spans(df, text, LABELED_NAME, *keys).withColumn("rule", F.lit("labeled_person"))).withColumns({"type": F.lit("PERSON"), "action": F.lit("mask")})
+    """Names after a label, in Latin letters, and Korean ones by title, label or introduction."""
+    labeled = literal_spans(df, text, LABELED_NAME, *keys).withColumns({"type": F.lit("PERSON"), "action": F.lit("mask"), "rule": F.lit("labeled_person")})
+    own = korean_spans(df, text, *keys).where("type = 'PERSON'")
+    return own.select(*keys, "start", "end", "text", "rule", "type", "action").unionByName(labeled)
 
 
 def birth_dates(df: DataFrame, text: str, *keys: str) -> DataFrame:

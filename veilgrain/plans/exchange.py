@@ -92,11 +92,11 @@ def scrubbed_turns(spark: Spark, d: str) -> Frame:
 QUERIES = (applied_turns, body_leaves, readable_bodies, canonical_bodies, restored_bodies, scrubbed_turns)
 
 #: (conv_id, turn, i, piece, w, start, full_text, ...): a turn's text in pieces, each with the value that follows it.
-_PIECES = rf"""SELECT conv_id, turn, full_text, i, p[i + 1] AS piece, m[i + 1] AS w, (coalesce(list_sum(list_transform(p[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::INT AS start
+PIECES = rf"""SELECT conv_id, turn, full_text, i, p[i + 1] AS piece, m[i + 1] AS w, (coalesce(list_sum(list_transform(p[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::INT AS start
   FROM (SELECT conv_id, turn, full_text, p, m, unnest(range(0, len(p))) AS i FROM (SELECT conv_id, turn, text AS full_text, regexp_split_to_array(text, '{VALUE}') AS p, regexp_extract_all(text, '{VALUE}') AS m FROM conversations))"""
-_FIRSTS = f"""SELECT conv_id, lower(w) AS norm, turn, start, length(w) % 2 = 0 AS person, length(w) % 5 = 0 AND length(w) % 10 <> 0 AS general, length(w) % 10 = 0 AS refused FROM ({_PIECES}) WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, lower(w) ORDER BY turn, start) = 1"""
+_FIRSTS = f"""SELECT conv_id, lower(w) AS norm, turn, start, length(w) % 2 = 0 AS person, length(w) % 5 = 0 AND length(w) % 10 <> 0 AS general, length(w) % 10 = 0 AS refused FROM ({PIECES}) WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, lower(w) ORDER BY turn, start) = 1"""
 _SHOWN = f"""SELECT *, CASE WHEN general THEN 'a person' ELSE '<' || CASE WHEN person THEN 'PERSON' ELSE 'ORG' END || '_' || row_number() OVER (PARTITION BY conv_id, person, general ORDER BY turn, start) || '>' END AS shown FROM ({_FIRSTS})"""
-WALK = f"SELECT s.*, v.shown, v.general, v.refused, v.turn = s.turn AND v.start = s.start AS fresh FROM ({_PIECES}) s LEFT JOIN ({_SHOWN}) v ON v.conv_id = s.conv_id AND v.norm = lower(s.w)"
+WALK = f"SELECT s.*, v.shown, v.general, v.refused, v.turn = s.turn AND v.start = s.start AS fresh FROM ({PIECES}) s LEFT JOIN ({_SHOWN}) v ON v.conv_id = s.conv_id AND v.norm = lower(s.w)"
 _DETERMINED = "regexp_matches(substr(full_text, 1, start), '(?i)(?:\\b(?:the|our|my|their|his|her|its|your|this|that)|[''’]s)\\s+$')"
 _PUT = f"CASE WHEN general AND {_DETERMINED} THEN 'person' ELSE coalesce(shown, '') END"
 #: What a restored text is: generalized values stay as they are, all others are back.
