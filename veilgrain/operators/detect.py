@@ -196,3 +196,15 @@ def layers(df: DataFrame, text: str, *keys: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array([x for f in found for x in f], pa.string())], [*keys, "layer"])
 
     return df.where(F.col(text).isNotNull()).select(*keys, text).mapInArrow(run, schema)
+
+
+def viewed(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, view): a text as its reader sees it, which is what detectors look at besides the text as written."""
+    kinds, n = dict(df.dtypes), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [None if t is None else norm.detection_view(t).text if norm.may_hide(t) else t for t in batch.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(seen, pa.string())], [*keys, "view"])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "view string"]))

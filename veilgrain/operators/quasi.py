@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgrain.operators.spans import matches, resolved
+
 # Category weights, coarsening order, limits by level.
 WEIGHTS = {"place": 2, "org": 2, "cohort": 2, "rare": 2, "role": 1, "age": 1, "family": 1}
 ORDER = ("place", "org", "cohort", "rare", "age", "role", "family")
@@ -24,7 +29,7 @@ ATTRIBUTES = (
     ("ko_unique", "rare", r"유일한|유일하게|하나뿐인|혼자만", None),
     ("ko_twin", "rare", r"쌍둥이|세쌍둥이", None),
     ("en_old", "age", r"\b(\d{2})-year-old\b", "%d-something"),
-    ("en_i_am", "age", r"\b(?:I'?m|I am)[ \t]+(\d{2})\b(?![ \t]*(?:%|percent|years? (?:of|in)|kg|lbs|minutes|hours|days|weeks|months|miles|km))", "in my %ds"),
+    ("en_i_am", "age", r"(?<=\bI'm[ \t]|\bIm[ \t]|\bI am[ \t])(\d{2})\b(?![ \t]*(?:%|percent|years? (?:of|in)|kg|lbs|minutes|hours|days|weeks|months|miles|km))", "in my %ds"),
     ("en_born", "age", r"\bborn in ((?:19|20)\d{2})\b", "born in the %ds"),
     ("ko_age", "age", r"(?<![\d가-힣])(?:만\s?)?(\d{1,2})\s?(?:세|살)(?![가-힣])", "%d대"),
     ("family", "family", r"다둥이|삼남매|사남매|오남매|외동(?:딸|아들)?|한부모|싱글맘|싱글대디|미혼모|미혼부|입양아?|조손가정|\b(?:single (?:mom|mother|dad|father|parent)|only child|widow(?:ed|er)?|adoptive)\b", None),
@@ -42,24 +47,31 @@ def _java(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
-def attributes(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, start, end, text, category, rule, phrase): attributes in a text, longest first and without
-    overlap.  Offsets come from marking matches, inside the JVM."""
-    from veilgrain.operators.spans import literal_spans, resolve
+def _attribute(category: str, rule: str, phrase: str | None) -> Callable[[Column], Column]:
+    """A match as an attribute, with the phrase that replaces it: its own decade in the place of %d."""
+
+    def made(s: Column) -> Column:
+        said = F.lit(phrase).cast("string")
+        if phrase is not None and "%d" in phrase:
+            decade = (F.floor(F.regexp_extract(s["text"], r"(\d{2,4}|\d)", 1).try_cast("int") / 10) * 10).cast("int").cast("string")
+            head, tail = phrase.split("%d")
+            said = F.concat(F.lit(head), decade, F.lit(tail))
+        place = (s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
+        return F.struct(*place, F.lit(category).alias("category"), F.lit(rule).alias("rule"), said.alias("phrase"), F.lit("rule").alias("source"), F.lit("generalize").alias("action"))
 
-    found = None
+    return made
+
+
+def attributes(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, start, end, text, category, rule, phrase): attributes in a text, longest first and without overlap.  All
+    rules look at a text in one scan, inside the JVM, and what they find is chosen from in its row."""
+    t, found = F.col(text), []
     for rule, category, pattern, phrase in ATTRIBUTES:
-        plain = pattern.replace("((?:19|20)", "(?:(?:19|20)") if "((?:19|20)" in pattern else pattern.replace(r"(\d{2})", r"(?:\d{2})").replace(r"(\d{1,2})", r"(?:\d{1,2})")
-        spans = literal_spans(df, text, _java(plain), *keys)
-        number = F.regexp_extract("text", r"(\d{2,4}|\d)", 1).try_cast("int")
-        decade = (F.floor(number / 10) * 10).cast("int").cast("string")
-        said = F.lit(None).cast("string") if phrase is None else F.concat(F.lit(phrase.split("%d")[0]), decade, F.lit(phrase.split("%d")[1])) if "%d" in phrase else F.lit(phrase)
-        spans = spans.withColumns({"category": F.lit(category), "rule": F.lit(rule), "phrase": said, "source": F.lit("rule"), "action": F.lit("generalize")})
-        found = spans if found is None else found.unionByName(spans)
-    if len(keys) == 1:
-        return resolve(found, keys[0]).drop("source", "action")
-    packed = found.withColumn("_key", F.struct(*keys))
-    return resolve(packed.drop(*keys), "_key").select("_key.*", "start", "end", "text", "category", "rule", "phrase")
+        plain = _java(re.sub(r"(?<!\\)\((?=\(\?:19|\\d\{)", "(?:", pattern))  # no capturing groups
+        own = F.transform(matches(t, plain), _attribute(category, rule, phrase))
+        found.append(F.coalesce(F.when(F.rlike(t, F.lit(plain)), own), F.slice(own, 1, 0)))
+    out = df.select(*keys, F.explode(resolved(F.flatten(F.array(*found)))).alias("a"))
+    return out.select(*keys, "a.start", "a.end", "a.text", "a.category", "a.rule", "a.phrase")
 
 
 def weight(category: Column) -> Column:

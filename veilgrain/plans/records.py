@@ -83,7 +83,7 @@ def mode_rates(spark: Spark, d: str) -> Frame:
 
 
 def observer_messages(spark: Spark, d: str) -> Frame:
-    hops = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("hop_no"), F.when(F.col("role") == "assistant", "upstream").otherwise("search").alias("destination"), F.substring("text", 1, 3).alias("content"))
+    hops = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("hop_no"), F.when(F.col("role") == "assistant", "upstream").otherwise("search").alias("destination"), F.col("text").alias("content"))
     return scoring.observer_views(hops).groupBy("run_id", "view").agg(F.count("*").alias("n"))
 
 
@@ -282,7 +282,7 @@ SQL = {
     "mode_rates": f"""SELECT mode, pass, count(*) AS runs, round(count(*) FILTER (WHERE status = 'finished')::DOUBLE / count(*), 6) AS finished_rate, round(sum(facts_exact)::DOUBLE / sum(facts_n), 6) AS fact_recovery, round(sum(facts_partial)::DOUBLE / sum(facts_n), 6) AS fact_recovery_partial, round(count(*) FILTER (WHERE situation)::DOUBLE / count(*), 6) AS situation_inference,
       round(sum(search_exact)::DOUBLE / sum(facts_n), 6) AS search_only_fact_recovery, round(avg(utility), 6) AS utility_mean, round(sum(searches)::DOUBLE / count(*), 6) AS searches_per_run, round(sum(searches - search_blocked)::DOUBLE / sum(searches), 6) AS search_sent_rate, round(sum(search_blocked)::DOUBLE / sum(searches), 6) AS search_blocked_rate, round(sum(steps)::DOUBLE / count(*), 6) AS steps_mean, round(median(latency_s), 6) AS latency_s_p50
       FROM ({RUNS.format(lineitem='lineitem')}) GROUP BY mode, pass""",
-    "observer_messages": "WITH h AS (SELECT conv_id, role = 'assistant' AS up, substr(text, 1, 3) AS c FROM conversations), a AS (SELECT conv_id, count(DISTINCT c) FILTER (WHERE up) AS u, count(*) FILTER (WHERE NOT up) AS s FROM h GROUP BY conv_id) SELECT conv_id AS run_id, 'all' AS view, u + s AS n FROM a UNION ALL SELECT conv_id, 'search', s FROM a WHERE s > 0",
+    "observer_messages": "WITH h AS (SELECT conv_id, role = 'assistant' AS up, text AS c FROM conversations), a AS (SELECT conv_id, count(DISTINCT c) FILTER (WHERE up) AS u, count(*) FILTER (WHERE NOT up) AS s FROM h GROUP BY conv_id) SELECT conv_id AS run_id, 'all' AS view, u + s AS n FROM a UNION ALL SELECT conv_id, 'search', s FROM a WHERE s > 0",
     "attribute_matches": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' END AS match FROM part",
     "token_estimates": r"SELECT lang, sum(ceil(a / 4.0)::BIGINT + n - a)::BIGINT AS tokens FROM (SELECT lang, length(text) AS n, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS a FROM documents) GROUP BY lang",
     "decided_spans": f"""WITH s AS ({_S}), d AS (SELECT source, span_no FROM s WHERE NOT EXISTS (SELECT 1 FROM s r WHERE r.slot_id = s.slot_id AND r.slot_id % 7 = 0 AND r.span_no = 2 AND r.text = s.text) UNION ALL SELECT 'user', 99 FROM s WHERE slot_id % 11 = 0 AND span_no = 1) SELECT source, count(*) AS n, sum(span_no)::BIGINT AS total FROM d GROUP BY source""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions import generalize, rules
 from veilgrain.functions.session import table
-from veilgrain.operators import detect, ensemble, gate, limits, quasi, sampling, scan, semantic, spans, vault
+from veilgrain.operators import detect, ensemble, gate, jsontext, limits, quasi, sampling, scan, semantic, spans, vault
 from veilgrain.plans.fixtures import SPANS, as_sql, rows
 
 Spark, Frame = SparkSession, DataFrame
@@ -87,7 +87,9 @@ def detected_spans(spark: Spark, d: str) -> Frame:
 
 
 def decoded_layers(spark: Spark, d: str) -> Frame:
-    return detect.layers(table(spark, d, "pages"), "url", "page_id")
+    """What lies in Base64 in texts about pages."""
+    said = F.concat(F.lit("see "), F.translate(F.base64(F.encode("url", "UTF-8")), "\r\n", ""), F.lit(" or "), F.base64(F.encode(F.concat(F.lit("a page of "), "url", F.lit(" & more")), "UTF-8")))
+    return detect.layers(table(spark, d, "pages").withColumn("said", F.regexp_replace(said, r"[\r\n]", "")), "said", "page_id")
 
 
 def term_search(spark: Spark, d: str) -> Frame:
@@ -124,10 +126,9 @@ def masked_turns(spark: Spark, d: str) -> Frame:
 
 
 def restored_turns(spark: Spark, d: str) -> Frame:
-    """Masked, then restored; equal but for the case of repeated values."""
+    """Masked, then restored."""
     done, mappings = _masked_turns(spark, d)
-    out = vault.restored(done.select("conv_id", "turn", "text", "masked"), mappings, "conv_id", "masked")
-    return out.select("conv_id", "turn", (F.lower("restored") == F.lower("text")).alias("same"))
+    return vault.restored(done.select("conv_id", "turn", "masked"), mappings, "conv_id", "masked").select("conv_id", "turn", "restored")
 
 
 def skip_model(spark: Spark, d: str) -> Frame:
@@ -223,8 +224,8 @@ def health_categories(spark: Spark, d: str) -> Frame:
 
 
 def document_sentences(spark: Spark, d: str) -> Frame:
-    s = spans.sentences(table(spark, d, "benchmark"), "text", "item_id")
-    return s.select("item_id", "sentence_no", "start", "sentence")
+    s = spans.sentences(table(spark, d, "documents"), "text", "doc_id")
+    return s.select("doc_id", "sentence_no", "start", "sentence")
 
 
 def document_chunks(spark: Spark, d: str) -> Frame:
@@ -233,8 +234,8 @@ def document_chunks(spark: Spark, d: str) -> Frame:
 
 
 def document_windows(spark: Spark, d: str) -> Frame:
-    w = spans.word_windows(table(spark, d, "benchmark"), "text", "item_id", words=20)
-    return w.groupBy("item_id").agg(F.count("*").alias("windows"), F.max(F.length("window")).alias("longest"))
+    w = spans.word_windows(table(spark, d, "documents"), "text", "doc_id")
+    return w.groupBy("doc_id").agg(F.count("*").alias("windows"), F.max(F.length("window")).alias("longest"))
 
 
 def language_segments(spark: Spark, d: str) -> Frame:
@@ -270,10 +271,9 @@ def retry_rule(spark: Spark, d: str) -> Frame:
 
 
 def folded_letters(spark: Spark, d: str) -> Frame:
-    """Look-alike letters folded: every vowel of a name is first disguised."""
-    c = table(spark, d, "customer")
-    hidden = F.translate("c_name", "aeoC", "аеоС")
-    return c.select("c_custkey", hidden.alias("hidden"), F.translate(hidden, "аеоС", "aeoC").alias("folded"))
+    """Names whose letters are replaced by look-alikes, as a reader sees them."""
+    c = table(spark, d, "customer").withColumn("hidden", F.translate("c_name", "aeoC", "аеоС"))
+    return detect.viewed(c, "hidden", "c_custkey").select("c_custkey", F.col("view").alias("folded"))
 
 
 def check_digits(spark: Spark, d: str) -> Frame:
@@ -296,8 +296,9 @@ def quasi_coarsened(spark: Spark, d: str) -> Frame:
 
 
 def json_leaves(spark: Spark, d: str) -> Frame:
-    e = table(spark, d, "events")
-    return e.select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.explode("m").alias("k", "v"))
+    """Members of events' properties, by the paths of their values."""
+    found = jsontext.leaves(table(spark, d, "events"), "props", "event_id").where("kind <> 'key'")
+    return found.select("event_id", F.substring("path", 2, 1000).alias("k"), F.col("value").alias("v"))
 
 
 def forwarded_keys(spark: Spark, d: str) -> Frame:
@@ -374,6 +375,14 @@ _NUMBERED = f"""SELECT conv_id, norm, type, row_number() OVER (PARTITION BY conv
   (SELECT *, row_number() OVER (PARTITION BY conv_id, norm ORDER BY turn, start) AS k FROM (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM ({_CAPS}))) WHERE k = 1)"""
 _GATE = r"""SELECT DISTINCT p.conv_id AS req_id, v.low FROM (SELECT conv_id, text FROM conversations WHERE role = 'assistant') p JOIN (SELECT DISTINCT conv_id, lower(unnest(regexp_extract_all(text, '\b[A-Z][a-z]{3,}'))) AS low FROM conversations WHERE role = 'user') v ON v.conv_id = p.conv_id AND contains(lower(p.text), v.low)"""
 
+CAPITAL = r"\b[A-Z][a-z]{4,}"
+_PADS = [bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
+
+
+def _hmac(value: str) -> str:
+    return f"sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode({value}))))"
+
+
 SQL = {
     "declared_term_types": "SELECT term, type, count(*) AS n FROM (SELECT ['Project Nightfall', 'Halcyon Freight Systems', 'Jane Doe', 'widget'][(p_partkey % 4 + 1)::INT] AS term, ['PROJECT', 'ORG', 'PERSON', 'TERM'][(p_partkey % 4 + 1)::INT] AS type FROM part) GROUP BY 1, 2",
     "labeled_birth_dates": "SELECT o_orderkey, 5 AS start, strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders WHERE o_orderkey % 2 = 0",
@@ -406,7 +415,23 @@ SQL = {
       m AS (SELECT doc_id, item_id, CASE WHEN contains(t, v) AND regexp_matches(t, '(^|[^A-Za-z0-9])' || regexp_escape(v) || '([^A-Za-z0-9]|$)') THEN 'exact' WHEN contains(lt, lv) AND regexp_matches(lt, '(^|[^a-z0-9])' || regexp_escape(lv) || '([^a-z0-9]|$)') THEN 'casefold'
         WHEN length(wv) >= 8 AND contains(wt, wv) THEN 'whitespace' WHEN length(fv) >= 8 THEN 'alnum' END AS variant FROM p)
       SELECT * FROM m WHERE variant IS NOT NULL""",
-    "restored_turns": "SELECT conv_id, turn, true AS same FROM conversations",
+    "restored_turns": "SELECT conv_id, turn, text AS restored FROM conversations",
+    "masked_turns": f"""WITH w AS ({_CAPS}), n AS (SELECT conv_id, lower(text) AS norm, row_number() OVER (PARTITION BY conv_id ORDER BY turn, start) AS number FROM w QUALIFY row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY turn, start) = 1),
+      n2 AS (SELECT conv_id, norm, row_number() OVER (PARTITION BY conv_id ORDER BY number) AS number FROM n), x AS (SELECT conv_id, turn, p, m, unnest(range(0, len(p))) AS i FROM (SELECT conv_id, turn, regexp_split_to_array(text, '{CAPITAL}') AS p, regexp_extract_all(text, '{CAPITAL}') AS m FROM conversations))
+      SELECT x.conv_id, x.turn, string_agg(p[i + 1] || coalesce('<TERM_' || number || '>', ''), '' ORDER BY i) AS masked FROM x LEFT JOIN n2 ON n2.conv_id = x.conv_id AND n2.norm = lower(m[i + 1]) GROUP BY x.conv_id, x.turn""",
+    "gate_reasons": rf"""SELECT DISTINCT req_id, 'declared_term:TERM:' || substr({_hmac('v')}, 1, 12) AS reason FROM (SELECT p.conv_id AS req_id, v.v FROM (SELECT conv_id, text FROM conversations WHERE role = 'assistant') p JOIN (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{{3,}}')) AS v FROM conversations WHERE role = 'user') v ON v.conv_id = p.conv_id AND contains(lower(p.text), lower(v.v)))""",
+    "audit_hashes": f"SELECT c_custkey, {_hmac('c_name')} AS hmac, sha256(c_name) AS sha FROM customer",
+    "document_windows": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 120 + 89) + 1, 90)) AS s FROM w WHERE len(w) > 0)
+      SELECT doc_id, count(*) AS windows, max(length(array_to_string(w[s + 1:s + 120], ' ')))::INT AS longest FROM s GROUP BY doc_id""",
+    "language_segments": """WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+      k AS (SELECT *, CASE WHEN trim(line, ' ') <> '' THEN CASE WHEN regexp_matches(line, '[äöüßéèêçñíóá]') THEN 'accented' ELSE 'en' END END AS own FROM l),
+      f AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER w, 'en') AS segment_lang, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+      g AS (SELECT *, CASE WHEN lag(segment_lang) OVER (PARTITION BY doc_id ORDER BY n) = segment_lang THEN 0 ELSE 1 END AS fresh FROM f), h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS segment_no FROM g)
+      SELECT doc_id, segment_no::BIGINT AS segment_no, min(o)::BIGINT AS "offset", any_value(segment_lang) AS segment_lang, count(*) AS n_lines FROM h GROUP BY doc_id, segment_no""",
+    "quasi_attributes": """WITH c AS (SELECT c_custkey AS slot_id, c_custkey % 60 + 20 AS age, c_custkey % 30 + 1990 AS year, c_custkey % 3 = 0 AS nurse FROM customer)
+      SELECT slot_id, 5 AS start, 7 AS "end", 'age' AS category, 'in my ' || age // 10 * 10 || 's' AS phrase FROM c UNION ALL SELECT slot_id, 12, 26, 'cohort', 'in the ' || year // 10 * 10 || 's' FROM c
+      UNION ALL SELECT slot_id, 30, 38, 'rare', NULL FROM c WHERE nurse UNION ALL SELECT slot_id, 39, 44, 'role', 'a professional' FROM c WHERE nurse UNION ALL SELECT slot_id, 28, 34, 'rare', NULL FROM c WHERE NOT nurse""",
+    "decoded_layers": "SELECT page_id, url AS layer FROM pages UNION ALL SELECT page_id, 'a page of ' || url || ' & more' FROM pages",
     "skip_model": r"SELECT true AS skip, NOT regexp_matches(text, '\p{L}') AS skip_raw, count(*) AS n FROM conversations GROUP BY 1, 2",
     "conversation_ids": "SELECT conv_id, 'conv_' || substr(sha256(text), 1, 24) AS hashed FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1",
     "gate_decisions": f"SELECT c.conv_id AS req_id, CASE WHEN coalesce(n, 0) > 0 THEN 'block' ELSE 'allow' END AS decision, coalesce(n, 0)::INT AS n_reasons FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') c LEFT JOIN (SELECT req_id, count(*) AS n FROM ({_GATE}) GROUP BY req_id) g ON g.req_id = c.conv_id",
@@ -417,14 +442,13 @@ SQL = {
     "ages_from_birth": "SELECT o_orderkey, (2026 - year(o_orderdate) - CASE WHEN 615 < month(o_orderdate) * 100 + day(o_orderdate) THEN 1 ELSE 0 END)::INT AS age FROM orders",
     "dates_in_text": "SELECT o_orderkey, o_orderdate::DATE AS found, year(o_orderdate)::INT AS born FROM orders",
     "health_categories": "SELECT term, category, count(*) AS n FROM (SELECT ['diabetes type 2','panic attacks','a heart murmur','asthma','a cold','Epilepsy','HIV'][(p_partkey % 7 + 1)::INT] AS term, ['diabetes','an anxiety disorder','a cardiovascular condition','a respiratory condition',NULL,'a neurological condition','a chronic infection'][(p_partkey % 7 + 1)::INT] AS category FROM part) GROUP BY 1, 2",
-    "document_sentences": f"SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start) AS sentence_no, start, text AS sentence FROM ({_walk('[^.!?。' + chr(10) + ']+', 'item_id', 'benchmark')}) WHERE trim(text) <> ''",
+    "document_sentences": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS sentence_no, start, text AS sentence FROM ({_walk('[^.!?。' + chr(10) + ']+', 'doc_id', 'documents')}) WHERE trim(text) <> ''",
     "reranked_results": r"SELECT p_partkey, shared, row_number() OVER (PARTITION BY p_size ORDER BY shared DESC, p_partkey) AS place FROM (SELECT p_partkey, p_size, len(list_intersect(list_distinct(regexp_extract_all(lower('red steel ring ' || p_type), '\w{2,}')), list_distinct(regexp_extract_all(lower(p_name), '\w{2,}'))))::INT AS shared FROM part)",
     "repaired_orders": "SELECT o_orderkey, array_to_string(list_concat(v, list_filter([0, 1, 2, 3], lambda x: NOT list_contains(v, x))), ',') AS fixed FROM (SELECT o_orderkey, list_reduce(list_concat([[]::INT[]], list_transform(list_filter([o_orderkey % 3 - 1, o_orderkey % 5 - 1, o_orderkey % 7 - 1, o_orderkey % 4 - 1], lambda x: x BETWEEN 0 AND 3), lambda x: [x::INT])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) AS v FROM orders)",
     "client_addresses": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || user_id ELSE '127.0.0.1' END AS ip FROM events",
     "cleaned_queries": r"""SELECT item_id, substr(regexp_replace(regexp_replace(trim(regexp_replace('"  <PERSON_1> ' || text || ' "', '\s+', ' ', 'g')), '^["''`]+|["''`]+$', '', 'g'), '<[A-Z][A-Z_]*_\d+>', '[REDACTED]', 'g'), 1, 120) AS query FROM benchmark""",
     "retry_rule": "SELECT status, fallback, count(*) AS n FROM (SELECT [200, 400, 404, 422, 429, 500, 503][(event_id % 7 + 1)::INT] AS status, user_id FROM events), LATERAL (SELECT status >= 500 OR status = 404 OR (status IN (400, 403, 422) AND user_id % 2 = 0) AS fallback) GROUP BY 1, 2",
-    "audit_hashes": None,
-    "folded_letters": "SELECT c_custkey, translate(c_name, 'aeoC', 'аеоС') AS hidden, c_name AS folded FROM customer",
+    "folded_letters": "SELECT c_custkey, c_name AS folded FROM customer",
     "check_digits": "SELECT o_orderkey, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN i % 2 = 1 THEN substr(n, 10 - i, 1)::INT ELSE (substr(n, 10 - i, 1)::INT * 2) // 10 + (substr(n, 10 - i, 1)::INT * 2) % 10 END)) % 10 = 0 AS luhn, list_sum(list_transform(range(1, 10), lambda i: substr(n, i, 1)::INT * [3, 7, 1, 3, 7, 1, 3, 7, 1][i])) % 10 = 0 AS aba FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '4') AS n FROM orders)",
     "json_leaves": "SELECT event_id, k, props->>k AS v FROM (SELECT event_id, props::JSON AS props, unnest(json_keys(props::JSON)) AS k FROM events)",
     "forwarded_keys": "SELECT event_id, '{\"k\":\"' || (props->>'k') || '\"}' AS sent FROM (SELECT event_id, props::JSON AS props FROM events)",
