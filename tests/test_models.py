@@ -100,3 +100,26 @@ def test_korean_parts():
     assert links("우리팀 팀장이 왔다") == []
     assert links("판교지사에서 마흔다섯 살인", True) == [("판교지사", "경기도 소재 지사"), ("마흔다섯 살", "40대")]
     assert links("성남 공장", True) == [("성남 공장", "경기도 소재 공장")] and links("새론 공장", True) == []
+
+
+def test_health_terms_sums_and_relevance(spark):
+    from pyspark.sql import functions as F
+
+    from veilgrain.functions import generalize
+    from veilgrain.operators import quasi
+
+    patterns = (semantic.KO_HEALTH, semantic.EN_HEALTH)
+    rows = [("HER2-positive", True), ("요추 추간판탈출증", True), ("Fabry disease", True), ("자격증", False), ("the only diabetes patient", False), ("ADHD", True), ("a house", False), ("", False), ("case 12345 syndrome", False), ("(Crohn's disease).", True)]
+    df = spark.createDataFrame(rows, "v string, e boolean")
+    assert [r.v for r in df.select("v", "e", generalize.diagnosis_term(F.col("v"), patterns).alias("d")).collect() if r.d != r.e] == []
+    rows = [("도수치료", True), ("Fabry disease", True), ("my knee", False), ("one two three four five", False)]
+    df = spark.createDataFrame(rows, "v string, e boolean")
+    assert [r.v for r in df.select("v", "e", generalize.health_term(F.col("v")).alias("d")).collect() if r.d != r.e] == []
+    rows = [("Is 479001600 equal to 12 factorial?", "479001600", True), ("account 479001600 equals", "479001600", False), ("call 479001600 now", "479001600", False), ("compute 12 + 3", "12", False)]
+    df = spark.createDataFrame([(t, t.index(v), t.index(v) + len(v), e) for t, v, e in rows], "t string, a int, b int, e boolean")
+    assert [r.t for r in df.select("t", "e", generalize.arithmetic_number(F.col("t"), F.col("a"), F.col("b")).alias("d")).collect() if r.d != r.e] == []
+    df = spark.createDataFrame([("I was born on 1990-01-02.", 14, 24, True), ("due on 1990-01-02", 7, 17, False)], "t string, a int, b int, e boolean")
+    assert all(r.d == r.e for r in df.select("e", generalize.is_birth_date(F.col("t"), F.col("a"), F.col("b")).alias("d")).collect())
+    texts = spark.createDataFrame([(1, "A nurse asks about nurses shifts and nurse pay", ), (2, "A twin asks about taxes",)], "id int, t string")
+    attrs = spark.createDataFrame([(1, 2, 7, "role"), (2, 2, 6, "rare")], "id int, start int, end int, category string")
+    assert {r.id: r.relevant for r in quasi.relevant(texts, "t", attrs, "id").collect()} == {1: True, 2: False}

@@ -126,3 +126,57 @@ def generalization_ok(original: Column, replacement: Column) -> Column:
         | F.arrays_overlap(F.filter(F.split(F.lower(original), r"[^\p{L}\p{N}]+"), lambda t: F.rlike(t, F.lit(r"^[0-9]{3,}$"))), F.split(F.lower(replacement), r"[^\p{L}\p{N}]+"))
     )
     return ~F.coalesce(bad, F.lit(True))
+
+
+# Endings of diagnoses, what makes one a description of a person, cues of sums and of accounts, titles.
+DIAGNOSIS = r"^[\w\s\-'’+/]{0,30}?(?:증후군|탈출증|증|병|염|암|장애|질환|종양|감염|결핍|양성|음성)$|(?i)^[\w\s\-'’+/]{0,30}?(?:disease|syndrome|disorder|deficiency|infection|herniation|itis|carcinoma|lymphoma|melanoma|sarcoma|glaucoma|myeloma|blastoma|glioma|[-\s]positive|[-\s]negative)$"
+PAPERS = r"(?:자격|영수|신분|학생|사원|면허|등록|수료|보|인|확인|허가|합격|졸업|출입|공무원|회원|이용|증명)증$"
+OF_A_PERSON = r"(?i)\b(?:only|sole|first|youngest|oldest|with|at|in|of|my|her|his|their|who)\b|유일|최초|하나뿐|에서|의\s"
+TELLS_OF_SOMEONE = r"(?i)\b(?:only|sole|first|youngest|oldest|who|that|which|whose|my|her|his|their|our)\b|유일|최초|하나뿐|혼자|우리|내가|제가"
+SUMS = r"(?i)factorial|팩토리얼|\bequal(?:s)?\b|\bprime\b|소수|\bdivisible\b|약수|배수|제곱|\bsquare root\b|\bsum of\b|곱하기|나누기|더하기|빼기|계산|\bcalculate\b|\bcompute\b|[×÷=^]"
+ACCOUNTS = r"(?i)account|acct|card|routing|iban|계좌|카드|번호|\bID\b|number|#|no\."
+BIRTHS = r"(?i)생년월일|생일|출생|태어났|태어난|년생|\bDOB\b|date of birth|birth\s*date|\bborn\b|birthday"
+
+
+def _bare(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(value), r"^[.,;:()]+|[.,;:()]+$", ""))
+
+
+def common_health_term(value: Column, patterns: tuple[str, ...]) -> Column:
+    """A term of the health rules (`patterns`), short and without a number of three digits."""
+    held = F.rlike(value, F.lit(patterns[0]))
+    for p in patterns[1:]:
+        held = held | F.rlike(value, F.lit(p))
+    return (F.length(F.trim(value)) <= 40) & ~F.rlike(value, F.lit(r"\d{3,}")) & held
+
+
+def diagnosis_term(value: Column, patterns: tuple[str, ...] = ()) -> Column:
+    """Nothing but a diagnosis or a finding, by its ending or the health rules; not a phrase that tells of someone."""
+    t = _bare(value)
+    short = (t != "") & (F.length(t) <= 48) & (F.size(F.split(t, r"\s+")) <= 6) & ~F.rlike(t, F.lit(r"\d{3,}"))
+    shaped = F.rlike(t, F.lit(f"(?U){DIAGNOSIS.replace('|(?i)', '|(?iU)')}"))
+    known = shaped | common_health_term(t, patterns) if patterns else shaped
+    return short & ~F.rlike(t, F.lit(f"(?U){OF_A_PERSON}")) & ~F.rlike(t, F.lit(PAPERS)) & known
+
+
+def health_term(value: Column) -> Column:
+    """A short term that can stay as it is: four words at most, none of which tells of someone."""
+    t = _bare(value)
+    return (t != "") & (F.length(t) <= 32) & (F.size(F.split(t, r"\s+")) <= 4) & ~F.rlike(t, F.lit(r"\d{3,}")) & ~F.rlike(t, F.lit(f"(?U){TELLS_OF_SOMEONE}"))
+
+
+def _around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    low = F.greatest(start - before, F.lit(0))
+    return F.substring(text, low + 1, end + after - low)
+
+
+def is_birth_date(text: Column, start: Column, end: Column) -> Column:
+    """A cue of birth stands within 24 characters before a place, or 6 after it."""
+    return F.rlike(_around(text, start, end, 24, 6), F.lit(f"(?U){BIRTHS}"))
+
+
+def arithmetic_number(text: Column, start: Column, end: Column) -> Column:
+    """A run of four digits or more that its surroundings compute with, without a label of an account before it."""
+    value = F.trim(F.substring(text, start + 1, end - start))
+    before = F.substring(text, F.greatest(start - 30, F.lit(0)) + 1, start - F.greatest(start - 30, F.lit(0)))
+    return F.rlike(value, F.lit(r"^\d{4,}$")) & F.rlike(_around(text, start, end, 60, 60), F.lit(f"(?U){SUMS}")) & ~F.rlike(before, F.lit(f"(?U){ACCOUNTS}"))

@@ -140,3 +140,27 @@ def value_kind(value: Column) -> Column:
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+# Words that say nothing of one person, and endings of Korean words.
+COMMON = "학교 중학교 고등학교 초등학교 아파트 교회 부대 지역 마을 도시 공무원 의사 교사 선수 대회 school high church town city county state team company university teacher doctor".split()
+WORD_END = "(?:이었고|이었어|이었는데|였고|였어|였는데|이고|인데|이야|이며|입니다|이에요|예요|에서|에게|으로|이|가|은|는|을|를|의|과|와|도|로|에|고|야)$"
+
+
+def content_words(text: Column) -> Column:
+    """Distinct words that a text is about: Korean ones of two syllables without their ending, Latin ones of four letters."""
+    korean = F.transform(F.regexp_extract_all(text, F.lit("[가-힣]{2,}"), F.lit(0)), lambda w: F.regexp_replace(w, WORD_END, ""))
+    latin = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z\-]{3,}"), F.lit(0)), lambda w: F.lower(w))
+    return F.array_distinct(F.filter(F.concat(korean, latin), lambda w: (F.length(w) >= 2) & ~w.isin(*COMMON)))
+
+
+def relevant(df: DataFrame, text: str, attrs: DataFrame, *keys: str) -> DataFrame:
+    """`attrs` (keys, start, end, ...) with `relevant`: a content word of the attribute also stands in the text (keys,
+    text) outside all its attributes, so the question needs it."""
+    spans_ = attrs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    t = F.col(text)
+    outside = F.aggregate("_spans", start, lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(" ")).alias("out")), lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    rest = df.join(spans_, list(keys)).select(*keys, t.alias("_t"), content_words(outside).alias("_rest"))
+    own = content_words(F.expr("substring(_t, start + 1, end - start)"))
+    return attrs.join(rest, list(keys)).withColumn("relevant", F.arrays_overlap(own, "_rest")).drop("_t", "_rest")

@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrain.functions import generalize
 from veilgrain.functions.session import table
-from veilgrain.operators import places
+from veilgrain.operators import places, quasi, semantic
 
 Spark, Frame = SparkSession, DataFrame
 TOWNS = ("Falls", "Harbor", "Ridge")
@@ -65,13 +66,43 @@ def fixed_generalizations(spark: Spark, d: str) -> Frame:
     return places.fixed_generalizations(rows, TODAY, gazetteer(spark, d), "p_partkey").select("p_partkey", F.expr("end - start").alias("length"), "replacement", "outcome")
 
 
-QUERIES = (place_mentions, place_ancestors, place_generalizations, fixed_generalizations)
+ENDINGS = (" disease", "itis", " plan", "-positive", ", the only syndrome", " 2024 infection", " of kin")
+
+
+def health_terms(spark: Spark, d: str) -> Frame:
+    """Words of parts with endings of diagnoses and others: diagnoses, and terms that may stay."""
+    value = F.concat(F.lower(F.element_at(F.split("p_name", " "), 1)), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % len(ENDINGS) + 1).cast("int")))
+    found = table(spark, d, "part").select(value.alias("v"))
+    return found.groupBy(generalize.diagnosis_term(F.col("v"), (semantic.KO_HEALTH, semantic.EN_HEALTH)).alias("diagnosis"), generalize.health_term(F.col("v")).alias("term")).agg(F.count("*").alias("n"), F.min("v").alias("least"))
+
+
+def arithmetic_numbers(spark: Spark, d: str) -> Frame:
+    """Order keys in sentences that compute with them, that name them as accounts, and in others."""
+    key = (F.col("o_orderkey") + 1000).cast("string")
+    lead = F.element_at(F.array(F.lit("Is "), F.lit("account no. "), F.lit("see ")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(lead, key, F.when(F.col("o_orderkey") % 4 == 0, " items").otherwise(" divisible by 7?")).alias("t"), F.length(lead).alias("a"), (F.length(lead) + F.length(key)).alias("b"))
+    return rows.select("o_orderkey", generalize.arithmetic_number(F.col("t"), F.col("a"), F.col("b")).alias("computed"))
+
+
+def relevant_attributes(spark: Spark, d: str) -> Frame:
+    """Attributes of customers that their question takes up again, and others."""
+    c = F.col("c_custkey")
+    said = F.concat(F.lit("I am a nurse and joined in 1999. "), F.when(c % 3 == 0, "What do Nurse schedules say?").when(c % 3 == 1, "When did others, who joined, leave?").otherwise("Is it late?"))
+    texts = table(spark, d, "customer").select("c_custkey", said.alias("said"))
+    return quasi.relevant(texts, "said", quasi.attributes(texts, "said", "c_custkey"), "c_custkey").select("c_custkey", "category", "relevant")
+
+
+QUERIES = (health_terms, arithmetic_numbers, relevant_attributes, place_mentions, place_ancestors, place_generalizations, fixed_generalizations)
 
 _INITCAP = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 _NATION = f"SELECT n_nationkey AS k, {_INITCAP.format('n_name')} AS n, {_INITCAP.format('r_name')} AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
 _LETTERS = f"""SELECT c_custkey, c_name || ' of ' || c_mktsegment || ' moved from ' AS lead, a.n || ' ' || ['Falls', 'Harbor', 'Ridge'][(c_custkey % 3 + 1)::INT] AS town, a.n, a.r, b.n AS o, b.r AS br FROM customer JOIN ({_NATION}) a ON a.k = c_nationkey JOIN ({_NATION}) b ON b.k = c_custkey % 25"""
 
 SQL = {
+    "health_terms": f"""WITH v AS (SELECT lower(split_part(p_name, ' ', 1)) || [{", ".join(repr(e) for e in ENDINGS)}][(p_partkey % {len(ENDINGS)} + 1)::INT] AS v, p_partkey % {len(ENDINGS)} AS k FROM part)
+      SELECT k IN (0, 1, 3) AS diagnosis, k NOT IN (4, 5) AND length(v) <= 32 AS term, count(*) AS n, min(v) AS least FROM v GROUP BY 1, 2""",
+    "arithmetic_numbers": "SELECT o_orderkey, o_orderkey % 3 <> 1 AND o_orderkey % 4 <> 0 AS computed FROM orders",
+    "relevant_attributes": "SELECT c_custkey, 'role' AS category, c_custkey % 3 = 0 AS relevant FROM customer UNION ALL SELECT c_custkey, 'cohort', c_custkey % 3 = 1 FROM customer",
     "place_mentions": f"""WITH l AS ({_LETTERS}) SELECT c_custkey, length(lead)::INT AS start, (length(lead) + length(town))::INT AS "end", town AS place, r AS top FROM l
       UNION ALL SELECT c_custkey, (length(lead) + length(town) + 4)::INT, (length(lead) + length(town) + 4 + length(o))::INT, o, br FROM l""",
     "place_ancestors": f"WITH n AS ({_NATION}), t AS (SELECT n || ' ' || unnest(['Falls', 'Harbor', 'Ridge']) AS t, n, r FROM n) SELECT t AS name, n AS ancestor, 1 AS depth FROM t UNION ALL SELECT t, r, 2 FROM t UNION ALL SELECT n, r, 1 FROM n",
