@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -95,3 +96,68 @@ def restored(rows: DataFrame, mappings: DataFrame, conversation: str, column: st
 
     joined = rows.select(*names, column).join(known, conversation, "left")
     return joined.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in names), f"{column} string"]))
+
+
+def _slots(body: str) -> tuple[list[tuple[int, str, str, bool]], list[str]]:
+    """((number, path, text, whether it is JSON), ...) of a request's texts in message order, and kinds of contents that
+    can't be looked into."""
+    found = jsonplaces.leaves(body)
+    texts = {x.path: x.value for x in found or [] if x.kind == "string"}
+    try:
+        messages = json.loads(body).get("messages") if found else None
+    except (ValueError, RecursionError, AttributeError):
+        messages = None
+    slots: list[tuple[tuple, bool]] = []
+    unseen: list[str] = []
+    for i, message in enumerate(messages if isinstance(messages, list) else []):
+        at = ("messages", i)
+        if not isinstance(message, dict):
+            continue
+        content = message.get("content")
+        if isinstance(content, str):
+            slots.append(((*at, "content"), False))
+        for j, part in enumerate(content if isinstance(content, list) else []):
+            if isinstance(part, dict):
+                if part.get("type") == "text" and isinstance(part.get("text"), str):
+                    slots.append(((*at, "content", j, "text"), False))
+                else:
+                    unseen.append(f"uninspectable_content:{part.get('type')}")
+        calls = message.get("tool_calls")
+        slots += [((*at, "tool_calls", j, "function", "arguments"), True) for j in range(len(calls) if isinstance(calls, list) else 0)]
+        slots.append(((*at, "function_call", "arguments"), True))
+    held = [(path, in_json) for path, in_json in slots if path in texts]
+    return [(n, pointer(path), texts[path], in_json) for n, (path, in_json) in enumerate(held)], unseen
+
+
+def request_slots(df: DataFrame, body: str, *keys: str) -> DataFrame:
+    """(keys, slot_no, path, text, in_json): the texts of requests in message order: contents, their text parts, and
+    arguments of calls, which are JSON themselves.  A body that is no JSON object, or has no messages, has none."""
+    return _mapped(df, body, keys, "slot_no int, path string, text string, in_json boolean", lambda t: _slots(t)[0], [pa.int32(), pa.string(), pa.string(), pa.bool_()])
+
+
+def uninspected(df: DataFrame, body: str, *keys: str) -> DataFrame:
+    """(keys, reason) of content parts that aren't text, so that nothing can be found in them."""
+    return _mapped(df, body, keys, "reason string", lambda t: [(r,) for r in _slots(t)[1]], [pa.string()])
+
+
+def _conversation(body: str) -> str | None:
+    try:
+        whole = json.loads(body)
+    except (ValueError, RecursionError):
+        return None
+    messages = whole.get("messages") if isinstance(whole, dict) else None
+    first = next((m for m in messages or [] if isinstance(m, dict) and m.get("role") == "user"), None) if isinstance(messages, list) else None
+    raw = json.dumps(messages, sort_keys=True) if first is None else json.dumps(first.get("content"), ensure_ascii=False, sort_keys=True)
+    return "conv_" + hashlib.sha256(raw.encode("utf-8", "surrogatepass")).hexdigest()[:24]
+
+
+def conversation_ids(df: DataFrame, body: str, *keys: str) -> DataFrame:
+    """(keys, conversation): an id from the first message of a user, whatever its content is, or from all messages where
+    there is none; null for what isn't JSON."""
+    return _mapped(df, body, keys, "conversation string", lambda t: [(_conversation(t),)], [pa.string()])
+
+
+def projected(df: DataFrame, body: str, known: tuple[str, ...], *keys: str) -> DataFrame:
+    """(keys, body) with only the known members of JSON objects, as they were written; other texts as they are."""
+    only = lambda t: [(jsonplaces.without(t, lambda p: len(p) == 1 and p[0] not in known),)]
+    return _mapped(df, body, keys, f"{body} string", only, [pa.string()])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgrain.functions import institutions
 from veilgrain.operators.spans import matches, resolved
 
 # Category weights, coarsening order, limits by level.
@@ -164,3 +166,25 @@ def relevant(df: DataFrame, text: str, attrs: DataFrame, *keys: str) -> DataFram
     rest = df.join(spans_, list(keys)).select(*keys, t.alias("_t"), content_words(outside).alias("_rest"))
     own = content_words(F.expr("substring(_t, start + 1, end - start)"))
     return attrs.join(rest, list(keys)).withColumn("relevant", F.arrays_overlap(own, "_rest")).drop("_t", "_rest")
+
+
+def institution_attributes(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, start, end, text, category, rule, phrase): named institutions, school classes and small groups as
+    attributes of the category org, longest first and without overlap."""
+    kinds, n = dict(df.dtypes), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, t in enumerate(batch.column(n).to_pylist()):
+                kept: list[institutions.Institution] = []
+                for f in sorted(institutions.institutions(t or ""), key=lambda f: (f.start - f.end, f.start)):
+                    if all(f.end <= k.start or k.end <= f.start for k in kept):
+                        kept.append(f)
+                at += [i] * len(kept)
+                rows += [(f.start, f.end, t[f.start : f.end], "org", f.rule, f.phrase) for f in sorted(kept)]
+            own = batch.select(list(range(n))).take(pa.array(at, pa.int64()))
+            made = [pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.string()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *made], [*keys, "start", "end", "text", "category", "rule", "phrase"])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start int, end int, text string, category string, rule string, phrase string"]))

@@ -3,6 +3,7 @@ structs; offsets count code points."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -180,9 +181,32 @@ def chunked(df: DataFrame, text: str, *keys: str, size: int = 2000, overlap: int
     return cut.select(*keys, (F.col("at") + 1).alias("chunk_no"), "chunk")
 
 
-def word_windows(df: DataFrame, text: str, *keys: str, words: int = 120, back: float = 0.25) -> DataFrame:
-    """(keys, window_no, window): runs of `words` words, each beginning a quarter before the last one's end."""
-    w = F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "")
-    step = int(words * (1 - back))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - F.lit(words) + F.lit(step - 1)), F.lit(step))
-    return df.select(*keys, w.alias("w")).where(F.size("w") > 0).select(*keys, F.posexplode(starts).alias("window_no", "s"), "w").select(*keys, "window_no", F.array_join(F.slice("w", F.col("s") + 1, words), " ").alias("window"))
+def windows_of(text: str, words: int, chars: int, back: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows of a text; see `word_windows`."""
+    places = [m.span() for m in re.finditer(r"[^\s]+", text, re.ASCII)]
+    i, n = 0, len(places)
+    while i < n:
+        j = i + 1
+        while j < n and j - i < words and places[j][1] - places[i][0] <= chars:
+            j += 1
+        yield places[i][0], places[j - 1][1]
+        i = n if j == n else max(i + 1, j - max(1, int((j - i) * back)))
+
+
+def word_windows(df: DataFrame, text: str, *keys: str, words: int = 120, chars: int = 600, back: float = 0.25) -> DataFrame:
+    """(keys, window_no, start, window): runs of up to `words` words within `chars` characters, one word at least, each
+    beginning `back` of the last one's words before its end, as they stand in the text; `start` is a window's offset."""
+    kinds, n = dict(df.dtypes), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, t in enumerate(batch.column(n).to_pylist()):
+                own = [(k, start, t[start:end]) for k, (start, end) in enumerate(windows_of(t or "", words, chars, back))]
+                at += [i] * len(own)
+                rows += own
+            kept = batch.select(list(range(n))).take(pa.array(at, pa.int64()))
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*keys, "window_no", "start", "window"])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "window_no int, start int, window string"]))

@@ -80,5 +80,17 @@ def removed(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return table.join(gone.select(*key).distinct(), key, "left_anti")
 
 
+def loaded(mappings: DataFrame, conversation: str, at: str = "created_at") -> DataFrame:
+    """(conversation, mappings): each conversation's mappings (original, type, action, value) in order of their time."""
+    kept = F.array_sort(F.collect_list(F.struct(at, "original", "type", "action", "value")))
+    return mappings.groupBy(conversation).agg(F.transform(kept, lambda m: F.struct(m["original"].alias("original"), m["type"].alias("type"), m["action"].alias("action"), m["value"].alias("value"))).alias("mappings"))
+
+
+def reset(terms: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(no terms, no mappings, (terms_removed, mappings_removed)): a vault that has forgotten everything."""
+    removed_ = terms.agg(F.count("*").alias("terms_removed")).crossJoin(mappings.agg(F.count("*").alias("mappings_removed")))  # a row each
+    return terms.limit(0), mappings.limit(0), removed_
+
+
 def conversation_id(first_message: Column) -> Column:
     return F.concat(F.lit("conv_"), F.substring(F.sha2(first_message, 256), 1, 24))

@@ -92,13 +92,30 @@ def relevant_attributes(spark: Spark, d: str) -> Frame:
     return quasi.relevant(texts, "said", quasi.attributes(texts, "said", "c_custkey"), "c_custkey").select("c_custkey", "category", "relevant")
 
 
-QUERIES = (health_terms, arithmetic_numbers, relevant_attributes, place_mentions, place_ancestors, place_generalizations, fixed_generalizations)
+#: What customers belong to, and (offset, length, phrase) of what is found in it.
+BELONGS = (
+    ("Marsh Hollow High School", ((0, 24, "a high school"),)), ("the Local Library", ()), ("a five-member planning commission", ((2, 31, "a local board"),)), ("a 400-employee firm", ()), ("Fort Quill", ((0, 10, "a military base"),)),
+    ("새론초등학교", ((0, 6, "한 초등학교"),)), ("우리 교회", ()), ("3학년 2반", ((0, 6, "3학년"),)), ("직원 12명", ((3, 3, "10여 명"),)), ("the 3rd Ranger Battalion", ((4, 20, "a military unit"),)),
+)
+
+
+def institution_attributes(spark: Spark, d: str) -> Frame:
+    """Institutions, classes and groups that customers say they belong to."""
+    k = (F.col("c_custkey") % len(BELONGS) + 1).cast("int")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(", of "), F.element_at(F.array(*[F.lit(b) for b, _ in BELONGS]), k), F.lit(", asks.")).alias("said"))
+    return quasi.institution_attributes(rows, "said", "c_custkey").select("c_custkey", "start", "end", "phrase")
+
+
+QUERIES = (institution_attributes, health_terms, arithmetic_numbers, relevant_attributes, place_mentions, place_ancestors, place_generalizations, fixed_generalizations)
 
 _INITCAP = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 _NATION = f"SELECT n_nationkey AS k, {_INITCAP.format('n_name')} AS n, {_INITCAP.format('r_name')} AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
 _LETTERS = f"""SELECT c_custkey, c_name || ' of ' || c_mktsegment || ' moved from ' AS lead, a.n || ' ' || ['Falls', 'Harbor', 'Ridge'][(c_custkey % 3 + 1)::INT] AS town, a.n, a.r, b.n AS o, b.r AS br FROM customer JOIN ({_NATION}) a ON a.k = c_nationkey JOIN ({_NATION}) b ON b.k = c_custkey % 25"""
 
+_BELONGS = ", ".join(f"({k}, {a}, {n}, '{p}')" for k, (_, found) in enumerate(BELONGS) for a, n, p in found)
+
 SQL = {
+    "institution_attributes": f"""WITH b(k, a, n, phrase) AS (VALUES {_BELONGS}) SELECT c_custkey, (length(c_name) + 5 + a)::INT AS start, (length(c_name) + 5 + a + n)::INT AS "end", phrase FROM customer JOIN b ON c_custkey % {len(BELONGS)} = k""",
     "health_terms": f"""WITH v AS (SELECT lower(split_part(p_name, ' ', 1)) || [{", ".join(repr(e) for e in ENDINGS)}][(p_partkey % {len(ENDINGS)} + 1)::INT] AS v, p_partkey % {len(ENDINGS)} AS k FROM part)
       SELECT k IN (0, 1, 3) AS diagnosis, k NOT IN (4, 5) AND length(v) <= 32 AS term, count(*) AS n, min(v) AS least FROM v GROUP BY 1, 2""",
     "arithmetic_numbers": "SELECT o_orderkey, o_orderkey % 3 <> 1 AND o_orderkey % 4 <> 0 AS computed FROM orders",

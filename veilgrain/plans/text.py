@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.functions import generalize, rules
+from veilgrain.functions import checkdigits, generalize, rules
 from veilgrain.functions.session import table
 from veilgrain.operators import detect, ensemble, gate, jsontext, limits, quasi, sampling, scan, semantic, spans, vault
 from veilgrain.plans.fixtures import SPANS, as_sql, rows
@@ -235,7 +235,7 @@ def document_chunks(spark: Spark, d: str) -> Frame:
 
 def document_windows(spark: Spark, d: str) -> Frame:
     w = spans.word_windows(table(spark, d, "documents"), "text", "doc_id")
-    return w.groupBy("doc_id").agg(F.count("*").alias("windows"), F.max(F.length("window")).alias("longest"))
+    return w.groupBy("doc_id").agg(F.count("*").alias("windows"), F.max(F.length("window")).alias("longest"), F.max("start").alias("last_start"))
 
 
 def language_segments(spark: Spark, d: str) -> Frame:
@@ -277,10 +277,11 @@ def folded_letters(spark: Spark, d: str) -> Frame:
 
 
 def check_digits(spark: Spark, d: str) -> Frame:
-    """Luhn and 3-7-1 check digits of numbers."""
-    n = F.lpad(F.col("o_orderkey").cast("string"), 9, "4")
-    digits = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(n, i, F.lit(1)).cast("int") * F.element_at(F.array(*map(F.lit, (3, 7, 1) * 3)), i))
-    return table(spark, d, "orders").select("o_orderkey", F.call_function("luhn_check", n).alias("luhn"), (F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10 == 0).alias("aba"))
+    """Numbers of orders against the check digits of cards, routing, resident, business and account numbers."""
+    key = F.col("o_orderkey").cast("string")
+    n = lambda size: F.lpad(key, size, "4839201756")
+    shown = F.concat(F.lit("GB"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit(" WEST "), n(14))
+    return table(spark, d, "orders").select("o_orderkey", checkdigits.luhn(n(16)).alias("luhn"), checkdigits.routing(n(9)).alias("aba"), checkdigits.rrn(n(13)).alias("rrn"), checkdigits.business(n(10)).alias("business"), checkdigits.iban(shown).alias("iban"))
 
 
 def quasi_attributes(spark: Spark, d: str) -> Frame:
@@ -302,16 +303,33 @@ def json_leaves(spark: Spark, d: str) -> Frame:
 
 
 def forwarded_keys(spark: Spark, d: str) -> Frame:
-    """Only known keys of a request are sent on."""
-    m = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k.isin("k", "model", "messages"))
-    return table(spark, d, "events").select("event_id", F.to_json(m).alias("sent"))
+    """Requests with the members alone that are sent on, as they were written."""
+    return jsontext.projected(_requests(spark, d), "body", ("model", "messages"), "conv_id")
+
+
+def _requests(spark: Spark, d: str) -> Frame:
+    """(conv_id, body): conversations as requests: contents as texts and as parts, some of them images, and arguments of calls."""
+    one = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    t = F.col("turn")
+    content = F.when(t % 3 == 0, one).when(t % 3 == 1, F.concat(F.lit('[{"type": "text", "text": '), one, F.lit('}, {"type": "image"}]'))).otherwise("null")
+    calls = F.when(t % 4 == 2, F.concat(F.lit(', "tool_calls": [{"function": {"name": "f", "arguments": '), one, F.lit("}}]"))).otherwise("")
+    message = F.struct(t.alias("t"), F.concat(F.lit('{"role": "'), F.col("role"), F.lit('", "content": '), content, calls, F.lit("}")).alias("m"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"]), ", ")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit('{"user": "u", "messages": ['), whole, F.lit('], "model": "m"}')).alias("body"))
 
 
 def request_slots(spark: Spark, d: str) -> Frame:
-    """Nested messages, taken apart into slots again."""
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
-    slot = turns.select("conv_id", F.posexplode("messages").alias("slot_no", "m"))
-    return slot.select("conv_id", "slot_no", F.col("m.role").alias("role"), F.length("m.content").alias("n_chars"))
+    """The texts of requests, with the paths that they are put back to."""
+    return jsontext.request_slots(_requests(spark, d), "body", "conv_id")
+
+
+def uninspected_parts(spark: Spark, d: str) -> Frame:
+    return jsontext.uninspected(_requests(spark, d), "body", "conv_id").groupBy("conv_id", "reason").agg(F.count("*").alias("n"))
+
+
+def request_conversations(spark: Spark, d: str) -> Frame:
+    """Ids of conversations from requests' first message of a user."""
+    return jsontext.conversation_ids(_requests(spark, d), "body", "conv_id")
 
 
 def distinct_slots(spark: Spark, d: str) -> Frame:
@@ -350,7 +368,7 @@ QUERIES = (
     masked_counts, email_spans, rule_email, rule_card, rule_access_key, rule_password, rule_counts, entropy_tokens, word_entropy, url_tokens, detected_spans, decoded_layers, term_search, vault_numbers, vault_turns,
     masked_turns, restored_turns, skip_model, conversation_ids, propagated, gate_decisions, gate_reasons, gate_full, audit_hashes, leak_variants, value_kinds, text_languages, decade_phrases, stated_ages, ages_from_birth,
     dates_in_text, health_categories, document_sentences, document_chunks, document_windows, language_segments, reranked_results, repaired_orders, client_addresses, cleaned_queries, retry_rule, folded_letters, check_digits,
-    quasi_attributes, quasi_coarsened, json_leaves, forwarded_keys, request_slots, distinct_slots,
+    quasi_attributes, quasi_coarsened, json_leaves, forwarded_keys, request_slots, uninspected_parts, request_conversations, distinct_slots,
 )
 
 
@@ -368,6 +386,10 @@ def _walk(pattern: str, keys: str, frm: str) -> str:
       FROM (SELECT {keys}, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {keys}, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM {frm}) WHERE len(m) > 0)"""
 
 
+def _sum(v: str, weights: tuple[int, ...]) -> str:
+    return "(" + " + ".join(f"substr({v}, {i}, 1)::INT * {w}" for i, w in enumerate(weights, 1)) + ")"
+
+
 _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 _CONTACTS = f"SELECT doc_id, 'CONTACT' AS type FROM ({_found(EMAIL)}) UNION ALL SELECT doc_id, 'CONTACT' FROM ({_found(PHONE)}) UNION ALL SELECT doc_id, 'FINANCIAL' FROM (SELECT doc_id, {_DIGITS} AS dg FROM ({_found(CARD)})) WHERE {_luhn('dg')}"
 _CAPS = _walk(r"\b[A-Z][a-z]{4,}", "conv_id, turn", "conversations")
@@ -379,6 +401,11 @@ CAPITAL = r"\b[A-Z][a-z]{4,}"
 _PADS = [bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
 
 
+#: (conv_id, ms): the messages of `_requests`.
+_REQUESTS = """SELECT conv_id, string_agg('{"role": "' || role || '", "content": ' || CASE turn % 3 WHEN 0 THEN to_json(text)::VARCHAR WHEN 1 THEN '[{"type": "text", "text": ' || to_json(text)::VARCHAR || '}, {"type": "image"}]' ELSE 'null' END
+  || CASE WHEN turn % 4 = 2 THEN ', "tool_calls": [{"function": {"name": "f", "arguments": ' || to_json(text)::VARCHAR || '}}]' ELSE '' END || '}', ', ' ORDER BY turn) AS ms FROM conversations GROUP BY conv_id"""
+
+
 def _hmac(value: str) -> str:
     return f"sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode({value}))))"
 
@@ -421,8 +448,13 @@ SQL = {
       SELECT x.conv_id, x.turn, string_agg(p[i + 1] || coalesce('<TERM_' || number || '>', ''), '' ORDER BY i) AS masked FROM x LEFT JOIN n2 ON n2.conv_id = x.conv_id AND n2.norm = lower(m[i + 1]) GROUP BY x.conv_id, x.turn""",
     "gate_reasons": rf"""SELECT DISTINCT req_id, 'declared_term:TERM:' || substr({_hmac('v')}, 1, 12) AS reason FROM (SELECT p.conv_id AS req_id, v.v FROM (SELECT conv_id, text FROM conversations WHERE role = 'assistant') p JOIN (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{{3,}}')) AS v FROM conversations WHERE role = 'user') v ON v.conv_id = p.conv_id AND contains(lower(p.text), lower(v.v)))""",
     "audit_hashes": f"SELECT c_custkey, {_hmac('c_name')} AS hmac, sha256(c_name) AS sha FROM customer",
-    "document_windows": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 120 + 89) + 1, 90)) AS s FROM w WHERE len(w) > 0)
-      SELECT doc_id, count(*) AS windows, max(length(array_to_string(w[s + 1:s + 120], ' ')))::INT AS longest FROM s GROUP BY doc_id""",
+    "document_windows": """WITH RECURSIVE p AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS m, regexp_split_to_array(text, '\\S+') AS g FROM documents),
+      u AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS w, unnest(g[1:len(m)]) AS gap FROM p), o AS (SELECT doc_id, k, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY k) AS e, length(w) AS n FROM u),
+      w AS MATERIALIZED (SELECT doc_id, list(e - n ORDER BY k) AS s, list(e ORDER BY k) AS e, count(*) AS n FROM o GROUP BY doc_id),
+      r AS (SELECT doc_id, 0::BIGINT AS no, 0::BIGINT AS i FROM w UNION ALL
+        SELECT doc_id, no + 1, greatest(i + 1, j - greatest(1, (j - i) // 4)) FROM (SELECT r.doc_id, no, i, n, i + greatest(1, len(list_filter(range(0, 120), lambda k: i + k < n AND e[i + k + 1] - s[i + 1] <= 600))) AS j FROM r JOIN w ON w.doc_id = r.doc_id) WHERE j < n),
+      v AS (SELECT r.doc_id, no, e[i + greatest(1, len(list_filter(range(0, 120), lambda k: i + k < n AND e[i + k + 1] - s[i + 1] <= 600)))] - s[i + 1] AS chars, s[i + 1] AS start FROM r JOIN w ON w.doc_id = r.doc_id)
+      SELECT doc_id, count(*) AS windows, max(chars)::INT AS longest, max(start)::INT AS last_start FROM v GROUP BY doc_id""",
     "language_segments": """WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
       k AS (SELECT *, CASE WHEN trim(line, ' ') <> '' THEN CASE WHEN regexp_matches(line, '[äöüßéèêçñíóá]') THEN 'accented' ELSE 'en' END END AS own FROM l),
       f AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER w, 'en') AS segment_lang, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
@@ -449,10 +481,16 @@ SQL = {
     "cleaned_queries": r"""SELECT item_id, substr(regexp_replace(regexp_replace(trim(regexp_replace('"  <PERSON_1> ' || text || ' "', '\s+', ' ', 'g')), '^["''`]+|["''`]+$', '', 'g'), '<[A-Z][A-Z_]*_\d+>', '[REDACTED]', 'g'), 1, 120) AS query FROM benchmark""",
     "retry_rule": "SELECT status, fallback, count(*) AS n FROM (SELECT [200, 400, 404, 422, 429, 500, 503][(event_id % 7 + 1)::INT] AS status, user_id FROM events), LATERAL (SELECT status >= 500 OR status = 404 OR (status IN (400, 403, 422) AND user_id % 2 = 0) AS fallback) GROUP BY 1, 2",
     "folded_letters": "SELECT c_custkey, c_name AS folded FROM customer",
-    "check_digits": "SELECT o_orderkey, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN i % 2 = 1 THEN substr(n, 10 - i, 1)::INT ELSE (substr(n, 10 - i, 1)::INT * 2) // 10 + (substr(n, 10 - i, 1)::INT * 2) % 10 END)) % 10 = 0 AS luhn, list_sum(list_transform(range(1, 10), lambda i: substr(n, i, 1)::INT * [3, 7, 1, 3, 7, 1, 3, 7, 1][i])) % 10 = 0 AS aba FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '4') AS n FROM orders)",
+    "check_digits": f"""WITH n AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 16, '4839201756') AS c, lpad(o_orderkey::VARCHAR, 9, '4839201756') AS a, lpad(o_orderkey::VARCHAR, 13, '4839201756') AS r, lpad(o_orderkey::VARCHAR, 10, '4839201756') AS b, lpad(o_orderkey::VARCHAR, 14, '4839201756') AS t, lpad((o_orderkey % 100)::VARCHAR, 2, '0') AS k FROM orders)
+      SELECT o_orderkey, {_luhn('c')} AS luhn, {_sum('a', (3, 7, 1, 3, 7, 1, 3, 7, 1))} % 10 = 0 AS aba, (11 - {_sum('r', (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5))} % 11) % 10 = substr(r, 13, 1)::INT AS rrn,
+        (10 - ({_sum('b', (1, 3, 7, 1, 3, 7, 1, 3, 5))} + substr(b, 9, 1)::INT * 5 // 10) % 10) % 10 = substr(b, 10, 1)::INT AS business, ('32142829' || t || '1611' || k)::HUGEINT % 97 = 1 AS iban FROM n""",
     "json_leaves": "SELECT event_id, k, props->>k AS v FROM (SELECT event_id, props::JSON AS props, unnest(json_keys(props::JSON)) AS k FROM events)",
-    "forwarded_keys": "SELECT event_id, '{\"k\":\"' || (props->>'k') || '\"}' AS sent FROM (SELECT event_id, props::JSON AS props FROM events)",
-    "request_slots": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS slot_no, role, length(text) AS n_chars FROM conversations",
+    "forwarded_keys": f"SELECT conv_id, '{{\"messages\": [' || ms || '], \"model\": \"m\"}}' AS body FROM ({_REQUESTS})",
+    "request_slots": """WITH s AS (SELECT conv_id, turn, 0 AS o, CASE WHEN turn % 3 = 0 THEN '/content' ELSE '/content/0/text' END AS p, text, false AS in_json FROM conversations WHERE turn % 3 < 2 UNION ALL SELECT conv_id, turn, 1, '/tool_calls/0/function/arguments', text, true FROM conversations WHERE turn % 4 = 2),
+      t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)
+      SELECT s.conv_id, (row_number() OVER (PARTITION BY s.conv_id ORDER BY s.turn, o) - 1)::INT AS slot_no, '/messages/' || n || p AS path, text, in_json FROM s JOIN t ON t.conv_id = s.conv_id AND t.turn = s.turn""",
+    "uninspected_parts": "SELECT conv_id, 'uninspectable_content:image' AS reason, count(*) AS n FROM conversations WHERE turn % 3 = 1 GROUP BY conv_id",
+    "request_conversations": """SELECT conv_id, 'conv_' || substr(sha256(CASE turn % 3 WHEN 0 THEN to_json(text)::VARCHAR WHEN 1 THEN '[{"text": ' || to_json(text)::VARCHAR || ', "type": "text"}, {"type": "image"}]' ELSE 'null' END), 1, 24) AS conversation FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""",
     "distinct_slots": "SELECT copies, count(*) AS documents FROM (SELECT count(*) OVER (PARTITION BY text) AS copies FROM documents) GROUP BY copies",
     "document_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, length(text) AS n, list_transform(regexp_extract_all(text, '[^\n]+|\n+'), lambda x: length(x)) AS ls FROM documents WHERE text IS NOT NULL),
       r AS (SELECT doc_id, ls, 0 AS i, 0::BIGINT AS cur, 0::BIGINT AS chunks, 0::BIGINT AS characters FROM l WHERE n > 2000
