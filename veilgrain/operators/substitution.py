@@ -99,7 +99,7 @@ class Slot:
 @dataclass
 class Applied:
     text: str
-    places: list[tuple[int, int, int, int, str, str]]  # start, end, start and end in the new text, original, action
+    places: list[tuple]  # the fields of PLACES
     detections: list[tuple[str, str, str, str]]  # text, type, action, source
     protected: list[tuple[str, str]]  # text, type: what the gate must not find
     refused: int  # generalizations that the checks refused
@@ -178,7 +178,7 @@ def slot_applied(slot: Slot, session: Session, texts: list[Searched], originals:
 
     out: list[str] = []
     size = cursor = refused = 0
-    made: list[tuple[int, int, int, int, str, str]] = []
+    made: list[tuple] = []
     detections: list[tuple[str, str, str, str]] = []
     protected = [(s.text, s.type) for s in active]
     for start, end, span, action in _chosen(places):
@@ -195,7 +195,7 @@ def slot_applied(slot: Slot, session: Session, texts: list[Searched], originals:
             shown = re.sub(ARTICLE_HEAD, "", shown, flags=re.IGNORECASE) or shown
         out += [text[cursor:start], shown]
         size += start - cursor
-        made.append((start, end, size, size + len(shown), original, mapping.action))
+        made.append((start, end, size, size + len(shown), original, mapping.action, mapping.type, shown, span.source, span.rule))
         size, cursor = size + len(shown), end
         if mapping.action != "mask":
             following = text[end : end + PARTICLE_CHARS]
@@ -217,7 +217,8 @@ def slot_applied(slot: Slot, session: Session, texts: list[Searched], originals:
     return Applied("".join(out), made, list(seen.values()), list(dict.fromkeys(protected)), refused)
 
 
-PLACES = "array<struct<start:int,end:int,out_start:int,out_end:int,original:string,action:string>>"
+PLACE = ("start", "end", "out_start", "out_end", "original", "action", "type", "shown", "source", "rule")
+PLACES = "array<struct<start:int,end:int,out_start:int,out_end:int,original:string,action:string,type:string,shown:string,source:string,rule:string>>"
 DETECTIONS = "array<struct<text:string,type:string,action:string,source:string>>"
 MAPPINGS = "array<struct<original:string,type:string,action:string,value:string>>"
 PROTECTED = "array<struct<text:string,type:string>>"
@@ -234,7 +235,7 @@ def result_of(done: Applied, fresh: list[Mapping]) -> dict:
     named = lambda names, rows: [dict(zip(names, r, strict=True)) for r in rows]
     return {
         "text": done.text,
-        "places": named(("start", "end", "out_start", "out_end", "original", "action"), done.places),
+        "places": named(PLACE, done.places),
         "detections": named(("text", "type", "action", "source"), done.detections),
         "protected": named(("text", "type"), done.protected),
         "mapped": [{"original": m.original, "type": m.type, "action": m.action, "value": m.value} for m in fresh],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.functions.session import table
-from veilgrain.operators import gate, jsontext, spans, substitution
+from veilgrain.operators import gate, jsontext, review, spans, substitution
 
 Spark, Frame = SparkSession, DataFrame
 VALUE = r"\b[A-Z][a-z]{4,}"
@@ -89,7 +89,18 @@ def scrubbed_turns(spark: Spark, d: str) -> Frame:
     return said.select("conv_id", "turn", gate.scrubbed(F.col("text"), F.col("originals")).alias("text"))
 
 
-QUERIES = (applied_turns, body_leaves, readable_bodies, canonical_bodies, restored_bodies, scrubbed_turns)
+def review_proposals(spark: Spark, d: str) -> Frame:
+    """What reviews of turns would show: each value once, with its replacement, sources and confidence."""
+    turns = table(spark, d, "conversations").withColumn("slot_no", F.lit(0))
+    own = turns.select("conv_id", "turn", "slot_no", F.explode(span_array(F.col("text"))).alias("s")).select("conv_id", "turn", "slot_no", "s.*")
+    beside = own.where("length(text) % 3 = 0").withColumns({"source": F.lit("llm"), "end": F.col("start") + 4, "text": F.substring("text", 1, 4)})
+    every = own.unionByName(beside)
+    done = substitution.applied(turns, every)
+    out = review.proposed(done, turns, every, ["none"])
+    return out.select("conv_id", "turn", "span_no", "type", "action", "text", "replacement", F.array_join("sources", ",").alias("sources"), "confidence", "locked")
+
+
+QUERIES = (review_proposals, applied_turns, body_leaves, readable_bodies, canonical_bodies, restored_bodies, scrubbed_turns)
 
 #: (conv_id, turn, i, piece, w, start, full_text, ...): a turn's text in pieces, each with the value that follows it.
 PIECES = rf"""SELECT conv_id, turn, full_text, i, p[i + 1] AS piece, m[i + 1] AS w, (coalesce(list_sum(list_transform(p[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::INT AS start
@@ -105,6 +116,9 @@ _PLAIN = "'{\"role\":\"' || role || '\",\"content\":' || to_json(text)::VARCHAR
 _SORTED = "'{\"messages\":[{\"content\":' || to_json(text)::VARCHAR || ',\"role\":\"' || role || '\",\"x\":[{\"a/b\":\"a/b~c\",\"n\":' || turn || '}]}],\"model\":\"m\"}'"
 
 SQL = {
+    "review_proposals": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(w) ORDER BY start) AS k FROM ({WALK}) WHERE w IS NOT NULL)
+      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY start)::INT AS span_no, type, CASE WHEN general THEN 'generalize' ELSE 'mask' END AS action, w AS text, {_PUT} AS replacement, CASE WHEN length(w) % 3 = 0 THEN 'llm,rule' ELSE 'rule' END AS sources,
+        CASE WHEN length(w) % 3 = 0 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence, false AS locked FROM (SELECT *, CASE WHEN length(w) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS type FROM f WHERE k = 1)""",
     "applied_turns": f"SELECT conv_id, turn, string_agg(piece || {_PUT}, '' ORDER BY i) AS text, count(*) FILTER (WHERE fresh)::INT AS mapped, count(*) FILTER (WHERE fresh AND refused)::INT AS refused FROM ({WALK}) GROUP BY conv_id, turn",
     "body_leaves": """SELECT conv_id, turn, '/model' AS path, 'string' AS kind, 'm' AS value, true AS placed FROM conversations UNION ALL SELECT conv_id, turn, '/messages/0/role', 'string', role, true FROM conversations UNION ALL SELECT conv_id, turn, '/messages/0/content', 'string', text, true FROM conversations
       UNION ALL SELECT conv_id, turn, '/messages/0/x/0/n', 'number', turn::VARCHAR, true FROM conversations UNION ALL SELECT conv_id, turn, '/messages/0/x/0/a~1b', 'string', 'a/b~c', true FROM conversations""",
