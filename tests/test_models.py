@@ -123,3 +123,17 @@ def test_health_terms_sums_and_relevance(spark):
     texts = spark.createDataFrame([(1, "A nurse asks about nurses shifts and nurse pay", ), (2, "A twin asks about taxes",)], "id int, t string")
     attrs = spark.createDataFrame([(1, 2, 7, "role"), (2, 2, 6, "rare")], "id int, start int, end int, category string")
     assert {r.id: r.relevant for r in quasi.relevant(texts, "t", attrs, "id").collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "kept"),
+    [
+        ("$46,500", "FINANCIAL", True), ("월 소득 290만원", "FINANCIAL", True), ("90 days overdue, $46,500", "FINANCIAL", True), ("account 1234, $5", "FINANCIAL", False), ("Jane Doe owes $5", "FINANCIAL", True), ("Jane Doe owes us all $5", "FINANCIAL", False), ("4111 1111", "FINANCIAL", False), ("2024-03-05", "ID_NUMBER", True), ("AB-1234", "ID_NUMBER", False), ("5 mg/day", "HEALTH", True), ("HbA1c 7.9", "HEALTH", True),
+        ("7시, 11시, 15시", "ID_NUMBER", True), ("8:30 a.m.", "FINANCIAL", True), ("three weeks", "QUASI_IDENTIFIER", True), ("3월 5일", "QUASI_IDENTIFIER", True), ("March 5th, 2024", "QUASI_IDENTIFIER", True), ("12 people", "QUASI_IDENTIFIER", False), ("", "HEALTH", False),
+    ],
+)
+def test_situation_values(spark, value, kind, kept):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(value, kind)], "v string, k string")
+    assert df.select(semantic.situation_kept(F.col("v"), F.col("k")).alias("x")).first().x is kept

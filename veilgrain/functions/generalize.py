@@ -180,3 +180,51 @@ def arithmetic_number(text: Column, start: Column, end: Column) -> Column:
     value = F.trim(F.substring(text, start + 1, end - start))
     before = F.substring(text, F.greatest(start - 30, F.lit(0)) + 1, start - F.greatest(start - 30, F.lit(0)))
     return F.rlike(value, F.lit(r"^\d{4,}$")) & F.rlike(_around(text, start, end, 60, 60), F.lit(f"(?U){SUMS}")) & ~F.rlike(before, F.lit(f"(?U){ACCOUNTS}"))
+
+
+# Amounts, measures, laboratory values, durations, dates, schedules, and marks of a small group.
+_MONTH = "|".join(MONTHS)
+_CLOCK = r"(?:(?:오전|오후|새벽|저녁|밤|아침)\s*)?\d{1,2}\s*시(?:\s*\d{1,2}\s*분|\s*반)?|\d{1,2}:\d{2}(?:\s*[ap]\.?m\.?)?|\d{1,2}\s*[ap]\.?m\.?"
+MONEY = (
+    r"(?:약\s*|about\s+|~)?[$€£₩¥]\s*[\d,.]+\s*(?:[kKmMbB]|million|billion|thousand)?|(?:약\s*)?[\d,.]+\s*(?:만|억|천|백)?\s*(?:만\s*)?(?:원|달러|엔|유로|dollars?|usd|krw|eur|won)|(?:약\s*)?[\d,.]+\s*(?:만|억|천)\s*원?"
+)
+MEASURE = (
+    r"(?:[A-Za-z가-힣][\w가-힣()/\-]{0,15}[\s:]+){0,3}[<>≤≥~]?\s*\d+(?:[.,]\d+)?\s*(?:%|퍼센트|mg|㎎|g|kg|mcg|μg|ug|ml|mL|㎖|l|L|IU|units?|mmHg|mmol/L|mg/dL|g/dL|bpm|회|정|알|cm|mm|km|kcal|도|℃|°C|°F|pt|포인트|점|배)(?:/(?:일|day|d|회|kg|L|dL))?\s*"
+)
+LABORATORY = r"(?:eGFR|GFR|HbA1c|A1c|LDL|HDL|BMI|PSA|TSH|INR|CRP|AST|ALT|ESR|WBC|RBC|PLT|Hb|Hgb|공복\s*혈당|혈당|당화혈색소|혈압)\s*[:=]?\s*[<>≤≥~]?\s*\d+(?:[.,/]\d+)?\s*%?"
+DURATION = r"(?:약\s*)?\d+(?:\.\d+)?\s*(?:주|개월|달|년|일|시간|분|weeks?|months?|years?|days?|hours?)(?:\s*(?:간|째|차|분))?|(?:one|two|three|four|five|six|seven|eight|nine|ten|twelve)\s+(?:weeks?|months?|years?|days?)"
+PLAIN_DATE = (
+    r"(?:(?:19|20)\d{2}\s*[-./년]\s*)?\d{1,2}\s*[-./월]\s*\d{1,2}\s*일?|\d{1,2}\s*월(?:\s*\d{1,2}\s*일)?|(?:19|20)\d{2}\s*년(?:\s*\d{1,2}\s*월)?(?:\s*\d{1,2}\s*일)?"
+    rf"|(?:{_MONTH})[a-z]*\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?|\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{_MONTH})[a-z]*(?:,?\s+\d{{4}})?|(?:19|20)\d{{2}}[-/.]\d{{2}}(?:[-/.]\d{{2}})?"
+)
+SCHEDULE = rf"(?:{_CLOCK})(?:\s*(?:,|/|·|~|-|–|to|and|및|와|과|\s)\s*(?:{_CLOCK}))*"
+MONEY_INSIDE = r"[$€£₩¥]\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:[kKmMbB]\b|million|billion|thousand))?|\d[\d,]*(?:\.\d+)?\s*(?:만|억|천)?\s*(?:원|달러|dollars?|usd|krw|eur|won)"
+DURATION_INSIDE = r"\d+\s*(?:일|주|개월|달|년|시간|days?|weeks?|months?|years?|hours?)"
+COUNT_INSIDE = r"\d[\d,]*\s*(?:shares?|units?|times|people|주|건|명|회|개|장|%)"
+SMALL_GROUP = r"(?i)\d+\s*학년\s*\d+\s*반|쌍둥이|유일|하나뿐|단\s*한\s*명|혼자만|\bonly\b|\bsole\b|\btwins?\b|\bclass of \d+|\b\d+-(?:person|member|employee|student)\b|\bour (?:class|ward|unit|floor)\b"
+
+
+def _whole(value: Column, pattern: str) -> Column:
+    return F.rlike(value, F.lit(f"(?iU)^(?:{pattern})$"))
+
+
+def is_amount(value: Column) -> Column:
+    """An amount of money, one with a label, or one in a short phrase without another number or a name."""
+    labeled = _whole(value, rf"(?:[A-Za-z가-힣]{{1,10}}\s*){{1,3}}[:=]?\s*(?:{MONEY})")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, f"(?iU){MONEY_INSIDE}", " "), f"(?iU){DURATION_INSIDE}", " "), f"(?iU){COUNT_INSIDE}", " ")
+    inside = (F.length(value) <= 100) & F.rlike(value, F.lit(f"(?iU){MONEY_INSIDE}")) & ~F.rlike(rest, F.lit(r"\d|[A-Z][a-z]+\s+[A-Z][a-z]+"))
+    return _whole(value, MONEY) | labeled | inside
+
+
+def situation_value(value: Column, kind: Column) -> Column:
+    """What a task works on: an amount, a measure, a duration, a date or a schedule.  With a type, only what it may hold
+    counts: an ID number only if it is a date or schedule, a financial value only if it is an amount or schedule."""
+    t = F.trim(F.regexp_replace(F.trim(value), r"^[.,;:()]+|[.,;:()]+$", ""))
+    other = is_amount(t) | _whole(t, MEASURE) | _whole(t, LABORATORY) | _whole(t, DURATION) | _whole(t, PLAIN_DATE)
+    own = F.when(kind == "ID_NUMBER", _whole(t, PLAIN_DATE)).when(kind == "FINANCIAL", is_amount(t)).otherwise(other)
+    return _whole(t, SCHEDULE) | own
+
+
+def small_group(text: Column) -> Column:
+    """Marks of a group so small that what is said of it narrows someone down."""
+    return F.rlike(text, F.lit(f"(?U){SMALL_GROUP}"))

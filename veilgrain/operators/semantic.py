@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions import korean
 from veilgrain.functions import normalize as norm
-from veilgrain.functions.generalize import BIRTH_DATE
+from veilgrain.functions.generalize import BIRTH_DATE, situation_value, small_group
 from veilgrain.operators.spans import literal_spans, sentences
 from veilgrain.operators.vault import KEY
 
@@ -119,8 +119,6 @@ def term_type(term: Column) -> Column:
     )
 
 
-def situation_kept(value: Column, kind: Column) -> Column:
-    """Amounts, measures, durations and dates that describe a situation stay, unless they tell of a small
-    group."""
-    amount = F.rlike(value, F.lit(r"(?i)^(?:[$€£₩]\s?)?[\d,.]+\s?(?:만|억|천)?\s?(?:원|달러|dollars?|USD|KRW|euros?|%|percent|kg|mg|ml|cm|mmHg|일|개월|주|년|days?|weeks?|months?|years?|hours?)$"))
-    return kind.isin("FINANCIAL", "HEALTH", "QUASI_IDENTIFIER") & amount & ~F.rlike(value, F.lit(r"(?i)명|people|employees"))
+def situation_kept(value: Column, kind: Column, text: Column | None = None) -> Column:
+    """Values that a task works on stay, unless their text (or they themselves) tell of a small group."""
+    return situation_value(value, kind) & ~small_group(value if text is None else text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.functions import checkdigits, generalize, rules
@@ -69,8 +69,15 @@ def rule_counts(spark: Spark, d: str) -> Frame:
     return counts.unpivot([], [r.name for r in rules.RULES], "rule", "hits").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
 
 
+def _token(name: str) -> Column:
+    """A value's SHA-1 in Base64, so letters and digits of high entropy; some come in a row, of low entropy."""
+    return F.when(F.col("c_custkey") % 5 == 0, F.expr("repeat('a1', 14)")).otherwise(F.base64(F.unhex(F.sha1(name))))
+
+
 def entropy_tokens(spark: Spark, d: str) -> Frame:
-    return table(spark, d, "documents").select("doc_id", F.explode(rules.tokens(F.col("text"))).alias("token"))
+    """Tokens of high entropy in texts that also have hashes, identifiers and tokens of low entropy."""
+    said = F.concat(F.lit("KEY="), _token("c_name"), F.lit(" sha "), F.sha1("c_name"), F.lit(" "), F.lit("a_long_identifier_of_some_code_2 "), F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", F.explode(rules.tokens(said)).alias("token"))
 
 
 def word_entropy(spark: Spark, d: str) -> Frame:
@@ -78,7 +85,10 @@ def word_entropy(spark: Spark, d: str) -> Frame:
 
 
 def url_tokens(spark: Spark, d: str) -> Frame:
-    return table(spark, d, "pages").select("page_id", F.explode(rules.url_tokens(F.concat(F.col("url"), F.lit(" "), F.col("html")))).alias("token"))
+    """Segments of high entropy in addresses; queries, hashes and names in them don't count."""
+    safe = F.rtrim(F.translate(_token("c_name"), "+/", "-_"), F.lit("="))
+    said = F.concat(F.lit("see https://a.example/files/"), safe, F.lit("/x?"), F.sha1("c_name"), F.lit(" or https://b.example/a_long_name_of_some_folder"))
+    return table(spark, d, "customer").select("c_custkey", F.explode(rules.url_tokens(said)).alias("token"))
 
 
 def detected_spans(spark: Spark, d: str) -> Frame:
@@ -338,8 +348,14 @@ def distinct_slots(spark: Spark, d: str) -> Frame:
     return per.groupBy("copies").agg(F.sum("copies").alias("documents"))
 
 
+ORGANIZATIONS = ("{} Freight Systems", "The {} Bank", "IT Solutions", "{} plant", "새론물류", "{} & Marsh LLP")
+
+
 def organizations(spark: Spark, d: str) -> Frame:
-    return semantic.organizations(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "start", "text", "rule")
+    """Names with a company's suffix in customers' letters; first words of sentences and acronyms don't make one."""
+    form = F.element_at(F.array(*map(F.lit, ORGANIZATIONS)), (F.col("c_custkey") % len(ORGANIZATIONS) + 1).cast("int"))
+    said = F.concat(F.lit("we write to "), F.replace(form, F.lit("{}"), F.initcap(F.lower("c_mktsegment"))), F.lit(" about "), "c_name", F.lit("."))
+    return semantic.organizations(table(spark, d, "customer").select("c_custkey", said.alias("said")), "said", "c_custkey").select("c_custkey", "start", "text", "rule")
 
 
 def declared_term_types(spark: Spark, d: str) -> Frame:
@@ -406,6 +422,10 @@ _REQUESTS = """SELECT conv_id, string_agg('{"role": "' || role || '", "content":
   || CASE WHEN turn % 4 = 2 THEN ', "tool_calls": [{"function": {"name": "f", "arguments": ' || to_json(text)::VARCHAR || '}}]' ELSE '' END || '}', ', ' ORDER BY turn) AS ms FROM conversations GROUP BY conv_id"""
 
 
+_B64 = "base64(unhex(sha1(c_name)))"
+_ENTROPY = "-list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, '')))::DOUBLE / length(t) * log2((length(t) - length(replace(t, c, '')))::DOUBLE / length(t))))"
+
+
 def _hmac(value: str) -> str:
     return f"sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode({value}))))"
 
@@ -460,6 +480,10 @@ SQL = {
       f AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER w, 'en') AS segment_lang, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
       g AS (SELECT *, CASE WHEN lag(segment_lang) OVER (PARTITION BY doc_id ORDER BY n) = segment_lang THEN 0 ELSE 1 END AS fresh FROM f), h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS segment_no FROM g)
       SELECT doc_id, segment_no::BIGINT AS segment_no, min(o)::BIGINT AS "offset", any_value(segment_lang) AS segment_lang, count(*) AS n_lines FROM h GROUP BY doc_id, segment_no""",
+    "entropy_tokens": f"WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN repeat('a1', 14) ELSE {_B64} END AS t FROM customer) SELECT c_custkey, t AS token FROM t WHERE regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '^[a-z_\\-]+[0-9]*$') AND {_ENTROPY} >= 4.2",
+    "url_tokens": f"WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN repeat('a1', 14) ELSE rtrim(translate({_B64}, '+/', '-_'), '=') END AS t FROM customer) SELECT c_custkey, t AS token FROM t WHERE regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]') AND {_ENTROPY} >= 4.2",
+    "organizations": """WITH c AS (SELECT c_custkey, c_custkey % 6 AS k, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS s FROM customer)
+      SELECT c_custkey, CASE WHEN k = 5 THEN 15 + length(s) ELSE 12 END::INT AS start, CASE k WHEN 0 THEN s || ' Freight Systems' WHEN 4 THEN '새론물류' ELSE 'Marsh LLP' END AS text, CASE WHEN k = 4 THEN 'ko_org' ELSE 'en_org' END AS rule FROM c WHERE k IN (0, 4, 5)""",
     "quasi_attributes": """WITH c AS (SELECT c_custkey AS slot_id, c_custkey % 60 + 20 AS age, c_custkey % 30 + 1990 AS year, c_custkey % 3 = 0 AS nurse FROM customer)
       SELECT slot_id, 5 AS start, 7 AS "end", 'age' AS category, 'in my ' || age // 10 * 10 || 's' AS phrase FROM c UNION ALL SELECT slot_id, 12, 26, 'cohort', 'in the ' || year // 10 * 10 || 's' FROM c
       UNION ALL SELECT slot_id, 30, 38, 'rare', NULL FROM c WHERE nurse UNION ALL SELECT slot_id, 39, 44, 'role', 'a professional' FROM c WHERE nurse UNION ALL SELECT slot_id, 28, 34, 'rare', NULL FROM c WHERE NOT nurse""",
