@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hmac
 import re
+from collections.abc import Callable
 
 # Name and word lists, particle pairs (after a consonant, after a vowel).
 FIRST = "Alex Robin Jamie Casey Morgan Taylor Jordan Riley Quinn Avery Rowan Skyler".split()
@@ -79,11 +80,12 @@ def collides(made: str, text: str, originals: list[str], used: set[str]) -> bool
     return low in text.casefold() or made in used or any(o and o.casefold() in low for o in originals)
 
 
-def surrogate(original: str, kind: str, key: bytes, conversation: str = "", text: str = "", originals: list[str] | None = None, used: set[str] | None = None) -> str | None:
-    """A surrogate for a value, or None where none fits; then a placeholder is used."""
+def surrogate(original: str, kind: str, key: bytes, conversation: str = "", text: str = "", originals: list[str] | None = None, used: set[str] | None = None, taken: Callable[[str], bool] | None = None) -> str | None:
+    """A surrogate for a value, or None where none fits; then a placeholder is used.  `taken` says of a further value
+    that it can't be used."""
     for attempt in range(ATTEMPTS):
         made = _made(original.strip(), kind, Draw(key, conversation, kind, original, str(attempt)))
-        if made and made != original and not collides(made, text, originals or [original], used or set()):
+        if made and made != original and not collides(made, text, originals or [original], used or set()) and not (taken and taken(made)):
             return made
     return None
 

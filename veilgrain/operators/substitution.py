@@ -139,10 +139,12 @@ def _stand_in(value: str, kind: str, session: Session, texts: list[Searched], or
     known = list(session.mappings.values())
     used = {m.value for m in known if m.action == "surrogate"}
     held = [o for o in {*originals, *(m.original for m in known)} if len(o.strip()) >= 2]
-    made = surrogate(value, kind, key, session.conversation, "", held, used)
-    if made is None or any(t.places(made) for t in texts) or any(Searched(made).places(o) for o in held):
-        return None
-    return made
+
+    def taken(made: str) -> bool:
+        own = Searched(made)
+        return any(own.places(o) for o in held) or any(t.places(made) for t in texts)
+
+    return surrogate(value, kind, key, session.conversation, "", held, used, taken)
 
 
 def _mapping(value: str, span: Span, action: str, session: Session, texts: list[Searched], originals: list[str], in_json: bool, options: Options) -> tuple[Mapping, bool]:

@@ -100,7 +100,19 @@ def review_proposals(spark: Spark, d: str) -> Frame:
     return out.select("conv_id", "turn", "span_no", "type", "action", "text", "replacement", F.array_join("sources", ",").alias("sources"), "confidence", "locked")
 
 
-QUERIES = (review_proposals, applied_turns, body_leaves, readable_bodies, canonical_bodies, restored_bodies, scrubbed_turns)
+def restored_surrogates(spark: Spark, d: str) -> Frame:
+    """Turns whose names are surrogates, as far as those collide with nothing, and else placeholders: what is shown, and
+    what comes back when it is restored."""
+    turns = table(spark, d, "conversations").withColumn("slot_no", F.lit(0))
+    own = turns.select("conv_id", "turn", "slot_no", F.explode(span_array(F.col("text"))).alias("s")).select("conv_id", "turn", "slot_no", "s.*").withColumn("action", F.lit("mask"))
+    done = substitution.applied(turns, own, options=substitution.Options(surrogate_key=b"a key"))
+    known = done.select("conv_id", F.explode("mapped").alias("m")).select("conv_id", "m.*")
+    hidden = done.select("conv_id", "turn", (F.size(F.filter("places", lambda p: F.contains(F.lower("text"), F.lower(p["original"])) & (F.length(p["original"]) >= 9))) == 0).alias("hidden"))
+    back = jsontext.restored(done.select("conv_id", "turn", "text"), known, "conv_id", "text", "turn")
+    return back.join(hidden, ["conv_id", "turn"])
+
+
+QUERIES = (restored_surrogates, review_proposals, applied_turns, body_leaves, readable_bodies, canonical_bodies, restored_bodies, scrubbed_turns)
 
 #: (conv_id, turn, i, piece, w, start, full_text, ...): a turn's text in pieces, each with the value that follows it.
 PIECES = rf"""SELECT conv_id, turn, full_text, i, p[i + 1] AS piece, m[i + 1] AS w, (coalesce(list_sum(list_transform(p[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0))::INT AS start
@@ -116,6 +128,7 @@ _PLAIN = "'{\"role\":\"' || role || '\",\"content\":' || to_json(text)::VARCHAR
 _SORTED = "'{\"messages\":[{\"content\":' || to_json(text)::VARCHAR || ',\"role\":\"' || role || '\",\"x\":[{\"a/b\":\"a/b~c\",\"n\":' || turn || '}]}],\"model\":\"m\"}'"
 
 SQL = {
+    "restored_surrogates": "SELECT conv_id, turn, text, true AS hidden FROM conversations",
     "review_proposals": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(w) ORDER BY start) AS k FROM ({WALK}) WHERE w IS NOT NULL)
       SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY start)::INT AS span_no, type, CASE WHEN general THEN 'generalize' ELSE 'mask' END AS action, w AS text, {_PUT} AS replacement, CASE WHEN length(w) % 3 = 0 THEN 'llm,rule' ELSE 'rule' END AS sources,
         CASE WHEN length(w) % 3 = 0 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence, false AS locked FROM (SELECT *, CASE WHEN length(w) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS type FROM f WHERE k = 1)""",
