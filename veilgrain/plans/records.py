@@ -303,7 +303,7 @@ SQL = {
     "placeholder_legends": f"SELECT slot_id, string_agg(DISTINCT '<' || type || '_n> is ' || CASE type WHEN 'PERSON' THEN 'a person''s name' WHEN 'ORG' THEN 'an organization''s name' ELSE 'an identifying personal detail' END, '; ' ORDER BY '<' || type || '_n> is ' || CASE type WHEN 'PERSON' THEN 'a person''s name' WHEN 'ORG' THEN 'an organization''s name' ELSE 'an identifying personal detail' END) AS legend FROM ({_S}) GROUP BY slot_id",
     "department_functions": _DEPARTMENTS,
     "request_chars": "SELECT conv_id, sum(length(role) + CASE WHEN turn % 7 = 6 THEN 0 WHEN turn % 3 = 0 THEN length(text) WHEN turn % 3 = 1 THEN length(text) + 9 ELSE 0 END + CASE WHEN turn % 4 = 2 THEN length(text) + 1 ELSE 0 END)::INT AS chars FROM conversations GROUP BY conv_id",
-    "fitted_articles": """SELECT conv_id, turn, (length(text) + CASE WHEN conv_id % 4 = 0 THEN length(w) WHEN turn % 5 IN (0, 3) THEN 5 ELSE length(w) END)::INT AS start, CASE WHEN conv_id % 4 = 0 THEN 'people' WHEN turn % 5 IN (1, 2) THEN 'architect' ELSE 'an architect' END AS replacement
+    "fitted_articles": """SELECT conv_id, turn, (length(text) + CASE WHEN conv_id % 4 = 0 THEN length(w) WHEN turn % 5 = 0 THEN 5 WHEN turn % 5 = 3 THEN 6 ELSE length(w) END)::INT AS start, CASE WHEN conv_id % 4 = 0 THEN 'people' WHEN turn % 5 IN (1, 2) THEN 'architect' ELSE 'an architect' END AS replacement
       FROM (SELECT *, [' and a ', ' and the ', ' so my ', ' then an ', ' by '][(turn % 5 + 1)::INT] AS w FROM conversations)""",
     "admissions": """WITH e AS (SELECT event_id, length(props) AS n, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent, sum(value) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM events)
       SELECT event_id, CASE WHEN n > 8 THEN 'too_long' WHEN recent > 3 THEN 'rate_limited' WHEN spent > 3000 THEN 'budget_spent' END AS refused FROM e""",
