@@ -97,3 +97,8 @@ def test_leak_variants_of_any_word(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = sorted(tuple(r) for r in leak_variants(spark, str(tmp_path)).collect())
     assert out == [(0, 0, "exact"), (1, 1, "casefold"), (2, 2, "whitespace"), (3, 2, "alnum"), (4, 3, "digits"), (5, 4, "exact")]
+
+
+@pytest.mark.parametrize("text, value, variant", [("erst ßlichzu pfer", "Lichzu", "casefold"), ("die lichzuß da", "Lichzu", "casefold"), ("die Straße da", "STRASSE", "casefold"), ("an ßlich da", "Slich", None), ("ein sslichzu", "Lichzu", None)])
+def test_what_folding_makes_of_other_letters_runs_on_into_no_value(text, value, variant):
+    assert scan.find(text, value) == variant
