@@ -222,3 +222,9 @@ def test_articles(spark):
     assert [(r.f.start, r.f.replacement) for r in got] == [(r.e, r.n) for r in got]
 
 
+def test_answers_without_mappings_lose_their_reasoning_too(spark):
+    body = json.dumps({"choices": [{"message": {"content": "\n no names <PERSON_1>", "reasoning": "hm"}}]})
+    rows = spark.createDataFrame([("a", 0, body), ("b", 0, body)], "conv_id string, turn int, body string")
+    known = spark.createDataFrame([("a", "Jane Doe", "PERSON", "mask", "PERSON_1")], "conv_id string, original string, type string, action string, value string")
+    out = {r.conv_id: json.loads(r.body)["choices"][0]["message"] for r in jsontext.restored(rows, known, "conv_id", "body", "turn", kind="response").collect()}
+    assert out == {"a": {"content": "no names Jane Doe"}, "b": {"content": "no names <PERSON_1>"}}

@@ -86,11 +86,11 @@ def restored(rows: DataFrame, mappings: DataFrame, conversation: str, column: st
         for batch in batches:
             out = []
             for own, text, held in zip(*[batch.column(c).to_pylist() for c in (conversation, column, "_known")], strict=True):
-                if held is None or text is None:
+                if text is None or (held is None and kind != "response"):  # an answer loses its reasoning even where nothing is mapped
                     out.append(text)
                     continue
                 if name is None or name != (own,):
-                    name, restorer = (own,), Restorer([(m["original"], m["type"], m["action"], m["value"]) for m in held])
+                    name, restorer = (own,), Restorer([(m["original"], m["type"], m["action"], m["value"]) for m in held or []])
                 out.append(restorer.whole(text) if kind == "text" else restorer.arguments(text) if kind == "arguments" else restorer.response(text, reasoning))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, column])
 
