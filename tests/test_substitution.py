@@ -12,6 +12,7 @@ from veilgrain.functions import checks, jsonplaces
 from veilgrain.functions.restoring import Held, Restorer
 from veilgrain.operators import gate, jsontext, requests, scan, scoring, spans, substitution
 from veilgrain.operators.substitution import Options, Session, Slot, Span, request_applied
+from veilgrain.plans import exchange
 
 
 def done(session, *slots, options=Options(), rejected=()):
@@ -228,3 +229,9 @@ def test_answers_without_mappings_lose_their_reasoning_too(spark):
     known = spark.createDataFrame([("a", "Jane Doe", "PERSON", "mask", "PERSON_1")], "conv_id string, original string, type string, action string, value string")
     out = {r.conv_id: json.loads(r.body)["choices"][0]["message"] for r in jsontext.restored(rows, known, "conv_id", "body", "turn", kind="response").collect()}
     assert out == {"a": {"content": "no names Jane Doe"}, "b": {"content": "no names <PERSON_1>"}}
+
+
+def test_a_common_word_like_a_hidden_name_is_not_the_name(spark, tmp_path):
+    said = [(1, 0, "user", "Mentelles went home, mentelles they say, and onmentelles"), (1, 1, "user", "so did Orrascoga")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(tuple(r) for r in exchange.restored_surrogates(spark, str(tmp_path)).select("turn", "text", "hidden").collect()) == [(t, s, True) for _, t, _, s in said]

@@ -107,7 +107,8 @@ def restored_surrogates(spark: Spark, d: str) -> Frame:
     own = turns.select("conv_id", "turn", "slot_no", F.explode(span_array(F.col("text"))).alias("s")).select("conv_id", "turn", "slot_no", "s.*").withColumn("action", F.lit("mask"))
     done = substitution.applied(turns, own, options=substitution.Options(surrogate_key=b"a key"))
     known = done.select("conv_id", F.explode("mapped").alias("m")).select("conv_id", "m.*")
-    hidden = done.select("conv_id", "turn", (F.size(F.filter("places", lambda p: F.contains(F.lower("text"), F.lower(p["original"])) & (F.length(p["original"]) >= 9))) == 0).alias("hidden"))
+    kept = lambda p: F.contains("text", p["original"]) | (F.substring("text", p["out_start"] + 1, p["out_end"] - p["out_start"]) != p["shown"])
+    hidden = done.select("conv_id", "turn", (~F.exists("places", kept)).alias("hidden"))
     back = jsontext.restored(done.select("conv_id", "turn", "text"), known, "conv_id", "text", "turn")
     return back.join(hidden, ["conv_id", "turn"])
 
