@@ -36,10 +36,13 @@ def describe_latency(spark: Spark, d: str) -> Frame:
 
 
 def latency_percentiles(spark: Spark, d: str) -> Frame:
-    called = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))
-    p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 6)
     price = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.count("*").alias("n"), p(price, 0.5).alias("p50"), p(price, 0.95).alias("p95"), F.count(called).alias("n_called"), p(called, 0.5).alias("p50_called"), p(called, 0.95).alias("p95_called"))
+    li = table(spark, d, "lineitem").select("l_linestatus", price.alias("price"), F.when(F.col("l_returnflag") == "R", price).alias("called"))
+    wanted = {"p50": ("price", 0.5), "p95": ("price", 0.95), "p50_called": ("called", 0.5), "p95_called": ("called", 0.95)}
+    n = li.groupBy(F.struct("l_linestatus").alias("_key")).agg(F.count("*").alias("n"), F.count("called").alias("n_called"))
+    own = metrics.percentiles(li, wanted, "l_linestatus").withColumn("_key", F.struct("l_linestatus"))
+    out = n.join(own, "_key", "left")
+    return out.select("_key.l_linestatus", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n_called", F.round("p50_called", 6).alias("p50_called"), F.round("p95_called", 6).alias("p95_called"))
 
 
 def case_failures(spark: Spark, d: str) -> Frame:
