@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions import normalize as norm
 from veilgrain.functions import rules, surrogate
-from veilgrain.operators import detect, requests, review, scan, scoring, spans
+from veilgrain.operators import detect, quasi, requests, review, scan, scoring, spans
 
 
 @pytest.mark.parametrize(
@@ -167,3 +167,10 @@ def test_json_keys(spark):
     places = [m.span() for m in re.finditer("id", body)]
     df = spark.createDataFrame([(body, a, b) for a, b in places], "t string, a int, b int")
     assert [x[0] for x in df.select(review.is_json_key(F.col("t"), F.col("a"), F.col("b"))).collect()] == [True, False, True]
+
+
+def test_attributes_of_a_text_are_worked_out_where_their_pattern_is_found(spark):
+    df = spark.createDataFrame([(1, "I am 34, a nurse"), (2, None), (3, "nothing here")], "k int, t string")
+    plan = quasi.attributes(df, "t", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 * len(quasi.ATTRIBUTES)  # each rule once in either branch of `matches`, behind its condition
+    assert sorted((r.k, r.category, r.text) for r in quasi.attributes(df, "t", "k").collect()) == [(1, "age", "34"), (1, "role", "nurse")]

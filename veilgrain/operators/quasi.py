@@ -45,6 +45,9 @@ PERSON = (
 )
 
 
+FOUND = "array<struct<start:int,end:int,text:string,category:string,rule:string,phrase:string,source:string,action:string>>"
+
+
 def _java(pattern: str) -> str:
     return f"(?U){pattern}"
 
@@ -67,11 +70,11 @@ def _attribute(category: str, rule: str, phrase: str | None) -> Callable[[Column
 def attributes(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, start, end, text, category, rule, phrase): attributes in a text, longest first and without overlap.  All
     rules look at a text in one scan, inside the JVM, and what they find is chosen from in its row."""
-    t, found = F.col(text), []
+    t, found, none = F.col(text), [], F.array().cast(FOUND)
     for rule, category, pattern, phrase in ATTRIBUTES:
         plain = _java(re.sub(r"(?<!\\)\((?=\(\?:19|\\d\{)", "(?:", pattern))  # no capturing groups
         own = F.transform(matches(t, plain), _attribute(category, rule, phrase))
-        found.append(F.coalesce(F.when(F.rlike(t, F.lit(plain)), own), F.slice(own, 1, 0)))
+        found.append(F.coalesce(F.when(F.rlike(t, F.lit(plain)), own), none))  # the matches are only worked out where there are some
     out = df.select(*keys, F.explode(resolved(F.flatten(F.array(*found)))).alias("a"))
     return out.select(*keys, "a.start", "a.end", "a.text", "a.category", "a.rule", "a.phrase")
 

@@ -63,7 +63,8 @@ def resolved(spans: Column) -> Column:
         F.filter(spans, lambda s: s["end"] > s["start"]),
         lambda s: F.struct((s["start"] - s["end"]).alias("_length"), priority(s["source"], SOURCES).alias("_source"), priority(s["action"], ACTIONS).alias("_action"), s["start"].alias("start"), s["end"].alias("end"), s.alias("span")),
     )
-    chosen = F.aggregate(F.array_sort(ranked), F.slice(ranked, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    choose = lambda r: F.aggregate(F.array_sort(r), F.slice(r, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    chosen = F.transform(F.array(ranked), choose)[0]  # through an array of one, so that the spans are worked out once
     by_start = F.array_sort(F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["span"].alias("span"))))
     return F.transform(by_start, lambda x: x["span"])
 
