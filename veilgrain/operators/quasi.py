@@ -162,13 +162,15 @@ def content_words(text: Column) -> Column:
 def relevant(df: DataFrame, text: str, attrs: DataFrame, *keys: str) -> DataFrame:
     """`attrs` (keys, start, end, ...) with `relevant`: a content word of the attribute also stands in the text (keys,
     text) outside all its attributes, so the question needs it."""
-    spans_ = attrs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    others = [c for c in attrs.columns if c not in keys]
+    held = attrs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.struct(*others).alias("own")))).alias("_attrs"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     t = F.col(text)
-    outside = F.aggregate("_spans", start, lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(" ")).alias("out")), lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    rest = df.join(spans_, list(keys)).select(*keys, t.alias("_t"), content_words(outside).alias("_rest"))
-    own = content_words(F.expr("substring(_t, start + 1, end - start)"))
-    return attrs.join(rest, list(keys)).withColumn("relevant", F.arrays_overlap(own, "_rest")).drop("_t", "_rest")
+    outside = F.aggregate("_attrs", start, lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(" ")).alias("out")), lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    rest = df.join(held, list(keys)).select(*keys, t.alias("_t"), "_attrs", outside.alias("_outside")).select(*keys, "_t", "_attrs", content_words(F.col("_outside")).alias("_rest"))
+    each = rest.select(*keys, "_t", "_rest", F.explode("_attrs").alias("_a"))
+    own = content_words(F.expr("substring(_t, _a.start + 1, _a.end - _a.start)"))
+    return each.select(*keys, "_a.own.*", F.arrays_overlap(own, "_rest").alias("relevant"))
 
 
 def institution_attributes(df: DataFrame, text: str, *keys: str) -> DataFrame:

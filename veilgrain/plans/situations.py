@@ -88,7 +88,7 @@ def relevant_attributes(spark: Spark, d: str) -> Frame:
     """Attributes of customers that their question takes up again, and others."""
     c = F.col("c_custkey")
     said = F.concat(F.lit("I am a nurse and joined in 1999. "), F.when(c % 3 == 0, "What do Nurse schedules say?").when(c % 3 == 1, "When did others, who joined, leave?").otherwise("Is it late?"))
-    texts = table(spark, d, "customer").select("c_custkey", said.alias("said"))
+    texts = table(spark, d, "customer").select("c_custkey", said.alias("said")).repartition("c_custkey")  # few bytes, much work
     return quasi.relevant(texts, "said", quasi.attributes(texts, "said", "c_custkey"), "c_custkey").select("c_custkey", "category", "relevant")
 
 
