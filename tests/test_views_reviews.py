@@ -169,6 +169,13 @@ def test_json_keys(spark):
     assert [x[0] for x in df.select(review.is_json_key(F.col("t"), F.col("a"), F.col("b"))).collect()] == [True, False, True]
 
 
+def test_confidence_and_reviews_do_not_carry_texts_or_join_spans(spark):
+    rows = [("s", 0, 5, "regex", "jwt", 1), ("s", 3, 9, "llm", "x", 2), ("s", 20, 20, "llm", "x", 3), ("s", None, 9, "llm", "x", 4), (None, 0, 5, "llm", "x", 5), ("s", 3, 9, "llm", "x", 2)]
+    out = spans.confidence(spark.createDataFrame(rows, "slot_id string, start int, end int, source string, rule string, n int"), ["jwt"])
+    assert sorted((r.n, r.sources, r.confidence) for r in out.collect()) == [(1, ["llm", "regex"], 0.99), (2, ["llm", "regex"], 0.85)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_attributes_of_a_text_are_worked_out_where_their_pattern_is_found(spark):
     df = spark.createDataFrame([(1, "I am 34, a nurse"), (2, None), (3, "nothing here")], "k int, t string")
     plan = quasi.attributes(df, "t", "k")._jdf.queryExecution().optimizedPlan().toString()

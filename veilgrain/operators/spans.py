@@ -138,9 +138,10 @@ def agreement(a: DataFrame, b: DataFrame, key: str = "slot_id") -> DataFrame:
 def confidence(df: DataFrame, strict_rules: list[str], key: str = "slot_id") -> DataFrame:
     """Each span's overlapping sources and its confidence: 0.99 for strict rules, else its source's base,
     0.25 more, up to 0.95, if other sources overlap it."""
-    x, y = df.alias("x"), df.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("source").alias("_source")).alias("y")
-    met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.start") < F.col("_e")) & (F.col("_s") < F.col("x.end")))
-    sources = met.groupBy(*[F.col(f"x.{c}").alias(c) for c in df.columns]).agg(F.array_sort(F.collect_set("_source")).alias("sources"))
+    held = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(F.struct(*[c for c in df.columns if c != key])).alias("_all"))
+    each = held.select(key, "_all", F.explode("_all").alias("_own"))
+    met = each.select(key, "_own", F.filter("_all", lambda y: overlaps(F.col("_own"), y)).alias("_met")).where(F.size("_met") > 0)
+    sources = met.select(*[F.col(c if c == key else f"_own.{c}").alias(c) for c in df.columns], F.array_sort(F.array_distinct(F.array_compact(F.transform("_met", lambda y: y["source"])))).alias("sources"))
     base = F.coalesce(F.create_map(*[F.lit(v) for kv in BASE_CONFIDENCE.items() for v in kv])[F.col("source")], F.lit(0.5))
     value = F.when(F.col("rule").isin(*strict_rules), 0.99).when(F.size("sources") > 1, F.round(F.least(base + 0.25, F.lit(0.95)), 2)).otherwise(base)
     return sources.withColumn("confidence", value)
