@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrain.operators.spans import BASE_CONFIDENCE
+from veilgrain.operators.spans import BASE_CONFIDENCE, overlaps
 from veilgrain.operators.vault import identity
 
 MODELS = ("llm", "gliner")
@@ -59,13 +59,15 @@ def proposed(done: DataFrame, slots: DataFrame, spans: DataFrame, strict_rules:
     confidence, locked): what a user is asked about before a request is sent, a row for each value at its first
     place.  `done` is what `substitution.applied` gave for the slots and spans, without storing its mappings."""
     keys = [conversation, request, slot]
-    each = done.select(*keys, F.col("text").alias("_out"), F.explode("places").alias("p")).withColumn("norm", identity(F.col("p.original")))
+    held = spans.where("start is not null").groupBy(*keys).agg(F.collect_set(F.struct("start", "end", "source")).alias("_spans"))
+    # A slot's texts stay in its row: what is shown of them is cut out there, and only that goes on.
+    rows = done.select(*keys, F.col("text").alias("_out"), "places").join(slots.select(*keys, F.col("text").alias("_text")), keys).join(held, keys, "left")
+    each = rows.select(*keys, "_text", "_out", "_spans", F.explode("places").alias("p"))
+    met = F.array_distinct(F.array_compact(F.transform(F.filter(F.coalesce("_spans", F.array().cast(dict(held.dtypes)["_spans"])), lambda s: overlaps(s, F.col("p"))), lambda s: s["source"])))
+    shown = (snippet(F.col("_text"), F.col("p.start"), F.col("p.end")).alias("preview_before"), snippet(F.col("_out"), F.col("p.out_start"), F.col("p.out_end")).alias("preview_after"))
+    each = each.select(*keys, identity(F.col("p.original")).alias("norm"), "p", met.alias("_sources"), *shown)
     order = Window.partitionBy(conversation, request, "norm").orderBy(slot, "p.start")
-    first = each.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").join(slots.select(*keys, F.col("text").alias("_text")), keys)
-    places = spans.where("start is not null").select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("source").alias("_source"))
-    met = first.join(places, keys, "left")
-    overlaps = (F.col("_s") < F.col("p.end")) & (F.col("p.start") < F.col("_e"))
-    sources = met.groupBy(*keys, "norm", "p", "_text", "_out").agg(F.collect_set(F.when(overlaps, F.col("_source"))).alias("_sources"))
+    sources = each.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     every = F.array_sort(F.array_distinct(F.concat("_sources", F.array("p.source"))))
     strict = F.coalesce(F.col("p.rule").isin(*strict_rules), F.lit(False))
     base = F.coalesce(F.create_map(*[F.lit(v) for kv in BASE_CONFIDENCE.items() for v in kv])[F.col("p.source")], F.lit(0.5))
@@ -73,8 +75,7 @@ def proposed(done: DataFrame, slots: DataFrame, spans: DataFrame, strict_rules:
     number = F.row_number().over(Window.partitionBy(conversation, request).orderBy(slot, "p.start"))
     return sources.select(
         conversation, request, number.alias("span_no"), "p.type", "p.action", F.col("p.original").alias("text"), F.col("p.shown").alias("replacement"),
-        snippet(F.col("_text"), F.col("p.start"), F.col("p.end")).alias("preview_before"), snippet(F.col("_out"), F.col("p.out_start"), F.col("p.out_end")).alias("preview_after"),
-        "p.source", every.alias("sources"), confidence.alias("confidence"), ((F.col("p.source") == "vault") | strict).alias("locked"),
+        "preview_before", "preview_after", "p.source", every.alias("sources"), confidence.alias("confidence"), ((F.col("p.source") == "vault") | strict).alias("locked"),
     )
 
 
