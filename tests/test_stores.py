@@ -1,5 +1,6 @@
 """Stores with expiry: timers without further events, single use, crowding, restarts from a checkpoint."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,33 @@ def test_limiter_keeps_its_window(played):
     rows = [[("k", f"2024-01-01 00:00:{s:02d}", i) for i, s in enumerate((0, 1, 2))], [("k", "2024-01-01 00:00:10", 3), ("k", "2024-01-01 00:00:11", 4)]]
     out = played(rows, "key string, at string, n int", lambda s: stores.admitted(s, "key", "at", "n", 2, 10), AT)
     assert [r.admitted for r in sorted(out, key=lambda r: r.n)] == [True, True, False, True, True]
+
+
+class _Cell:
+    """A state variable or a handle that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def __getattr__(self, name):
+        if name in ("getValueState", "getMapState"):
+            return lambda *_: self
+        return {
+            "get": lambda: self._called(self.value), "update": lambda v: self._called(setattr(self, "value", v)), "clear": lambda: self._called(setattr(self, "value", None)),
+            "registerTimer": lambda t: self._called(self.timers.add(t)), "deleteTimer": lambda t: self._called(self.timers.remove(t)), "updateValue": lambda *_: self._called(),
+        }[name]
+
+
+def test_a_key_asks_the_store_once_for_all_its_rows():
+    cell, step = _Cell(), stores._Expiring(("id", "at", "kind"), 600, True, True)
+    step.init(cell)
+    rows = lambda *xs: [pd.DataFrame([(pd.Timestamp(f"2024-01-01 00:{m:02d}:00"), k) for m, k in xs], columns=["at", "kind"])]
+    (out,) = step.handleInputRows(("a",), rows((0, "open"), (1, "use"), (2, "open"), (3, "open")), None)
+    assert list(out.outcome) == ["held", "used", "held", "held"] and cell.calls == 3
+    assert cell.timers == {int(pd.Timestamp("2024-01-01 00:13:00").value // 1_000_000)}
+    (out,) = step.handleInputRows(("a",), rows((20, "use"),), None)
+    assert list(out.outcome) == ["expired", "unknown"] and not cell.timers and cell.value is None
