@@ -100,3 +100,12 @@ def test_a_key_asks_the_store_once_for_all_its_rows():
     assert cell.timers == {int(pd.Timestamp("2024-01-01 00:13:00").value // 1_000_000)}
     (out,) = step.handleInputRows(("a",), rows((20, "use"),), None)
     assert list(out.outcome) == ["expired", "unknown"] and not cell.timers and cell.value is None
+
+
+def test_an_answer_that_ends_leaves_no_state():
+    cell, step = _Cell(), stores._Restoring()
+    step.init(cell)
+    known = [{"original": "Ann", "type": "PERSON", "action": "mask", "value": "PERSON_1"}]
+    given = pd.DataFrame([(0, "Hi <PERS", False, known), (1, "ON_1>", True, None)], columns=["chunk_no", "text", "last", "mappings"])
+    (out,) = step.handleInputRows(("s",), [given], None)
+    assert "".join(out.text) == "Hi Ann" and cell.value is None and cell.calls == 1
