@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from veilgrain.operators import metrics
+from veilgrain.plans import situations, text
 
 
 def _plans(df):
@@ -33,3 +34,9 @@ def test_no_window_and_no_map_holds_a_key(spark):
     assert {(r.k, r.x): r.n_below for r in out.collect()} == {(k, x): sum(1 for i in range(200) if i % 2 == k and i * 7 % 90 < x) for k in (0, 1) for x in {i * 7 % 90 for i in range(200) if i % 2 == k}}
     assert "percentile(" not in _plans(metrics.percentiles(rows.select("k", "x"), {"p": ("x", 0.5)}, "k"))
     assert "rank(" not in _plans(metrics.spearman(rows, "x", "y", "k"))
+
+
+def test_a_small_file_of_much_work_is_dealt_to_all_tasks(spark):
+    for make, key in ((situations.fixed_generalizations, "p_partkey"), (situations.relevant_attributes, "c_custkey"), (text.quasi_attributes, "slot_id")):
+        plan = _plans(make(spark, "/root/testdata/sf0.001"))
+        assert f"hashpartitioning({key}" in plan and "REPARTITION_BY_COL" in plan

@@ -63,6 +63,7 @@ def fixed_generalizations(spark: Spark, d: str) -> Frame:
     value = F.when(k == 0, age).when(k == 1, F.concat(F.lit("19"), age)).when(k == 2, F.concat(age, F.lit("-year-old"))).when(k == 3, F.col("n")).otherwise(F.concat(F.lit("a clerk, aged "), age, F.lit(", with twins at the plant")))
     said = F.when(k == 0, "in my 20s").when(k == 2, "40-something").when(k == 3, "a country in Asia").when(k == 4, "someone in their 30s").otherwise("")
     rows = p.select("p_partkey", F.concat(lead, value, F.lit(" today")).alias("slot_text"), F.length(lead).alias("start"), (F.length(lead) + F.length(value)).alias("end"), said.alias("replacement"), F.lit("QUASI_IDENTIFIER").alias("type"))
+    rows = rows.repartition("p_partkey")  # few bytes, much work
     return places.fixed_generalizations(rows, TODAY, gazetteer(spark, d), "p_partkey").select("p_partkey", F.expr("end - start").alias("length"), "replacement", "outcome")
 
 
