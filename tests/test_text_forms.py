@@ -1,9 +1,11 @@
 """Views, variants, decoding, and the leak scan."""
 
+import duckdb
 import pytest
 
 from veilgrain.functions import normalize as norm
 from veilgrain.operators import gate, scan
+from veilgrain.plans import records
 from veilgrain.plans.text import leak_variants
 
 
@@ -102,3 +104,21 @@ def test_leak_variants_of_any_word(spark, tmp_path):
 @pytest.mark.parametrize("text, value, variant", [("erst ßlichzu pfer", "Lichzu", "casefold"), ("die lichzuß da", "Lichzu", "casefold"), ("die Straße da", "STRASSE", "casefold"), ("an ßlich da", "Slich", None), ("ein sslichzu", "Lichzu", None)])
 def test_what_folding_makes_of_other_letters_runs_on_into_no_value(text, value, variant):
     assert scan.find(text, value) == variant
+
+
+@pytest.mark.parametrize(
+    "text, value, variant",
+    [("enß chieber sagt", "Schieber", None), ("enß-chieber sagt", "Schieber", None), ("der lichzue ß", "Lichzues", None), ("enß schieber-", "Schie ber", "whitespace"), ("die Straß enbahn", "STRASSENBAHN", "whitespace"), ("die Straß-enbahn", "STRASSENBAHN", "alnum"), ("enßs-chieber", "Schieber", "alnum")],
+)
+def test_half_of_what_folding_makes_of_a_letter_begins_or_ends_no_value(text, value, variant):
+    assert scan.find(text, value) == variant
+
+
+def test_scored_cases_beside_a_sharp_s(spark, tmp_path):
+    turns = [(1, 0, "user", "Da Schieber und Lichzues"), (1, 1, "assistant", "enß chieber lichzueß"), (2, 0, "user", "Da Schieber und Lichzues"), (2, 1, "assistant", "enß schie ber")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r["case_id"]: (r["n_values"], r["n_values_leaked"], r["leaked"]) for r in records.scored_cases(spark, str(tmp_path)).where("pass = 0").collect()}
+    assert out == {1: (2, 0, False), 2: (2, 1, True)}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert sorted(map(tuple, records.scored_cases(spark, str(tmp_path)).collect())) == sorted(con.execute(records.SQL["scored_cases"]).fetchall())
