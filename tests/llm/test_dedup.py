@@ -302,3 +302,12 @@ def test_kept_rows_have_all_columns_and_are_always_the_same(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _near_id string, _hash int")
     outs = [sorted(map(tuple, near_dedup.without_copies(df.repartition(n)).collect()), key=repr) for n in (1, 3, 5)]
     assert outs[0] == outs[1] == outs[2] and len(outs[0]) == 2 and len(outs[0][0]) == 5
+
+
+def test_runs_of_lines_are_known_by_sorting(monkeypatch):
+    """Each line's distinct runs are those of the line alone, and no line's runs pass a hash table of their own."""
+    lines = [b"", b"ab", b"abcdef", b"abcdefabcdefabcdef", b"abcdef", "日本語日本語日本語".encode(), "été à la plage".encode(), b"x" * 40]
+    alone = [set(line_dedup.run_hashes([x])[0].tolist()) for x in lines]
+    monkeypatch.setattr(np, "unique", None)
+    sets = line_dedup.run_sets(lines)
+    assert [set(x.tolist()) for x, _ in sets] == alone and all((x[1:] > x[:-1]).all() and len(w) == len(x) and (w == 1).all() for x, w in sets)

@@ -75,7 +75,11 @@ def run_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.append(0, breaks + 1)
     size = ends - start
     count = np.maximum(size - CHARACTERS + 1, 1)
-    h = runs[np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)]
+    own = np.ones(len(runs), dtype=bool)
+    for k in range(CHARACTERS):  # runs that would reach into the next line
+        own[np.maximum(ends - k, 0)] = False
+    own[start] = True
+    h = runs[own]
     h *= _ODD[0]
     h ^= h >> _U(32)
     h *= _ODD[1]
@@ -119,7 +123,12 @@ def buckets(lanes: np.ndarray) -> np.ndarray:
 def run_sets(lines: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct run hashes of each plain line, all of weight 1."""
     h, count = run_hashes(lines)
-    sets = [np.unique(part) for part in np.split(h, np.cumsum(count)[:-1])]
+    ends = np.cumsum(count)
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        h[a:b].sort()
+    new = np.append(True, h[1:] != h[:-1])
+    new[ends[:-1]] = True  # a line's first run is its own, whatever the line before ends with
+    sets = np.split(h[new], np.cumsum(new)[ends[:-1] - 1])
     return [(x, np.ones(len(x))) for x in sets]
 
 
