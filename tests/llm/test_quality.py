@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -10,7 +11,7 @@ import numpy as np
 from tests.llm.conftest import prose
 from veilgrain.llm import quality_rules, rule_ensemble, toxicity
 from veilgrain.llm.labels import training_rows
-from veilgrain.llm.text import Words
+from veilgrain.llm.text import Words, word_hashes
 
 
 def labelled(spark, frame, n=400):
@@ -65,6 +66,38 @@ def test_quality_rules(spark, frame, odd):
     assert sorted(quality_rules.kept(docs, labels).columns) == sorted(docs.columns)
 
 
+def test_a_long_text_in_pieces_is_as_a_whole(monkeypatch):
+    draw = random.Random(3)
+    parts = ["a ", "b ", "é", "\n", "$", "|x ", "a b c d e ", "한국", "𝐯", "wordwithoutend", "\r\n", " "]
+    for k in range(400):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 60))).encode() if k % 4 else bytes(draw.choice([65, 32, 10, 0x80, 0xE2, 0xF0, 0xFF]) for _ in range(40))
+        words, (slots, often) = Words([text]), quality_rules.sparse([text])[0]
+        monkeypatch.setattr(quality_rules, "LONG_BYTES", draw.randint(1, 40))
+        assert np.concatenate([words.hashes[:0], *word_hashes(quality_rules._pieces(text))]).tolist() == words.hashes.tolist()
+        assert quality_rules.counts_of_long(text).tolist() == quality_rules.counts_of([text], words)[0].tolist()
+        found = quality_rules.slots_of_long(text).ravel()
+        assert np.flatnonzero(found).tolist() == slots.tolist() and found[slots].tolist() == often.tolist()
+        monkeypatch.undo()
+
+
+def test_memory_is_bounded_for_long_texts(spark, frame, monkeypatch):
+    """A long text costs few times its size, and the one task that fits gets no texts."""
+    text = (prose(8, 60_000) + " ").encode() * 10
+    model = quality_rules.Model(np.random.default_rng(1).random((4, quality_rules.SLOTS)).astype(np.float32), 0.0, 1.0, 0.0)
+    whole = model.probabilities([text], Words([text]))
+    tracemalloc.start()
+    stats, failed, p = quality_rules._judged(model, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stats[0, 0] == 600_000 and failed == [True] and abs(p - whole).max() < 1e-9
+    assert len(text) > 4 * quality_rules.LONG_BYTES and peak < 25 * len(text)
+    docs, labels = labelled(spark, frame, 60)
+    gathered, kind = [], type(docs)
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *c, f=kind.repartition: gathered.append((n, self.columns)) or f(self, n, *c))
+    assert quality_rules.fit(docs, labels)
+    assert gathered and all("text" not in columns for n, columns in gathered if n == 1)
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if x]
