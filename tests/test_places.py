@@ -5,10 +5,11 @@ from datetime import date
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilgrain.functions import fitting
 from veilgrain.functions.regions import Gazetteer
-from veilgrain.operators import places
+from veilgrain.operators import linking, places
 
 ROWS = [
     ("성남시", "경기도", None), ("분당구", "성남시", None), ("강남구", "서울", None), ("Tulsa", "Oklahoma", None), ("Paris", "France", None), ("France", "Europe", "country"), ("Europe", None, None),
@@ -38,6 +39,41 @@ def test_mentions_are_the_same_by_matcher_and_by_join(spark, table, monkeypatch)
     assert found() == own
 
 
+def test_a_large_gazetteer_gives_what_a_small_one_does(spark, monkeypatch):
+    """The part that a row asks for decides as all rows do: containers of containers, cycles, names with several rows,
+    names inside words, Korean forms, regions that only a phrase names."""
+    rows = [
+        *ROWS, ("Tulsa", "Kansas", "town"), ("Lyon", None, "town"), ("Lyon", "France", "city"), ("Riga", "Latvia", "port"), ("Latvia", "Baltics", "country"), ("Baltics", "Europe", "region"), ("가평군", "경기도", "군"), ("X1", "A", "hut"), ("La Paz", "Bolivia", "city"),
+        ("Paz", "Peru", "city"), ("Me-Too", "서울", "club"), ("", "Nowhere", "x"), ("Kars", "", "town"),
+    ]
+    table = spark.createDataFrame(rows, "name string, container string, kind string")
+    values = ["Paris", "Riga", " Riga, Tulsa", "La Paz", "LaPaz", "Smith-Paris", "the Riga port", "가평", "가평군에서", "성남시 분당구", "서울", "A", "B", "X1", "self", "Lyon", "Kars", "Me-Too", "Nowhere", "Tulsa, OK", "", None]
+    phrases = ["a city in Europe", "somewhere in Baltics", "경기도의 한 군", "서울 어딘가", "a hut in B", "a town in Latvia or Peru", "분당구 근처", "a place", "", None]
+    pairs = [(i * 100 + j, v, ("en", "ko", None)[(i + j) % 3], s, f"it is {v} here" if v is not None else None, 6, 6 + len(v or ""), "QUASI_IDENTIFIER") for i, v in enumerate(values) for j, s in enumerate(phrases)]
+    df = spark.createDataFrame(pairs, "id int, value string, lang string, said string, slot_text string, start int, end int, type string").withColumn("replacement", F.col("said"))
+    texts = [(1, "Smith-Paris and Paris's, New York City"), (2, "X1,A.B 가평군 가평군은 St. Riga"), (3, ""), (4, None), (5, "Riga")]
+    said = spark.createDataFrame(texts, "id int, text string")
+    results = lambda: [
+        sorted(map(str, found.collect()))
+        for found in (places.generalized(df, "value", "lang", table, "id", proposed="said"), places.fixed_generalizations(df, date(2026, 1, 1), table, "id"), places.mentions(said, "text", table, "id"))
+    ]
+    small = results()
+    assert len(small[0]) == len(small[1]) == len(pairs) and sum("'fixed'" in r for r in small[1]) > 60 and sum("'rejected'" in r for r in small[1]) > 20
+    monkeypatch.setattr(places, "GAZETTEER_BYTES", 0)
+    assert results() == small
+
+
+def test_linking_by_a_large_gazetteer(spark, table, monkeypatch):
+    texts = ["He turned 34 at the Tulsa plant.", "저는 성남 공장에서 일하고 마흔다섯 살이다", "the Corvenna site, a Senior Project Architect", "nothing", None]
+    slots = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id int, turn int, text string")
+    spans = spark.createDataFrame([(1, 0, 0, "ORG", "mask")], "conv_id int, turn int, start int, type string, action string")
+    found = lambda: sorted(map(str, linking.linked(slots, spans, gazetteer=table).collect()))
+    small = found()
+    assert any("plant in Oklahoma" in r for r in small) and any("경기도 소재 공장" in r for r in small)
+    monkeypatch.setattr(places, "GAZETTEER_BYTES", 0)
+    assert found() == small
+
+
 @pytest.mark.parametrize(
     ("value", "lang", "phrase"),
     [
