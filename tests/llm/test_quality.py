@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 
+import corpus_pipeline
 from tests.llm.conftest import prose
 from veilgrain.llm import quality_rules, rule_ensemble, toxicity
 from veilgrain.llm.labels import training_rows
@@ -98,6 +99,18 @@ def test_memory_is_bounded_for_long_texts(spark, frame, monkeypatch):
     assert gathered and all("text" not in columns for n, columns in gathered if n == 1)
 
 
+def test_the_first_stage_keeps_long_texts_apart(spark, frame, monkeypatch):
+    """The pipeline's stage gathers no texts in one task, and judges a long text as `score` does."""
+    sf_dir = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = frame([(1, prose(11, 250_000)), (2, (prose(12, 40) + " ") * 40_000), (3, prose(13, 40)), (4, None)]).union(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 10", "text", "lang", "source", "n_chars", "'x'", "1L", "1", "1", "'p'"))
+    gathered, kind = [], type(docs)
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *c, f=kind.repartition: gathered.append((n, self.columns)) or f(self, n, *c))
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, sf_dir).collect()}
+    assert kept == {r.doc_id for r in quality_rules.score(docs, labels).collect() if r.kept} and 2 not in kept and 4 not in kept
+    assert gathered and all("text" not in columns for n, columns in gathered if n == 1)
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if x]
